@@ -68,12 +68,17 @@ class Rules:
     unique: tuple[tuple[str, ...], ...] = ()
     at_least: dict[str, int] = field(default_factory=dict)
     one_of: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    longest: dict[str, int] = field(default_factory=dict)
     parents: dict[str, str] = field(default_factory=dict)
 
 
 RULES: dict[str, Rules] = {
-    "users": Rules(not_null=("username",), unique=(("username",),)),
-    "items": Rules(not_null=("name", "price"), at_least={"price": 0, "stock": 0}),
+    "users": Rules(not_null=("username",), unique=(("username",),), longest={"username": 100, "role": 50}),
+    "items": Rules(
+        not_null=("name", "price", "stock"),
+        at_least={"price": 0, "stock": 0},
+        longest={"name": 200, "category": 50, "rarity": 50, "slot": 50, "image_url": 500},
+    ),
     "inventory": Rules(
         not_null=("user_id", "item_id"),
         unique=(("user_id", "item_id"),),
