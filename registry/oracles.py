@@ -305,3 +305,336 @@ oracle(
                  WHERE role <> 'admin'""",
     "users", "items", "facts", "offers", "trades", "game_stats", "inventory",
 )
+
+# Imports, exports and tables ------------------------------------------------
+
+oracle(
+    "import_items",
+    """SELECT CASE WHEN c = 4 THEN '' ELSE name END AS name, CASE WHEN ok THEN '' END AS description,
+              CASE WHEN ok THEN price END AS price, CASE WHEN ok THEN category END AS category,
+              CASE WHEN ok THEN CASE WHEN c = 5 THEN 'common' ELSE rarity END END AS rarity,
+              CASE WHEN ok THEN level_required END AS level_required, CASE WHEN ok THEN 'other' END AS slot,
+              CASE WHEN ok THEN 100 END AS durability, CASE WHEN ok THEN bonus_stats END AS bonus_stats,
+              CASE WHEN ok THEN CASE WHEN c = 1 THEN 0 ELSE stock END END AS stock,
+              CASE WHEN ok THEN '' END AS image_url,
+              CASE c WHEN 4 THEN 'unreadable' WHEN 2 THEN 'not_a_number_price' WHEN 3 THEN 'negative_price' END
+                  AS reason
+       FROM (SELECT *, level_required % 10 AS c, level_required % 10 NOT IN (2, 3, 4) AS ok FROM items)""",
+    "items",
+)
+oracle(
+    "import_users",
+    """, file AS (
+           SELECT id, 0 AS copy, username, role, balance FROM users
+           UNION ALL SELECT id, 1, upper(username), role, balance FROM users WHERE id % 5 = 0),
+       judged AS (
+           SELECT *, CASE WHEN id % 7 = 0 THEN 'bad_balance' WHEN id % 11 = 0 THEN 'blank_username'
+                          WHEN id % 3 = 0 OR copy = 1 THEN 'username_exists' END AS reason
+           FROM file)
+       SELECT CASE WHEN id % 11 = 0 THEN '' ELSE username END AS username, CASE WHEN reason IS NULL THEN role END AS role,
+              CASE WHEN reason IS NULL THEN balance END AS balance, reason
+       FROM judged""",
+    "users",
+)
+oracle(
+    "export_items",
+    "SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM items",
+    "items",
+)
+oracle(
+    "export_users",
+    "SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM users",
+    "users",
+)
+ALL_TABLES = ("users", "items", "inventory", "transactions", "offers", "trades", "participants", "game_stats")
+WIDTHS = {
+    "users": 5, "items": 13, "inventory": 4, "transactions": 7, "offers": 7, "trades": 7, "participants": 3,
+    "game_stats": 7,
+}
+oracle(
+    "list_tables",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, {WIDTHS[t]} AS columns, count(*) AS rows FROM {t}" for t in ALL_TABLES
+    ),
+    *ALL_TABLES,
+)
+oracle("table_scan", "SELECT * FROM trades", "trades")
+
+# Audit and changes ----------------------------------------------------------
+
+BROKEN_ROWS = [
+    ("users", "not_null:username", "username IS NULL"),
+    ("users", "at_least_0:balance", "balance < 0"),
+    ("users", "max_length:username", "length(username) > 100"),
+    ("users", "max_length:role", "length(role) > 50"),
+    ("items", "not_null:name", "name IS NULL"),
+    ("items", "not_null:price", "price IS NULL"),
+    ("items", "not_null:stock", "stock IS NULL"),
+    ("items", "at_least_0:price", "price < 0"),
+    ("items", "at_least_0:stock", "stock < 0"),
+    ("items", "max_length:name", "length(name) > 200"),
+    ("items", "max_length:category", "length(category) > 50"),
+    ("items", "max_length:rarity", "length(rarity) > 50"),
+    ("items", "max_length:slot", "length(slot) > 50"),
+    ("items", "max_length:image_url", "length(image_url) > 500"),
+    ("inventory", "not_null:user_id", "user_id IS NULL"),
+    ("inventory", "not_null:item_id", "item_id IS NULL"),
+    ("inventory", "at_least_1:quantity", "quantity < 1"),
+    ("transactions", "not_null:user_id", "user_id IS NULL"),
+    ("transactions", "not_null:item_id", "item_id IS NULL"),
+    ("transactions", "not_null:quantity", "quantity IS NULL"),
+    ("transactions", "not_null:transaction_type", "transaction_type IS NULL"),
+    (
+        "transactions", "one_of:transaction_type",
+        "transaction_type NOT IN ('purchase', 'sale', 'admin_grant', 'admin_remove')",
+    ),
+    ("offers", "not_null:seller_id", "seller_id IS NULL"),
+    ("offers", "not_null:item_id", "item_id IS NULL"),
+    ("offers", "not_null:quantity", "quantity IS NULL"),
+    ("offers", "not_null:price_per_unit", "price_per_unit IS NULL"),
+    ("offers", "at_least_1:quantity", "quantity < 1"),
+    ("offers", "at_least_0:price_per_unit", "price_per_unit < 0"),
+    ("offers", "one_of:status", "status NOT IN ('active', 'sold', 'cancelled')"),
+    ("trades", "not_null:offer_id", "offer_id IS NULL"),
+    ("trades", "not_null:item_id", "item_id IS NULL"),
+    ("trades", "not_null:quantity", "quantity IS NULL"),
+    ("trades", "not_null:price_per_unit", "price_per_unit IS NULL"),
+    ("trades", "not_null:total_amount", "total_amount IS NULL"),
+    ("participants", "not_null:transaction_id", "transaction_id IS NULL"),
+    ("participants", "not_null:user_id", "user_id IS NULL"),
+    ("participants", "not_null:role", "role IS NULL"),
+    ("participants", "one_of:role", "role NOT IN ('buyer', 'seller')"),
+    ("game_stats", "not_null:user_id", "user_id IS NULL"),
+    ("game_stats", "not_null:action_type", "action_type IS NULL"),
+]
+REPEATED_KEYS = [
+    ("users", "id"), ("users", "username"), ("items", "id"), ("inventory", "user_id,item_id"), ("offers", "id"),
+    ("trades", "id"), ("participants", "transaction_id,user_id"), ("game_stats", "id"),
+]
+PARENTS = [
+    ("inventory", "user_id", "users"), ("inventory", "item_id", "items"),
+    ("transactions", "user_id", "users"), ("transactions", "item_id", "items"),
+    ("offers", "seller_id", "users"), ("offers", "item_id", "items"),
+    ("trades", "offer_id", "offers"), ("trades", "item_id", "items"),
+    ("participants", "transaction_id", "trades"), ("participants", "user_id", "users"),
+    ("game_stats", "user_id", "users"),
+]
+
+
+def _orphans(where: dict[str, str]) -> list[str]:
+    return [
+        f"""SELECT '{child}' AS table_name, 'parent:{column}->{parent}' AS rule, count(*) AS violations FROM {child}
+            WHERE {column} IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = {child}.{column} AND {where.get(parent, 'true')})"""
+        for child, column, parent in PARENTS
+    ]
+
+
+oracle(
+    "constraint_audit",
+    " UNION ALL ".join(
+        [
+            f"SELECT '{t}' AS table_name, '{rule}' AS rule, count(*) AS violations FROM {t} WHERE {test}"
+            for t, rule, test in BROKEN_ROWS
+        ]
+        + [
+            f"SELECT '{t}', 'unique:{key}', count(*) - count(DISTINCT ({key})) FROM {t}" for t, key in REPEATED_KEYS
+        ]
+        + _orphans({})
+    ),
+    *ALL_TABLES,
+)
+oracle("orphan_check", " UNION ALL ".join(_orphans({"users": "p.balance >= 0", "items": "p.stock > 0"})), *ALL_TABLES)
+oracle(
+    "cascade_delete",
+    """, u AS (SELECT id FROM users WHERE balance >= 0), i AS (SELECT id FROM items WHERE stock <> 0),
+       o AS (SELECT * FROM offers WHERE seller_id IN (FROM u) AND item_id IN (FROM i)),
+       t AS (SELECT * FROM trades WHERE item_id IN (FROM i) AND offer_id IN (SELECT id FROM o))
+       SELECT 'users' AS table_name, count(*) AS rows FROM u
+       UNION ALL SELECT 'items', count(*) FROM i
+       UNION ALL SELECT 'inventory', count(*) FROM inventory WHERE user_id IN (FROM u) AND item_id IN (FROM i)
+       UNION ALL SELECT 'transactions', count(*) FROM transactions WHERE user_id IN (FROM u) AND item_id IN (FROM i)
+       UNION ALL SELECT 'offers', count(*) FROM o
+       UNION ALL SELECT 'trades', count(*) FROM t
+       UNION ALL SELECT 'participants', count(*) FROM participants
+                 WHERE user_id IN (FROM u) AND transaction_id IN (SELECT id FROM t)
+       UNION ALL SELECT 'game_stats', count(*) FROM game_stats WHERE user_id IN (FROM u)""",
+    *ALL_TABLES,
+)
+NEWEST = "row_number() OVER (PARTITION BY item_id ORDER BY transaction_date DESC, quantity DESC, total_amount DESC) = 1"
+oracle(
+    "patch_items",
+    f"""SELECT i.id, i.name, coalesce(p.price_per_unit, i.price) AS price, coalesce(s.quantity - 10, i.stock) AS stock
+        FROM items i
+        LEFT JOIN (SELECT * FROM facts WHERE transaction_type = 'purchase' QUALIFY {NEWEST}) p ON p.item_id = i.id
+        LEFT JOIN (SELECT * FROM facts WHERE transaction_type = 'sale' AND quantity >= 10 QUALIFY {NEWEST}) s
+            ON s.item_id = i.id""",
+    "items", "facts",
+)
+oracle(
+    "patch_items_refused",
+    """SELECT CASE WHEN transaction_type = 'sale' THEN 'below_0_stock' ELSE 'nothing_to_update' END AS reason,
+              count(*) AS patches
+       FROM facts WHERE transaction_type = 'admin_grant' OR (transaction_type = 'sale' AND quantity < 10) GROUP BY 1""",
+    "facts",
+)
+oracle(
+    "upsert_inventory",
+    """, moves AS (SELECT user_id, item_id, CAST(sum(CASE WHEN transaction_type = 'sale' THEN -quantity ELSE quantity END)
+                          AS BIGINT) AS delta, min(transaction_date) AS first_at FROM transactions GROUP BY 1, 2)
+       SELECT user_id, item_id, coalesce(quantity, 0) + coalesce(delta, 0) AS quantity,
+              coalesce(purchased_at, first_at) AS purchased_at
+       FROM inventory FULL JOIN moves USING (user_id, item_id)
+       WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
+    "inventory", "transactions",
+)
+oracle(
+    "insert_users",
+    """SELECT * FROM users
+       UNION ALL
+       SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY s_suppkey), s_name, 'user', 1000,
+              TIMESTAMP '2024-06-01'
+       FROM supplier WHERE s_name NOT IN (SELECT username FROM users)""",
+    "users",
+)
+oracle(
+    "insert_items",
+    """SELECT * FROM items
+       UNION ALL
+       SELECT (SELECT max(id) FROM items) + row_number() OVER (ORDER BY name, id), name, description, price, category,
+              'common', 1, 'other', 100, NULL, 0, image_url, TIMESTAMP '2024-06-01'
+       FROM items""",
+    "items",
+)
+oracle(
+    "ledger_fold",
+    """, entries AS (
+           SELECT 'balance' AS account, user_id, NULL AS item_id,
+                  CASE transaction_type WHEN 'purchase' THEN -total_amount WHEN 'sale' THEN total_amount ELSE 0 END
+                      AS amount
+           FROM transactions
+           UNION ALL SELECT 'stock', NULL, item_id,
+                  CASE transaction_type WHEN 'purchase' THEN -quantity WHEN 'sale' THEN quantity ELSE 0 END
+           FROM transactions
+           UNION ALL SELECT 'holding', user_id, item_id,
+                  CASE transaction_type WHEN 'sale' THEN -quantity ELSE quantity END
+           FROM transactions
+           UNION ALL SELECT 'balance', user_id, NULL, CASE role WHEN 'buyer' THEN -total_amount ELSE total_amount END
+           FROM trades JOIN participants ON transaction_id = id
+           UNION ALL SELECT 'holding', user_id, item_id, CASE role WHEN 'buyer' THEN quantity ELSE -quantity END
+           FROM trades JOIN participants ON transaction_id = id
+           UNION ALL SELECT 'holding', seller_id, item_id, -quantity FROM offers WHERE status = 'active'
+           UNION ALL SELECT 'balance', user_id, NULL,
+                  CAST(trunc(value) AS BIGINT) - CASE event_type WHEN 'purchase' THEN 100 ELSE 0 END
+           FROM events)
+       SELECT account, user_id, item_id, CAST(sum(amount) AS BIGINT) AS amount FROM entries WHERE amount <> 0
+       GROUP BY ALL""",
+    "transactions", "trades", "participants", "offers",
+)
+
+# Rewards ----------------------------------------------------------------------
+
+# Draws from 1 to 100 and what they hit.
+DRAWS = """
+    SELECT event_id AS id, user_id, action_type, ts AS created_at,
+           CASE WHEN action_type = 'hunt' AND n > 70 THEN 'lose' ELSE 'win' END AS result,
+           CASE action_type
+               WHEN 'wheel' THEN CASE WHEN n <= 62 THEN 'coins' WHEN n <= 97 THEN 'item' ELSE 'nothing' END
+               WHEN 'hunt' THEN 'coins'
+               ELSE CASE WHEN n <= 75 THEN 'coins' WHEN n <= 96 THEN 'item' ELSE 'nothing' END END AS reward_type,
+           CAST(CASE action_type
+               WHEN 'wheel' THEN CASE WHEN n <= 30 THEN 10 WHEN n <= 50 THEN 50 WHEN n <= 60 THEN 100
+                    WHEN n <= 62 THEN 500 WHEN n <= 72 THEN 1 WHEN n <= 82 THEN 2 WHEN n <= 97 THEN 3 ELSE 0 END
+               WHEN 'hunt' THEN CASE WHEN n <= 40 THEN 200 WHEN n <= 70 THEN 100 WHEN n <= 90 THEN -100 ELSE -200 END
+               ELSE CASE WHEN n <= 30 THEN 150 WHEN n <= 50 THEN 300 WHEN n <= 75 THEN 50 WHEN n <= 83 THEN 1
+                    WHEN n <= 91 THEN 2 WHEN n <= 96 THEN 4 ELSE 0 END END AS BIGINT) AS reward_value
+    FROM (SELECT *, event_id * 7919 % 100 + 1 AS n,
+                 CASE event_type WHEN 'signup' THEN 'wheel' WHEN 'click' THEN 'hunt' ELSE 'chest' END AS action_type
+          FROM events WHERE event_type IN ('signup', 'click', 'purchase'))"""
+TABLES["draws"] = DRAWS
+oracle("reward_draw", "SELECT * FROM draws", "draws")
+# One step per user and action: the balance decides, and carries on.
+ORACLES["replay_rewards"] = f"""
+    WITH RECURSIVE draws AS ({DRAWS}),
+    marked AS (
+        SELECT *, action_type = 'wheel' AND row_number() OVER (
+                   PARTITION BY user_id, action_type, CAST(created_at AS DATE) ORDER BY created_at, id) > 1 AS repeated
+        FROM draws),
+    turns AS (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS turn,
+               CASE WHEN action_type = 'chest' THEN 100 WHEN reward_type = 'coins' AND reward_value < 0
+                    THEN -reward_value ELSE 0 END AS need,
+               CASE WHEN reward_type = 'coins' THEN reward_value ELSE 0 END
+                   - CASE WHEN action_type = 'chest' THEN 100 ELSE 0 END AS gain
+        FROM marked WHERE NOT repeated),
+    walk AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS turn, CAST(500 AS BIGINT) AS balance, CAST(NULL AS BIGINT) AS id,
+               true AS accepted
+        FROM (SELECT DISTINCT user_id FROM turns)
+        UNION ALL
+        SELECT w.user_id, t.turn,
+               CAST(CASE WHEN need > 0 AND w.balance < need THEN w.balance ELSE w.balance + gain END AS BIGINT), t.id,
+               NOT (need > 0 AND w.balance < need)
+        FROM walk w JOIN turns t ON t.user_id = w.user_id AND t.turn = w.turn + 1)
+    SELECT m.id, m.user_id, action_type, reward_type, reward_value, coalesce(accepted, false) AS accepted,
+           CASE WHEN repeated THEN 'already_spun' WHEN NOT accepted THEN 'short_balance' END AS reason
+    FROM marked m LEFT JOIN walk w ON w.id = m.id"""
+
+# Streams ---------------------------------------------------------------------
+
+# A window is final once its end is not after the newest event time less the allowed delay.
+CLOSED = "window_end <= (SELECT max(ts) FROM events {where}) - INTERVAL 10 MINUTE"
+SALES_CLOSED = CLOSED.format(where="WHERE event_type = 'purchase'")
+oracle(
+    "stream_sales",
+    f"""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+               count(*) AS sales_count, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_amount
+        FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING {SALES_CLOSED}""",
+)
+oracle(
+    "stream_candles",
+    f"""SELECT time_bucket(INTERVAL 15 MINUTE, transaction_date) AS window_start,
+               time_bucket(INTERVAL 15 MINUTE, transaction_date) + INTERVAL 15 MINUTE AS window_end, item_id,
+               round(sum(price_per_unit) / count(*), 4) AS avg_price, min(price_per_unit) AS min_price,
+               max(price_per_unit) AS max_price, CAST(sum(quantity) AS BIGINT) AS total_sold
+        FROM event_prices GROUP BY 1, 2, 3 HAVING {CLOSED.format(where='')}""",
+    "event_prices",
+)
+oracle(
+    "stream_trailing",
+    f"""SELECT step - to_hours(n) AS window_start, step - to_hours(n) + INTERVAL 24 HOUR AS window_end,
+               CAST(sum(sales) AS BIGINT) AS sales_count, CAST(sum(amount) AS BIGINT) AS total_amount
+        FROM (SELECT date_trunc('hour', ts) AS step, count(*) AS sales,
+                     sum(CAST(round(value * 100) AS BIGINT)) AS amount
+              FROM events WHERE event_type = 'purchase' GROUP BY 1), range(24) hours(n)
+        GROUP BY 1, 2 HAVING {SALES_CLOSED}""",
+)
+oracle("stream_daily_first", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
+ORACLES["stream_counters"] = ORACLES["game_stats"]
+oracle(
+    "stream_upsert",
+    """, moves AS (SELECT user_id, CAST(trunc(value) AS BIGINT) AS item_id,
+                          CAST(sum(CASE event_type WHEN 'error' THEN -1 ELSE 1 END) AS BIGINT) AS delta, min(ts) AS first_at
+                   FROM events GROUP BY 1, 2)
+       SELECT user_id, item_id, coalesce(quantity, 0) + coalesce(delta, 0) AS quantity,
+              coalesce(purchased_at, first_at) AS purchased_at
+       FROM inventory FULL JOIN moves USING (user_id, item_id)
+       WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
+    "inventory",
+)
+# One step per user and event: spend while the balance lasts.
+ORACLES["stream_balance_guard"] = """
+    WITH RECURSIVE spends AS (
+        SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) AS amount,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn
+        FROM events),
+    walk AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS turn, CAST(100000 AS BIGINT) AS balance, CAST(NULL AS BIGINT) AS event_id,
+               false AS accepted
+        FROM (SELECT DISTINCT user_id FROM spends WHERE user_id IN (SELECT c_custkey FROM customer))
+        UNION ALL
+        SELECT w.user_id, s.turn, CASE WHEN amount <= balance THEN balance - amount ELSE balance END, s.event_id,
+               amount <= balance
+        FROM walk w JOIN spends s ON s.user_id = w.user_id AND s.turn = w.turn + 1)
+    SELECT s.event_id, s.user_id, ts, amount, coalesce(accepted, false) AS accepted
+    FROM spends s LEFT JOIN walk w ON w.event_id = s.event_id"""

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom import bindings as b
+from tradeloom.functions.numbers import whole_units
 from tradeloom.functions.text import json_pairs
-from tradeloom.operators import analytics, catalog, holdings, market
+from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards
+from tradeloom.operators import replay as replays
+from tradeloom.plans.workspace import new_path
+from tradeloom.sources import exports, imports, tables
+from tradeloom.streaming import live, state
+from tradeloom.streaming.sinks import run_available
+from tradeloom.tables import RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,3 +257,379 @@ def db_summary(spark, root):
         b.transactions(spark, root, with_user=False), b.offers(spark, root), b.trades(spark, root),
         b.game_stats(spark, root),
     )
+
+
+# Imports, exports and tables ------------------------------------------------
+
+
+@query
+def import_items(spark, root):
+    """Items written as JSON Lines with absent, unreadable and wrong fields, then imported."""
+    case = F.col("level_required") % 10
+    lines = b.items(spark, root).select(
+        F.when(case == 4, F.concat(F.lit("{broken "), "name")).otherwise(
+            F.to_json(
+                F.struct(
+                    "name",
+                    F.when(case == 2, "x").when(case == 3, F.concat(F.lit("-"), F.col("price").cast("string")))
+                    .otherwise(F.col("price").cast("string")).alias("price"),
+                    "category",
+                    F.when(case != 5, F.col("rarity")).alias("rarity"),
+                    "level_required",
+                    F.when(case != 1, F.col("stock")).alias("stock"),
+                    "bonus_stats",
+                )
+            )
+        ).alias("value")
+    )
+    path = new_path(spark, "items-file")
+    lines.write.text(path)
+    accepted, rejected = imports.import_items(spark, path, layout="lines")
+    good = accepted.withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(rejected.select("name", "reason"), allowMissingColumns=True)
+
+
+@query
+def import_users(spark, root):
+    """Users written as CSV, every fifth one twice, then imported beside every third one."""
+    people = b.users(spark, root)
+    rows = people.select("id", F.lit(0).alias("copy"), F.concat(F.lit(" "), "username", F.lit(" ")).alias("username"), "role", "balance")
+    again = rows.filter(F.col("id") % 5 == 0).withColumn("copy", F.lit(1)).withColumn("username", F.upper("username"))
+    file = (
+        rows.unionByName(again)
+        .withColumn("username", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("username")))
+        .withColumn("balance", F.when(F.col("id") % 7 == 0, "zz").otherwise(F.col("balance").cast("string")))
+        .repartitionByRange("copy", "id")
+        .sortWithinPartitions("copy", "id")
+        .select("username", F.lit("secret").alias("password"), "role", "balance")
+    )
+    path = new_path(spark, "users-file")
+    file.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    accepted, rejected = imports.import_users(spark, path, people.filter(F.col("id") % 3 == 0))
+    good = accepted.withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(rejected.select("username", "reason"), allowMissingColumns=True)
+
+
+@query
+def export_items(spark, root):
+    path = new_path(spark, "items-export")
+    exports.export_items(b.items(spark, root), path)
+    schema = exports.item_export(b.items(spark, root)).schema
+    return spark.read.schema(schema).json(path)
+
+
+@query
+def export_users(spark, root):
+    path = new_path(spark, "users-export")
+    exports.export_users(b.users(spark, root), path)
+    schema = exports.user_export(b.users(spark, root)).schema
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {
+        "users": b.users(spark, root),
+        "items": b.items(spark, root),
+        "inventory": _inventory(spark, root),
+        "transactions": b.transactions(spark, root),
+        "offers": b.offers(spark, root),
+        "trades": b.trades(spark, root),
+        "participants": b.participants(spark, root),
+        "game_stats": b.game_stats(spark, root),
+    }
+
+
+@query
+def list_tables(spark, root):
+    return tables.row_counts(_tables(spark, root))
+
+
+@query
+def table_scan(spark, root):
+    tables.register(spark, {"trades": b.trades(spark, root)})
+    return tables.scan(spark, "trades")[1]
+
+
+# Audit and changes ----------------------------------------------------------
+
+
+@query
+def constraint_audit(spark, root):
+    """All rules, with the further rule that no balance is negative."""
+    rules = {**RULES, "users": replace(RULES["users"], at_least={"balance": 0})}
+    return audit.constraint_audit(_tables(spark, root), rules)
+
+
+@query
+def orphan_check(spark, root):
+    """Parent references when users in debt and items out of stock are gone."""
+    bound = _tables(spark, root)
+    bound["users"] = bound["users"].filter(F.col("balance") >= 0)
+    bound["items"] = bound["items"].filter(F.col("stock") > 0)
+    return audit.orphan_check(bound)
+
+
+@query
+def cascade_delete(spark, root):
+    bound = _tables(spark, root)
+    deleted = {
+        "users": bound["users"].filter(F.col("balance") < 0).select("id"),
+        "items": bound["items"].filter(F.col("stock") == 0).select("id"),
+    }
+    return tables.row_counts(audit.cascade_delete(bound, deleted)).select("table_name", "rows")
+
+
+def _item_patches(spark: SparkSession, root: str) -> DataFrame:
+    """Shop lines as item patches: purchases set the price, sales the stock, grants nothing."""
+    lines = b.transactions(spark, root, with_user=False)
+    return lines.select(
+        F.col("item_id").alias("id"),
+        F.struct("transaction_date", "transaction_type", "quantity", "total_amount").alias("seq"),
+        F.when(F.col("transaction_type") == "purchase", F.col("price_per_unit")).alias("price"),
+        F.when(F.col("transaction_type") == "sale", F.col("quantity") - 10).alias("stock"),
+    )
+
+
+@query
+def patch_items(spark, root):
+    patched, _ = changes.patch(b.items(spark, root), _item_patches(spark, root), ["price", "stock"], {"price": 0, "stock": 0})
+    return patched.select("id", "name", "price", "stock")
+
+
+@query
+def patch_items_refused(spark, root):
+    _, refused = changes.patch(b.items(spark, root), _item_patches(spark, root), ["price", "stock"], {"price": 0, "stock": 0})
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("patches"))
+
+
+@query
+def upsert_inventory(spark, root):
+    signed = F.when(F.col("transaction_type") == "sale", -F.col("quantity")).otherwise(F.col("quantity"))
+    moves = b.transactions(spark, root).select("user_id", "item_id", signed.alias("quantity"), F.col("transaction_date").alias("at"))
+    return changes.apply_holding_changes(_inventory(spark, root), moves)
+
+
+@query
+def insert_users(spark, root):
+    """Suppliers join as users, each of them twice, together with names that exist."""
+    suppliers = b.read(spark, root, "supplier").select(
+        F.col("s_suppkey").alias("n"), F.explode(F.array(F.col("s_name"), F.upper("s_name"))).alias("username")
+    )
+    known = b.users(spark, root).select(F.col("id").alias("n"), "username")
+    rows = suppliers.withColumn("copy", F.when(F.upper("username") == F.col("username"), 1).otherwise(0)).unionByName(
+        known.withColumn("copy", F.lit(2))
+    )
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    return changes.insert_users(b.users(spark, root), rows, ["copy", "n"], at)[0]
+
+
+@query
+def insert_items(spark, root):
+    rows = b.items(spark, root).select(F.col("id").alias("n"), "name", "description", "price", "category", "image_url")
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    return changes.insert_items(b.items(spark, root), rows, ["name", "n"], at)
+
+
+@query
+def ledger_fold(spark, root):
+    return ledger.fold(
+        ledger.shop_entries(b.transactions(spark, root)),
+        ledger.trade_entries(b.trades(spark, root), b.participants(spark, root)),
+        ledger.offer_entries(b.offers(spark, root)),
+        ledger.reward_entries(b.game_stats(spark, root)),
+    )
+
+
+# Replays ---------------------------------------------------------------------
+
+LINE_ORDER = ["at", "user_id", "item_id", "kind", "quantity"]
+
+
+def _rich_users(spark: SparkSession, root: str) -> DataFrame:
+    return b.users(spark, root).withColumn("balance", F.col("balance") * 1000)
+
+
+def _full_items(spark: SparkSession, root: str) -> DataFrame:
+    return b.items(spark, root).withColumn("stock", F.col("stock") * 40)
+
+
+def _no_offers(spark: SparkSession, root: str) -> DataFrame:
+    return b.offers(spark, root).limit(0)
+
+
+def _no_inventory(spark: SparkSession, root: str) -> DataFrame:
+    return _inventory(spark, root).limit(0)
+
+
+def _line_requests(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFrame:
+    """Shop lines as requests, by time."""
+    lines = b.transactions(spark, root).filter(F.col("transaction_type").isin(*kinds))
+    pairs = [F.lit(part) for entry in kinds.items() for part in entry]
+    rows = lines.select(
+        F.create_map(*pairs)[F.col("transaction_type")].alias("kind"),
+        "user_id", "item_id", "quantity", F.col("transaction_date").alias("at"),
+    )
+    return replays.number_requests(rows, LINE_ORDER)
+
+
+@query
+def replay_purchases(spark, root):
+    requests = _line_requests(spark, root, {"purchase": "buy"})
+    result = replays.replay(
+        requests, _rich_users(spark, root), _full_items(spark, root), _no_inventory(spark, root), _no_offers(spark, root)
+    )
+    return result.decisions.select("seq", "user_id", "item_id", "quantity", "accepted", "reason")
+
+
+@query
+def replay_sales(spark, root):
+    """Grants, purchases and sales of all shop lines against the held inventory."""
+    requests = _line_requests(spark, root, {"admin_grant": "grant", "purchase": "buy", "sale": "sell"})
+    result = replays.replay(
+        requests, _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root), _no_offers(spark, root)
+    )
+    return result.decisions.select("seq", "kind", "user_id", "item_id", "quantity", "accepted", "reason")
+
+
+@query
+def replay_admin(spark, root):
+    requests = _line_requests(
+        spark, root, {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"}
+    )
+    result = replays.replay(
+        requests, _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root), _no_offers(spark, root)
+    )
+    return result.decisions.select("seq", "kind", "user_id", "item_id", "quantity", "units", "accepted", "reason")
+
+
+def _market_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Lines as market purchases by supplier keys, urgent orders as cancellations, sales as listings."""
+    lines = b.read(spark, root, "lineitem")
+    orders = b.read(spark, root, "orders")
+    buys = lines.filter(F.col("l_returnflag") == "N").select(
+        F.lit("market_buy").alias("kind"),
+        F.col("l_suppkey").alias("user_id"),
+        F.lit(None).cast("bigint").alias("item_id"),
+        F.col("l_orderkey").alias("offer_id"),
+        F.col("l_linenumber").cast("bigint").alias("quantity"),
+        F.lit(None).cast("bigint").alias("price_per_unit"),
+        F.col("l_shipdate").alias("at"),
+    )
+    cancels = orders.filter(F.col("o_orderpriority") == "1-URGENT").select(
+        F.lit("cancel").alias("kind"),
+        F.col("o_custkey").alias("user_id"),
+        F.lit(None).cast("bigint").alias("item_id"),
+        F.col("o_orderkey").alias("offer_id"),
+        F.lit(None).cast("bigint").alias("quantity"),
+        F.lit(None).cast("bigint").alias("price_per_unit"),
+        F.col("o_orderdate").alias("at"),
+    )
+    listings = _inventory(spark, root).select(
+        F.lit("list").alias("kind"),
+        "user_id",
+        "item_id",
+        F.lit(None).cast("bigint").alias("offer_id"),
+        F.ceil(F.col("quantity") / 2).alias("quantity"),
+        F.lit(5000).cast("bigint").alias("price_per_unit"),
+        F.col("purchased_at").alias("at"),
+    )
+    return replays.number_requests(
+        buys.unionByName(cancels).unionByName(listings), ["at", "kind", "offer_id", "user_id", "item_id", "quantity"]
+    )
+
+
+def _cheap_offers(spark: SparkSession, root: str) -> DataFrame:
+    return b.offers(spark, root).withColumn("price_per_unit", F.expr("price_per_unit div 100"))
+
+
+@query
+def replay_market(spark, root):
+    result = replays.replay(
+        _market_requests(spark, root), _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root),
+        _cheap_offers(spark, root),
+    )
+    return result.decisions.select("seq", "kind", "user_id", "offer_id", "quantity", "accepted", "reason")
+
+
+def _draw_number() -> Column:
+    return F.pmod(F.col("id") * 7919, F.lit(100)) + 1
+
+
+@query
+def reward_draw(spark, root):
+    return rewards.draw_rewards(b.game_stats(spark, root).drop("result", "reward_type", "reward_value"), _draw_number())
+
+
+@query
+def replay_rewards(spark, root):
+    """All game actions of users who start with 500 coins."""
+    people = b.users(spark, root).withColumn("balance", F.lit(500).cast("bigint"))
+    draws = rewards.draw_rewards(b.game_stats(spark, root).drop("result", "reward_type", "reward_value"), _draw_number())
+    log, _ = rewards.play(draws, people, b.items(spark, root), _no_inventory(spark, root))
+    return log.select("id", "user_id", "action_type", "reward_type", "reward_value", "accepted", "reason")
+
+
+# Streams ---------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, root: str) -> DataFrame:
+    schema = b.read(spark, root, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+
+
+def _stream_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Append-mode stream run over all available files, then read as a table."""
+    path = new_path(spark, name)
+    writer = df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table")
+    run_available(writer, f"{path}/progress")
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
+
+
+@query
+def stream_sales(spark, root):
+    return _stream_to_table(spark, live.live_sales(b.event_sales_of(_event_stream(spark, root))), "stream-sales")
+
+
+@query
+def stream_candles(spark, root):
+    return _stream_to_table(spark, live.live_candles(b.event_prices_of(_event_stream(spark, root))), "stream-candles")
+
+
+@query
+def stream_trailing(spark, root):
+    return _stream_to_table(spark, live.live_trailing(b.event_sales_of(_event_stream(spark, root))), "stream-trailing")
+
+
+@query
+def stream_daily_first(spark, root):
+    actions = b.game_stats_of(_event_stream(spark, root))
+    return _stream_to_table(spark, live.daily_first(actions), "stream-daily-first")
+
+
+@query
+def stream_counters(spark, root):
+    path = new_path(spark, "stream-counters")
+    run_available(live.running_counters(b.game_stats_of(_event_stream(spark, root)), f"{path}/table"), f"{path}/progress")
+    return live.latest_counters(spark, f"{path}/table")
+
+
+@query
+def stream_upsert(spark, root):
+    """Purchase events add a unit of the item that the value points at; errors take one away."""
+    path = new_path(spark, "stream-upsert")
+    sign = F.when(F.col("event_type") == "error", -1).otherwise(1).cast("bigint")
+    moves = _event_stream(spark, root).select(
+        "user_id", F.col("value").cast("bigint").alias("item_id"), sign.alias("quantity"), F.col("ts").alias("at")
+    )
+    run_available(state.upsert_holdings(moves, f"{path}/table"), f"{path}/progress")
+    return state.current_holdings(_inventory(spark, root), f"{path}/table")
+
+
+@query
+def stream_balance_guard(spark, root):
+    """Every event spends its value from 1,000.00 per user."""
+    path = new_path(spark, "stream-guard")
+    people = b.users(spark, root).withColumn("balance", F.lit(100_000).cast("bigint"))
+    spends = _event_stream(spark, root).select("event_id", "user_id", "ts", whole_units("value").alias("amount"))
+    run_available(state.guard_balances(spends, people, path), f"{path}/progress")
+    return state.guard_verdicts(spark, path)

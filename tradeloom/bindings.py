@@ -153,14 +153,15 @@ def inventory(spark: SparkSession, root: str, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def game_stats(spark: SparkSession, root: str) -> DataFrame:
+def game_stats_of(events: DataFrame) -> DataFrame:
+    """Events as game log rows."""
     action = (
         F.when(F.col("event_type") == "signup", "wheel")
         .when(F.col("event_type") == "click", "hunt")
         .when(F.col("event_type") == "purchase", "chest")
         .otherwise(F.col("event_type"))
     )
-    return read(spark, root, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         "user_id",
         action.alias("action_type"),
@@ -171,9 +172,9 @@ def game_stats(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def event_prices(spark: SparkSession, root: str) -> DataFrame:
-    """Intraday prices: the event type plays the item, the value the price."""
-    return read(spark, root, "events").select(
+def event_prices_of(events: DataFrame) -> DataFrame:
+    """Events as intraday prices: the event type plays the item, the value the price."""
+    return events.select(
         F.col("event_type").alias("item_id"),
         whole_units("value").alias("price_per_unit"),
         F.lit(1).cast("bigint").alias("quantity"),
@@ -181,12 +182,24 @@ def event_prices(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def event_sales(spark: SparkSession, root: str) -> DataFrame:
-    """Purchase events as a sales log with time of day."""
-    return read(spark, root, "events").select(
+def event_sales_of(events: DataFrame) -> DataFrame:
+    """Events as a sales log with time of day."""
+    return events.select(
         "user_id",
-        F.when(F.col("event_type") == "purchase", "purchase").otherwise(F.col("event_type")).alias("transaction_type"),
+        F.col("event_type").alias("transaction_type"),
         F.lit(1).cast("bigint").alias("quantity"),
         whole_units("value").alias("total_amount"),
         F.col("ts").alias("transaction_date"),
     )
+
+
+def game_stats(spark: SparkSession, root: str) -> DataFrame:
+    return game_stats_of(read(spark, root, "events"))
+
+
+def event_prices(spark: SparkSession, root: str) -> DataFrame:
+    return event_prices_of(read(spark, root, "events"))
+
+
+def event_sales(spark: SparkSession, root: str) -> DataFrame:
+    return event_sales_of(read(spark, root, "events"))

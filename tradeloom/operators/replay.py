@@ -170,56 +170,47 @@ def _doomed() -> Column:
     )
 
 
-def _posting(
-    when: Column, account: str, a: str, b: str | None, coef: Column, need: Column | None = None, at: str = "seq", lead: bool = False
-) -> Column:
-    posting = F.struct(
-        F.lit(account).alias("account"),
-        F.col(a).alias("a"),
-        (F.lit(0).cast("bigint") if b is None else F.col(b)).alias("b"),
-        F.col(at).alias("at_seq"),
-        coef.cast("bigint").alias("coef"),
-        (F.lit(None) if need is None else need).cast("bigint").alias("need"),
-        F.lit(lead).alias("lead"),
-    )
-    return F.when(when, posting)
+# Postings by request: (when, account, a, b, coef, need, position, lead).
+GUARDS = [
+    ("kind IN ('buy', 'stock_add')", STOCK, "item_id", "0", "-quantity", "quantity", "seq", True),
+    ("kind IN ('sell', 'list')", HOLDING, "user_id", "item_id", "-quantity", "quantity", "seq", True),
+    ("kind = 'market_buy'", OFFER, "offer_id", "0", "-quantity", "quantity", "seq", True),
+    ("kind = 'cancel'", OFFER, "offer_id", "0", "0", "1", "seq", True),
+    ("kind = 'stock_remove'", HOLDING, "user_id", "item_id", "-1", "1", "seq", True),
+    ("kind = 'reward' AND coalesce(need, 0) > 0", CASH, "user_id", "0", "coalesce(coins, 0)", "need", "seq", True),
+    ("kind IN ('buy', 'market_buy')", CASH, "user_id", "0", "-cost", "cost", "seq", False),
+]
+GAINS = [
+    ("kind = 'grant'", HOLDING, "user_id", "item_id", "quantity", "NULL", "seq", True),
+    ("kind = 'reward' AND coalesce(need, 0) <= 0", CASH, "user_id", "0", "coalesce(coins, 0)", "NULL", "seq", True),
+    ("kind = 'reward' AND item_id IS NOT NULL", HOLDING, "user_id", "item_id", "1", "NULL", "seq", False),
+    ("kind IN ('buy', 'stock_add')", HOLDING, "user_id", "item_id", "quantity", "NULL", "seq", False),
+    ("kind = 'sell'", CASH, "user_id", "0", "cost", "NULL", "seq", False),
+    ("kind = 'sell'", STOCK, "item_id", "0", "quantity", "NULL", "seq", False),
+    ("kind = 'stock_remove'", STOCK, "item_id", "0", "1", "NULL", "seq", False),
+    ("kind = 'list'", OFFER, "offer_id", "0", "quantity", "NULL", "seq", False),
+    ("kind = 'market_buy'", CASH, "o_seller", "0", "cost", "NULL", "seq", False),
+    ("kind = 'market_buy'", HOLDING, "user_id", "o_item", "quantity", "NULL", "seq", False),
+]
+# What a later cancellation hands back: listed less sold.
+RETURNS = [
+    ("kind = 'list' AND closing_seq IS NOT NULL", HOLDING, "user_id", "item_id", "quantity", "NULL", "closing_seq", False),
+    ("kind = 'market_buy' AND closing_seq IS NOT NULL", HOLDING, "o_seller", "o_item", "-quantity", "NULL", "closing_seq", False),
+]
 
 
 def _postings(live: DataFrame) -> DataFrame:
     """Postings of the requests that accounts decide."""
-    kind, q, cost = F.col("kind"), F.col("quantity"), F.col("cost")
-    one = F.lit(1)
-    closing = F.col("closing_seq").isNotNull()
-    cash_need = F.when(kind == REWARD, F.col("need")).otherwise(cost)
-    cash_coef = F.when(kind == REWARD, F.coalesce("coins", F.lit(0))).when(kind == SELL, cost).otherwise(-cost)
-    guards_cash = kind.isin(BUY, MARKET_BUY) | ((kind == REWARD) & (F.coalesce("need", F.lit(0)) > 0))
-    gives_item = kind.isin(BUY, GRANT, STOCK_ADD) | ((kind == REWARD) & F.col("item_id").isNotNull())
     postings = [
-        # Guards and own movements.
-        _posting(kind.isin(BUY, STOCK_ADD), STOCK, "item_id", None, -q, q, lead=True),
-        _posting(kind.isin(SELL, LIST), HOLDING, "user_id", "item_id", -q, q, lead=True),
-        _posting(kind == MARKET_BUY, OFFER, "offer_id", None, -q, q, lead=True),
-        _posting(kind == CANCEL, OFFER, "offer_id", None, F.lit(0), one, lead=True),
-        _posting(kind == STOCK_REMOVE, HOLDING, "user_id", "item_id", -one, one, lead=True),
-        _posting(kind == GRANT, HOLDING, "user_id", "item_id", q, lead=True),
-        _posting(guards_cash & (kind == REWARD), CASH, "user_id", None, cash_coef, cash_need, lead=True),
-        _posting((kind == REWARD) & ~guards_cash, CASH, "user_id", None, cash_coef, lead=True),
-        _posting(kind.isin(BUY, MARKET_BUY), CASH, "user_id", None, -cost, cost),
-        # What the other accounts gain.
-        _posting(kind == SELL, CASH, "user_id", None, cost),
-        _posting(kind == SELL, STOCK, "item_id", None, q),
-        _posting(kind == STOCK_REMOVE, STOCK, "item_id", None, one),
-        _posting(gives_item & (kind != GRANT), HOLDING, "user_id", "item_id", F.when(kind == REWARD, one).otherwise(q)),
-        _posting(kind == LIST, OFFER, "offer_id", None, q),
-        _posting(kind == MARKET_BUY, CASH, "o_seller", None, cost),
-        _posting(kind == MARKET_BUY, HOLDING, "user_id", "o_item", q),
-        # What a later cancellation hands back: listed less sold.
-        _posting((kind == LIST) & closing, HOLDING, "user_id", "item_id", q, at="closing_seq"),
-        _posting((kind == MARKET_BUY) & closing, HOLDING, "o_seller", "o_item", -q, at="closing_seq"),
+        f"""IF({when}, named_struct('account', '{account}', 'a', {a}, 'b', CAST({b} AS BIGINT), 'at_seq', {at},
+            'coef', CAST({coef} AS BIGINT), 'need', CAST({need} AS BIGINT), 'lead', {lead}), NULL)"""
+        for when, account, a, b, coef, need, at, lead in [*GUARDS, *GAINS, *RETURNS]
     ]
-    cap = F.when(kind == STOCK_REMOVE, q).otherwise(1).cast("bigint").alias("cap")
-    rows = live.select("seq", cap, F.explode(F.array_compact(F.array(*postings))).alias("posting"))
-    return rows.select("seq", "cap", "posting.*").select(*COLUMNS)
+    return live.selectExpr(
+        "seq",
+        "IF(kind = 'stock_remove', quantity, CAST(1 AS BIGINT)) AS cap",
+        f"explode(array_compact(array({', '.join(postings)}))) AS posting",
+    ).select("seq", "cap", "posting.*").select(*COLUMNS)
 
 
 def _opening(users: DataFrame, items: DataFrame, inventory: DataFrame, directory: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 
 def running_before(
@@ -15,17 +15,26 @@ def running_before(
     key and block) give each block's start. When ``last`` shows that all rows
     lie in the first block the second step is left out.
     """
-    block = F.expr(f"greatest({order}, 0) div {int(block_rows)}")
-    blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocked.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    by = ", ".join(keys)
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    blocked = df.selectExpr("*", f"greatest({order}, 0) div {int(block_rows)} AS _block")
+    rows = blocked.selectExpr(
+        "*",
+        *[
+            f"coalesce(sum({v}) OVER (PARTITION BY {by}, _block ORDER BY {order} {earlier}), 0) AS before_{v}"
+            for v in values
+        ],
+    )
     if last is not None and last < block_rows:
         return rows.drop("_block")
-    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_start_{v}") for v in values]
+    totals = blocked.groupBy(*keys, "_block").agg({v: "sum" for v in values})
+    starts = totals.selectExpr(
+        *keys,
+        "_block",
+        *[
+            f"coalesce(sum(`sum({v})`) OVER (PARTITION BY {by} ORDER BY _block {earlier}), 0) AS _start_{v}"
+            for v in values
+        ],
     )
     joined = rows.join(starts, [*keys, "_block"])
-    summed = joined.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"_start_{v}") for v in values})
-    return summed.drop("_block", *[f"_start_{v}" for v in values])
+    return joined.selectExpr(*df.columns, *[f"before_{v} + _start_{v} AS before_{v}" for v in values])

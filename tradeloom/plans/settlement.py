@@ -28,7 +28,7 @@ Columns of a posting:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tradeloom.plans.prefix import running_before
 from tradeloom.plans.workspace import stored
@@ -42,58 +42,58 @@ FRONTIER = 100_000
 SLOW = 0.1
 
 
+AMOUNTS = ["sure", "down", "up"]
+
+
 def _bounded(postings: DataFrame, block_rows: int, last: int) -> DataFrame:
     """Open postings with their settled base and the bounds of their account."""
-    open_row = F.col("state") == OPEN
-    whole = F.col("coef") * F.col("cap")
-    parts = postings.withColumns(
-        {
-            "sure": F.when(F.col("state") == ACCEPTED, F.col("coef") * F.col("units")).otherwise(0),
-            "down": F.when(open_row, F.least(whole, F.lit(0))).otherwise(0),
-            "up": F.when(open_row, F.greatest(whole, F.lit(0))).otherwise(0),
-        }
+    parts = postings.selectExpr(
+        "*",
+        f"IF(state = {ACCEPTED}, coef * units, 0) AS sure",
+        f"IF(state = {OPEN}, least(coef * cap, 0), 0) AS down",
+        f"IF(state = {OPEN}, greatest(coef * cap, 0), 0) AS up",
     )
-    late = F.col("at_seq") > F.col("seq")
-    own = parts.filter(F.col("seq").isNull() | ~late)
+    own = parts.filter("seq IS NULL OR at_seq = seq")
     # Postings deferred to one position may be many; only their sums matter to others.
-    deferred = parts.filter(F.col("seq").isNotNull() & late)
-    lumped = deferred.groupBy(*ACCOUNT, "at_seq").agg(*[F.sum(v).alias(v) for v in ("sure", "down", "up")])
-    summed = running_before(
-        own.unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", ["sure", "down", "up"], block_rows, last
+    deferred = parts.filter("at_seq > seq")
+    lumped = deferred.groupBy(*ACCOUNT, "at_seq").agg({v: "sum" for v in AMOUNTS})
+    lumped = lumped.withColumnsRenamed({f"sum({v})": v for v in AMOUNTS})
+    summed = running_before(own.unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", AMOUNTS, block_rows, last)
+    bounded = summed.filter(f"state = {OPEN}").selectExpr(
+        *COLUMNS,
+        "base + before_sure AS base",
+        "base + before_sure + before_down AS low",
+        "base + before_sure + before_up AS high",
     )
-    base = F.col("base") + F.col("before_sure")
-    bounded = summed.filter(open_row).withColumns(
-        {"base": base, "low": base + F.col("before_down"), "high": base + F.col("before_up")}
-    )
-    waiting = deferred.filter(open_row)
-    return bounded.drop("before_sure", "before_down", "before_up").unionByName(waiting, allowMissingColumns=True)
+    waiting = deferred.filter(f"state = {OPEN}").select(*COLUMNS, "base")
+    return bounded.unionByName(waiting, allowMissingColumns=True)
 
 
 def _decided(bounded: DataFrame) -> DataFrame:
-    """Postings with the state that the bounds allow for their request."""
-    guarded = F.col("need").isNotNull()
-    partial = F.col("cap") > 1
-    holds = F.col("low") >= F.when(partial, F.col("cap")).otherwise(F.col("need"))
-    exact = partial & (F.col("low") == F.col("high")) & (F.col("low") >= F.col("need"))
-    fails = F.col("high") < F.col("need")
-    request = Window.partitionBy("seq")
-    checks = bounded.withColumns(
-        {
-            "good": F.when(guarded, holds | exact).otherwise(True),
-            "bad": F.when(guarded, fails).otherwise(False),
-            "most": F.when(guarded & partial, F.least("low", "cap")).otherwise(F.col("cap")),
-        }
+    """Postings with the state that the bounds allow for their request.
+
+    A request with several units takes what its account holds: it is settled
+    when all units are certain to be there, or when the amount is exact.
+    """
+    checks = bounded.selectExpr(
+        "*",
+        """need IS NULL OR low >= IF(cap > 1, cap, need) OR (cap > 1 AND low = high AND low >= need) AS holds""",
+        "need IS NOT NULL AND high < need AS fails",
+        "IF(need IS NOT NULL AND cap > 1, least(low, cap), cap) AS most",
+    )
+    verdict = checks.selectExpr(
+        *COLUMNS,
+        "base",
+        "min(holds) OVER (PARTITION BY seq) AS holds",
+        "max(fails) OVER (PARTITION BY seq) AS fails",
+        "min(most) OVER (PARTITION BY seq) AS most",
     )
-    verdict = checks.withColumns(
-        {
-            "good": F.min("good").over(request),
-            "bad": F.max("bad").over(request),
-            "most": F.min("most").over(request),
-        }
+    return verdict.selectExpr(
+        *COLUMNS,
+        "base",
+        f"CASE WHEN holds THEN {ACCEPTED} WHEN fails THEN {REFUSED} ELSE {OPEN} END AS state",
+        "IF(holds, most, 0) AS units",
     )
-    state = F.when(F.col("good"), ACCEPTED).when(F.col("bad"), REFUSED).otherwise(OPEN)
-    units = F.when(F.col("good"), F.col("most")).otherwise(0)
-    return verdict.withColumns({"state": state, "units": units}).select(*COLUMNS, "base", "state", "units")
 
 
 def _one_by_one():
@@ -128,20 +128,18 @@ def _one_by_one():
 
 def _with_frontier(bounded: DataFrame, first: int, frontier: int) -> DataFrame:
     """Decide the slice [first, first + frontier) exactly and the rest by bounds."""
-    ahead = bounded.filter(F.col("seq") < first + frontier).select(
-        "seq", *ACCOUNT, "at_seq", "coef", "cap", "base",
-        F.coalesce("need", F.lit(0)).alias("need"), F.col("need").isNotNull().alias("guarded"),
+    ahead = bounded.filter(F.col("seq") < first + frontier).selectExpr(
+        "seq", *ACCOUNT, "at_seq", "coef", "cap", "base", "coalesce(need, 0) AS need", "need IS NOT NULL AS guarded"
     )
     settled = ahead.groupBy(F.lit(0).alias("slice")).applyInPandas(_one_by_one(), "seq bigint, settled bigint")
     # One row per request of the slice: at most `frontier` rows.
     known = _decided(bounded).join(F.broadcast(settled), "seq", "left")
-    inside = F.col("settled").isNotNull()
-    return known.withColumns(
-        {
-            "state": F.when(inside & (F.col("settled") > 0), ACCEPTED).when(inside, REFUSED).otherwise(F.col("state")),
-            "units": F.when(inside, F.col("settled")).otherwise(F.col("units")),
-        }
-    ).select(*COLUMNS, "base", "state", "units")
+    return known.selectExpr(
+        *COLUMNS,
+        "base",
+        f"CASE WHEN settled > 0 THEN {ACCEPTED} WHEN settled = 0 THEN {REFUSED} ELSE state END AS state",
+        "coalesce(settled, units) AS units",
+    )
 
 
 def settle(
@@ -153,12 +151,11 @@ def settle(
     amounts and always count. The driver sees two numbers per round: how many
     requests are open, and the first of them.
     """
-    current = postings.select(*COLUMNS).withColumns(
-        {
-            "base": F.lit(0).cast("bigint"),
-            "state": F.when(F.col("seq").isNull(), ACCEPTED).otherwise(OPEN),
-            "units": F.when(F.col("seq").isNull(), F.col("cap")).otherwise(0),
-        }
+    current = postings.selectExpr(
+        *COLUMNS,
+        "CAST(0 AS BIGINT) AS base",
+        f"IF(seq IS NULL, {ACCEPTED}, {OPEN}) AS state",
+        "IF(seq IS NULL, cap, 0) AS units",
     )
     verdicts: list[DataFrame] = []
     left, first, slow, rounds = None, 1, False, 0
@@ -166,13 +163,11 @@ def settle(
         rounds += 1
         bounded = _bounded(current, block_rows, last)
         current = stored(_with_frontier(bounded, first, frontier) if slow else _decided(bounded), "round")
-        verdicts.append(current.filter(F.col("lead") & (F.col("state") != OPEN)).select("seq", "units"))
+        verdicts.append(current.filter(f"lead AND state <> {OPEN}").select("seq", "units"))
         open_now, decided, first = (
             current.filter("lead")
-            .agg(
-                F.count_if(F.col("state") == OPEN),
-                F.count_if(F.col("state") != OPEN),
-                F.min(F.when(F.col("state") == OPEN, F.col("seq"))),
+            .selectExpr(
+                f"count_if(state = {OPEN})", f"count_if(state <> {OPEN})", f"min(IF(state = {OPEN}, seq, NULL))"
             )
             .first()
         )
