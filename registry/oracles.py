@@ -638,3 +638,146 @@ ORACLES["stream_balance_guard"] = """
         FROM walk w JOIN spends s ON s.user_id = w.user_id AND s.turn = w.turn + 1)
     SELECT s.event_id, s.user_id, ts, amount, coalesce(accepted, false) AS accepted
     FROM spends s LEFT JOIN walk w ON w.event_id = s.event_id"""
+
+# Replays -----------------------------------------------------------------------
+
+# A request depends only on earlier requests of the same users and the same item. Each recursion
+# step runs every request that is next in line for all of them, so the steps follow the longest
+# line and the result is that of running the requests one by one. The walk holds accounts by key:
+# 0 cash of k, 1 stock of k, 4 holding of k and k2, 3 offer k, 2 the outcome of request k.
+
+
+def _shop_replay(kinds: dict[str, str], columns: str, inventory: bool) -> str:
+    cases = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in kinds.items())
+    tables = ["items", "users", "facts", "transactions", "inventory"]
+    held = "SELECT 4, user_id, item_id, quantity, 0, NULL FROM inventory"
+    return f"""
+    WITH RECURSIVE {', '.join(f"{t} AS ({TABLES[t]})" for t in tables)},
+    rows AS (
+        SELECT CASE transaction_type {cases} END AS kind, user_id, item_id, quantity, transaction_date AS at_time
+        FROM transactions WHERE transaction_type IN ({', '.join(f"'{k}'" for k in kinds)})),
+    requests AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS user_turn,
+               row_number() OVER (PARTITION BY item_id ORDER BY seq) AS item_turn
+        FROM (SELECT row_number() OVER (ORDER BY at_time, user_id, item_id, kind, quantity) AS seq, rows.*, price
+              FROM rows JOIN items ON items.id = item_id)),
+    walk(account, k, k2, amount, turn, verdict) USING KEY (account, k, k2) AS (
+        SELECT 0 AS account, id AS k, CAST(0 AS BIGINT) AS k2, balance * 1000 AS amount, CAST(0 AS BIGINT) AS turn,
+               CAST(NULL AS VARCHAR) AS verdict
+        FROM users
+        UNION ALL SELECT 1, id, 0, stock * 40, 0, NULL FROM items
+        {'UNION ALL ' + held if inventory else ''}
+        UNION
+        (WITH found AS (
+            SELECT r.*, c.amount AS cash, s.amount AS stock, coalesce(h.amount, 0) AS held
+            FROM requests r
+            JOIN recurring.walk c ON c.account = 0 AND c.k = r.user_id AND c.turn + 1 = r.user_turn
+            JOIN recurring.walk s ON s.account = 1 AND s.k = r.item_id AND s.turn + 1 = r.item_turn
+            LEFT JOIN recurring.walk h ON h.account = 4 AND h.k = r.user_id AND h.k2 = r.item_id
+            WHERE EXISTS (SELECT 1 FROM walk)),
+         judged AS (
+            SELECT *, CASE
+                WHEN kind = 'buy' AND stock = 0 THEN 'out_of_stock'
+                WHEN kind IN ('buy', 'stock_add') AND stock < quantity THEN 'short_stock'
+                WHEN kind = 'buy' AND cash < price * quantity THEN 'short_balance'
+                WHEN kind = 'sell' AND held < quantity THEN 'short_holding'
+                WHEN kind = 'stock_remove' AND held = 0 THEN 'short_holding' END AS reason
+            FROM found),
+         moved AS (
+            SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN kind = 'stock_remove' THEN least(quantity, held)
+                           ELSE 1 END AS units,
+                   CASE WHEN kind = 'stock_remove' THEN 1 ELSE quantity END AS size
+            FROM judged)
+         SELECT 0, user_id, 0,
+                cash + units * CASE kind WHEN 'buy' THEN -price * quantity WHEN 'sell' THEN price // 2 * quantity
+                                         ELSE 0 END, user_turn, NULL FROM moved
+         UNION ALL
+         SELECT 1, item_id, 0,
+                stock + units * size * CASE kind WHEN 'grant' THEN 0 WHEN 'buy' THEN -1 WHEN 'stock_add' THEN -1
+                                                 ELSE 1 END, item_turn, NULL FROM moved
+         UNION ALL
+         SELECT 4, user_id, item_id,
+                held + units * size * CASE kind WHEN 'sell' THEN -1 WHEN 'stock_remove' THEN -1 ELSE 1 END, 0, NULL
+         FROM moved
+         UNION ALL SELECT 2, seq, 0, units, 0, reason FROM moved))
+    SELECT {columns} FROM requests JOIN walk ON account = 2 AND k = seq"""
+
+
+ORACLES["replay_purchases"] = _shop_replay(
+    {"purchase": "buy"}, "seq, user_id, item_id, quantity, amount > 0 AS accepted, verdict AS reason", False
+)
+ORACLES["replay_sales"] = _shop_replay(
+    {"admin_grant": "grant", "purchase": "buy", "sale": "sell"},
+    "seq, kind, user_id, item_id, quantity, amount > 0 AS accepted, verdict AS reason", True,
+)
+ORACLES["replay_admin"] = _shop_replay(
+    {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"},
+    "seq, kind, user_id, item_id, quantity, amount AS units, amount > 0 AS accepted, verdict AS reason", True,
+)
+
+_MARKET = ["items", "users", "facts", "transactions", "inventory", "order_lines", "offers"]
+ORACLES["replay_market"] = f"""
+    WITH RECURSIVE {', '.join(f"{t} AS ({TABLES[t]})" for t in _MARKET)},
+    rows AS (
+        SELECT 'market_buy' AS kind, l_suppkey AS user_id, CAST(NULL AS BIGINT) AS item_id, l_orderkey AS offer_id,
+               CAST(l_linenumber AS BIGINT) AS quantity, l_shipdate AS at_time
+        FROM lineitem WHERE l_returnflag = 'N'
+        UNION ALL SELECT 'cancel', o_custkey, NULL, o_orderkey, NULL, o_orderdate
+        FROM orders WHERE o_orderpriority = '1-URGENT'
+        UNION ALL SELECT 'list', user_id, item_id, NULL, (quantity + 1) // 2, purchased_at FROM inventory),
+    numbered AS (
+        SELECT row_number() OVER (ORDER BY at_time, kind, rows.offer_id, user_id, rows.item_id, rows.quantity) AS seq,
+               rows.*, seller_id, coalesce(rows.item_id, o.item_id) AS goods, price_per_unit // 100 AS price
+        FROM rows LEFT JOIN offers o ON o.id = rows.offer_id),
+    touched AS (
+        SELECT seq, person, row_number() OVER (PARTITION BY person ORDER BY seq) AS turn
+        FROM (SELECT seq, user_id AS person FROM numbered
+              UNION SELECT seq, seller_id FROM numbered WHERE seller_id IS NOT NULL)),
+    requests AS MATERIALIZED (
+        SELECT n.*, a.turn AS user_turn, coalesce(n.seller_id, n.user_id) AS other, b.turn AS other_turn
+        FROM numbered n JOIN touched a ON a.seq = n.seq AND a.person = n.user_id
+                        JOIN touched b ON b.seq = n.seq AND b.person = coalesce(n.seller_id, n.user_id)),
+    walk(account, k, k2, amount, turn, verdict) USING KEY (account, k, k2) AS (
+        SELECT 0 AS account, id AS k, CAST(0 AS BIGINT) AS k2, balance * 1000 AS amount, CAST(0 AS BIGINT) AS turn,
+               CAST(NULL AS VARCHAR) AS verdict
+        FROM users
+        UNION ALL SELECT 4, user_id, item_id, quantity, 0, NULL FROM inventory
+        UNION ALL SELECT 3, id, 0, quantity, 0, status FROM offers
+        UNION
+        (WITH found AS (
+            SELECT r.*, c.amount AS cash, d.amount AS other_cash, coalesce(h.amount, 0) AS held, o.amount AS remaining,
+                   o.verdict AS status
+            FROM requests r
+            JOIN recurring.walk c ON c.account = 0 AND c.k = r.user_id AND c.turn + 1 = r.user_turn
+            JOIN recurring.walk d ON d.account = 0 AND d.k = r.other AND d.turn + 1 = r.other_turn
+            LEFT JOIN recurring.walk h ON h.account = 4 AND h.k = r.user_id AND h.k2 = r.goods
+            LEFT JOIN recurring.walk o ON o.account = 3 AND o.k = r.offer_id
+            WHERE EXISTS (SELECT 1 FROM walk)),
+         judged AS (
+            SELECT *, CASE
+                WHEN kind = 'list' THEN CASE WHEN held < quantity THEN 'short_holding' END
+                WHEN status IS NULL OR status <> 'active' THEN 'offer_closed'
+                WHEN kind = 'cancel' THEN CASE WHEN user_id <> seller_id THEN 'offer_closed' END
+                WHEN quantity > remaining THEN 'short_offer'
+                WHEN cash < price * quantity THEN 'short_balance'
+                WHEN user_id = seller_id THEN 'own_offer' END AS reason
+            FROM found),
+         moved AS (SELECT *, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS units FROM judged)
+         SELECT 0, user_id, 0, cash - CASE WHEN kind = 'market_buy' THEN units * price * quantity ELSE 0 END,
+                user_turn, NULL FROM moved
+         UNION ALL
+         SELECT 0, other, 0, other_cash + CASE WHEN kind = 'market_buy' THEN units * price * quantity ELSE 0 END,
+                other_turn, NULL FROM moved WHERE other <> user_id
+         UNION ALL
+         SELECT 4, user_id, goods,
+                held + units * CASE kind WHEN 'list' THEN -quantity WHEN 'cancel' THEN remaining ELSE quantity END, 0, NULL
+         FROM moved WHERE units = 1
+         UNION ALL
+         SELECT 3, offer_id, 0, CASE WHEN kind = 'cancel' THEN 0 ELSE remaining - quantity END, 0,
+                CASE WHEN kind = 'cancel' THEN 'cancelled' WHEN remaining = quantity THEN 'sold' ELSE 'active' END
+         FROM moved WHERE units = 1 AND kind <> 'list'
+         UNION ALL SELECT 2, seq, 0, units, 0, reason FROM moved))
+    SELECT seq, kind, user_id,
+           CASE WHEN kind = 'list' THEN (SELECT max(id) FROM offers) + 1 + seq ELSE offer_id END AS offer_id, quantity,
+           amount > 0 AS accepted, verdict AS reason
+    FROM requests JOIN walk ON account = 2 AND k = seq"""
