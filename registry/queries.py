@@ -12,7 +12,7 @@ from tradeloom.functions.numbers import whole_units
 from tradeloom.functions.text import json_pairs
 from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards
 from tradeloom.operators import replay as replays
-from tradeloom.plans.workspace import new_path
+from tradeloom.plans.workspace import new_path, stored
 from tradeloom.sources import exports, imports, tables
 from tradeloom.streaming import live, state
 from tradeloom.streaming.sinks import run_available
@@ -327,14 +327,16 @@ def export_users(spark, root):
 
 
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All logical tables. The joined ones are stored once, since an audit passes over them often."""
+    lines = stored(b.order_lines(spark, root), "order-lines")
     return {
         "users": b.users(spark, root),
         "items": b.items(spark, root),
-        "inventory": _inventory(spark, root),
-        "transactions": b.transactions(spark, root),
-        "offers": b.offers(spark, root),
-        "trades": b.trades(spark, root),
-        "participants": b.participants(spark, root),
+        "inventory": stored(_inventory(spark, root), "inventory"),
+        "transactions": stored(b.transactions(spark, root), "transactions"),
+        "offers": b.offers(spark, root, lines),
+        "trades": b.trades(spark, root, lines),
+        "participants": b.participants(spark, root, lines),
         "game_stats": b.game_stats(spark, root),
     }
 

@@ -84,7 +84,8 @@ def transactions(spark: SparkSession, root: str, with_user: bool = True) -> Data
     )
 
 
-def _order_lines(spark: SparkSession, root: str) -> DataFrame:
+def order_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Orders with the sums of their lines: the common part of offers, trades and participants."""
     totals = (
         read(spark, root, "lineitem")
         .groupBy("l_orderkey")
@@ -96,16 +97,16 @@ def _order_lines(spark: SparkSession, root: str) -> DataFrame:
         )
     )
     orders = read(spark, root, "orders")
-    return orders.join(totals, orders.o_orderkey == totals.l_orderkey)
+    return orders.join(totals, orders.o_orderkey == totals.l_orderkey).drop("l_orderkey")
 
 
-def offers(spark: SparkSession, root: str) -> DataFrame:
+def offers(spark: SparkSession, root: str, lines: DataFrame | None = None) -> DataFrame:
     status = (
         F.when(F.col("o_orderstatus") == "O", "active")
         .when(F.col("o_orderstatus") == "F", "sold")
         .otherwise("cancelled")
     )
-    return _order_lines(spark, root).select(
+    return (lines or order_lines(spark, root)).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("seller_id"),
         "item_id",
@@ -116,8 +117,8 @@ def offers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, root: str) -> DataFrame:
-    return _order_lines(spark, root).select(
+def trades(spark: SparkSession, root: str, lines: DataFrame | None = None) -> DataFrame:
+    return (lines or order_lines(spark, root)).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderkey").alias("offer_id"),
         "item_id",
@@ -128,7 +129,7 @@ def trades(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def participants(spark: SparkSession, root: str) -> DataFrame:
+def participants(spark: SparkSession, root: str, lines: DataFrame | None = None) -> DataFrame:
     sides = F.explode(
         F.array(
             F.struct(F.col("o_custkey").alias("user_id"), F.lit("buyer").alias("role")),
@@ -136,7 +137,7 @@ def participants(spark: SparkSession, root: str) -> DataFrame:
         )
     )
     return (
-        _order_lines(spark, root)
+        (lines or order_lines(spark, root))
         .select(F.col("o_orderkey").alias("transaction_id"), sides.alias("side"))
         .select("transaction_id", "side.user_id", "side.role")
     )

@@ -170,47 +170,70 @@ def _doomed() -> Column:
     )
 
 
-# Postings by request: (when, account, a, b, coef, need, position, lead).
-GUARDS = [
-    ("kind IN ('buy', 'stock_add')", STOCK, "item_id", "0", "-quantity", "quantity", "seq", True),
-    ("kind IN ('sell', 'list')", HOLDING, "user_id", "item_id", "-quantity", "quantity", "seq", True),
-    ("kind = 'market_buy'", OFFER, "offer_id", "0", "-quantity", "quantity", "seq", True),
-    ("kind = 'cancel'", OFFER, "offer_id", "0", "0", "1", "seq", True),
-    ("kind = 'stock_remove'", HOLDING, "user_id", "item_id", "-1", "1", "seq", True),
-    ("kind = 'reward' AND coalesce(need, 0) > 0", CASH, "user_id", "0", "coalesce(coins, 0)", "need", "seq", True),
-    ("kind IN ('buy', 'market_buy')", CASH, "user_id", "0", "-cost", "cost", "seq", False),
-]
-GAINS = [
-    ("kind = 'grant'", HOLDING, "user_id", "item_id", "quantity", "NULL", "seq", True),
-    ("kind = 'reward' AND coalesce(need, 0) <= 0", CASH, "user_id", "0", "coalesce(coins, 0)", "NULL", "seq", True),
-    ("kind = 'reward' AND item_id IS NOT NULL", HOLDING, "user_id", "item_id", "1", "NULL", "seq", False),
-    ("kind IN ('buy', 'stock_add')", HOLDING, "user_id", "item_id", "quantity", "NULL", "seq", False),
-    ("kind = 'sell'", CASH, "user_id", "0", "cost", "NULL", "seq", False),
-    ("kind = 'sell'", STOCK, "item_id", "0", "quantity", "NULL", "seq", False),
-    ("kind = 'stock_remove'", STOCK, "item_id", "0", "1", "NULL", "seq", False),
-    ("kind = 'list'", OFFER, "offer_id", "0", "quantity", "NULL", "seq", False),
-    ("kind = 'market_buy'", CASH, "o_seller", "0", "cost", "NULL", "seq", False),
-    ("kind = 'market_buy'", HOLDING, "user_id", "o_item", "quantity", "NULL", "seq", False),
-]
-# What a later cancellation hands back: listed less sold.
-RETURNS = [
-    ("kind = 'list' AND closing_seq IS NOT NULL", HOLDING, "user_id", "item_id", "quantity", "NULL", "closing_seq", False),
-    ("kind = 'market_buy' AND closing_seq IS NOT NULL", HOLDING, "o_seller", "o_item", "-quantity", "NULL", "closing_seq", False),
-]
+# Postings of each kind of request: (account, a, b, coef, need, at_seq). The first one leads.
+SHARED = {
+    BUY: [
+        (STOCK, "item_id", "0", "-quantity", "quantity", "seq"),
+        (CASH, "user_id", "0", "-cost", "cost", "seq"),
+        (HOLDING, "user_id", "item_id", "quantity", "NULL", "seq"),
+    ],
+    SELL: [
+        (HOLDING, "user_id", "item_id", "-quantity", "quantity", "seq"),
+        (CASH, "user_id", "0", "cost", "NULL", "seq"),
+        (STOCK, "item_id", "0", "quantity", "NULL", "seq"),
+    ],
+    LIST: [
+        (HOLDING, "user_id", "item_id", "-quantity", "quantity", "seq"),
+        (OFFER, "offer_id", "0", "quantity", "NULL", "seq"),
+    ],
+    MARKET_BUY: [
+        (OFFER, "offer_id", "0", "-quantity", "quantity", "seq"),
+        (CASH, "user_id", "0", "-cost", "cost", "seq"),
+        (CASH, "o_seller", "0", "cost", "NULL", "seq"),
+        (HOLDING, "user_id", "o_item", "quantity", "NULL", "seq"),
+    ],
+    CANCEL: [(OFFER, "offer_id", "0", "0", "1", "seq")],
+    GRANT: [(HOLDING, "user_id", "item_id", "quantity", "NULL", "seq")],
+    STOCK_ADD: [
+        (STOCK, "item_id", "0", "-quantity", "quantity", "seq"),
+        (HOLDING, "user_id", "item_id", "quantity", "NULL", "seq"),
+    ],
+    STOCK_REMOVE: [
+        (HOLDING, "user_id", "item_id", "-1", "1", "seq"),
+        (STOCK, "item_id", "0", "1", "NULL", "seq"),
+    ],
+    REWARD: [(CASH, "user_id", "0", "coalesce(coins, 0)", "IF(need > 0, need, NULL)", "seq")],
+}
+# Postings that some requests of a kind have: (when, posting). A cancellation hands back listed less sold.
+FURTHER = {
+    LIST: ("closing_seq IS NOT NULL", (HOLDING, "user_id", "item_id", "quantity", "NULL", "closing_seq")),
+    MARKET_BUY: ("closing_seq IS NOT NULL", (HOLDING, "o_seller", "o_item", "-quantity", "NULL", "closing_seq")),
+    REWARD: ("item_id IS NOT NULL", (HOLDING, "user_id", "item_id", "1", "NULL", "seq")),
+}
 
 
 def _postings(live: DataFrame) -> DataFrame:
     """Postings of the requests that accounts decide."""
-    postings = [
-        f"""IF({when}, named_struct('account', '{account}', 'a', {a}, 'b', CAST({b} AS BIGINT), 'at_seq', {at},
-            'coef', CAST({coef} AS BIGINT), 'need', CAST({need} AS BIGINT), 'lead', {lead}), NULL)"""
-        for when, account, a, b, coef, need, at, lead in [*GUARDS, *GAINS, *RETURNS]
-    ]
+
+    def struct(posting: tuple, lead: bool) -> str:
+        account, a, b, coef, need, at_seq = posting
+        return f"""named_struct('account', '{account}', 'a', {a}, 'b', CAST({b} AS BIGINT), 'at_seq', {at_seq},
+            'coef', CAST({coef} AS BIGINT), 'need', CAST({need} AS BIGINT), 'lead', {str(lead).lower()})"""
+
+    branches = []
+    for kind, postings in SHARED.items():
+        always = [struct(posting, i == 0) for i, posting in enumerate(postings)]
+        branches.append(f"WHEN kind = '{kind}' THEN array({', '.join(always)})")
+        if kind in FURTHER:
+            when, posting = FURTHER[kind]
+            longer = f"WHEN kind = '{kind}' AND {when} THEN array({', '.join([*always, struct(posting, False)])})"
+            branches.insert(len(branches) - 1, longer)
     return live.selectExpr(
         "seq",
-        "IF(kind = 'stock_remove', quantity, CAST(1 AS BIGINT)) AS cap",
-        f"explode(array_compact(array({', '.join(postings)}))) AS posting",
-    ).select("seq", "cap", "posting.*").select(*COLUMNS)
+        "doom IS NOT NULL AS doomed",
+        f"IF(kind = '{STOCK_REMOVE}', quantity, CAST(1 AS BIGINT)) AS cap",
+        f"inline(CASE {' '.join(branches)} END) AS (account, a, b, at_seq, coef, need, lead)",
+    ).select(*COLUMNS, "doomed")
 
 
 def _opening(users: DataFrame, items: DataFrame, inventory: DataFrame, directory: DataFrame) -> DataFrame:
@@ -371,14 +394,8 @@ def replay(
     directory = _directory(facts.select(*REQUEST_COLUMNS), offers)
     opening = _opening(users, items, inventory, directory)
     # Doomed requests are decided, but their guards are kept to report what they found.
-    reporting = _postings(facts.filter(F.col("refusal").isNull()))
-    doomed = facts.filter(F.col("refusal").isNull() & F.col("doom").isNotNull()).select("seq")
-    postings = stored(
-        reporting.join(doomed.withColumn("doomed", F.lit(True)), "seq", "left")
-        .withColumn("doomed", F.coalesce("doomed", F.lit(False)))
-        .unionByName(opening.withColumn("doomed", F.lit(False))),
-        "postings",
-    )
+    live = facts.filter(F.col("refusal").isNull())
+    postings = stored(_postings(live).unionByName(opening.withColumn("doomed", F.lit(False))), "postings")
     verdicts, rounds = settle(postings.filter(~F.col("doomed")), last, block_rows, frontier)
 
     final = stored(
