@@ -151,6 +151,13 @@ oracle(
        FROM items""",
     "items",
 )
+oracle(
+    "labelled_users",
+    """SELECT id, username, CASE role WHEN 'HOUSEHOLD' THEN 'Home' WHEN 'MACHINERY' THEN 'Works' ELSE 'Other' END
+                  AS role_label, balance
+       FROM users""",
+    "users",
+)
 oracle(
     "bonus_pairs",
     """SELECT id, 'size' AS stat, CAST(level_required AS VARCHAR) AS amount_text,
@@ -185,6 +192,13 @@ oracle(
        FROM users u LEFT JOIN inventory inv ON inv.user_id = u.id LEFT JOIN items i ON i.id = inv.item_id""",
     "users", "inventory", "items",
 )
+oracle(
+    "labelled_inventory",
+    """SELECT u.id, username, role, coalesce(i.name, '-') AS item_name, coalesce(i.category, '-') AS category,
+              coalesce(CAST(quantity AS VARCHAR), '-') AS quantity
+       FROM users u LEFT JOIN inventory inv ON inv.user_id = u.id LEFT JOIN items i ON i.id = inv.item_id""",
+    "users", "inventory", "items",
+)
 OFFER_VIEW = """SELECT o.*, name, description, category, username AS seller_name
     FROM offers o JOIN items i ON i.id = item_id JOIN users u ON u.id = seller_id
     WHERE status = 'active' AND """
@@ -209,6 +223,14 @@ oracle(
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, row_id, type) <= 50""",
     "trade_rows",
 )
+oracle(
+    "labelled_history",
+    """SELECT user_id, CASE type WHEN 'purchase' THEN 'Покупка у игрока' ELSE 'Продажа игроку' END AS type_label,
+              strftime(date, '%Y-%m-%d %H:%M') AS date_text, item_name, quantity, price_per_unit, total_amount,
+              other_party
+       FROM trade_rows QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, row_id, type) <= 5""",
+    "trade_rows",
+)
 oracle(
     "full_history",
     """SELECT user_id, type, date, item_name, quantity, price_per_unit, total_amount, other_party FROM (
@@ -478,6 +500,25 @@ oracle(
        FROM facts WHERE transaction_type = 'admin_grant' OR (transaction_type = 'sale' AND quantity < 10) GROUP BY 1""",
     "facts",
 )
+oracle(
+    "edit_users",
+    """SELECT u.id, username, coalesce(r.o_orderstatus, u.role) AS role,
+              coalesce(CAST(round(p.o_totalprice * 100) AS BIGINT), u.balance) AS balance, u.created_at
+       FROM users u
+       LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F'
+                  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) r
+           ON r.o_custkey = u.id
+       LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F'
+                  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) p
+           ON p.o_custkey = u.id""",
+    "users",
+)
+oracle(
+    "assign_moderators",
+    """SELECT * REPLACE (CASE WHEN id IN (SELECT l_suppkey FROM lineitem) THEN 'moderator' ELSE role END AS role)
+       FROM users""",
+    "users",
+)
 oracle(
     "upsert_inventory",
     """, moves AS (SELECT user_id, item_id, CAST(sum(CASE WHEN transaction_type = 'sale' THEN -quantity ELSE quantity END)
@@ -532,6 +573,33 @@ oracle(
     "transactions", "trades", "participants", "offers",
 )
 
+oracle(
+    "ledger_reconcile",
+    """, implied AS (
+           SELECT 'balance' AS account, user_id, NULL AS item_id,
+                  sum(CASE transaction_type WHEN 'purchase' THEN -total_amount WHEN 'sale' THEN total_amount ELSE 0 END)
+                      AS expected
+           FROM transactions GROUP BY ALL
+           UNION ALL SELECT 'stock', NULL, item_id,
+                  sum(CASE transaction_type WHEN 'purchase' THEN -quantity WHEN 'sale' THEN quantity ELSE 0 END)
+           FROM transactions GROUP BY ALL
+           UNION ALL SELECT 'holding', user_id, item_id,
+                  sum(CASE transaction_type WHEN 'sale' THEN -quantity ELSE quantity END)
+           FROM transactions GROUP BY ALL),
+       stored AS (
+           SELECT 'balance' AS account, id AS user_id, NULL AS item_id, balance AS actual FROM users
+           UNION ALL SELECT 'stock', NULL, id, stock FROM items
+           UNION ALL SELECT 'holding', user_id, item_id, quantity FROM inventory)
+       SELECT coalesce(i.account, s.account) AS account, coalesce(i.user_id, s.user_id) AS user_id,
+              coalesce(i.item_id, s.item_id) AS item_id, CAST(coalesce(expected, 0) AS BIGINT) AS expected,
+              CAST(coalesce(actual, 0) AS BIGINT) AS actual
+       FROM implied i FULL JOIN stored s
+           ON i.account = s.account AND i.user_id IS NOT DISTINCT FROM s.user_id
+              AND i.item_id IS NOT DISTINCT FROM s.item_id
+       WHERE coalesce(expected, 0) <> coalesce(actual, 0)""",
+    "transactions", "users", "items", "inventory",
+)
+
 # Rewards ----------------------------------------------------------------------
 
 # Draws from 1 to 100 and what they hit.

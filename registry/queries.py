@@ -115,6 +115,11 @@ def labelled_items(spark, root):
     return catalog.labelled(b.items(spark, root), labels, rarities, "Legendary")
 
 
+@query
+def labelled_users(spark, root):
+    return catalog.labelled_users(b.users(spark, root), {"HOUSEHOLD": "Home", "MACHINERY": "Works"}, "Other")
+
+
 @query
 def bonus_pairs(spark, root):
     return json_pairs(b.items(spark, root), "bonus_stats", "id")
@@ -143,6 +148,12 @@ def all_users_inventory(spark, root):
     return holdings.all_users_inventory(b.users(spark, root), _inventory(spark, root), b.items(spark, root))
 
 
+@query
+def labelled_inventory(spark, root):
+    rows = holdings.all_users_inventory(b.users(spark, root), _inventory(spark, root), b.items(spark, root))
+    return holdings.labelled_inventory(rows)
+
+
 @query
 def active_offers(spark, root):
     return market.active_offers(b.offers(spark, root), b.items(spark, root), b.users(spark, root), exclude_seller=1)
@@ -175,6 +186,15 @@ def full_history(spark, root):
     )
 
 
+@query
+def labelled_history(spark, root):
+    return market.labelled_history(
+        market.trade_history(
+            b.trades(spark, root), b.participants(spark, root), b.items(spark, root), b.users(spark, root), n=5
+        )
+    )
+
+
 # Analytics -----------------------------------------------------------------
 
 
@@ -404,6 +424,25 @@ def patch_items_refused(spark, root):
     return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("patches"))
 
 
+@query
+def edit_users(spark, root):
+    """Orders as user patches: the status as the role, the price as the balance of finished ones."""
+    finished = F.col("o_orderstatus") == "F"
+    patches = b.read(spark, root, "orders").select(
+        F.col("o_custkey").alias("id"),
+        F.struct("o_orderdate", "o_orderkey").alias("seq"),
+        F.when(finished, whole_units("o_totalprice")).alias("balance"),
+        F.when(finished, "").otherwise(F.col("o_orderstatus")).alias("role"),
+    )
+    return changes.edit_users(b.users(spark, root), patches)[0]
+
+
+@query
+def assign_moderators(spark, root):
+    sellers = b.read(spark, root, "lineitem").select("l_suppkey")
+    return changes.assign_moderators(b.users(spark, root), sellers)
+
+
 @query
 def upsert_inventory(spark, root):
     signed = F.when(F.col("transaction_type") == "sale", -F.col("quantity")).otherwise(F.col("quantity"))
@@ -442,6 +481,13 @@ def ledger_fold(spark, root):
     )
 
 
+@query
+def ledger_reconcile(spark, root):
+    """Accounts where the snapshots are not what the shop log alone would give."""
+    snapshot = ledger.snapshot_entries(b.users(spark, root), b.items(spark, root), _inventory(spark, root))
+    return ledger.reconcile(snapshot.limit(0), ledger.fold(ledger.shop_entries(b.transactions(spark, root))), snapshot)
+
+
 # Replays ---------------------------------------------------------------------
 
 LINE_ORDER = ["at", "user_id", "item_id", "kind", "quantity"]

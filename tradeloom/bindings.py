@@ -106,7 +106,7 @@ def offers(spark: SparkSession, root: str, lines: DataFrame | None = None) -> Da
         .when(F.col("o_orderstatus") == "F", "sold")
         .otherwise("cancelled")
     )
-    return (lines or order_lines(spark, root)).select(
+    return (order_lines(spark, root) if lines is None else lines).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("seller_id"),
         "item_id",
@@ -118,7 +118,7 @@ def offers(spark: SparkSession, root: str, lines: DataFrame | None = None) -> Da
 
 
 def trades(spark: SparkSession, root: str, lines: DataFrame | None = None) -> DataFrame:
-    return (lines or order_lines(spark, root)).select(
+    return (order_lines(spark, root) if lines is None else lines).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderkey").alias("offer_id"),
         "item_id",
@@ -137,7 +137,7 @@ def participants(spark: SparkSession, root: str, lines: DataFrame | None = None)
         )
     )
     return (
-        (lines or order_lines(spark, root))
+        (order_lines(spark, root) if lines is None else lines)
         .select(F.col("o_orderkey").alias("transaction_id"), sides.alias("side"))
         .select("transaction_id", "side.user_id", "side.role")
     )

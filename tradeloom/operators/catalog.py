@@ -11,6 +11,8 @@ from tradeloom.functions.text import (
     CATEGORY_LABELS,
     RARITY_LABELS,
     RARITY_OTHER,
+    ROLE_LABELS,
+    ROLE_OTHER,
     contains_text,
     label_for,
     preview,
@@ -120,8 +122,12 @@ def out_of_stock(items: DataFrame) -> DataFrame:
 
 
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of a table whose key appears in a table of ids."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted"))
+    """Rows of a table whose key appears in a table of ids.
+
+    The ids are made distinct first: a semi join cannot split a key that is
+    repeated in its right side.
+    """
+    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted")).distinct()
     return table.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
 
 
@@ -157,3 +163,8 @@ def labelled(
         preview("description", 60).alias("card_text"),
         preview("description", 50, ellipsis=True).alias("short_text"),
     )
+
+
+def labelled_users(users: DataFrame, roles: dict[str, str] = ROLE_LABELS, role_other: str = ROLE_OTHER) -> DataFrame:
+    """Display form of users: role labels with a fallback."""
+    return users.select("id", "username", label_for(F.col("role"), roles, role_other).alias("role_label"), "balance")

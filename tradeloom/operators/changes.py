@@ -56,6 +56,40 @@ def patch(
     return patched, checked.filter(F.col("reason").isNotNull())
 
 
+def set_stock(items: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New stock (id, seq, stock); a negative one is refused."""
+    return patch(items, patches, ["stock"], {"stock": 0})
+
+
+def set_price(items: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New prices (id, seq, price); a negative one is refused."""
+    return patch(items, patches, ["price"], {"price": 0})
+
+
+def edit_items(items: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Any item fields by (id, seq); negative prices and stock are refused."""
+    columns = [c for c in patches.columns if c not in ("id", "seq")]
+    return patch(items, patches, columns, {c: 0 for c in ("price", "stock") if c in columns})
+
+
+def set_balance(users: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New balances (id, seq, balance); a negative one is refused."""
+    return patch(users, patches, ["balance"], {"balance": 0})
+
+
+def edit_users(users: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Any of (username, role, balance) by (id, seq); blank text leaves a field alone."""
+    columns = [c for c in ("username", "role", "balance") if c in patches.columns]
+    return patch(users, patches, columns, blank_is_unset=tuple(c for c in columns if c != "balance"))
+
+
+def assign_moderators(users: DataFrame, ids: DataFrame) -> DataFrame:
+    """Users with the moderator role given to the listed ids."""
+    chosen = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+    role = F.when(F.col("_id").isNotNull(), "moderator").otherwise(F.col("role"))
+    return users.join(chosen, F.col("id") == F.col("_id"), "left").withColumn("role", role).select(*users.columns)
+
+
 def _filled(rows: DataFrame, table: str, given: dict[str, Column]) -> DataFrame:
     """Rows in the shape of a logical table: given columns, then defaults for what is missing."""
     defaults = DEFAULTS[table]
@@ -85,7 +119,8 @@ def insert_users(
 ) -> tuple[DataFrame, DataFrame]:
     """(users with new rows added, refused rows).
 
-    The first row of a name wins, unless the name is stored already.
+    The first row of a name wins, unless the name is stored already. The order
+    columns identify a row.
     """
     name_key = F.lower(F.trim("username"))
     first = (

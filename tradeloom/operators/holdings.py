@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tradeloom.functions.text import or_blank
 from tradeloom.plans.joins import keep_all_parents
 
 PRICED = ("id", "name", "description", "price", "category")
@@ -48,3 +49,10 @@ def holdings_value(inventory: DataFrame, items: DataFrame) -> DataFrame:
             F.sum(F.col("price") * F.col("quantity")).alias("total_value"),
         )
     )
+
+
+def labelled_inventory(rows: DataFrame) -> DataFrame:
+    """Display form of ``all_users_inventory``: dashes where a user holds nothing."""
+    return rows.select(
+        "id", "username", "role", *[or_blank(F.col(c)).alias(c) for c in ("item_name", "category", "quantity")]
+    )

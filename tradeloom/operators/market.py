@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradeloom.functions.text import SHOP_PARTY
+from tradeloom.functions.text import SHOP_PARTY, TRADE_LABELS, TRADE_OTHER, date_label, label_for
 from tradeloom.plans.joins import top_per_key
 
 HISTORY = ("user_id", "type", "date", "item_name", "quantity", "price_per_unit", "total_amount", "other_party")
@@ -150,3 +150,13 @@ def full_history(
         )
     )
     return _newest(market.unionByName(bought), n, *ties).select(*HISTORY)
+
+
+def labelled_history(history: DataFrame) -> DataFrame:
+    """Display form of a history: kind and time as text."""
+    return history.select(
+        "user_id",
+        label_for(F.col("type"), TRADE_LABELS, TRADE_OTHER).alias("type_label"),
+        date_label("date").alias("date_text"),
+        "item_name", "quantity", "price_per_unit", "total_amount", "other_party",
+    )

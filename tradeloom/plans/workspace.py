@@ -23,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/tradeloom/{name}-{uuid.uuid4().hex}"
+    """Fresh path in this application's part of the shared folder, to be removed after the application."""
+    return f"{shared_folder(spark)}/tradeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

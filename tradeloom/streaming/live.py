@@ -71,10 +71,17 @@ def live_candles(prices: DataFrame, width: str = "15 minutes", delay: str = "10
     return _window_columns(candles, "item_id", "avg_price", "min_price", "max_price", "total_sold")
 
 
-def daily_first(actions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per user and day, emitted at the first action of the day."""
-    days = actions.withColumn("day", F.date_trunc("day", F.col("created_at").cast("timestamp")))
-    first = days.withWatermark("day", delay).dropDuplicates(["user_id", "day"])
+def daily_first(actions: DataFrame, delay: str = "1 day", salts: int = 8) -> DataFrame:
+    """One row per user and day, emitted at the first action of the day.
+
+    Actions are first thinned out in ``salts`` parts of each user and day, so
+    that a user with a large share of them is spread over several tasks and
+    only a few rows reach the final one.
+    """
+    day = F.date_trunc("day", F.col("created_at").cast("timestamp")).alias("day")
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
+    days = actions.select("user_id", day, salt).withWatermark("day", delay)
+    first = days.dropDuplicates(["user_id", "day", "salt"]).dropDuplicates(["user_id", "day"])
     return first.select("user_id", F.to_date("day").alias("day"))
 
 
