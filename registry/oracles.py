@@ -64,7 +64,7 @@ TABLES = {
         FROM events""",
     "trade_rows": """
         SELECT p.user_id, CASE WHEN p.role = 'buyer' THEN 'purchase' ELSE 'sale' END AS type,
-               t.transaction_date AS date, i.name AS item_name, t.quantity, t.price_per_unit, t.total_amount,
+               t.transaction_date AS date, i.name AS item_name, t.quantity, t.price_per_unit, t.total_amount, t.item_id,
                (SELECT username FROM users WHERE id = (SELECT min(x.user_id) FROM participants x
                 WHERE x.transaction_id = t.id AND x.user_id <> p.user_id)) AS other_party, t.id AS row_id
         FROM trades t JOIN participants p ON p.transaction_id = t.id JOIN items i ON i.id = t.item_id""",
@@ -236,10 +236,10 @@ oracle(
     """SELECT user_id, type, date, item_name, quantity, price_per_unit, total_amount, other_party FROM (
            SELECT *, 0 AS source_rank FROM trade_rows
            UNION ALL
-           SELECT user_id, 'shop_purchase', transaction_date, name, quantity, price_per_unit, total_amount,
+           SELECT user_id, 'shop_purchase', transaction_date, name, quantity, price_per_unit, total_amount, item_id,
                   'Магазин', NULL, 1
            FROM transactions JOIN items i ON i.id = item_id WHERE transaction_type = 'purchase')
-       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, source_rank, row_id, type, item_name,
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, source_rank, row_id, type, item_id,
                                   quantity, price_per_unit, total_amount) <= 10""",
     "trade_rows", "transactions",
 )

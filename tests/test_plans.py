@@ -30,7 +30,7 @@ def schemas(text: str) -> list[str]:
 def test_period_and_type_reach_the_scan(spark, small):
     facts = b.transactions(spark, small, with_user=False)
     text = plan(analytics.sales_dynamics(facts, "month", b.latest(b.read(spark, small, "lineitem"), "l_shipdate")))
-    assert "GreaterThanOrEqual(l_shipdate" in pushed(text)
+    assert "GreaterThanOrEqual(l_shipdate" in pushed(text) and "EqualNullSafe(l_returnflag,N)" in pushed(text)
     assert schemas(text) == ["struct<l_extendedprice:double,l_returnflag:string,l_shipdate:timestamp_ntz>"]
 
 

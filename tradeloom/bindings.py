@@ -20,6 +20,14 @@ def latest(df: DataFrame, column: str) -> dt.datetime:
     return df.agg(F.max(column)).first()[0]
 
 
+def _coded(column: str, names: dict[str, str], other: Column | None = None) -> Column:
+    """Code translated by nested conditions; Spark turns a test on the first name into a test on its code."""
+    result = F.lit(None).cast("string") if other is None else other
+    for code, name in reversed(names.items()):
+        result = F.when(F.col(column).eqNullSafe(code), name).otherwise(result)
+    return result
+
+
 def _since_2024(key: str) -> Column:
     hours = (F.col(key) % HOUR_CYCLE).cast("int")
     return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=hours)
@@ -56,11 +64,7 @@ def users(spark: SparkSession, root: str) -> DataFrame:
 def _lines(spark: SparkSession, root: str) -> DataFrame:
     amount = whole_units("l_extendedprice")
     quantity = F.col("l_quantity").cast("bigint")
-    kind = (
-        F.when(F.col("l_returnflag") == "N", "purchase")
-        .when(F.col("l_returnflag") == "R", "sale")
-        .when(F.col("l_returnflag") == "A", "admin_grant")
-    )
+    kind = _coded("l_returnflag", {"N": "purchase", "R": "sale", "A": "admin_grant"})
     return read(spark, root, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("item_id"),
@@ -101,11 +105,7 @@ def order_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, root: str, lines: DataFrame | None = None) -> DataFrame:
-    status = (
-        F.when(F.col("o_orderstatus") == "O", "active")
-        .when(F.col("o_orderstatus") == "F", "sold")
-        .otherwise("cancelled")
-    )
+    status = _coded("o_orderstatus", {"O": "active", "F": "sold"}, F.lit("cancelled"))
     return (order_lines(spark, root) if lines is None else lines).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("seller_id"),
@@ -156,12 +156,7 @@ def inventory(spark: SparkSession, root: str, as_of: dt.datetime) -> DataFrame:
 
 def game_stats_of(events: DataFrame) -> DataFrame:
     """Events as game log rows."""
-    action = (
-        F.when(F.col("event_type") == "signup", "wheel")
-        .when(F.col("event_type") == "click", "hunt")
-        .when(F.col("event_type") == "purchase", "chest")
-        .otherwise(F.col("event_type"))
-    )
+    action = _coded("event_type", {"signup": "wheel", "click": "hunt", "purchase": "chest"}, F.col("event_type"))
     return events.select(
         F.col("event_id").alias("id"),
         "user_id",

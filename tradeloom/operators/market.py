@@ -70,51 +70,76 @@ def trade_details(trades: DataFrame, participants: DataFrame, items: DataFrame,
     )
 
 
-def _trade_rows(trades: DataFrame, participants: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
-    """One row per trade and participant with the name of the other party.
+def _trade_rows(trades: DataFrame, participants: DataFrame) -> DataFrame:
+    """One row per trade and participant with the id of the other party.
 
     The other party is the participant with the lowest id, or the highest one
     for the lowest: two mergeable extremes per trade instead of pairs.
     """
-    people = users.select(F.col("id").alias("_user"), F.col("username").alias("name"))
-    known = participants.join(people, F.col("user_id") == F.col("_user"))
-    person = F.struct(F.col("user_id").alias("id"), "name")
-    ends = known.groupBy(F.col("transaction_id").alias("_trade")).agg(
-        F.min(person).alias("low"), F.max(person).alias("high")
+    ends = participants.groupBy(F.col("transaction_id").alias("_trade")).agg(
+        F.min("user_id").alias("low"), F.max("user_id").alias("high")
     )
-    other = F.when(F.col("user_id") != F.col("low.id"), F.col("low.name")).when(
-        F.col("user_id") != F.col("high.id"), F.col("high.name")
-    )
-    goods = items.select(F.col("id").alias("_item"), F.col("name").alias("item_name"))
+    user = F.col("user_id")
+    other = F.when(user != F.col("low"), F.col("low")).when(user != F.col("high"), F.col("high"))
     return (
         trades.join(participants.select("transaction_id", "user_id", "role"), F.col("id") == F.col("transaction_id"))
-        .join(ends, F.col("transaction_id") == F.col("_trade"), "left")
-        .join(goods, F.col("item_id") == F.col("_item"))
+        .join(ends, F.col("transaction_id") == F.col("_trade"))
         .select(
             "user_id",
             F.when(F.col("role") == "buyer", "purchase").otherwise("sale").alias("type"),
             F.col("transaction_date").alias("date"),
-            "item_name",
+            "item_id",
             "quantity",
             "price_per_unit",
             "total_amount",
-            other.alias("other_party"),
+            other.alias("other_id"),
             F.col("id").alias("row_id"),
+            F.lit(0).alias("source_rank"),
         )
     )
 
 
-def _newest(df: DataFrame, n: int, *ties: str) -> DataFrame:
-    rest = [F.asc(column) for column in ties]
-    return top_per_key(df, ["user_id"], [F.desc("date"), *rest], n)
+def _shop_rows(transactions: DataFrame) -> DataFrame:
+    """Shop purchases in the form of trade rows."""
+    nothing = F.lit(None).cast("bigint")
+    return transactions.filter(F.col("transaction_type") == "purchase").select(
+        "user_id",
+        F.lit("shop_purchase").alias("type"),
+        F.col("transaction_date").alias("date"),
+        "item_id",
+        "quantity",
+        "price_per_unit",
+        "total_amount",
+        nothing.alias("other_id"),
+        nothing.alias("row_id"),
+        F.lit(1).alias("source_rank"),
+    )
+
+
+def _newest(rows: DataFrame, items: DataFrame, users: DataFrame, n: int) -> DataFrame:
+    """Each user's newest ``n`` rows, named afterwards.
+
+    The cut comes first, so that only the rows of the report meet the items and
+    users. It relies on the declared parent references (see ``orphan_check``).
+    """
+    ties = ("source_rank", "row_id", "type", "item_id", "quantity", "price_per_unit", "total_amount")
+    cut = top_per_key(rows, ["user_id"], [F.desc("date"), *[F.asc(column) for column in ties]], n)
+    goods = items.select(F.col("id").alias("_item"), F.col("name").alias("item_name"))
+    people = users.select(F.col("id").alias("_user"), "username")
+    party = F.when(F.col("source_rank") == 1, F.lit(SHOP_PARTY)).otherwise(F.col("username"))
+    return (
+        cut.join(goods, F.col("item_id") == F.col("_item"))
+        .join(people, F.col("other_id") == F.col("_user"), "left")
+        .withColumn("other_party", party)
+        .select(*HISTORY)
+    )
 
 
 def trade_history(
     trades: DataFrame, participants: DataFrame, items: DataFrame, users: DataFrame, n: int = 50
 ) -> DataFrame:
     """Each user's newest ``n`` trades."""
-    rows = _trade_rows(trades, participants, items, users)
-    return _newest(rows, n, "row_id", "type").select(*HISTORY)
+    return _newest(_trade_rows(trades, participants), items, users, n)
 
 
 def full_history(
@@ -127,29 +152,9 @@ def full_history(
 ) -> DataFrame:
     """Each user's newest ``n`` market trades and shop purchases together.
 
-    On equal times market rows come before shop rows.
+    On equal times market rows come before shop rows, and then lower ids.
     """
-    market = _trade_rows(trades, participants, items, users).withColumn("source_rank", F.lit(0))
-    ties = ("source_rank", "row_id", "type", "item_name", "quantity", "price_per_unit", "total_amount")
-    bought = (
-        transactions.filter(F.col("transaction_type") == "purchase")
-        .withColumn("date", F.col("transaction_date"))
-        .select("user_id", "item_id", "date", "quantity", "price_per_unit", "total_amount")
-        .join(items.select(F.col("id").alias("_item"), F.col("name").alias("item_name")), F.col("item_id") == F.col("_item"))
-        .select(
-            "user_id",
-            F.lit("shop_purchase").alias("type"),
-            "date",
-            "item_name",
-            "quantity",
-            "price_per_unit",
-            "total_amount",
-            F.lit(SHOP_PARTY).alias("other_party"),
-            F.lit(None).cast("bigint").alias("row_id"),
-            F.lit(1).alias("source_rank"),
-        )
-    )
-    return _newest(market.unionByName(bought), n, *ties).select(*HISTORY)
+    return _newest(_trade_rows(trades, participants).unionByName(_shop_rows(transactions)), items, users, n)
 
 
 def labelled_history(history: DataFrame) -> DataFrame:
