@@ -12,9 +12,10 @@ hold at the lowest amounts is accepted, one with a guard that fails at the
 highest is refused. The earliest undecided request has equal bounds, so every
 round makes progress, and the undecided rows shrink from round to round.
 
-Long chains of requests that depend on each other decide few per round. Then the
-next ``frontier`` positions of the order, a bounded slice with nothing undecided
-before it, are settled one by one in one task while the rest goes on in rounds.
+Long chains of requests that depend on each other decide few per round. From then
+on the next ``frontier`` positions of the order, a bounded slice with nothing
+undecided before it, are settled one by one in one task of each round, while the
+rounds go on for the rest.
 
 Columns of a posting:
     seq       position of its request in the order; unique, dense, null for opening amounts
@@ -173,7 +174,7 @@ def settle(
         )
         if open_now and not decided:
             raise ValueError("requests without a usable account or with repeated positions cannot be decided")
-        slow = decided < SLOW * (open_now + decided)
+        slow = slow or decided < SLOW * (open_now + decided)
         left = open_now
     # Pairwise unions keep the plan shallow after many rounds.
     while len(verdicts) > 1:
