@@ -1,7 +1,7 @@
 """Wall-clock time of the headline queries on the benchmark tables.
 
-Prints one JSON line. Each query is run once to warm up and then three times;
-its figure is the median. All rows are computed and counted.
+Prints one JSON line. Each query is run once to warm up and then twice more;
+its figure is the median of those. All rows are computed and counted.
 
 Environment: BENCH_SF_DIR (folder of Parquet tables), BENCH_CPUS (cores),
 BENCH_QUERIES (comma-separated names, default: the headline queries).
@@ -78,7 +78,7 @@ def main() -> None:
             seconds[name] = round(run(spark, name, root), 3)
             continue
         run(spark, name, root)
-        seconds[name] = round(statistics.median(run(spark, name, root) for _ in range(3)), 3)
+        seconds[name] = round(statistics.median(run(spark, name, root) for _ in range(2)), 3)
     print(
         json.dumps(
             {

@@ -594,7 +594,7 @@ def _cheap_offers(spark: SparkSession, root: str) -> DataFrame:
 def replay_market(spark, root):
     result = replays.replay(
         _market_requests(spark, root), _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root),
-        _cheap_offers(spark, root),
+        stored(_cheap_offers(spark, root), "offers"),
     )
     return result.decisions.select("seq", "kind", "user_id", "offer_id", "quantity", "accepted", "reason")
 

@@ -108,14 +108,15 @@ def _directory(requests: DataFrame, offers: DataFrame) -> DataFrame:
     return directory.join(cancels, "offer_id", "left")
 
 
-def _enriched(requests: DataFrame, users: DataFrame, items: DataFrame, offers: DataFrame) -> DataFrame:
-    """Requests with the price, existence and offer facts that never change during a replay."""
+def _named(requests: DataFrame, offers: DataFrame) -> DataFrame:
+    """Requests whose listings all have an offer id: the given one, or one beyond the stored ids."""
     first_new = offers.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("first")).first()[0]
-    named = requests.withColumn(
-        "offer_id",
-        F.when(F.col("kind") == LIST, F.coalesce("offer_id", F.lit(first_new) + F.col("seq"))).otherwise(F.col("offer_id")),
-    )
-    directory = _directory(named, offers)
+    given = F.coalesce("offer_id", F.lit(first_new) + F.col("seq"))
+    return requests.withColumn("offer_id", F.when(F.col("kind") == LIST, given).otherwise(F.col("offer_id")))
+
+
+def _enriched(named: DataFrame, users: DataFrame, items: DataFrame, directory: DataFrame) -> DataFrame:
+    """Requests with the price, existence and offer facts that never change during a replay."""
     people = users.select(F.col("id").alias("user_id"), F.lit(True).alias("user_known"))
     goods = items.select(
         F.col("id").alias("item_id"), F.col("price").alias("item_price"), F.lit(True).alias("item_known")
@@ -386,12 +387,12 @@ def replay(
     what the kind needs: ``item_id``, ``offer_id``, ``quantity``,
     ``price_per_unit`` (list), ``need`` and ``coins`` (reward).
     """
+    named = _named(_shaped(requests), offers)
+    directory = stored(_directory(named, offers), "directory")
     facts = stored(
-        _enriched(_shaped(requests), users, items, offers).withColumns({"refusal": _static_refusal(), "doom": _doomed()}),
-        "facts",
+        _enriched(named, users, items, directory).withColumns({"refusal": _static_refusal(), "doom": _doomed()}), "facts"
     )
     last = facts.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    directory = _directory(facts.select(*REQUEST_COLUMNS), offers)
     opening = _opening(users, items, inventory, directory)
     # Doomed requests are decided, but their guards are kept to report what they found.
     live = facts.filter(F.col("refusal").isNull())
