@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import tempfile
 from collections import Counter
 
 import duckdb
@@ -17,6 +18,8 @@ TABLES = (
 def duck(root: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
+    # Spill files of large comparisons stay out of the working folder.
+    connection.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='oracle-')}'")
     for table in TABLES:
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{root}/{table}.parquet')")
     return connection
