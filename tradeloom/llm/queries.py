@@ -11,10 +11,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe
+from tradeloom.llm import byte_bpe, simhash
 from tradeloom.llm.shared import table
 
 
+def op2_simhash(spark: SparkSession, root: str) -> DataFrame:
+    found = simhash.groups(table(spark, root, "documents"), shingle=3, distance=3)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, root, "documents"), ranks, pattern)
@@ -27,6 +36,7 @@ def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
