@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, simhash
+from tradeloom.llm import byte_bpe, simhash, token_files
 from tradeloom.llm.shared import table
 
 
@@ -35,9 +35,22 @@ def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, root: str) -> DataFrame:
+    path = token_files.file_set(
+        table(spark, root, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return token_files.read(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 # SQL with the same result, where SQL can express the query.
