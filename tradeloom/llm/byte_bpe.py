@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -53,14 +53,14 @@ def merge(piece: bytes, ranks: dict[bytes, int], until: int = 1) -> list[bytes]:
 
 
 class _Pieces(dict):
-    """Ids of pieces seen lately."""
+    """Ids of pieces seen lately, as 32-bit integers in a row."""
 
     def __init__(self, coder: ByteCoder):
         super().__init__()
         self.coder = coder
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.coder.encode_piece(piece.encode()))
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.coder.encode_piece(piece.encode())).tobytes()
         if len(piece) <= LONG_PIECE:
             if len(self) >= MEMO:
                 self.clear()
@@ -74,7 +74,8 @@ class ByteCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        by_rank = {rank: token for token, rank in ranks.items()}
+        self.tokens = pa.array([by_rank.get(rank) for rank in range(max(by_rank) + 1)], pa.large_binary())
         # A token that merging cannot build stands only for a whole piece.
         self.ids = {
             token.decode("latin-1"): rank
@@ -87,17 +88,25 @@ class ByteCoder:
             self.trie.add_word(token, rank)
         self.rank_of = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.edges: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        self.prefixes: dict[str, str] = {}
         self.memo: dict[tuple[str, str], bool] = {}
         self.pieces = _Pieces(self)
 
-    def match(self, text: str, start: int, most: int) -> str:
-        """Longest token of at most ``most`` characters at ``start``; empty if there is none."""
-        window = text[start : start + most]
+    def match(self, text: str, start: int) -> str:
+        """Longest token at ``start``; empty at the end of the text."""
+        window = text[start : start + self.longest]
         window = window[: self.trie.longest_prefix(window)]
         while window and window not in self.ids:
             window = window[:-1]
         return window
 
+    def shorter(self, token: str) -> str:
+        """Longest token that is a proper prefix of a token; empty if there is none."""
+        known = self.prefixes.get(token)
+        if known is None:
+            known = self.prefixes[token] = self.match(token[:-1], 0)
+        return known
+
     def edge(self, token: str, last: bool) -> list[tuple[str, float]]:
         """The parts that end (or start) the token while it is merged, each with the rank that absorbs it."""
         known = self.edges.get((token, last))
@@ -142,22 +151,22 @@ class ByteCoder:
         if whole is not None:
             return [whole]
         text = piece.decode("latin-1")
-        size, match, memo, compatible = len(text), self.match, self.memo, self.compatible
+        size, memo, prefixes = len(text), self.memo, self.prefixes
         tokens: list[str] = []
         dead: set[int] = set()
-        before, at, token = "", 0, match(text, 0, self.longest)
+        before, at, token = "", 0, self.match(text, 0)
         while at < size:
             while token:
                 end = at + len(token)
                 if end not in dead:
                     fits = not before or memo.get((before, token))
-                    if fits or (fits is None and compatible(before, token)):
+                    if fits or (fits is None and self.compatible(before, token)):
                         break
-                token = match(text, at, end - at - 1)
+                token = prefixes.get(token) or self.shorter(token)
             if token:
                 tokens.append(token)
                 before, at = token, end
-                token = match(text, at, self.longest)
+                token = self.match(text, at)
             elif not tokens:
                 raise ValueError("the vocabulary lacks single bytes")
             else:
@@ -165,14 +174,29 @@ class ByteCoder:
                 token = tokens.pop()
                 at -= len(token)
                 before = tokens[-1] if tokens else ""
-                token = match(text, at, len(token) - 1)
+                token = self.shorter(token)
         return [self.ids[token] for token in tokens]
 
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers in a row."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def decode_rows(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each row's ids; a null row has none."""
+        ids = ids.fill_null([]) if ids.null_count else ids
+        tokens = self.tokens.take(ids.flatten())
+        if tokens.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        starts = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :]
+        lengths = ids.value_lengths().to_numpy()
+        ends = starts[np.concatenate([[0], np.cumsum(lengths)])]
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]]).cast(pa.binary())
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_rows(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -191,10 +215,10 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(path, pattern)
         for batch in slices(batches, "text"):
-            rows = [use.encode(value or "") for value in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            rows = [use.encode_bytes(value or "") for value in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *(len(row) // 4 for row in rows)], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids], names=["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -208,10 +232,8 @@ def decode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(path, pattern)
         for batch in slices(batches, "ids"):
-            decoded = [use.decode(value or ()) for value in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("ids"), pa.array(decoded, pa.binary())], names=["key", "ids", "bytes"]
-            )
+            ids = batch.column("ids")
+            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, use.decode_rows(ids)], names=["key", "ids", "bytes"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"`{ids}` AS ids")
