@@ -11,8 +11,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, simhash, token_files
+from tradeloom.llm import byte_bpe, hosts, mixing, simhash, token_files
 from tradeloom.llm.shared import table
+from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
 
 def op2_simhash(spark: SparkSession, root: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op2_simhash(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op3_host_rules(spark: SparkSession, root: str) -> DataFrame:
+    return hosts.verdicts(table(spark, root, "documents")).drop("rate")
+
+
 def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, root, "documents"), ranks, pattern)
@@ -35,6 +40,10 @@ def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, root, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def op10_token_files(spark: SparkSession, root: str) -> DataFrame:
     path = token_files.file_set(
         table(spark, root, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=2
@@ -49,9 +58,8 @@ def op10_token_files(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_host_rules": op3_host_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
 }
-
-# SQL with the same result, where SQL can express the query.
-ORACLES: dict[str, str] = {}
