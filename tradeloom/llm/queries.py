@@ -11,11 +11,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, hosts, mixing, simhash, token_files
+from tradeloom.llm import byte_bpe, hosts, licenses, mixing, simhash, token_files
 from tradeloom.llm.shared import table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
 
+def op1_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(table(spark, root, "documents")).select(
+        "doc_id",
+        F.array_join("identifiers", ",").alias("identifiers"),
+        F.array_join("licenses", ",").alias("licenses"),
+        F.col("unmatched").cast("bigint").alias("unmatched"),
+    )
+
+
 def op2_simhash(spark: SparkSession, root: str) -> DataFrame:
     found = simhash.groups(table(spark, root, "documents"), shingle=3, distance=3)
     return found.select(
@@ -57,6 +66,7 @@ def op10_token_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_host_rules": op3_host_rules,
     "op6_byte_bpe": op6_byte_bpe,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tradeloom.llm.licenses import RULES, SENTENCES
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 HOST_RULES = rf"""
@@ -121,4 +123,44 @@ SELECT doc_id, size, words AS source_size, target, CAST(coalesce(taken, 0) AS BI
 FROM placed LEFT JOIN got USING (r)
 """
 
-ORACLES: dict[str, str] = {"op3_host_rules": HOST_RULES, "op9_mixing": MIXING}
+
+
+def _license_scan() -> str:
+    known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in SENTENCES.items())
+    steps, last = [], "spelled"
+    for i, (name, run) in enumerate(RULES):
+        spelled = "".join(f"<{one}>" for one in run)
+        steps.append(
+            f"s{i} AS (SELECT r, doc_id, identifiers, replace(rest, '{spelled}', '|') AS rest, CASE WHEN contains(rest, '{spelled}') "
+            f"AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last})"
+        )
+        last = f"s{i}"
+    return rf"""
+WITH known(sentence, name) AS (VALUES {known}),
+cut AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(translate(
+    regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+      '([.!?;:])[ 	-]+', '' || chr(1), 'g'),
+      '
+[ 	-]*
+', chr(1), 'g'),
+      '
+([ 	-]*[^a-z 	-])', chr(1) || '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), chr(1)) AS parts
+  FROM documents
+),
+parts AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
+sequences AS (SELECT r, list(name ORDER BY i) AS names FROM parts JOIN known ON trim(part) = sentence GROUP BY r),
+spelled AS (
+  SELECT cut.r, doc_id, coalesce(array_to_string(names, ','), '') AS identifiers,
+    coalesce('<' || array_to_string(names, '><') || '>', '') AS rest, CAST([] AS VARCHAR[]) AS names
+  FROM cut LEFT JOIN sequences USING (r)
+),
+{", ".join(steps)}
+SELECT doc_id, identifiers, array_to_string(names, ',') AS licenses,
+  length(rest) - length(replace(rest, '<', '')) AS unmatched
+FROM {last}
+"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_scan(), "op3_host_rules": HOST_RULES, "op9_mixing": MIXING}
