@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, hosts, licenses, mixing, simhash, token_files
+from tradeloom.llm import byte_bpe, hosts, licenses, mixing, simhash, token_files, vectors
 from tradeloom.llm.shared import table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
@@ -49,6 +49,15 @@ def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op8_embedding_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, root, "embeddings"), threshold=0.95).select(
+        "vec_id",
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"),
+    )
+
+
 def op9_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, root, "documents"))).withColumnRenamed("key", "doc_id")
 
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_host_rules": op3_host_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
 }
