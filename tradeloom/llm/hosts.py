@@ -102,10 +102,10 @@ def host_rates(judged: DataFrame) -> DataFrame:
              least(greatest((spread / (mean * (1 - mean)) - (hosts - 1)) / (n - squares / n - (hosts - 1)), 0.001), 0.999)
            ELSE 0.5 END AS between""",
     )
-    strength = prior.selectExpr("mean", "1 / between - 1 AS strength")
-    return hosts.join(F.broadcast(strength)).selectExpr(
-        "host", "documents", "failures", "(failures + strength * mean) / (documents + strength) AS rate"
-    )
+    mean, between = prior.first()
+    mean, strength = (mean or 0.0), 1 / (between or 0.5) - 1
+    rate = (F.col("failures") + F.lit(strength * mean)) / (F.col("documents") + F.lit(strength))
+    return hosts.select("host", "documents", "failures", rate.alias("rate"))
 
 
 def verdicts(

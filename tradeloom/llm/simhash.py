@@ -166,7 +166,7 @@ def near_links(values: DataFrame, budget: int, *, node_rows: int = NODE_ROWS) ->
         depth += STEP
         prefix = F.shiftrightunsigned("value", 64 - depth)
         nodes = values.groupBy(prefix.alias("node")).agg(F.count(F.lit(1)).alias("rows"))
-        parent = F.shiftrightunsigned("node", STEP) if depth > STEP else F.lit(0).cast("bigint")
+        parent = F.shiftrightunsigned("node", STEP)
         a = nodes.select(parent.alias("a"), F.col("node").alias("a_node"), F.col("rows").alias("a_rows"))
         b = nodes.select(parent.alias("b"), F.col("node").alias("b_node"), F.col("rows").alias("b_rows"))
         below = (1 << STEP) - 1
