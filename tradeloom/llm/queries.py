@@ -11,8 +11,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, hosts, licenses, mixing, simhash, token_files, vectors
-from tradeloom.llm.shared import table
+from tradeloom.llm import byte_bpe, hosts, language, licenses, mixing, quality, simhash, token_files, vectors
+from tradeloom.llm.shared import id_remainder, table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
 
@@ -38,6 +38,14 @@ def op3_host_rules(spark: SparkSession, root: str) -> DataFrame:
     return hosts.verdicts(table(spark, root, "documents")).drop("rate")
 
 
+def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
+    documents, held_out = table(spark, root, "documents"), id_remainder("doc_id", 4) == 2
+    model = language.fit(documents.where(~held_out))
+    return language.predict(documents, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected"
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, root, "documents"), ranks, pattern)
@@ -49,6 +57,14 @@ def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, root: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 5) == 0
+    labels = table(spark, root, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(table(spark, root, "documents"), labels).select(
+        "doc_id", held_out.alias("held_out"), "score", F.col("kept").cast("int").alias("predicted")
+    )
+
+
 def op8_embedding_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, root, "embeddings"), threshold=0.95).select(
         "vec_id",
@@ -78,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_host_rules": op3_host_rules,
+    "op4_language_id": op4_language_id,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality": op7_quality,
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
