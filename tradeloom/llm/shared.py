@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Words are runs of anything but the six ASCII blanks, in Java and SQL regex notation.
@@ -40,3 +42,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 23)
         step = max(1, int(batch.num_rows * size / max(size, values.nbytes)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in a row, position of each text's first word and of the end); null texts have none.
+
+    Blanks at the ends of a text leave empty words there, which stand for nothing.
+    """
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    return lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()

@@ -13,19 +13,19 @@ by part and chunk) and ``vocabulary`` (rank to id). Chunks hold whole documents.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tradeloom.llm.shared import slices, utf8
+from tradeloom.llm.shared import slices, split_words
 from tradeloom.plans.workspace import new_path, stored
 
-MEMO = 500_000
+MEMO = 1_200_000
 LONG_WORD = 64
 CHUNK_IDS = 1 << 18
 # Lengths of the four numbers of a control byte, the first in the lowest bits.
@@ -66,22 +66,32 @@ class _Words:
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        seen = set(chain.from_iterable(split))
-        if len(self.known) + len(seen) > MEMO:
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        new = [word for word in words if word not in self.known]
+        if len(self.known) + len(new) > MEMO:
             self.known.clear()
-        new = [word for word in seen if word not in self.known]
-        found = self.library.encode_batch([word.decode() for word in new], add_special_tokens=False)
-        ids = dict(zip(new, (np.array(one.ids, self.kind).tobytes() for one in found), strict=True))
-        self.known |= ids
-        joined = [b"".join(map(self.known.__getitem__, words)) for words in split]
+            new = words
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        code = self.kind.char
+        self.known.update(zip(new, [array(code, one.ids).tobytes() for one in found], strict=True))
+        ids = [self.known[word] for word in words]
         for word in new:
             if len(word) > LONG_WORD:
                 del self.known[word]
-        return joined
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; each distinct word of the texts is looked up once."""
+        words, ends = split_words(texts)
+        coded = words.dictionary_encode()
+        ids = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, starts, data = ids.buffers()
+        at = np.frombuffer(starts, np.int64)[ends].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -100,7 +110,7 @@ def encode(df: DataFrame, path: str, *, end_id: int, key: str = "doc_id", text:
         words = _words(path)
         end = np.array([end_id], words.kind).tobytes()
         for batch in slices(batches, "text"):
-            ids = [found + end for found in words.encode([value or b"" for value in utf8(batch.column("text"))])]
+            ids = [found + end for found in words.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -114,8 +124,9 @@ def frequencies(tokens: DataFrame, size: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                total += np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=size)
+            for part in slices([batch], "ids"):
+                joined = b"".join(value or b"" for value in part.column("ids").to_pylist())
+                total += np.bincount(np.frombuffer(joined, kind), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
