@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, hosts, language, licenses, mixing, quality, simhash, token_files, vectors
+from tradeloom.llm import byte_bpe, hosts, language, licenses, mixing, pitman_yor, quality, simhash, token_files, vectors
 from tradeloom.llm.shared import id_remainder, table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
@@ -46,6 +46,14 @@ def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op5_lm_scores(spark: SparkSession, root: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 7) == 2
+    documents = table(spark, root, "documents").select("doc_id", "text", (~held_out).alias("taught"))
+    return pitman_yor.score(documents).select(
+        "doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, root, "documents"), ranks, pattern)
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_host_rules": op3_host_rules,
     "op4_language_id": op4_language_id,
+    "op5_lm_scores": op5_lm_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
     "op8_embedding_duplicates": op8_embedding_duplicates,
