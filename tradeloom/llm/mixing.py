@@ -154,10 +154,12 @@ def mix(
         f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block}) AS words",
     )
     # Rows of at most RUN slots are dealt out before they are opened, so a large source is many tasks.
+    n_runs = sources.agg(F.sum(F.expr(f"ceil(slots / {RUN})"))).first()[0] or 1
+    tasks = min(int(n_runs), 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = (
         sources.where("slots > 0")
         .selectExpr("number", "blocks", "slots", "from", "all", f"explode(sequence(0, (slots - 1) div {RUN})) AS run")
-        .repartition("number", "run")
+        .repartition(tasks, "number", "run")
     )
     opened = runs.selectExpr(
         "number", "blocks", "from", "all", "explode(sequence(run * {0}, least(slots, (run + 1) * {0}) - 1)) AS n".format(RUN)
@@ -180,7 +182,8 @@ def counts(plan: Mix) -> DataFrame:
 def used(plan: Mix) -> DataFrame:
     """Pieces with ``uses`` (0 to 2): how often the mix takes the piece's block."""
     uses = plan.slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return plan.pieces.join(uses, ["number", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # The slots are made from few rows, so Spark underrates their size and would broadcast them.
+    return plan.pieces.join(uses.hint("merge"), ["number", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def taken(plan: Mix) -> DataFrame:
