@@ -148,6 +148,28 @@ def fit(training: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
     return fit_counts(counts, [name for name, _, _ in held])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded bytes and rows."""
+    for batch in slices(batches, column):
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
+def judge(
+    model: Languages, texts: list[str | None], slack: float, least_grams: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, cosine, rejected) of each text."""
+    counts = np.stack([gram_counts(text or "") for text in texts])
+    some = counts.any(axis=1) & bool(model.names)
+    names, scores, lost = np.full(len(counts), UNDETERMINED, object), np.zeros(len(counts)), ~some
+    if some.any():
+        own, cosines = model.nearest(counts[some])
+        names[some], scores[some] = np.array(model.names, object)[own], cosines
+        known = (counts[some] > 0).sum(axis=1) >= least_grams
+        lost[some] = known & (1 - cosines > model.radius[own] * slack)
+    return names, scores, lost
+
+
 def predict(
     df: DataFrame, model: Languages, *, key: str = "doc_id", text: str = "text", slack: float = 1.1, least_grams: int = 20
 ) -> DataFrame:
@@ -161,25 +183,27 @@ def predict(
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
-        for whole in slices(batches, "text"):
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                counts = np.stack([gram_counts(value or "") for value in batch.column("text").to_pylist()])
-                some = counts.any(axis=1) & bool(use.names)
-                names, scores, lost = np.full(len(counts), UNDETERMINED, object), np.zeros(len(counts)), ~some
-                if some.any():
-                    own, cosines = use.nearest(counts[some])
-                    names[some], scores[some] = np.array(use.names, object)[own], cosines
-                    known = (counts[some] > 0).sum(axis=1) >= least_grams
-                    lost[some] = known & (1 - cosines > use.radius[own] * slack)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array(names, pa.string()), pa.array(scores), pa.array(lost)],
-                    names=["key", "lang", "score", "rejected"],
-                )
+        for batch in _pieces(batches, "text"):
+            names, scores, lost = judge(shared.value, batch.column("text").to_pylist(), slack, least_grams)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(names, pa.string()), pa.array(scores), pa.array(lost)],
+                names=["key", "lang", "score", "rejected"],
+            )
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
     found = rows.mapInArrow(run, f"key {kind}, lang string, score double, rejected boolean")
     return found.withColumnRenamed("key", key)
 
+
+
+def accepted(df: DataFrame, model: Languages, *, text: str = "text", slack: float = 1.1, least_grams: int = 20) -> DataFrame:
+    """The rows of ``df`` whose language is not rejected, all columns unchanged, in one pass without a join."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, text):
+            lost = judge(shared.value, batch.column(text).to_pylist(), slack, least_grams)[2]
+            yield batch.filter(pa.array(~lost))
+
+    return df.mapInArrow(run, df.schema)

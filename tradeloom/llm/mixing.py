@@ -200,7 +200,8 @@ def mixed(df: DataFrame, plan: Mix, *, key: str = "doc_id", text: str = "text")
     """The rows of ``df`` of which the mix takes words, with the text it takes.
 
     The pieces of a text stand in their order, each as often as it is used,
-    with the blanks before its words. Keys must be unique and not null.
+    with the blanks before its words. Keys are taken to be unique; rows without
+    a key are left out.
     """
     pieces = (
         used(plan)

@@ -158,16 +158,41 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
     return stats.select("key", "stats").mapInArrow(run, f"key {kind}, score double")
 
 
+def fit_documents(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label") -> Discriminant:
+    """Discriminant from (key, label) rows whose key is in ``df``; only statistics are joined, no texts.
+
+    Labels other than 0 and 1, and null keys, teach nothing; a key labelled more
+    than once counts as the smaller label.
+    """
+    return fit(_labelled(document_statistics(df, key=key, text=text), labels, key, label))
+
+
+def _labelled(stats: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    known = labels.where(f"`{label}` IN (0, 1)").groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
+    return stored(stats.join(known, "key").select("label", "stats"), "labelled")
+
+
 def classify(
     df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", least: float = 0.3
 ) -> DataFrame:
-    """(key, score, kept) of every row, learning from (key, label) rows whose key is in ``df``.
+    """(key, score, kept) of every row, learning as ``fit_documents`` does.
 
-    Labels other than 0 and 1, and null keys, teach nothing; a key labelled more
-    than once counts as the smaller label. Empty and null texts are scored like
-    any other. ``kept`` is score >= ``least``. Repeated rows are kept.
+    Empty and null texts are scored like any other. ``kept`` is score >=
+    ``least``. Repeated rows and null keys are kept; an empty table gives no rows.
     """
     stats = stored(document_statistics(df, key=key, text=text), "statistics")
-    known = labels.where(f"`{label}` IN (0, 1)").groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
-    model = fit(stats.join(known, "key").select("label", "stats"))
+    model = fit(_labelled(stats, labels, key, label))
     return score(stats, model).select(F.col("key").alias(key), "score", (F.col("score") >= least).alias("kept"))
+
+
+def accepted(df: DataFrame, model: Discriminant, *, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of ``df`` with a score of at least ``least``, all columns unchanged, in one pass without a join."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            if batch.num_rows:
+                stats = np.array([statistics(value or b"") for value in utf8(batch.column(text))])
+                yield batch.filter(pa.array(shared.value.scores(stats) >= least))
+
+    return df.mapInArrow(run, df.schema)

@@ -217,3 +217,15 @@ def groups(
     smallest = hung.groupBy("class").agg(F.min("least").alias("component"))
     named = hung.select("value", "class").join(smallest, "class").select(F.col("value").alias("fingerprint"), "component")
     return prints.join(named, "fingerprint").select(key, "fingerprint", "component")
+
+
+def representatives(df: DataFrame, *, shingle: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, all columns unchanged: the one with the smallest key.
+
+    Rows with equal keys are one document. Rows without a key cannot be named in
+    a group and stay as they are.
+    """
+    found = groups(df, shingle=shingle, distance=distance, key=key, text=text)
+    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("_kept")).distinct()
+    named = df.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    return named.select(*df.columns).union(df.where(F.col(key).isNull()))
