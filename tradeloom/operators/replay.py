@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradeloom.functions.numbers import half_price
 from tradeloom.plans.numbering import dense_numbers
 from tradeloom.plans.prefix import running_before
-from tradeloom.plans.settlement import ACCOUNT, BLOCK_ROWS, COLUMNS, FRONTIER, settle
+from tradeloom.plans.settlement import ACCOUNT, BLOCK_ROWS, COLUMNS, settle
 from tradeloom.plans.workspace import stored
 
 # Request kinds.
@@ -121,8 +121,11 @@ def _enriched(named: DataFrame, users: DataFrame, items: DataFrame, directory: D
     goods = items.select(
         F.col("id").alias("item_id"), F.col("price").alias("item_price"), F.lit(True).alias("item_known")
     )
+    # Most kinds of requests name no offer; they stay out of the join, where they would all be one key.
+    about = named.filter("offer_id IS NOT NULL").join(directory, "offer_id", "left")
+    others = named.filter("offer_id IS NULL")
     facts = (
-        named.join(people, "user_id", "left").join(goods, "item_id", "left").join(directory, "offer_id", "left")
+        about.unionByName(others, allowMissingColumns=True).join(people, "user_id", "left").join(goods, "item_id", "left")
     )
     return facts.withColumns(
         {
@@ -379,7 +382,6 @@ def replay(
     inventory: DataFrame,
     offers: DataFrame,
     block_rows: int = BLOCK_ROWS,
-    frontier: int = FRONTIER,
 ) -> Replay:
     """Run numbered requests against snapshots with the result of running them in order.
 
@@ -392,17 +394,21 @@ def replay(
     facts = stored(
         _enriched(named, users, items, directory).withColumns({"refusal": _static_refusal(), "doom": _doomed()}), "facts"
     )
-    last = facts.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    repeated = facts.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR seq IS NULL").first()
+    if repeated:
+        raise ValueError(f"request position {repeated.seq} is missing or given more than once")
     opening = _opening(users, items, inventory, directory)
     # Doomed requests are decided, but their guards are kept to report what they found.
     live = facts.filter(F.col("refusal").isNull())
     postings = stored(_postings(live).unionByName(opening.withColumn("doomed", F.lit(False))), "postings")
-    verdicts, rounds = settle(postings.filter(~F.col("doomed")), last, block_rows, frontier)
+    verdicts, rounds = settle(postings.filter(~F.col("doomed")), block_rows)
 
+    # Opening amounts have no position; they stay out of the join, where they would all be one key.
+    asked = postings.filter("seq IS NOT NULL").join(verdicts, "seq", "left").withColumn("units", F.coalesce("units", F.lit(0)))
     final = stored(
-        postings.join(verdicts, "seq", "left")
-        .withColumn("units", F.when(F.col("seq").isNull(), F.col("cap")).otherwise(F.coalesce("units", F.lit(0))))
-        .withColumn("moved", F.col("coef") * F.col("units")),
+        asked.unionByName(postings.filter("seq IS NULL").withColumn("units", F.col("cap"))).withColumn(
+            "moved", F.col("coef") * F.col("units")
+        ),
         "final",
     )
     # Amounts found by the guards of refused requests.
@@ -410,7 +416,7 @@ def replay(
     lumped = final.filter(late).groupBy(*ACCOUNT, "at_seq").agg(F.sum("moved").alias("moved"))
     found = (
         running_before(
-            final.filter(~late).unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", ["moved"], block_rows, last
+            final.filter(~late).unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", ["moved"], block_rows
         )
         .filter(F.col("need").isNotNull() & (F.col("units") == 0))
         .groupBy("seq")

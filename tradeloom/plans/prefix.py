@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def running_before(
-    df: DataFrame, keys: list[str], order: str, values: list[str], block_rows: int, last: int | None = None
+    df: DataFrame, keys: list[str], order: str, values: list[str], block_rows: int
 ) -> DataFrame:
     """Add ``before_<value>``: the sum over rows of the same key with a smaller ``order``.
 
     ``order`` is a dense number, so cutting it every ``block_rows`` bounds the
     rows of one key and block. Sums run inside blocks; block totals (one row per
-    key and block) give each block's start. When ``last`` shows that all rows
-    lie in the first block the second step is left out.
+    key and block) give each block's start.
     """
     by = ", ".join(keys)
     earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -25,8 +24,6 @@ def running_before(
             for v in values
         ],
     )
-    if last is not None and last < block_rows:
-        return rows.drop("_block")
     totals = blocked.groupBy(*keys, "_block").agg({v: "sum" for v in values})
     starts = totals.selectExpr(
         *keys,

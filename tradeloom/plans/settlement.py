@@ -12,10 +12,13 @@ hold at the lowest amounts is accepted, one with a guard that fails at the
 highest is refused. The earliest undecided request has equal bounds, so every
 round makes progress, and the undecided rows shrink from round to round.
 
-Long chains of requests that depend on each other decide few per round. From then
-on the next ``frontier`` positions of the order, a bounded slice with nothing
-undecided before it, are settled one by one in one task of each round, while the
-rounds go on for the rest.
+Long chains of requests that depend on each other decide few per round by bounds.
+So every round also guesses each open request from the amounts that the guesses of
+the round before give. All guesses before the first one that changed agree with
+each other, and so does that one, which makes them the outcome of running the
+requests one by one: they are settled too. A wrong guess only matters until some
+account is full or empty whatever it was, so few rounds are needed in practice, and
+all of a round is sums and comparisons that are spread over all tasks.
 
 Columns of a posting:
     seq       position of its request in the order; unique, dense, null for opening amounts
@@ -39,34 +42,35 @@ COLUMNS = ["seq", *ACCOUNT, "at_seq", "coef", "cap", "need", "lead"]
 OPEN, ACCEPTED, REFUSED = 0, 1, 2
 
 BLOCK_ROWS = 1_000_000
-FRONTIER = 100_000
-SLOW = 0.1
 
 
-AMOUNTS = ["sure", "down", "up"]
+AMOUNTS = ["sure", "down", "up", "likely"]
 
 
-def _bounded(postings: DataFrame, block_rows: int, last: int) -> DataFrame:
-    """Open postings with their settled base and the bounds of their account."""
+def _bounded(postings: DataFrame, block_rows: int) -> DataFrame:
+    """Open postings with their settled base, the bounds of their account and its amount under the guesses."""
     parts = postings.selectExpr(
         "*",
         f"IF(state = {ACCEPTED}, coef * units, 0) AS sure",
         f"IF(state = {OPEN}, least(coef * cap, 0), 0) AS down",
         f"IF(state = {OPEN}, greatest(coef * cap, 0), 0) AS up",
+        f"IF(state = {OPEN}, coef * guess, 0) AS likely",
     )
     own = parts.filter("seq IS NULL OR at_seq = seq")
     # Postings deferred to one position may be many; only their sums matter to others.
     deferred = parts.filter("at_seq > seq")
     lumped = deferred.groupBy(*ACCOUNT, "at_seq").agg({v: "sum" for v in AMOUNTS})
     lumped = lumped.withColumnsRenamed({f"sum({v})": v for v in AMOUNTS})
-    summed = running_before(own.unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", AMOUNTS, block_rows, last)
+    summed = running_before(own.unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", AMOUNTS, block_rows)
     bounded = summed.filter(f"state = {OPEN}").selectExpr(
         *COLUMNS,
+        "guess",
         "base + before_sure AS base",
+        "base + before_sure + before_likely AS likely",
         "base + before_sure + before_down AS low",
         "base + before_sure + before_up AS high",
     )
-    waiting = deferred.filter(f"state = {OPEN}").select(*COLUMNS, "base")
+    waiting = deferred.filter(f"state = {OPEN}").select(*COLUMNS, "guess", "base")
     return bounded.unionByName(waiting, allowMissingColumns=True)
 
 
@@ -81,101 +85,63 @@ def _decided(bounded: DataFrame) -> DataFrame:
         """need IS NULL OR low >= IF(cap > 1, cap, need) OR (cap > 1 AND low = high AND low >= need) AS holds""",
         "need IS NOT NULL AND high < need AS fails",
         "IF(need IS NOT NULL AND cap > 1, least(low, cap), cap) AS most",
+        "CASE WHEN likely < need THEN 0 WHEN need IS NOT NULL AND cap > 1 THEN least(likely, cap) ELSE cap END AS expected",
     )
     verdict = checks.selectExpr(
         *COLUMNS,
+        "guess",
         "base",
         "min(holds) OVER (PARTITION BY seq) AS holds",
         "max(fails) OVER (PARTITION BY seq) AS fails",
         "min(most) OVER (PARTITION BY seq) AS most",
+        "min(expected) OVER (PARTITION BY seq) AS expected",
     )
     return verdict.selectExpr(
         *COLUMNS,
         "base",
+        "guess",
+        "expected",
         f"CASE WHEN holds THEN {ACCEPTED} WHEN fails THEN {REFUSED} ELSE {OPEN} END AS state",
         "IF(holds, most, 0) AS units",
     )
 
 
-def _one_by_one():
-    """Function that settles a bounded slice of consecutive requests in order."""
-
-    def run(pdf):
-        import pandas as pd
-
-        moved, units_of, rows, start = {}, {}, list(pdf.sort_values(["at_seq", "seq"]).itertuples(index=False)), 0
-        while start < len(rows):
-            position, end, holds, units = rows[start].at_seq, start, True, None
-            while end < len(rows) and rows[end].at_seq == position:
-                row = rows[end]
-                end += 1
-                if row.seq != position:
-                    continue
-                units = row.cap if units is None else units
-                if row.guarded:
-                    held = row.base + moved.get((row.account, row.a, row.b), 0)
-                    holds = holds and held >= row.need
-                    units = min(row.cap, held) if row.cap > 1 else units
-            if units is not None:
-                units_of[position] = units if holds else 0
-            for row in rows[start:end]:
-                account, amount = (row.account, row.a, row.b), row.coef * units_of.get(row.seq, 0)
-                moved[account] = moved.get(account, 0) + amount
-            start = end
-        return pd.DataFrame({"seq": list(units_of), "settled": list(units_of.values())}, dtype="int64")
-
-    return run
-
-
-def _with_frontier(bounded: DataFrame, first: int, frontier: int) -> DataFrame:
-    """Decide the slice [first, first + frontier) exactly and the rest by bounds."""
-    ahead = bounded.filter(F.col("seq") < first + frontier).selectExpr(
-        "seq", *ACCOUNT, "at_seq", "coef", "cap", "base", "coalesce(need, 0) AS need", "need IS NOT NULL AS guarded"
-    )
-    settled = ahead.groupBy(F.lit(0).alias("slice")).applyInPandas(_one_by_one(), "seq bigint, settled bigint")
-    # One row per request of the slice: at most `frontier` rows.
-    known = _decided(bounded).join(F.broadcast(settled), "seq", "left")
-    return known.selectExpr(
-        *COLUMNS,
-        "base",
-        f"CASE WHEN settled > 0 THEN {ACCEPTED} WHEN settled = 0 THEN {REFUSED} ELSE state END AS state",
-        "coalesce(settled, units) AS units",
-    )
-
-
-def settle(
-    postings: DataFrame, last: int, block_rows: int = BLOCK_ROWS, frontier: int = FRONTIER
-) -> tuple[DataFrame, int]:
+def settle(postings: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """((seq, units) of every request, rounds). ``units`` is 0 for a refused request.
 
-    ``last`` is the largest position. Postings with a null seq are opening
-    amounts and always count. The driver sees two numbers per round: how many
-    requests are open, and the first of them.
+    Postings with a null seq are opening amounts and always count. The driver
+    sees three numbers per round: how many requests are open and how many are
+    not, and the first position whose guess changed.
     """
     current = postings.selectExpr(
         *COLUMNS,
         "CAST(0 AS BIGINT) AS base",
+        "cap AS guess",
         f"IF(seq IS NULL, {ACCEPTED}, {OPEN}) AS state",
         "IF(seq IS NULL, cap, 0) AS units",
     )
     verdicts: list[DataFrame] = []
-    left, first, slow, rounds = None, 1, False, 0
-    while left is None or left > 0:
+    rounds = 0
+    while True:
         rounds += 1
-        bounded = _bounded(current, block_rows, last)
-        current = stored(_with_frontier(bounded, first, frontier) if slow else _decided(bounded), "round")
-        verdicts.append(current.filter(f"lead AND state <> {OPEN}").select("seq", "units"))
-        open_now, decided, first = (
-            current.filter("lead")
-            .selectExpr(
-                f"count_if(state = {OPEN})", f"count_if(state <> {OPEN})", f"min(IF(state = {OPEN}, seq, NULL))"
-            )
+        decided = stored(_decided(_bounded(current, block_rows)), "round")
+        open_now, changed = (
+            decided.filter("lead")
+            .selectExpr(f"count_if(state = {OPEN})", f"min(IF(IF(state = {OPEN}, expected, units) <> guess, seq, NULL))")
             .first()
         )
-        if open_now and not decided:
-            raise ValueError("requests without a usable account or with repeated positions cannot be decided")
-        slow = slow or decided < SLOW * (open_now + decided)
-        left = open_now
+        # Up to the first change all guesses are exact; without a change all of them are.
+        exact = f"(state = {OPEN} AND seq <= {2**62 if changed is None else changed})"
+        current = decided.selectExpr(
+            *COLUMNS,
+            "base",
+            "expected AS guess",
+            f"CASE WHEN NOT {exact} THEN state WHEN expected > 0 THEN {ACCEPTED} ELSE {REFUSED} END AS state",
+            f"IF({exact}, expected, units) AS units",
+        )
+        verdicts.append(current.filter(f"lead AND state <> {OPEN}").select("seq", "units"))
+        if not open_now or changed is None:
+            break
     # Pairwise unions keep the plan shallow after many rounds.
     while len(verdicts) > 1:
         verdicts = [

@@ -61,7 +61,6 @@ def guard_balances(spends: DataFrame, users: DataFrame, path: str) -> DataStream
 
     def settle_batch(df: DataFrame, batch: int) -> None:
         numbered = stored(dense_numbers(df, ["ts", "event_id"], "seq"), "spends")
-        last = numbered.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         touched = numbered.select("user_id").distinct()
         before = stored(
             _balances_before(users, f"{path}/balances", batch).join(touched, "user_id", "left_semi"), "balances"
@@ -75,7 +74,7 @@ def guard_balances(spends: DataFrame, users: DataFrame, path: str) -> DataStream
             "CAST(NULL AS BIGINT) AS seq", *account, "CAST(0 AS BIGINT) AS at_seq", "balance AS coef",
             "CAST(1 AS BIGINT) AS cap", "CAST(NULL AS BIGINT) AS need", "false AS lead",
         )
-        units, _ = settle(spent.unionByName(opening).select(*COLUMNS), last)
+        units, _ = settle(spent.unionByName(opening).select(*COLUMNS))
         verdicts = stored(
             numbered.join(units, "seq", "left").withColumn("accepted", F.coalesce(F.col("units") > 0, F.lit(False))),
             "verdicts",
