@@ -36,7 +36,7 @@ def test_packing_round_trip(count):
 def test_words_equal_library(library):
     rng = random.Random(4)
     words = token_files._Words(PATH)
-    alphabets = ["aàéß ñ日本語😀 \n\t.,'s!\x0b\x0c\r", "ΣΑΟΔς Σ\n ", "á̧̈ ë́    \x85\x1c\x1f b", "ab' s'll\t'", "<|endoftext|> a"]
+    alphabets = ["aàéß ñ日本語😀 \n\t.,'s!\x0b\x0c\r", "ΣΑΟΔς Σ\n ", "á̧̈ ë́    \x85\x1c\x1f b", "ab' s'll\t'", "<|endoftext|> a", "aB.,!'s* ", "e.ǅ'Ll-;x_ "]
     texts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 60))) for _ in range(500)] + ["x" * 5000, "ab " * 9000]
     got = words.encode(pa.array(texts))
     assert [np.frombuffer(one, words.kind).tolist() for one in got] == [library(text) for text in texts]

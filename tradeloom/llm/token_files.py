@@ -13,12 +13,15 @@ by part and chunk) and ``vocabulary`` (rank to id). Chunks hold whole documents.
 from __future__ import annotations
 
 import os
+import re
+import string
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -28,6 +31,9 @@ from tradeloom.plans.workspace import new_path, stored
 MEMO = 1_200_000
 LONG_WORD = 64
 CHUNK_IDS = 1 << 18
+# Marks that are no part of a word whatever stands around them; an apostrophe may be.
+MARKS = "".join(mark for mark in string.punctuation if mark != "'")
+MARKED = rf"([a-z])([{re.escape(MARKS)}])"
 # Lengths of the four numbers of a control byte, the first in the lowest bits.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -68,6 +74,15 @@ class _Words:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
+        def ids(text: str) -> list[int]:
+            return self.library.encode(text, add_special_tokens=False).ids
+
+        # What the file does with letters' case and with a mark after a letter decides how far words can be
+        # brought together before they are looked up.
+        letters = string.ascii_lowercase
+        self.lowers = all(ids(one) == ids(one.upper()) for one in letters)
+        self.parts = all(ids(one + mark) == ids(one) + ids(mark) for one in letters for mark in MARKS)
+
     def lookup(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
         new = [word for word in words if word not in self.known]
@@ -85,6 +100,10 @@ class _Words:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; each distinct word of the texts is looked up once."""
+        if self.lowers:
+            texts = pc.ascii_lower(texts)
+            if self.parts:
+                texts = pc.replace_substring_regex(texts, MARKED, r"\1 \2")
         words, ends = split_words(texts)
         coded = words.dictionary_encode()
         ids = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
@@ -180,7 +199,7 @@ def write(
             yield chunk()
 
     types = f"part bigint, chunk bigint, start bigint, n_ids bigint, keys array<{key_type}>, lengths array<bigint>, control binary, data binary"
-    ordered = tokens.repartitionByRange("key", "ids").sortWithinPartitions("key", "ids")
+    ordered = tokens.repartitionByRange("key").sortWithinPartitions("key", "ids")
     ordered.mapInArrow(run, types).write.parquet(f"{path}/chunks")
     vocabulary = [(i, int(x)) for i, x in enumerate(order)]
     spark.createDataFrame(vocabulary, "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/vocabulary")
