@@ -49,9 +49,7 @@ TABLES = {
     "inventory": """
         SELECT user_id, item_id, CAST(sum(quantity) AS BIGINT) AS quantity, min(transaction_date) AS purchased_at
         FROM transactions
-        WHERE transaction_type = 'admin_grant'
-          AND transaction_date >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 365 DAY
-        GROUP BY user_id, item_id""",
+        WHERE transaction_type = 'admin_grant' GROUP BY user_id, item_id""",
     "game_stats": """
         SELECT event_id AS id, user_id,
                CASE event_type WHEN 'signup' THEN 'wheel' WHEN 'click' THEN 'hunt' WHEN 'purchase' THEN 'chest'
@@ -188,8 +186,11 @@ oracle(
 )
 oracle(
     "all_users_inventory",
-    """SELECT u.id, username, role, i.id AS item_id, i.name AS item_name, i.category, quantity
-       FROM users u LEFT JOIN inventory inv ON inv.user_id = u.id LEFT JOIN items i ON i.id = inv.item_id""",
+    """, held AS (SELECT user_id, item_id, name, category, quantity FROM items JOIN inventory ON item_id = id)
+       SELECT id, username, role, item_id, name AS item_name, category, quantity FROM users, held WHERE user_id = id
+       UNION ALL
+       SELECT id, username, role, NULL, NULL, NULL, NULL FROM users
+       WHERE NOT EXISTS (SELECT 1 FROM held WHERE user_id = users.id)""",
     "users", "inventory", "items",
 )
 oracle(
@@ -199,22 +200,29 @@ oracle(
        FROM users u LEFT JOIN inventory inv ON inv.user_id = u.id LEFT JOIN items i ON i.id = inv.item_id""",
     "users", "inventory", "items",
 )
-OFFER_VIEW = """SELECT o.*, name, description, category, username AS seller_name
-    FROM offers o JOIN items i ON i.id = item_id JOIN users u ON u.id = seller_id
-    WHERE status = 'active' AND """
-oracle("active_offers", OFFER_VIEW + "seller_id <> 1", "offers", "items", "users")
-oracle("own_offers", OFFER_VIEW + "seller_id = 10", "offers", "items", "users")
+def _open_offers(where: str) -> str:
+    """Offers chosen first; the names are looked up one by one afterwards."""
+    return f"""
+        SELECT chosen.*, (SELECT name FROM items WHERE id = chosen.item_id) AS name,
+               (SELECT description FROM items WHERE id = chosen.item_id) AS description,
+               (SELECT category FROM items WHERE id = chosen.item_id) AS category,
+               (SELECT username FROM users WHERE id = chosen.seller_id) AS seller_name
+        FROM (FROM offers WHERE {where} AND status = 'active') chosen
+        WHERE item_id IN (SELECT id FROM items) AND seller_id IN (SELECT id FROM users)"""
+
+
+oracle("active_offers", _open_offers("seller_id <> 1"), "offers", "items", "users")
+oracle("own_offers", _open_offers("seller_id = 10"), "offers", "items", "users")
+oracle("item_offers", _open_offers("item_id BETWEEN 7 AND 7"), "offers", "items", "users")
 oracle(
     "trade_details",
-    """SELECT t.id, offer_id, item_id, i.name AS item_name, quantity, price_per_unit, total_amount,
-              transaction_date, max(CASE WHEN p.role = 'buyer' THEN p.user_id END) AS buyer_id,
-              max(CASE WHEN p.role = 'buyer' THEN ub.username END) AS buyer_name,
-              max(CASE WHEN p.role = 'seller' THEN p.user_id END) AS seller_id,
-              max(CASE WHEN p.role = 'seller' THEN us.username END) AS seller_name
-       FROM trades t JOIN items i ON i.id = t.item_id JOIN participants p ON p.transaction_id = t.id
-            LEFT JOIN users ub ON p.user_id = ub.id AND p.role = 'buyer'
-            LEFT JOIN users us ON p.user_id = us.id AND p.role = 'seller'
-       GROUP BY ALL""",
+    """, named AS (SELECT transaction_id, participants.role, user_id, username FROM participants LEFT JOIN users ON user_id = id),
+       buyers AS (SELECT transaction_id, user_id AS buyer_id, username AS buyer_name FROM named WHERE role = 'buyer'),
+       sellers AS (SELECT transaction_id, user_id AS seller_id, username AS seller_name FROM named WHERE role = 'seller'),
+       sides AS (FROM buyers FULL JOIN sellers USING (transaction_id))
+       SELECT trades.*, (SELECT name FROM items WHERE id = trades.item_id) AS item_name,
+              buyer_id, buyer_name, seller_id, seller_name
+       FROM trades JOIN sides ON sides.transaction_id = trades.id WHERE item_id IN (SELECT id FROM items)""",
     "trades", "items", "participants", "users",
 )
 oracle(
@@ -223,6 +231,13 @@ oracle(
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, row_id, type) <= 50""",
     "trade_rows",
 )
+oracle(
+    "scarce_history",
+    """SELECT user_id, type, date, item_name, quantity, price_per_unit, total_amount, other_party FROM trade_rows
+       WHERE item_id IN (SELECT id FROM items WHERE stock > 0)
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, row_id, type) <= 3""",
+    "trade_rows",
+)
 oracle(
     "labelled_history",
     """SELECT user_id, CASE type WHEN 'purchase' THEN 'Покупка у игрока' ELSE 'Продажа игроку' END AS type_label,
@@ -547,9 +562,7 @@ oracle(
        FROM items""",
     "items",
 )
-oracle(
-    "ledger_fold",
-    """, entries AS (
+LEDGER = """, entries AS (
            SELECT 'balance' AS account, user_id, NULL AS item_id,
                   CASE transaction_type WHEN 'purchase' THEN -total_amount WHEN 'sale' THEN total_amount ELSE 0 END
                       AS amount
@@ -567,74 +580,57 @@ oracle(
            UNION ALL SELECT 'holding', seller_id, item_id, -quantity FROM offers WHERE status = 'active'
            UNION ALL SELECT 'balance', user_id, NULL,
                   CAST(trunc(value) AS BIGINT) - CASE event_type WHEN 'purchase' THEN 100 ELSE 0 END
-           FROM events)
-       SELECT account, user_id, item_id, CAST(sum(amount) AS BIGINT) AS amount FROM entries WHERE amount <> 0
-       GROUP BY ALL""",
+           FROM events)"""
+oracle(
+    "ledger_fold",
+    LEDGER
+    + """ SELECT account, user_id, item_id, CAST(sum(amount) AS BIGINT) AS amount FROM entries WHERE amount <> 0
+          GROUP BY ALL""",
     "transactions", "trades", "participants", "offers",
 )
-
 oracle(
     "ledger_reconcile",
-    """, implied AS (
-           SELECT 'balance' AS account, user_id, NULL AS item_id,
-                  sum(CASE transaction_type WHEN 'purchase' THEN -total_amount WHEN 'sale' THEN total_amount ELSE 0 END)
-                      AS expected
-           FROM transactions GROUP BY ALL
-           UNION ALL SELECT 'stock', NULL, item_id,
-                  sum(CASE transaction_type WHEN 'purchase' THEN -quantity WHEN 'sale' THEN quantity ELSE 0 END)
-           FROM transactions GROUP BY ALL
-           UNION ALL SELECT 'holding', user_id, item_id,
-                  sum(CASE transaction_type WHEN 'sale' THEN -quantity ELSE quantity END)
-           FROM transactions GROUP BY ALL),
-       stored AS (
-           SELECT 'balance' AS account, id AS user_id, NULL AS item_id, balance AS actual FROM users
-           UNION ALL SELECT 'stock', NULL, id, stock FROM items
-           UNION ALL SELECT 'holding', user_id, item_id, quantity FROM inventory)
-       SELECT coalesce(i.account, s.account) AS account, coalesce(i.user_id, s.user_id) AS user_id,
-              coalesce(i.item_id, s.item_id) AS item_id, CAST(coalesce(expected, 0) AS BIGINT) AS expected,
-              CAST(coalesce(actual, 0) AS BIGINT) AS actual
-       FROM implied i FULL JOIN stored s
-           ON i.account = s.account AND i.user_id IS NOT DISTINCT FROM s.user_id
-              AND i.item_id IS NOT DISTINCT FROM s.item_id
-       WHERE coalesce(expected, 0) <> coalesce(actual, 0)""",
-    "transactions", "users", "items", "inventory",
+    LEDGER
+    + """, money AS (SELECT 'balance' AS account, id AS user_id, NULL AS item_id, balance AS amount FROM users
+                     UNION ALL SELECT 'stock', NULL, id, stock FROM items),
+         sums AS (
+             SELECT account, user_id, item_id, sum(expected) AS expected, sum(actual) AS actual
+             FROM (SELECT *, amount AS expected, 0 AS actual FROM entries
+                   UNION ALL SELECT *, amount, amount FROM money
+                   UNION ALL SELECT 'holding', user_id, item_id, quantity, 0, quantity FROM inventory)
+             GROUP BY ALL)
+         SELECT account, user_id, item_id, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual
+         FROM sums WHERE expected <> actual""",
+    "transactions", "trades", "participants", "offers", "users", "items", "inventory",
 )
 
 # Rewards ----------------------------------------------------------------------
 
-# Draws from 1 to 100 and what they hit.
-DRAWS = """
-    SELECT event_id AS id, user_id, action_type, ts AS created_at,
-           CASE WHEN action_type = 'hunt' AND n > 70 THEN 'lose' ELSE 'win' END AS result,
-           CASE action_type
-               WHEN 'wheel' THEN CASE WHEN n <= 62 THEN 'coins' WHEN n <= 97 THEN 'item' ELSE 'nothing' END
-               WHEN 'hunt' THEN 'coins'
-               ELSE CASE WHEN n <= 75 THEN 'coins' WHEN n <= 96 THEN 'item' ELSE 'nothing' END END AS reward_type,
-           CAST(CASE action_type
-               WHEN 'wheel' THEN CASE WHEN n <= 30 THEN 10 WHEN n <= 50 THEN 50 WHEN n <= 60 THEN 100
-                    WHEN n <= 62 THEN 500 WHEN n <= 72 THEN 1 WHEN n <= 82 THEN 2 WHEN n <= 97 THEN 3 ELSE 0 END
-               WHEN 'hunt' THEN CASE WHEN n <= 40 THEN 200 WHEN n <= 70 THEN 100 WHEN n <= 90 THEN -100 ELSE -200 END
-               ELSE CASE WHEN n <= 30 THEN 150 WHEN n <= 50 THEN 300 WHEN n <= 75 THEN 50 WHEN n <= 83 THEN 1
-                    WHEN n <= 91 THEN 2 WHEN n <= 96 THEN 4 ELSE 0 END END AS BIGINT) AS reward_value
-    FROM (SELECT *, event_id * 7919 % 100 + 1 AS n,
-                 CASE event_type WHEN 'signup' THEN 'wheel' WHEN 'click' THEN 'hunt' ELSE 'chest' END AS action_type
-          FROM events WHERE event_type IN ('signup', 'click', 'purchase'))"""
-TABLES["draws"] = DRAWS
-oracle("reward_draw", "SELECT * FROM draws", "draws")
+# Logged outcomes: every fifth action won an item (some do not exist), lost hunts cost coins.
+LOGGED = """
+    SELECT event_id AS id, user_id, ts AS created_at,
+           CASE event_type WHEN 'signup' THEN 'wheel' WHEN 'click' THEN 'hunt' ELSE 'chest' END AS action_type,
+           CASE WHEN event_id % 5 = 0 THEN 'item' ELSE 'coins' END AS reward_type,
+           CASE WHEN event_id % 5 = 0 THEN event_id % 2500 + 1
+                WHEN event_type = 'click' AND value < 20 THEN -10 * CAST(trunc(value) AS BIGINT)
+                ELSE CAST(trunc(value) AS BIGINT) END AS reward_value
+    FROM events WHERE event_type IN ('signup', 'click', 'purchase')"""
 # One step per user and action: the balance decides, and carries on.
-ORACLES["replay_rewards"] = f"""
-    WITH RECURSIVE draws AS ({DRAWS}),
+def _rewards(columns: str) -> str:
+    return f"""
+    WITH RECURSIVE logged AS ({LOGGED}),
     marked AS (
         SELECT *, action_type = 'wheel' AND row_number() OVER (
-                   PARTITION BY user_id, action_type, CAST(created_at AS DATE) ORDER BY created_at, id) > 1 AS repeated
-        FROM draws),
+                   PARTITION BY user_id, action_type, CAST(created_at AS DATE) ORDER BY created_at, id) > 1 AS repeated,
+               reward_type = 'item' AND reward_value NOT IN (SELECT p_partkey FROM part) AS unknown
+        FROM logged),
     turns AS (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS turn,
                CASE WHEN action_type = 'chest' THEN 100 WHEN reward_type = 'coins' AND reward_value < 0
                     THEN -reward_value ELSE 0 END AS need,
                CASE WHEN reward_type = 'coins' THEN reward_value ELSE 0 END
                    - CASE WHEN action_type = 'chest' THEN 100 ELSE 0 END AS gain
-        FROM marked WHERE NOT repeated),
+        FROM marked WHERE NOT repeated AND NOT unknown),
     walk AS (
         SELECT user_id, CAST(0 AS BIGINT) AS turn, CAST(500 AS BIGINT) AS balance, CAST(NULL AS BIGINT) AS id,
                true AS accepted
@@ -644,9 +640,20 @@ ORACLES["replay_rewards"] = f"""
                CAST(CASE WHEN need > 0 AND w.balance < need THEN w.balance ELSE w.balance + gain END AS BIGINT), t.id,
                NOT (need > 0 AND w.balance < need)
         FROM walk w JOIN turns t ON t.user_id = w.user_id AND t.turn = w.turn + 1)
-    SELECT m.id, m.user_id, action_type, reward_type, reward_value, coalesce(accepted, false) AS accepted,
-           CASE WHEN repeated THEN 'already_spun' WHEN NOT accepted THEN 'short_balance' END AS reason
-    FROM marked m LEFT JOIN walk w ON w.id = m.id"""
+    {columns}"""
+
+
+ORACLES["replay_rewards"] = _rewards(
+    """SELECT m.id, m.user_id, action_type, reward_type, reward_value, coalesce(accepted, false) AS accepted,
+              CASE WHEN repeated THEN 'already_spun' WHEN unknown THEN 'unknown_item'
+                   WHEN NOT accepted THEN 'short_balance' END AS reason
+       FROM marked m LEFT JOIN walk w ON w.id = m.id"""
+)
+ORACLES["reward_balances"] = _rewards(
+    """SELECT c_custkey AS id, CAST(coalesce((SELECT arg_max(balance, turn) FROM walk WHERE user_id = c_custkey), 500)
+              AS BIGINT) AS balance
+       FROM customer"""
+)
 
 # Streams ---------------------------------------------------------------------
 
@@ -715,10 +722,19 @@ ORACLES["stream_balance_guard"] = """
 # 0 cash of k, 1 stock of k, 4 holding of k and k2, 3 offer k, 2 the outcome of request k.
 
 
-def _shop_replay(kinds: dict[str, str], columns: str, inventory: bool) -> str:
+DECIDED = "requests JOIN walk ON account = 2 AND k = seq"
+# Effects of a replay, from the last state of the accounts.
+BALANCES = ("k AS id, amount AS balance", "walk WHERE account = 0")
+STOCKS = ("k AS id, amount AS stock", "walk WHERE account = 1")
+HOLDINGS = (
+    "k AS user_id, k2 AS item_id, amount AS quantity, CAST(verdict AS TIMESTAMP) AS purchased_at",
+    "walk WHERE account = 4 AND amount > 0",
+)
+
+
+def _shop_replay(kinds: dict[str, str], columns: str, rows: str = DECIDED) -> str:
     cases = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in kinds.items())
     tables = ["items", "users", "facts", "transactions", "inventory"]
-    held = "SELECT 4, user_id, item_id, quantity, 0, NULL FROM inventory"
     return f"""
     WITH RECURSIVE {', '.join(f"{t} AS ({TABLES[t]})" for t in tables)},
     rows AS (
@@ -734,10 +750,10 @@ def _shop_replay(kinds: dict[str, str], columns: str, inventory: bool) -> str:
                CAST(NULL AS VARCHAR) AS verdict
         FROM users
         UNION ALL SELECT 1, id, 0, stock * 40, 0, NULL FROM items
-        {'UNION ALL ' + held if inventory else ''}
+        UNION ALL SELECT 4, user_id, item_id, quantity, 0, CAST(purchased_at AS VARCHAR) FROM inventory
         UNION
         (WITH found AS (
-            SELECT r.*, c.amount AS cash, s.amount AS stock, coalesce(h.amount, 0) AS held
+            SELECT r.*, c.amount AS cash, s.amount AS stock, coalesce(h.amount, 0) AS held, h.verdict AS since
             FROM requests r
             JOIN recurring.walk c ON c.account = 0 AND c.k = r.user_id AND c.turn + 1 = r.user_turn
             JOIN recurring.walk s ON s.account = 1 AND s.k = r.item_id AND s.turn + 1 = r.item_turn
@@ -765,24 +781,33 @@ def _shop_replay(kinds: dict[str, str], columns: str, inventory: bool) -> str:
                                                  ELSE 1 END, item_turn, NULL FROM moved
          UNION ALL
          SELECT 4, user_id, item_id,
-                held + units * size * CASE kind WHEN 'sell' THEN -1 WHEN 'stock_remove' THEN -1 ELSE 1 END, 0, NULL
+                held + units * size * CASE kind WHEN 'sell' THEN -1 WHEN 'stock_remove' THEN -1 ELSE 1 END, 0,
+                -- A holding that was used up starts anew.
+                CASE WHEN held = 0 THEN CAST(at_time AS VARCHAR) ELSE since END
          FROM moved
          UNION ALL SELECT 2, seq, 0, units, 0, reason FROM moved))
-    SELECT {columns} FROM requests JOIN walk ON account = 2 AND k = seq"""
+    SELECT {columns} FROM {rows}"""
 
 
 ORACLES["replay_purchases"] = _shop_replay(
-    {"purchase": "buy"}, "seq, user_id, item_id, quantity, amount > 0 AS accepted, verdict AS reason", False
+    {"purchase": "buy"}, "seq, user_id, item_id, quantity, amount > 0 AS accepted, verdict AS reason"
 )
 ORACLES["replay_sales"] = _shop_replay(
     {"admin_grant": "grant", "purchase": "buy", "sale": "sell"},
-    "seq, kind, user_id, item_id, quantity, amount > 0 AS accepted, verdict AS reason", True,
+    "seq, kind, user_id, item_id, quantity, amount > 0 AS accepted, verdict AS reason"
 )
 ORACLES["replay_admin"] = _shop_replay(
     {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"},
-    "seq, kind, user_id, item_id, quantity, amount AS units, amount > 0 AS accepted, verdict AS reason", True,
+    "seq, kind, user_id, item_id, quantity, amount AS units, amount > 0 AS accepted, verdict AS reason"
 )
 
+_SALES = {"admin_grant": "grant", "purchase": "buy", "sale": "sell"}
+ORACLES["replay_sales_balances"] = _shop_replay(_SALES, *BALANCES)
+ORACLES["replay_sales_stock"] = _shop_replay(_SALES, *STOCKS)
+ORACLES["replay_sales_holdings"] = _shop_replay(_SALES, *HOLDINGS)
+_MOVES = {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"}
+ORACLES["replay_admin_holdings"] = _shop_replay(_MOVES, *HOLDINGS)
+
 _MARKET = ["items", "users", "facts", "transactions", "inventory", "order_lines", "offers"]
 ORACLES["replay_market"] = f"""
     WITH RECURSIVE {', '.join(f"{t} AS ({TABLES[t]})" for t in _MARKET)},

@@ -35,10 +35,6 @@ def _event_as_of(spark: SparkSession, root: str):
     return b.latest(b.read(spark, root, "events"), "ts")
 
 
-def _inventory(spark: SparkSession, root: str) -> DataFrame:
-    return b.inventory(spark, root, _shop_as_of(spark, root))
-
-
 # Catalog -----------------------------------------------------------------
 
 
@@ -135,22 +131,22 @@ def event_props(spark, root):
 
 @query
 def inventory_detail(spark, root):
-    return holdings.inventory_detail(_inventory(spark, root), b.items(spark, root), holdings.PRICED)
+    return holdings.inventory_detail(b.inventory(spark, root), b.items(spark, root), holdings.PRICED)
 
 
 @query
 def holdings_value(spark, root):
-    return holdings.holdings_value(_inventory(spark, root), b.items(spark, root))
+    return holdings.holdings_value(b.inventory(spark, root), b.items(spark, root))
 
 
 @query
 def all_users_inventory(spark, root):
-    return holdings.all_users_inventory(b.users(spark, root), _inventory(spark, root), b.items(spark, root))
+    return holdings.all_users_inventory(b.users(spark, root), b.inventory(spark, root), b.items(spark, root))
 
 
 @query
 def labelled_inventory(spark, root):
-    rows = holdings.all_users_inventory(b.users(spark, root), _inventory(spark, root), b.items(spark, root))
+    rows = holdings.all_users_inventory(b.users(spark, root), b.inventory(spark, root), b.items(spark, root))
     return holdings.labelled_inventory(rows)
 
 
@@ -164,34 +160,45 @@ def own_offers(spark, root):
     return market.active_offers(b.offers(spark, root), b.items(spark, root), b.users(spark, root), seller_id=10)
 
 
+@query
+def item_offers(spark, root):
+    return market.active_offers(b.offers(spark, root), b.items(spark, root), b.users(spark, root), item_id="7")
+
+
+def _trading(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Trades and participants over order lines that are put together once."""
+    lines = stored(b.order_lines(spark, root), "order-lines")
+    return b.trades(spark, root, lines), b.participants(spark, root, lines)
+
+
 @query
 def trade_details(spark, root):
-    return market.trade_details(
-        b.trades(spark, root), b.participants(spark, root), b.items(spark, root), b.users(spark, root)
-    )
+    return market.trade_details(*_trading(spark, root), b.items(spark, root), b.users(spark, root))
 
 
 @query
 def trade_history(spark, root):
-    return market.trade_history(
-        b.trades(spark, root), b.participants(spark, root), b.items(spark, root), b.users(spark, root)
-    )
+    return market.trade_history(*_trading(spark, root), b.items(spark, root), b.users(spark, root))
+
+
+@query
+def scarce_history(spark, root):
+    """Histories when the items out of stock are gone: their trades do not take the place of others."""
+    goods = b.items(spark, root).filter(F.col("stock") > 0)
+    return market.trade_history(*_trading(spark, root), goods, b.users(spark, root), n=3)
 
 
 @query
 def full_history(spark, root):
     return market.full_history(
-        b.trades(spark, root), b.participants(spark, root), b.transactions(spark, root), b.items(spark, root),
-        b.users(spark, root), n=10,
+        *_trading(spark, root), b.transactions(spark, root), b.items(spark, root), b.users(spark, root), n=10
     )
 
 
 @query
 def labelled_history(spark, root):
     return market.labelled_history(
-        market.trade_history(
-            b.trades(spark, root), b.participants(spark, root), b.items(spark, root), b.users(spark, root), n=5
-        )
+        market.trade_history(*_trading(spark, root), b.items(spark, root), b.users(spark, root), n=5)
     )
 
 
@@ -273,7 +280,7 @@ def daily_action_counts(spark, root):
 @query
 def db_summary(spark, root):
     return analytics.database_summary(
-        b.users(spark, root), b.items(spark, root), _inventory(spark, root),
+        b.users(spark, root), b.items(spark, root), b.inventory(spark, root),
         b.transactions(spark, root, with_user=False), b.offers(spark, root), b.trades(spark, root),
         b.game_stats(spark, root),
     )
@@ -352,7 +359,7 @@ def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {
         "users": b.users(spark, root),
         "items": b.items(spark, root),
-        "inventory": stored(_inventory(spark, root), "inventory"),
+        "inventory": stored(b.inventory(spark, root), "inventory"),
         "transactions": stored(b.transactions(spark, root), "transactions"),
         "offers": b.offers(spark, root, lines),
         "trades": b.trades(spark, root, lines),
@@ -406,7 +413,10 @@ def _item_patches(spark: SparkSession, root: str) -> DataFrame:
     lines = b.transactions(spark, root, with_user=False)
     return lines.select(
         F.col("item_id").alias("id"),
-        F.struct("transaction_date", "transaction_type", "quantity", "total_amount").alias("seq"),
+        # Day, quantity and amount in one number, so that the newest value is found in a hash table.
+        F.expr(
+            "unix_date(CAST(transaction_date AS DATE)) * 4398046511104L + quantity * 4294967296L + total_amount"
+        ).alias("seq"),
         F.when(F.col("transaction_type") == "purchase", F.col("price_per_unit")).alias("price"),
         F.when(F.col("transaction_type") == "sale", F.col("quantity") - 10).alias("stock"),
     )
@@ -447,7 +457,7 @@ def assign_moderators(spark, root):
 def upsert_inventory(spark, root):
     signed = F.when(F.col("transaction_type") == "sale", -F.col("quantity")).otherwise(F.col("quantity"))
     moves = b.transactions(spark, root).select("user_id", "item_id", signed.alias("quantity"), F.col("transaction_date").alias("at"))
-    return changes.apply_holding_changes(_inventory(spark, root), moves)
+    return changes.apply_holding_changes(b.inventory(spark, root), moves)
 
 
 @query
@@ -471,21 +481,28 @@ def insert_items(spark, root):
     return changes.insert_items(b.items(spark, root), rows, ["name", "n"], at)
 
 
-@query
-def ledger_fold(spark, root):
+def _all_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Movements of all logs."""
+    lines = stored(b.order_lines(spark, root), "order-lines")
     return ledger.fold(
         ledger.shop_entries(b.transactions(spark, root)),
-        ledger.trade_entries(b.trades(spark, root), b.participants(spark, root)),
-        ledger.offer_entries(b.offers(spark, root)),
+        ledger.trade_entries(b.trades(spark, root, lines), b.participants(spark, root, lines)),
+        ledger.offer_entries(b.offers(spark, root, lines)),
         ledger.reward_entries(b.game_stats(spark, root)),
     )
 
 
+@query
+def ledger_fold(spark, root):
+    return _all_entries(spark, root)
+
+
 @query
 def ledger_reconcile(spark, root):
-    """Accounts where the snapshots are not what the shop log alone would give."""
-    snapshot = ledger.snapshot_entries(b.users(spark, root), b.items(spark, root), _inventory(spark, root))
-    return ledger.reconcile(snapshot.limit(0), ledger.fold(ledger.shop_entries(b.transactions(spark, root))), snapshot)
+    """Accounts that all logs, on balances and stocks at the start and no holdings, do not lead to the snapshots."""
+    users, items, held = b.users(spark, root), b.items(spark, root), b.inventory(spark, root)
+    opening = ledger.snapshot_entries(users, items, held.filter(F.col("quantity") <= 0))
+    return ledger.reconcile(opening, _all_entries(spark, root), ledger.snapshot_entries(users, items, held))
 
 
 # Replays ---------------------------------------------------------------------
@@ -501,14 +518,6 @@ def _full_items(spark: SparkSession, root: str) -> DataFrame:
     return b.items(spark, root).withColumn("stock", F.col("stock") * 40)
 
 
-def _no_offers(spark: SparkSession, root: str) -> DataFrame:
-    return b.offers(spark, root).limit(0)
-
-
-def _no_inventory(spark: SparkSession, root: str) -> DataFrame:
-    return _inventory(spark, root).limit(0)
-
-
 def _line_requests(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFrame:
     """Shop lines as requests, by time."""
     lines = b.transactions(spark, root).filter(F.col("transaction_type").isin(*kinds))
@@ -520,36 +529,56 @@ def _line_requests(spark: SparkSession, root: str, kinds: dict[str, str]) -> Dat
     return replays.number_requests(rows, LINE_ORDER)
 
 
+def _shop_replay(spark: SparkSession, root: str, kinds: dict[str, str]) -> replays.Replay:
+    return replays.replay(
+        _line_requests(spark, root, kinds), _rich_users(spark, root), _full_items(spark, root), b.inventory(spark, root),
+        b.offers(spark, root),
+    )
+
+
+SALES = {"admin_grant": "grant", "purchase": "buy", "sale": "sell"}
+MOVES = {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"}
+
+
 @query
 def replay_purchases(spark, root):
-    requests = _line_requests(spark, root, {"purchase": "buy"})
-    result = replays.replay(
-        requests, _rich_users(spark, root), _full_items(spark, root), _no_inventory(spark, root), _no_offers(spark, root)
-    )
+    result = _shop_replay(spark, root, {"purchase": "buy"})
     return result.decisions.select("seq", "user_id", "item_id", "quantity", "accepted", "reason")
 
 
 @query
 def replay_sales(spark, root):
     """Grants, purchases and sales of all shop lines against the held inventory."""
-    requests = _line_requests(spark, root, {"admin_grant": "grant", "purchase": "buy", "sale": "sell"})
-    result = replays.replay(
-        requests, _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root), _no_offers(spark, root)
-    )
+    result = _shop_replay(spark, root, SALES)
     return result.decisions.select("seq", "kind", "user_id", "item_id", "quantity", "accepted", "reason")
 
 
+@query
+def replay_sales_balances(spark, root):
+    return _shop_replay(spark, root, SALES).users.select("id", "balance")
+
+
+@query
+def replay_sales_stock(spark, root):
+    return _shop_replay(spark, root, SALES).items.select("id", "stock")
+
+
+@query
+def replay_sales_holdings(spark, root):
+    return _shop_replay(spark, root, SALES).inventory
+
+
 @query
 def replay_admin(spark, root):
-    requests = _line_requests(
-        spark, root, {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"}
-    )
-    result = replays.replay(
-        requests, _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root), _no_offers(spark, root)
-    )
+    result = _shop_replay(spark, root, MOVES)
     return result.decisions.select("seq", "kind", "user_id", "item_id", "quantity", "units", "accepted", "reason")
 
 
+@query
+def replay_admin_holdings(spark, root):
+    return _shop_replay(spark, root, MOVES).inventory
+
+
 def _market_requests(spark: SparkSession, root: str) -> DataFrame:
     """Lines as market purchases by supplier keys, urgent orders as cancellations, sales as listings."""
     lines = b.read(spark, root, "lineitem")
@@ -572,7 +601,7 @@ def _market_requests(spark: SparkSession, root: str) -> DataFrame:
         F.lit(None).cast("bigint").alias("price_per_unit"),
         F.col("o_orderdate").alias("at"),
     )
-    listings = _inventory(spark, root).select(
+    listings = b.inventory(spark, root).select(
         F.lit("list").alias("kind"),
         "user_id",
         "item_id",
@@ -593,30 +622,42 @@ def _cheap_offers(spark: SparkSession, root: str) -> DataFrame:
 @query
 def replay_market(spark, root):
     result = replays.replay(
-        _market_requests(spark, root), _rich_users(spark, root), _full_items(spark, root), _inventory(spark, root),
+        _market_requests(spark, root), _rich_users(spark, root), _full_items(spark, root), b.inventory(spark, root),
         stored(_cheap_offers(spark, root), "offers"),
     )
     return result.decisions.select("seq", "kind", "user_id", "offer_id", "quantity", "accepted", "reason")
 
 
-def _draw_number() -> Column:
-    return F.pmod(F.col("id") * 7919, F.lit(100)) + 1
+def _logged_games(spark: SparkSession, root: str) -> DataFrame:
+    """The three games of the log; every fifth action won an item, some of which do not exist, lost hunts cost coins."""
+    games = b.game_stats(spark, root).filter(F.col("action_type").isin("wheel", "hunt", "chest"))
+    item, lost = F.col("id") % 5 == 0, (F.col("action_type") == "hunt") & (F.col("result") == "lose")
+    value = F.col("reward_value")
+    return games.withColumns(
+        {
+            "reward_type": F.when(item, "item").otherwise("coins"),
+            "reward_value": F.when(item, F.col("id") % 2500 + 1).when(lost, -10 * value).otherwise(value),
+        }
+    )
 
 
-@query
-def reward_draw(spark, root):
-    return rewards.draw_rewards(b.game_stats(spark, root).drop("result", "reward_type", "reward_value"), _draw_number())
+def _played(spark: SparkSession, root: str):
+    """All logged game actions of users who start with 500 coins."""
+    people = b.users(spark, root).withColumn("balance", F.lit(500).cast("bigint"))
+    return rewards.play(_logged_games(spark, root), people, b.items(spark, root), b.inventory(spark, root))
 
 
 @query
 def replay_rewards(spark, root):
-    """All game actions of users who start with 500 coins."""
-    people = b.users(spark, root).withColumn("balance", F.lit(500).cast("bigint"))
-    draws = rewards.draw_rewards(b.game_stats(spark, root).drop("result", "reward_type", "reward_value"), _draw_number())
-    log, _ = rewards.play(draws, people, b.items(spark, root), _no_inventory(spark, root))
+    log, _ = _played(spark, root)
     return log.select("id", "user_id", "action_type", "reward_type", "reward_value", "accepted", "reason")
 
 
+@query
+def reward_balances(spark, root):
+    return _played(spark, root)[1].users.select("id", "balance")
+
+
 # Streams ---------------------------------------------------------------------
 
 
@@ -670,7 +711,7 @@ def stream_upsert(spark, root):
         "user_id", F.col("value").cast("bigint").alias("item_id"), sign.alias("quantity"), F.col("ts").alias("at")
     )
     run_available(state.upsert_holdings(moves, f"{path}/table"), f"{path}/progress")
-    return state.current_holdings(_inventory(spark, root), f"{path}/table")
+    return state.current_holdings(b.inventory(spark, root), f"{path}/table")
 
 
 @query

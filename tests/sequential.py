@@ -13,13 +13,19 @@ class Shop:
         self.price = {i: price for i, price, _ in items}
         self.stock = {i: stock for i, _, stock in items}
         self.held = defaultdict(int, {(u, i): q for u, i, q in inventory})
+        self.since = {}  # holding -> time of its last start within the requests
         # offer id -> [seller, item, price, quantity, status]
         self.offers = {o: [s, i, p, q, st] for o, s, i, p, q, st in offers}
         self.next_offer = max(self.offers, default=0) + 1
 
     def run(self, r) -> str | None:
         """Apply one request; None when accepted, else the reason."""
-        return getattr(self, r["kind"])(r)
+        before = {key for key, amount in self.held.items() if amount > 0}
+        reason = getattr(self, r["kind"])(r)
+        for key, amount in self.held.items():
+            if amount > 0 and key not in before:
+                self.since[key] = r["at"]
+        return reason
 
     def buy(self, r):
         u, i, q = r["user_id"], r["item_id"], r["quantity"]
@@ -60,7 +66,7 @@ class Shop:
         if self.held[u, i] < q:
             return "short_holding"
         self.held[u, i] -= q
-        offer = r["offer_id"] if r["offer_id"] is not None else self.next_offer + r["seq"]
+        offer = self.next_offer + r["seq"]
         self.offers[offer] = [u, i, p, q, "active"]
 
     def market_buy(self, r):
@@ -127,6 +133,8 @@ class Shop:
 
     def reward(self, r):
         u = r["user_id"]
+        if r["item_id"] is not None and r["item_id"] not in self.price:
+            return "unknown_item"
         if u not in self.cash:
             return "unknown_user"
         if r["need"] and self.cash[u] < r["need"]:

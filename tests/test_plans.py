@@ -50,7 +50,7 @@ def test_history_is_cut_before_the_shuffle(spark, small):
 
 
 def test_no_cross_joins(spark, small):
-    for name in ("trade_details", "full_history", "all_users_inventory", "active_offers", "reward_draw"):
+    for name in ("trade_details", "full_history", "all_users_inventory", "active_offers", "replay_rewards"):
         text = plan(QUERIES[name](spark, small))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 

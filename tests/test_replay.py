@@ -47,7 +47,7 @@ def make(seed: int, n: int, users: int, items: int, kinds=ALL_KINDS, hot: float
                 user = owner.get(offer, user) if rng.random() < 0.8 else user
         if kind == R.REWARD:
             need, coins = rng.choice([(100, 50), (100, -100), (0, 200), (200, -200), (100, 200)])
-            item = rng.choice([None, item if item <= items else None])
+            item = rng.choice([None, item])
         quantity = rng.randint(-1 if rng.random() < 0.05 else 1, 6)
         requests.append((seq, kind, user, item, offer, quantity, price, need, coins, DAY + dt.timedelta(minutes=seq)))
     return people, goods, held, offers, requests
@@ -80,6 +80,8 @@ def check(spark, data, **options):
     assert {r.id: r.balance for r in result.users.collect()} == {u: shop.cash[u] for u, _ in data[0]}
     assert {r.id: r.stock for r in result.items.collect()} == shop.stock
     assert {(r.user_id, r.item_id): r.quantity for r in result.inventory.collect()} == {k: q for k, q in shop.held.items() if q}
+    times = {(r.user_id, r.item_id): r.purchased_at for r in result.inventory.collect()}
+    assert times == {key: shop.since.get(key, DAY) for key in times}
     offers = {r.id: [r.seller_id, r.item_id, r.price_per_unit, r.quantity, r.status] for r in result.offers.collect()}
     assert offers == shop.offers
     return result, shop

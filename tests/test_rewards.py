@@ -10,27 +10,6 @@ T0 = dt.datetime(2024, 1, 1, 8)
 ACTIONS = "id bigint, user_id bigint, action_type string, created_at timestamp_ntz"
 
 
-def test_every_draw_hits_one_outcome_with_its_chance(spark):
-    actions = spark.range(1, 101).select(
-        "id", F.lit(1).cast("bigint").alias("user_id"), F.explode(F.array(*[F.lit(g) for g in rewards.OUTCOMES])).alias("action_type"),
-        F.lit(T0).cast("timestamp_ntz").alias("created_at"),
-    )
-    draws = rewards.draw_rewards(actions, F.col("id"))
-    rows = draws.groupBy("action_type", "result", "reward_type", "reward_value").count().collect()
-    got = {(r.action_type, r.result, r.reward_type, r.reward_value): r["count"] for r in rows}
-    assert got == {(game, *outcome[:3]): outcome[3] for game, options in rewards.OUTCOMES.items() for outcome in options}
-
-
-def test_hashed_draws_repeat_and_follow_the_seed(spark):
-    actions = spark.range(20_000).select(
-        "id", F.lit(1).cast("bigint").alias("user_id"), F.lit("hunt").alias("action_type"), F.lit(T0).cast("timestamp_ntz").alias("created_at")
-    )
-    one, again, other = (rewards.draw_rewards(actions, seed=seed) for seed in (1, 1, 2))
-    assert one.exceptAll(again).count() == 0 and one.exceptAll(other).count() > 0
-    share = one.filter("result = 'lose'").count() / 20_000
-    assert abs(share - 0.3) < 0.02
-
-
 def test_quota_costs_and_ledger(spark):
     def at(hours):
         return T0 + dt.timedelta(hours=hours)
@@ -45,15 +24,35 @@ def test_quota_costs_and_ledger(spark):
         ],
         ACTIONS,
     )
-    number = F.when(F.col("action_type") == "wheel", 1).when(F.col("action_type") == "chest", 76).otherwise(95)
+    wheel, chest = F.col("action_type") == "wheel", F.col("action_type") == "chest"
+    actions = actions.withColumns(
+        {
+            "result": F.lit("win"),
+            "reward_type": F.when(chest, "item").otherwise("coins"),
+            "reward_value": F.when(wheel, 10).when(chest, 1).otherwise(-200).cast("bigint"),
+        }
+    )
     users = spark.createDataFrame([(1, -7), (2, 150), (3, 250), (4, 0)], "id bigint, balance bigint")
     items = spark.createDataFrame([(1, 5, 0)], "id bigint, price bigint, stock bigint")
     held = spark.createDataFrame([], "user_id bigint, item_id bigint, quantity bigint, purchased_at timestamp_ntz")
     history = spark.createDataFrame([(0, 4, "wheel", at(-1))], ACTIONS)
-    log, result = rewards.play(rewards.draw_rewards(actions, number), users, items, held, history)
+    log, result = rewards.play(actions, users, items, held, history)
     assert {r.id: r.reason for r in log.collect()} == {
         1: None, 2: "already_spun", 3: None, 4: None, 5: "short_balance", 6: None, 7: "short_balance", 8: "already_spun",
         9: "unknown_user",
     }
     assert {r.id: r.balance for r in result.users.collect()} == {1: 13, 2: 50, 3: 50, 4: 0}
     assert [(r.user_id, r.item_id, r.quantity, r.purchased_at) for r in result.inventory.collect()] == [(2, 1, 1, at(0))]
+
+
+def test_rewards_of_unknown_items_are_refused(spark):
+    log = spark.createDataFrame(
+        [(1, 1, "wheel", T0, "win", "item", 7), (2, 1, "hunt", T0, "win", "coins", 5)],
+        ACTIONS + ", result string, reward_type string, reward_value bigint",
+    )
+    users = spark.createDataFrame([(1, 0)], "id bigint, balance bigint")
+    items = spark.createDataFrame([(1, 5, 0)], "id bigint, price bigint, stock bigint")
+    held = spark.createDataFrame([], "user_id bigint, item_id bigint, quantity bigint, purchased_at timestamp_ntz")
+    done, result = rewards.play(log, users, items, held)
+    assert {r.id: r.reason for r in done.collect()} == {1: "unknown_item", 2: None}
+    assert result.inventory.count() == 0

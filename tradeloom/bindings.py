@@ -143,12 +143,11 @@ def participants(spark: SparkSession, root: str, lines: DataFrame | None = None)
     )
 
 
-def inventory(spark: SparkSession, root: str, as_of: dt.datetime) -> DataFrame:
-    """Holdings: granted lines of the trailing year, one row per user and item."""
-    bound = F.lit(str(as_of - dt.timedelta(days=365))).cast("timestamp_ntz")
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Holdings: all granted lines, one row per user and item."""
     return (
         transactions(spark, root)
-        .filter((F.col("transaction_type") == "admin_grant") & (F.col("transaction_date") >= bound))
+        .filter(F.col("transaction_type") == "admin_grant")
         .groupBy("user_id", "item_id")
         .agg(F.sum("quantity").alias("quantity"), F.min("transaction_date").alias("purchased_at"))
     )

@@ -117,20 +117,23 @@ def _shop_rows(transactions: DataFrame) -> DataFrame:
 
 
 def _newest(rows: DataFrame, items: DataFrame, users: DataFrame, n: int) -> DataFrame:
-    """Each user's newest ``n`` rows, named afterwards.
+    """Each user's newest ``n`` rows of known items, by user and newest first.
 
-    The cut comes first, so that only the rows of the report meet the items and
-    users. It relies on the declared parent references (see ``orphan_check``).
+    Rows of unknown items are left out before the cut; names are looked up after
+    it, so that only the rows of the report meet them.
     """
     ties = ("source_rank", "row_id", "type", "item_id", "quantity", "price_per_unit", "total_amount")
-    cut = top_per_key(rows, ["user_id"], [F.desc("date"), *[F.asc(column) for column in ties]], n)
+    order = [F.desc("date"), *[F.asc(column) for column in ties]]
     goods = items.select(F.col("id").alias("_item"), F.col("name").alias("item_name"))
+    known = rows.join(goods.select("_item"), F.col("item_id") == F.col("_item"), "left_semi")
+    cut = top_per_key(known, ["user_id"], order, n)
     people = users.select(F.col("id").alias("_user"), "username")
     party = F.when(F.col("source_rank") == 1, F.lit(SHOP_PARTY)).otherwise(F.col("username"))
     return (
         cut.join(goods, F.col("item_id") == F.col("_item"))
         .join(people, F.col("other_id") == F.col("_user"), "left")
         .withColumn("other_party", party)
+        .orderBy("user_id", *order)
         .select(*HISTORY)
     )
 

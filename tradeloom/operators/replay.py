@@ -109,10 +109,13 @@ def _directory(requests: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def _named(requests: DataFrame, offers: DataFrame) -> DataFrame:
-    """Requests whose listings all have an offer id: the given one, or one beyond the stored ids."""
+    """Requests whose listings all have an offer id of their own, beyond the stored ids by their position.
+
+    Ids are always assigned, so no listing can take the id of another offer.
+    """
     first_new = offers.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("first")).first()[0]
-    given = F.coalesce("offer_id", F.lit(first_new) + F.col("seq"))
-    return requests.withColumn("offer_id", F.when(F.col("kind") == LIST, given).otherwise(F.col("offer_id")))
+    own = F.lit(first_new) + F.col("seq")
+    return requests.withColumn("offer_id", F.when(F.col("kind") == LIST, own).otherwise(F.col("offer_id")))
 
 
 def _enriched(named: DataFrame, users: DataFrame, items: DataFrame, directory: DataFrame) -> DataFrame:
@@ -159,6 +162,7 @@ def _static_refusal() -> Column:
         F.when(F.col("user_id").isNull(), F.lit("unknown_user")),
         F.when((kind == LIST) & (F.coalesce("price_per_unit", F.lit(-1)) < 0), F.lit("bad_price")),
         F.when(kind.isin(BUY, GRANT, STOCK_ADD) & ~F.col("item_known"), F.lit("unknown_item")),
+        F.when((kind == REWARD) & F.col("item_id").isNotNull() & ~F.col("item_known"), F.lit("unknown_item")),
         F.when(on_offer & closed, F.lit("offer_closed")),
         F.when(kind.isin(GRANT, STOCK_ADD, REWARD) & ~F.col("user_known"), F.lit("unknown_user")),
     )
@@ -296,29 +300,32 @@ def _moved(final: DataFrame, account: str) -> DataFrame:
     )
 
 
-def _new_inventory(inventory: DataFrame, final: DataFrame, returned: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Holdings after all accepted movements; a new holding takes the time of its first gain."""
-    gains = final.filter((F.col("account") == HOLDING) & (F.col("moved") > 0) & (F.col("at_seq") > 0))
+def _new_inventory(inventory: DataFrame, final: DataFrame, running: DataFrame, facts: DataFrame) -> DataFrame:
+    """Holdings after all accepted movements.
+
+    A holding that was used up ends there: what is gained later is a new one
+    with the time of that gain.
+    """
+    starts = running.filter(
+        (F.col("account") == HOLDING) & (F.col("at_seq") > 0) & (F.col("moved") > 0) & (F.col("before_moved") <= 0)
+    )
     times = (
-        gains.select(F.col("at_seq").alias("seq"), "a", "b")
-        .join(decisions.filter("accepted").select("seq", "at"), "seq")
-        .groupBy("a", "b")
-        .agg(F.min("at").alias("first_at"))
+        starts.groupBy("a", "b")
+        .agg(F.max("at_seq").alias("seq"))
+        .join(facts.select("seq", "at"), "seq")
+        .select(F.col("a").alias("user_id"), F.col("b").alias("item_id"), F.col("at").alias("started"))
     )
-    sums = (
-        _moved(final, HOLDING)
-        .unionByName(returned)
-        .groupBy("a", "b")
-        .agg(F.sum("moved").alias("moved"))
-        .join(times, ["a", "b"], "left")
-        .select(F.col("a").alias("user_id"), F.col("b").alias("item_id"), "moved", "first_at")
+    amounts = (
+        final.filter(F.col("account") == HOLDING)
+        .groupBy(F.col("a").alias("user_id"), F.col("b").alias("item_id"))
+        .agg(F.sum("moved").alias("quantity"))
+        .filter(F.col("quantity") > 0)
     )
+    keys = ["user_id", "item_id"]
     return (
-        inventory.join(sums, ["user_id", "item_id"], "full_outer")
-        .withColumn("quantity", F.coalesce("quantity", F.lit(0)) + F.coalesce("moved", F.lit(0)))
-        .withColumn("purchased_at", F.coalesce("purchased_at", "first_at"))
-        .filter(F.col("quantity") > 0)
-        .select("user_id", "item_id", "quantity", "purchased_at")
+        amounts.join(times, keys, "left")
+        .join(inventory.select(*keys, "purchased_at"), keys, "left")
+        .select(*keys, "quantity", F.coalesce("started", "purchased_at").alias("purchased_at"))
     )
 
 
@@ -414,11 +421,14 @@ def replay(
     # Amounts found by the guards of refused requests.
     late = F.col("seq").isNotNull() & (F.col("at_seq") > F.col("seq"))
     lumped = final.filter(late).groupBy(*ACCOUNT, "at_seq").agg(F.sum("moved").alias("moved"))
-    found = (
+    running = stored(
         running_before(
             final.filter(~late).unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", ["moved"], block_rows
-        )
-        .filter(F.col("need").isNotNull() & (F.col("units") == 0))
+        ),
+        "running",
+    )
+    found = (
+        running.filter(F.col("need").isNotNull() & (F.col("units") == 0))
         .groupBy("seq")
         .agg(
             *[
@@ -447,9 +457,6 @@ def replay(
         .withColumn("stock", F.col("stock") + F.coalesce("moved", F.lit(0)))
         .select(*items.columns)
     )
-    returned = opening.filter((F.col("account") == HOLDING) & (F.col("at_seq") > 0)).select(
-        "a", "b", F.col("coef").alias("moved")
-    )
     trades = accepted.filter(F.col("kind") == MARKET_BUY).select(
         F.col("seq").alias("id"), "offer_id", F.col("o_item").alias("item_id"), "quantity",
         F.col("unit").alias("price_per_unit"), F.col("cost").alias("total_amount"), F.col("at").alias("transaction_date"),
@@ -469,7 +476,7 @@ def replay(
         decisions=decisions.select("seq", "kind", "user_id", "item_id", "offer_id", "quantity", "units", "accepted", "reason"),
         users=new_users,
         items=new_items,
-        inventory=_new_inventory(inventory, final, returned, decisions),
+        inventory=_new_inventory(inventory, final, running, facts),
         offers=_new_offers(offers, decisions),
         transactions=_shop_log(accepted),
         trades=trades,

@@ -1,86 +1,20 @@
-"""Game rewards: weighted draws, the daily quota and the ledger effect."""
+"""Logged game rewards: the daily quota, what an action costs, and its effect on balances and holdings."""
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tradeloom.operators.ledger import CHEST_COST
 from tradeloom.operators.replay import REWARD, Replay, number_requests, replay
 
-# Outcomes of each game as (result, reward type, reward value, chance in percent).
-# The value is a number of coins or, for an item, its id.
-OUTCOMES = {
-    "wheel": [
-        ("win", "coins", 10, 30),
-        ("win", "coins", 50, 20),
-        ("win", "coins", 100, 10),
-        ("win", "coins", 500, 2),
-        ("win", "item", 1, 10),
-        ("win", "item", 2, 10),
-        ("win", "item", 3, 15),
-        ("win", "nothing", 0, 3),
-    ],
-    "hunt": [
-        ("win", "coins", 200, 40),
-        ("win", "coins", 100, 30),
-        ("lose", "coins", -100, 20),
-        ("lose", "coins", -200, 10),
-    ],
-    "chest": [
-        ("win", "coins", 150, 30),
-        ("win", "coins", 300, 20),
-        ("win", "coins", 50, 25),
-        ("win", "item", 1, 8),
-        ("win", "item", 2, 8),
-        ("win", "item", 4, 5),
-        ("win", "nothing", 0, 4),
-    ],
-}
-
-Outcomes = dict[str, list[tuple[str, str, int, int]]]
-
-
-def outcome_table(spark: SparkSession, outcomes: Outcomes = OUTCOMES) -> DataFrame:
-    """One row per outcome with the half-open range (low, high] of draws that hit it."""
-    rows = []
-    for game, options in outcomes.items():
-        ends = list(accumulate(chance for *_, chance in options))
-        starts = [0, *ends[:-1]]
-        for (result, kind, value, _), low, high in zip(options, starts, ends):
-            rows.append((game, result, kind, value, low, high, ends[-1]))
-    return spark.createDataFrame(
-        rows, "game string, result string, reward_type string, reward_value bigint, low int, high int, total int"
-    )
-
 
-def draw_rewards(
-    actions: DataFrame, draw: Column | None = None, seed: int = 0, outcomes: Outcomes = OUTCOMES
-) -> DataFrame:
-    """Each game action with its outcome; other actions are left out.
-
-    ``draw`` is a number from 1 to the total chance. By default it is a hash of
-    the action id, so that a repeated run gives every action the same outcome.
-    The outcome table has a handful of fixed rows and meets the actions by game
-    and range in a hash join.
-    """
-    table = outcome_table(actions.sparkSession, outcomes)
-    hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("total")) + 1
-    number = hashed if draw is None else draw
-    hit = (F.col("action_type") == F.col("game")) & (number > F.col("low")) & (number <= F.col("high"))
-    return actions.join(F.broadcast(table), hit).select(
-        "id", "user_id", "action_type", "created_at", "result", "reward_type", "reward_value"
-    )
-
-
-def first_spins(draws: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def first_spins(log: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Ids of the wheel spins that are each user's first of a calendar day.
 
     ``history`` holds earlier log rows; a day with a logged spin has none left.
     """
     day = F.to_date("created_at").alias("day")
-    spins = draws.filter(F.col("action_type") == "wheel").select("user_id", day, "created_at", "id")
+    spins = log.filter(F.col("action_type") == "wheel").select("user_id", day, "created_at", "id")
     first = spins.groupBy("user_id", "day").agg(F.min(F.struct("created_at", "id")).alias("first"))
     if history is not None:
         used = history.filter(F.col("action_type") == "wheel").select("user_id", day).distinct()
@@ -89,16 +23,19 @@ def first_spins(draws: DataFrame, history: DataFrame | None = None) -> DataFrame
 
 
 def play(
-    draws: DataFrame, users: DataFrame, items: DataFrame, inventory: DataFrame, history: DataFrame | None = None, **options
+    log: DataFrame, users: DataFrame, items: DataFrame, inventory: DataFrame, history: DataFrame | None = None, **options
 ) -> tuple[DataFrame, Replay]:
-    """(every action with accepted and reason, the replay behind it).
+    """(every logged action with accepted and reason, the replay behind it).
+
+    ``log`` has the outcome of each action: coins (reward_type, reward_value) or
+    the id of an item.
 
     Spins beyond the daily quota are refused before any money moves. A chest
     needs its price, a lost hunt needs the loss; coins and items are then booked
     in the order of the actions. Rows with ``accepted`` are the new log rows.
     """
-    allowed = first_spins(draws, history).withColumn("first", F.lit(True))
-    marked = draws.join(allowed, "id", "left").withColumn(
+    allowed = first_spins(log, history).withColumn("first", F.lit(True))
+    marked = log.join(allowed, "id", "left").withColumn(
         "over_quota", (F.col("action_type") == "wheel") & F.col("first").isNull()
     )
     played = number_requests(marked.filter(~F.col("over_quota")).drop("first", "over_quota"), ["created_at", "id"])
@@ -113,7 +50,7 @@ def play(
         (coins - F.when(chest, CHEST_COST).otherwise(0)).alias("coins"),
         F.col("created_at").alias("at"),
     )
-    no_offers = draws.sparkSession.createDataFrame(
+    no_offers = log.sparkSession.createDataFrame(
         [], "id bigint, seller_id bigint, item_id bigint, price_per_unit bigint, quantity bigint, status string, created_at timestamp_ntz"
     )
     result = replay(requests, users, items, inventory, no_offers, **options)

@@ -9,10 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANK_PUSHDOWN_LIMIT = 1000
-SALTS = 64
-
-
 def keep_all_parents(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
     """Left join of a unique parent table to a many-rows-per-key child table.
 
@@ -29,13 +25,12 @@ def keep_all_parents(parents: DataFrame, children: DataFrame, key: str, child_ke
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each key.
 
-    Spark cuts each map partition to ``n`` rows per key before the shuffle when
-    ``n`` is small. A larger ``n`` is ranked within salted parts of a key first,
-    so that a hot key never arrives whole in one task.
+    Rows are ranked within salted parts of a key first, so that a hot key never
+    arrives whole in one task; there are as many parts as shuffle partitions.
     """
-    if n > RANK_PUSHDOWN_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_rank")
+    return cut.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_rank")
