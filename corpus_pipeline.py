@@ -49,8 +49,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
-    return decoded.select(
+    return byte_bpe.round_trip(docs, RANKS, PATTERN).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         "ids",

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -26,7 +27,8 @@ def test_random_texts_equal_library(library):
         text = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 300)))
         ids = coder.encode(text)
         assert ids == library.encode_ordinary(text)
-        assert coder.decode(ids) == text.encode()
+        rows = byte_bpe.decode_rows(pa.array([ids, None, ids[:1]], pa.list_(pa.int32())), byte_bpe._table(PATH)).to_pylist()
+        assert rows[0] == text.encode() and rows[1] == b"" and text.encode().startswith(rows[2])
 
 
 def test_long_pieces(library):
@@ -46,10 +48,12 @@ def test_odd_rows(spark):
     rows = [(1, None, "x", 0), (2, "", "x", 1), (None, "two", "x", 2), (1, "two", "x", 3), (1, "two", "x", 3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, ids int")
     encoded = byte_bpe.encode(df, PATH, PATTERN)
-    decoded = byte_bpe.decode(encoded, PATH, PATTERN).collect()
+    decoded = byte_bpe.decode(encoded, PATH).collect()
     assert sorted((r.doc_id or 0, bytes(r.bytes)) for r in decoded) == [
         (0, b"two"), (1, b""), (1, b"two"), (1, b"two"), (2, b"")
     ]
+    both = byte_bpe.round_trip(df, PATH, PATTERN).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, decoded))
     assert byte_bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
 
 

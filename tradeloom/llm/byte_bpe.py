@@ -8,7 +8,7 @@ the same two tokens again. When no shorter token is compatible either, the last
 token is taken back, and a position once given up is never tried again, so the
 work is linear in the piece. A sequence whose neighbours are all compatible is
 exactly what the rank-by-rank merges give. Compatibility and pieces are memoised
-in tables of a fixed size that are emptied when full.
+in tables of a fixed size that are emptied when full and at the end of a task.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from tradeloom.llm.shared import slices
 
-MEMO = 600_000
+MEMO = 400_000
 LONG_PIECE = 64
 
 
@@ -74,8 +74,6 @@ class ByteCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        by_rank = {rank: token for token, rank in ranks.items()}
-        self.tokens = pa.array([by_rank.get(rank) for rank in range(max(by_rank) + 1)], pa.large_binary())
         # A token that merging cannot build stands only for a whole piece.
         self.ids = {
             token.decode("latin-1"): rank
@@ -184,19 +182,32 @@ class ByteCoder:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
-    def decode_rows(self, ids: pa.ListArray) -> pa.BinaryArray:
-        """The bytes of each row's ids; a null row has none."""
-        ids = ids.fill_null([]) if ids.null_count else ids
-        tokens = self.tokens.take(ids.flatten())
-        if tokens.null_count:
-            raise ValueError("an id is not in the vocabulary")
-        starts = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :]
-        lengths = ids.value_lengths().to_numpy()
-        ends = starts[np.concatenate([[0], np.cumsum(lengths)])]
-        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]]).cast(pa.binary())
+    def forget(self) -> None:
+        """Empty the memos, since a worker may go on with other work."""
+        self.pieces.clear()
+        self.memo.clear()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return self.decode_rows(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+def token_table(ranks: dict[bytes, int]) -> pa.Array:
+    """Bytes of each id in order; null where no token has the id."""
+    by_rank = {rank: token for token, rank in ranks.items()}
+    return pa.array([by_rank.get(rank) for rank in range(max(by_rank) + 1)], pa.large_binary())
+
+
+def decode_rows(ids: pa.ListArray, table: pa.Array) -> pa.BinaryArray:
+    """The bytes of each row's ids; a null row has none."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    tokens = table.take(ids.flatten())
+    if tokens.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    starts = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :]
+    ends = starts[np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])]
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]]).cast(pa.binary())
+
+
+@lru_cache(maxsize=2)
+def _table(path: str) -> pa.Array:
+    return token_table(read_ranks(path))
 
 
 @lru_cache(maxsize=2)
@@ -205,6 +216,12 @@ def coder(path: str, pattern: str) -> ByteCoder:
     return ByteCoder(read_ranks(path), pattern)
 
 
+def _encoded(texts: pa.Array, use: ByteCoder) -> pa.ListArray:
+    rows = [use.encode_bytes(value or "") for value in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(row) // 4 for row in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
 def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every row, repeated rows and null keys included.
 
@@ -215,25 +232,38 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(path, pattern)
         for batch in slices(batches, "text"):
-            rows = [use.encode_bytes(value or "") for value in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *(len(row) // 4 for row in rows)], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], names=["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _encoded(batch.column("text"), use)], names=["key", "ids"])
+        use.forget()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
     return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, bytes binary): the bytes the ids stand for; null ids give none. An unknown id raises."""
+def round_trip(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>, bytes binary): ``encode`` and then ``decode`` in one pass, with one worker per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(path, pattern)
+        for batch in slices(batches, "text"):
+            ids = _encoded(batch.column("text"), use)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), ids, decode_rows(ids, _table(path))], names=["key", "ids", "bytes"]
+            )
+        use.forget()
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>, bytes binary").withColumnRenamed("key", key)
+
+
+def decode(df: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, ids, bytes binary): the bytes the ids stand for; null ids give none. An unknown id raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids"):
             ids = batch.column("ids")
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, use.decode_rows(ids)], names=["key", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, decode_rows(ids, _table(path))], names=["key", "ids", "bytes"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"`{ids}` AS ids")

@@ -56,8 +56,7 @@ def op5_lm_scores(spark: SparkSession, root: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, root, "documents"), ranks, pattern)
-    return byte_bpe.decode(encoded, ranks, pattern).select(
+    return byte_bpe.round_trip(table(spark, root, "documents"), ranks, pattern).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
