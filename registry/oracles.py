@@ -359,6 +359,7 @@ oracle(
        FROM (SELECT *, level_required % 10 AS c, level_required % 10 NOT IN (2, 3, 4) AS ok FROM items)""",
     "items",
 )
+ORACLES["import_item_arrays"] = ORACLES["import_items"]
 oracle(
     "import_users",
     """, file AS (
@@ -370,7 +371,8 @@ oracle(
            FROM file)
        SELECT CASE WHEN id % 11 = 0 THEN '' ELSE username END AS username, CASE WHEN reason IS NULL THEN role END AS role,
               CASE WHEN reason IS NULL THEN balance END AS balance, reason
-       FROM judged""",
+       FROM judged
+       UNION ALL SELECT s_name, 'user', 1000, NULL FROM supplier""",
     "users",
 )
 oracle(

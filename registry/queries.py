@@ -289,12 +289,12 @@ def db_summary(spark, root):
 # Imports, exports and tables ------------------------------------------------
 
 
-@query
-def import_items(spark, root):
-    """Items written as JSON Lines with absent, unreadable and wrong fields, then imported."""
+def _item_file_rows(spark: SparkSession, root: str, broken: Column) -> DataFrame:
+    """Items as JSON text with absent, unreadable and wrong fields: (id, value)."""
     case = F.col("level_required") % 10
-    lines = b.items(spark, root).select(
-        F.when(case == 4, F.concat(F.lit("{broken "), "name")).otherwise(
+    return b.items(spark, root).select(
+        "id",
+        F.when(case == 4, broken).otherwise(
             F.to_json(
                 F.struct(
                     "name",
@@ -307,15 +307,38 @@ def import_items(spark, root):
                     "bonus_stats",
                 )
             )
-        ).alias("value")
+        ).alias("value"),
     )
-    path = new_path(spark, "items-file")
-    lines.write.text(path)
-    accepted, rejected = imports.import_items(spark, path, layout="lines")
+
+
+def _imported_items(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    accepted, rejected = imports.import_items(spark, path, layout=layout)
     good = accepted.withColumn("reason", F.lit(None).cast("string"))
     return good.unionByName(rejected.select("name", "reason"), allowMissingColumns=True)
 
 
+@query
+def import_items(spark, root):
+    """Items written as JSON Lines, then imported."""
+    path = new_path(spark, "items-file")
+    _item_file_rows(spark, root, F.concat(F.lit("{broken "), "name")).select("value").write.text(path)
+    return _imported_items(spark, path, "lines")
+
+
+@query
+def import_item_arrays(spark, root):
+    """Items written as files of one JSON array each, among them elements that are no objects and an empty array."""
+    path = new_path(spark, "items-arrays")
+    files = (
+        _item_file_rows(spark, root, F.lit("5"))
+        .groupBy((F.col("id") % 16).alias("part"))
+        .agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
+        .union(spark.range(1).select(F.lit(99).cast("bigint").alias("part"), F.lit("[]").alias("value")))
+    )
+    files.repartition("part").write.partitionBy("part").text(path)
+    return _imported_items(spark, path, "array")
+
+
 @query
 def import_users(spark, root):
     """Users written as CSV, every fifth one twice, then imported beside every third one."""
@@ -331,8 +354,11 @@ def import_users(spark, root):
         .select("username", F.lit("secret").alias("password"), "role", "balance")
     )
     path = new_path(spark, "users-file")
-    file.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    accepted, rejected = imports.import_users(spark, path, people.filter(F.col("id") % 3 == 0))
+    plain = file.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    plain.csv(f"{path}/full")
+    # Files of another header: names of suppliers alone.
+    b.read(spark, root, "supplier").select(F.col("s_name").alias("username")).write.option("header", True).csv(f"{path}/short")
+    accepted, rejected = imports.import_users(spark, [f"{path}/full", f"{path}/short"], people.filter(F.col("id") % 3 == 0))
     good = accepted.withColumn("reason", F.lit(None).cast("string"))
     return good.unionByName(rejected.select("username", "reason"), allowMissingColumns=True)
 

@@ -113,3 +113,25 @@ def test_tables(spark, small):
     assert (described["id"].key, described["username"].key, described["role"].default_value) == ("PRI", "UNI", "user")
     assert not described["username"].nullable and described["balance"].default_value == "1000"
     assert {r.field: r.key for r in tables.describe(spark, "inventory").collect()}["user_id"] == "MUL"
+
+
+def test_array_elements_are_judged_one_by_one(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"name": "a", "price": 3}, 5, null, "x", [1], {"name": "b", "price": 4}]')
+    (tmp_path / "b.json").write_text("[]")
+    (tmp_path / "c.json").write_text('[{"name": "c", "price": 3}, {"name"')
+    accepted, rejected = imports.import_items(spark, str(tmp_path))
+    assert sorted(r.name for r in accepted.collect()) == ["a", "b"]
+    bad = [(r.source.rsplit("/", 1)[1], r.position, r.reason) for r in rejected.collect()]
+    assert sorted(bad) == [("a.json", i, "unreadable") for i in (1, 2, 3, 4)] + [("c.json", 0, "unreadable")]
+
+
+def test_user_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("username,password,role,balance\nann,x,admin,5\n")
+    (tmp_path / "2.csv").write_text("username,password\nbob,y\n")
+    (tmp_path / "3.csv").write_text("balance,username\n7,cid\n")
+    existing = spark.createDataFrame([], "username string")
+    accepted, rejected = imports.import_users(spark, str(tmp_path), existing)
+    assert {(r.username, r.role, r.balance) for r in accepted.collect()} == {
+        ("ann", "admin", 5), ("bob", "user", 1000), ("cid", "user", 7)
+    }
+    assert rejected.count() == 0
