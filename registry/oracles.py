@@ -659,14 +659,11 @@ ORACLES["reward_balances"] = _rewards(
 
 # Streams ---------------------------------------------------------------------
 
-# A window is final once its end is not after the newest event time less the allowed delay.
-CLOSED = "window_end <= (SELECT max(ts) FROM events {where}) - INTERVAL 10 MINUTE"
-SALES_CLOSED = CLOSED.format(where="WHERE event_type = 'purchase'")
 oracle(
     "stream_sales",
     f"""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
                count(*) AS sales_count, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_amount
-        FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING {SALES_CLOSED}""",
+        FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""",
 )
 oracle(
     "stream_candles",
@@ -674,7 +671,7 @@ oracle(
                time_bucket(INTERVAL 15 MINUTE, transaction_date) + INTERVAL 15 MINUTE AS window_end, item_id,
                round(sum(price_per_unit) / count(*), 4) AS avg_price, min(price_per_unit) AS min_price,
                max(price_per_unit) AS max_price, CAST(sum(quantity) AS BIGINT) AS total_sold
-        FROM event_prices GROUP BY 1, 2, 3 HAVING {CLOSED.format(where='')}""",
+        FROM event_prices GROUP BY 1, 2, 3""",
     "event_prices",
 )
 oracle(
@@ -684,7 +681,7 @@ oracle(
         FROM (SELECT date_trunc('hour', ts) AS step, count(*) AS sales,
                      sum(CAST(round(value * 100) AS BIGINT)) AS amount
               FROM events WHERE event_type = 'purchase' GROUP BY 1), range(24) hours(n)
-        GROUP BY 1, 2 HAVING {SALES_CLOSED}""",
+        GROUP BY 1, 2""",
 )
 oracle("stream_daily_first", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
 ORACLES["stream_counters"] = ORACLES["game_stats"]

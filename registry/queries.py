@@ -702,17 +702,21 @@ def _stream_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame
 
 @query
 def stream_sales(spark, root):
-    return _stream_to_table(spark, live.live_sales(b.event_sales_of(_event_stream(spark, root))), "stream-sales")
+    """Hours that the stream closed, and the last ones of the ended source."""
+    emitted = _stream_to_table(spark, live.live_sales(b.event_sales_of(_event_stream(spark, root))), "stream-sales")
+    return live.with_last_windows(emitted, live.live_sales(b.event_sales(spark, root)))
 
 
 @query
 def stream_candles(spark, root):
-    return _stream_to_table(spark, live.live_candles(b.event_prices_of(_event_stream(spark, root))), "stream-candles")
+    emitted = _stream_to_table(spark, live.live_candles(b.event_prices_of(_event_stream(spark, root))), "stream-candles")
+    return live.with_last_windows(emitted, live.live_candles(b.event_prices(spark, root)), "item_id")
 
 
 @query
 def stream_trailing(spark, root):
-    return _stream_to_table(spark, live.live_trailing(b.event_sales_of(_event_stream(spark, root))), "stream-trailing")
+    emitted = _stream_to_table(spark, live.live_trailing(b.event_sales_of(_event_stream(spark, root))), "stream-trailing")
+    return live.with_last_windows(emitted, live.live_trailing(b.event_sales(spark, root)))
 
 
 @query

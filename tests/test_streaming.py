@@ -106,6 +106,9 @@ def test_counters_equal_the_batch_form(spark, tmp_path, actions):
     run_available(live.running_counters(feed.stream(), path), str(tmp_path / "progress"))
     batch = analytics.game_counters(spark.createDataFrame(rows, ACTIONS))
     assert sorted(live.latest_counters(spark, path).collect()) == sorted(batch.collect())
+    last = live.compact_counters(spark, path, str(tmp_path / "compact"))
+    compact = spark.read.parquet(str(tmp_path / "compact"))
+    assert sorted(live.latest_counters(spark, path, compact, last).collect()) == sorted(batch.collect())
 
 
 def test_holdings_survive_a_repeated_batch(spark, tmp_path):
@@ -121,8 +124,13 @@ def test_holdings_survive_a_repeated_batch(spark, tmp_path):
     again = read_batches(spark, path, state.CHANGES).filter("batch = 1").drop("batch").collect()
     write_batch(spark.createDataFrame(again, state.CHANGES), path, 1)
     assert sorted((r.user_id, r.item_id, r.quantity) for r in state.current_holdings(snapshot, path).collect()) == after
-    state.compact_holdings(snapshot, path, str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 1
+    last = state.compact_holdings(snapshot, path, str(tmp_path / "compact"))
+    assert last == 1
+    compact = spark.read.parquet(str(tmp_path / "compact"))
+    write_batch(spark.createDataFrame([(1, 2, 4, T0)], state.CHANGES), path, 2)
+    assert [r.quantity for r in state.current_holdings(compact, path, last).collect()] == [9]
+    assert state.compact_holdings(compact, path, str(tmp_path / "again"), last) == 2
+    assert [r.quantity for r in spark.read.parquet(str(tmp_path / "again")).collect()] == [9]
 
 
 def test_balance_guard_over_batches(spark, tmp_path):
@@ -145,5 +153,11 @@ def test_balance_guard_over_batches(spark, tmp_path):
     path = str(tmp_path / "guard")
     run_available(state.guard_balances(feed.stream(), users, path), str(tmp_path / "progress"))
     assert {r.event_id: r.accepted for r in state.guard_verdicts(spark, path).collect()} == expected
-    state.compact_balances(users, path, 3, str(tmp_path / "compact"))
-    assert {r.user_id: r.balance for r in spark.read.parquet(str(tmp_path / "compact")).collect()} == balances
+    last = state.compact_balances(users, path, str(tmp_path / "compact"))
+    compact = spark.read.parquet(str(tmp_path / "compact"))
+    assert last == 2 and {r.id: r.balance for r in compact.collect()} == balances
+    # The stream goes on from the compacted users.
+    feed.add([(1000, 1, T0 + dt.timedelta(days=1), balances[1] + 1), (1001, 1, T0 + dt.timedelta(days=1), balances[1])])
+    run_available(state.guard_balances(feed.stream(), compact, path, last), str(tmp_path / "progress"))
+    late = {r.event_id: r.accepted for r in state.guard_verdicts(spark, path).filter("event_id >= 1000").collect()}
+    assert late == {1000: False, 1001: True}

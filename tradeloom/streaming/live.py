@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tradeloom.functions.numbers import exact_average
 from tradeloom.operators.analytics import game_counters
-from tradeloom.streaming.sinks import read_batches, write_batch
+from tradeloom.streaming.sinks import last_batch, read_batches, write_batch
 
 COUNTERS = ["wheel_spins", "hunt_wins", "hunt_losses", "chests_opened"]
 
@@ -91,9 +91,31 @@ def running_counters(actions: DataFrame, path: str) -> DataStreamWriter:
     return counters.writeStream.outputMode("update").foreachBatch(lambda df, batch: write_batch(df, path, batch))
 
 
-def latest_counters(spark: SparkSession, path: str) -> DataFrame:
-    """Current totals: each user's row of the highest batch."""
+def latest_counters(spark: SparkSession, path: str, snapshot: DataFrame | None = None, after: int = -1) -> DataFrame:
+    """Current totals: each user's row of the highest batch, else of the compacted ``snapshot``."""
     schema = "user_id bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
-    rows = read_batches(spark, path, schema)
+    rows = read_batches(spark, path, schema, after=after)
+    if snapshot is not None:
+        rows = rows.unionByName(snapshot.withColumn("batch", F.lit(after).cast("bigint")))
     newest = F.max_by(F.struct(*COUNTERS), "batch").alias("newest")
     return rows.groupBy("user_id").agg(newest).select("user_id", "newest.*")
+
+
+def compact_counters(
+    spark: SparkSession, path: str, target: str, snapshot: DataFrame | None = None, after: int = -1
+) -> int:
+    """Write the current totals as a snapshot; the number of the last batch in it."""
+    last = max(after, last_batch(spark, path))
+    latest_counters(spark, path, snapshot, after).write.parquet(target)
+    return last
+
+
+def with_last_windows(emitted: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
+    """Windows a stream has emitted, and those of the ended source that it never will.
+
+    ``whole`` is the same report over the source as a table. A window stays open
+    in the stream until a later event passes its end, so the last ones come from
+    there.
+    """
+    on = ["window_start", "window_end", *keys]
+    return emitted.unionByName(whole.join(emitted.select(*on), on, "left_anti").select(*emitted.columns))

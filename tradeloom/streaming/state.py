@@ -2,7 +2,9 @@
 
 Every micro-batch writes only what it changed, under its own batch number, so a
 retry after a failure replaces the same folder. Readers fold the folders over
-the opening snapshot; ``compact_*`` writes the fold as a new snapshot.
+the opening snapshot. ``compact_*`` writes the fold as a new snapshot and returns
+the last batch in it; given that number as ``after``, readers and the guard use
+only later batches, so folders up to it can be removed.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from tradeloom.operators.changes import apply_holding_changes
 from tradeloom.plans.numbering import dense_numbers
 from tradeloom.plans.settlement import COLUMNS, settle
 from tradeloom.plans.workspace import stored
-from tradeloom.streaming.sinks import read_batches, write_batch
+from tradeloom.streaming.sinks import last_batch, read_batches, write_batch
 
 CHANGES = "user_id bigint, item_id bigint, quantity bigint, at timestamp_ntz"
 BALANCES = "user_id bigint, balance bigint"
@@ -31,40 +33,42 @@ def upsert_holdings(changes: DataFrame, path: str) -> DataStreamWriter:
     return changes.writeStream.foreachBatch(write)
 
 
-def current_holdings(snapshot: DataFrame, path: str) -> DataFrame:
-    """Snapshot with all stored changes applied."""
-    return apply_holding_changes(snapshot, read_batches(snapshot.sparkSession, path, CHANGES).drop("batch"))
+def current_holdings(snapshot: DataFrame, path: str, after: int = -1) -> DataFrame:
+    """Snapshot with all changes stored after batch ``after`` applied."""
+    return apply_holding_changes(snapshot, read_batches(snapshot.sparkSession, path, CHANGES, after=after).drop("batch"))
 
 
-def compact_holdings(snapshot: DataFrame, path: str, target: str) -> None:
-    """Write the current holdings as a new snapshot."""
-    current_holdings(snapshot, path).write.parquet(target)
+def compact_holdings(snapshot: DataFrame, path: str, target: str, after: int = -1) -> int:
+    """Write the holdings as of the last stored batch as a new snapshot; the number of that batch."""
+    spark = snapshot.sparkSession
+    last = max(after, last_batch(spark, path))
+    changes = read_batches(spark, path, CHANGES, before=last + 1, after=after).drop("batch")
+    apply_holding_changes(snapshot, changes).write.parquet(target)
+    return last
 
 
-def _balances_before(users: DataFrame, path: str, batch: int) -> DataFrame:
-    """Latest balance per user from the batches before this one, else the opening balance."""
-    spark = users.sparkSession
+def _balances_before(users: DataFrame, path: str, batch: int, after: int, touched: DataFrame | None = None) -> DataFrame:
+    """Latest balance per user (of ``touched``) from the batches before this one, else the opening balance."""
     opening = users.select(F.col("id").alias("user_id"), "balance", F.lit(-1).cast("bigint").alias("batch"))
-    changed = read_batches(spark, path, BALANCES, before=batch)
-    return (
-        opening.unionByName(changed).groupBy("user_id").agg(F.max_by("balance", "batch").alias("balance"))
-    )
+    rows = opening.unionByName(read_batches(users.sparkSession, path, BALANCES, before=batch, after=after))
+    if touched is not None:
+        rows = rows.join(touched, "user_id", "left_semi")
+    return rows.groupBy("user_id").agg(F.max_by("balance", "batch").alias("balance"))
 
 
-def guard_balances(spends: DataFrame, users: DataFrame, path: str) -> DataStreamWriter:
+def guard_balances(spends: DataFrame, users: DataFrame, path: str, after: int = -1) -> DataStreamWriter:
     """Accept or refuse each spend (event_id, user_id, ts, amount) by the user's remaining balance.
 
     Spends of a batch are ordered by time and id and settled together, so a
     user with a large share of them does not become one task. Verdicts go to
     ``path/verdicts`` and the new balances of touched users to ``path/balances``.
+    After a compaction, start it with the compacted users and their ``after``.
     """
 
     def settle_batch(df: DataFrame, batch: int) -> None:
         numbered = stored(dense_numbers(df, ["ts", "event_id"], "seq"), "spends")
         touched = numbered.select("user_id").distinct()
-        before = stored(
-            _balances_before(users, f"{path}/balances", batch).join(touched, "user_id", "left_semi"), "balances"
-        )
+        before = stored(_balances_before(users, f"{path}/balances", batch, after, touched), "balances")
         known = numbered.join(before.select("user_id"), "user_id", "left_semi")
         account = ["'cash' AS account", "user_id AS a", "CAST(0 AS BIGINT) AS b"]
         spent = known.selectExpr(
@@ -80,10 +84,10 @@ def guard_balances(spends: DataFrame, users: DataFrame, path: str) -> DataStream
             "verdicts",
         )
         paid = verdicts.filter("accepted").groupBy("user_id").agg(F.sum("amount").alias("paid"))
-        after = before.join(paid, "user_id", "left").select(
+        held = before.join(paid, "user_id", "left").select(
             "user_id", (F.col("balance") - F.coalesce("paid", F.lit(0))).alias("balance")
         )
-        write_batch(after, f"{path}/balances", batch)
+        write_batch(held, f"{path}/balances", batch)
         write_batch(verdicts.select("event_id", "user_id", "ts", "amount", "accepted"), f"{path}/verdicts", batch)
 
     return spends.writeStream.foreachBatch(settle_batch)
@@ -94,6 +98,9 @@ def guard_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return read_batches(spark, f"{path}/verdicts", VERDICTS).drop("batch")
 
 
-def compact_balances(users: DataFrame, path: str, batch: int, target: str) -> None:
-    """Write every balance as it stands before ``batch`` as a new snapshot."""
-    _balances_before(users, f"{path}/balances", batch).write.parquet(target)
+def compact_balances(users: DataFrame, path: str, target: str, after: int = -1) -> int:
+    """Write all users with their balances as of the last stored batch; the number of that batch."""
+    last = max(after, last_batch(users.sparkSession, f"{path}/balances"))
+    held = _balances_before(users, f"{path}/balances", last + 1, after).withColumnRenamed("user_id", "id")
+    users.drop("balance").join(held, "id").select(*users.columns).write.parquet(target)
+    return last
