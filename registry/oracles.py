@@ -546,13 +546,23 @@ oracle(
        WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
     "inventory", "transactions",
 )
+SUPPLIER_NAMES = """(SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN ' ' WHEN s_suppkey % 9 <> 1 THEN s_name END AS name
+    FROM supplier)"""
 oracle(
     "insert_users",
-    """SELECT * FROM users
+    f"""SELECT * FROM users
        UNION ALL
-       SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY s_suppkey), s_name, 'user', 1000,
+       SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY s_suppkey), name, 'user', 1000,
               TIMESTAMP '2024-06-01'
-       FROM supplier WHERE s_name NOT IN (SELECT username FROM users)""",
+       FROM {SUPPLIER_NAMES} WHERE trim(name) <> '' AND name NOT IN (SELECT username FROM users)""",
+    "users",
+)
+oracle(
+    "insert_users_refused",
+    f"""SELECT 'blank_username' AS reason, 2 * count(*) AS rows FROM {SUPPLIER_NAMES} WHERE coalesce(trim(name), '') = ''
+        UNION ALL
+        SELECT 'username_exists', (SELECT count(*) FROM users)
+                                  + (SELECT count(*) FROM {SUPPLIER_NAMES} WHERE trim(name) <> '')""",
     "users",
 )
 oracle(
@@ -561,9 +571,26 @@ oracle(
        UNION ALL
        SELECT (SELECT max(id) FROM items) + row_number() OVER (ORDER BY name, id), name, description, price, category,
               'common', 1, 'other', 100, NULL, 0, image_url, TIMESTAMP '2024-06-01'
-       FROM items""",
+       FROM items WHERE id % 8 > 2""",
     "items",
 )
+oracle(
+    "insert_items_refused",
+    """SELECT id AS n, CASE id % 8 WHEN 0 THEN 'missing_name' WHEN 1 THEN 'below_0_price' ELSE 'missing_price' END AS reason
+       FROM items WHERE id % 8 <= 2""",
+    "items",
+)
+oracle(
+    "rename_users_refused",
+    """, asked AS (SELECT o_custkey AS id, o_orderkey AS order_id, o_orderdate AS day,
+                          'Customer#' || lpad(CAST(o_orderkey % 4000 AS VARCHAR), 9, '0') AS name FROM orders),
+         judged AS (SELECT asked.*, u.id AS holder,
+                           row_number() OVER (PARTITION BY name ORDER BY day, order_id) AS turn
+                    FROM asked LEFT JOIN users u ON u.username = name)
+       SELECT id, order_id, 'username_exists' AS reason FROM judged
+       WHERE CASE WHEN holder IS NULL THEN turn > 1 ELSE holder <> id END""",
+    "users",
+)
 LEDGER = """, entries AS (
            SELECT 'balance' AS account, user_id, NULL AS item_id,
                   CASE transaction_type WHEN 'purchase' THEN -total_amount WHEN 'sale' THEN total_amount ELSE 0 END

@@ -460,17 +460,29 @@ def patch_items_refused(spark, root):
     return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("patches"))
 
 
-@query
-def edit_users(spark, root):
+def _user_patches(spark: SparkSession, root: str) -> DataFrame:
     """Orders as user patches: the status as the role, the price as the balance of finished ones."""
     finished = F.col("o_orderstatus") == "F"
-    patches = b.read(spark, root, "orders").select(
+    return b.read(spark, root, "orders").select(
         F.col("o_custkey").alias("id"),
         F.struct("o_orderdate", "o_orderkey").alias("seq"),
         F.when(finished, whole_units("o_totalprice")).alias("balance"),
         F.when(finished, "").otherwise(F.col("o_orderstatus")).alias("role"),
     )
-    return changes.edit_users(b.users(spark, root), patches)[0]
+
+
+@query
+def edit_users(spark, root):
+    return changes.edit_users(b.users(spark, root), _user_patches(spark, root))[0]
+
+
+@query
+def rename_users_refused(spark, root):
+    """Every order asks for a name: most are asked for by several users, or belong to one."""
+    names = F.concat(F.lit("Customer#"), F.lpad((F.col("seq.o_orderkey") % 4000).cast("string"), 9, "0"))
+    patches = _user_patches(spark, root).drop("balance", "role").withColumn("username", names)
+    refused = changes.edit_users(b.users(spark, root), patches)[1]
+    return refused.select("id", F.col("seq.o_orderkey").alias("order_id"), "reason")
 
 
 @query
@@ -486,27 +498,49 @@ def upsert_inventory(spark, root):
     return changes.apply_holding_changes(b.inventory(spark, root), moves)
 
 
-@query
-def insert_users(spark, root):
-    """Suppliers join as users, each of them twice, together with names that exist."""
+def _new_users(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers join as users, each of them twice and some without a name, together with names that exist."""
+    name = F.when(F.col("s_suppkey") % 9 == 0, F.lit(" ")).when(F.col("s_suppkey") % 9 != 1, F.col("s_name"))
     suppliers = b.read(spark, root, "supplier").select(
-        F.col("s_suppkey").alias("n"), F.explode(F.array(F.col("s_name"), F.upper("s_name"))).alias("username")
+        F.col("s_suppkey").alias("n"), F.posexplode(F.array(F.upper(name), name)).alias("copy", "username")
     )
     known = b.users(spark, root).select(F.col("id").alias("n"), "username")
-    rows = suppliers.withColumn("copy", F.when(F.upper("username") == F.col("username"), 1).otherwise(0)).unionByName(
-        known.withColumn("copy", F.lit(2))
-    )
+    rows = suppliers.withColumn("copy", 1 - F.col("copy")).unionByName(known.withColumn("copy", F.lit(2)))
     at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
-    return changes.insert_users(b.users(spark, root), rows, ["copy", "n"], at)[0]
+    return changes.insert_users(b.users(spark, root), rows, ["copy", "n"], at)
 
 
 @query
-def insert_items(spark, root):
-    rows = b.items(spark, root).select(F.col("id").alias("n"), "name", "description", "price", "category", "image_url")
+def insert_users(spark, root):
+    return _new_users(spark, root)[0]
+
+
+@query
+def insert_users_refused(spark, root):
+    return _new_users(spark, root)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _new_items(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """All items once more, some without a name, a price or with a negative one."""
+    case = F.col("id") % 8
+    rows = b.items(spark, root).select(
+        F.col("id").alias("n"), F.when(case != 0, F.col("name")).alias("name"), "description",
+        F.when(case == 1, -F.col("price")).when(case != 2, F.col("price")).alias("price"), "category", "image_url",
+    )
     at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
     return changes.insert_items(b.items(spark, root), rows, ["name", "n"], at)
 
 
+@query
+def insert_items(spark, root):
+    return _new_items(spark, root)[0]
+
+
+@query
+def insert_items_refused(spark, root):
+    return _new_items(spark, root)[1].select("n", "reason")
+
+
 def _all_entries(spark: SparkSession, root: str) -> DataFrame:
     """Movements of all logs."""
     lines = stored(b.order_lines(spark, root), "order-lines")

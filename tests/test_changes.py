@@ -46,7 +46,7 @@ def test_insert_users(spark):
 def test_insert_into_empty_table(spark):
     items = spark.createDataFrame([], SCHEMAS["items"])
     rows = spark.createDataFrame([("b", 1), ("a", 2)], "name string, price bigint")
-    after = changes.insert_items(items, rows, ["name"]).select("id", "name", "rarity", "stock", "durability").collect()
+    after = changes.insert_items(items, rows, ["name"])[0].select("id", "name", "rarity", "stock", "durability").collect()
     assert sorted(tuple(r) for r in after) == [(1, "a", "common", 0, 100), (2, "b", "common", 0, 100)]
 
 
@@ -110,3 +110,27 @@ def test_logs_explain_the_new_snapshot(spark):
     wrong = result.users.withColumn("balance", F.col("balance") + F.when(F.col("id") == 3, 1).otherwise(0))
     changed = ledger.reconcile(opening, entries, ledger.snapshot_entries(wrong, result.items, result.inventory)).collect()
     assert [(r.account, r.user_id, r.actual - r.expected) for r in changed] == [("balance", 3, 1)]
+
+
+def test_names_stay_unique_when_edited(spark):
+    users = spark.createDataFrame([(1, "a", "user", 5), (2, "b", "user", 5), (3, "c", "user", 5)], "id bigint, username string, role string, balance bigint")
+    patches = spark.createDataFrame(
+        [(1, 1, "b", None), (2, 2, "new", None), (3, 3, "NEW", "admin"), (1, 4, " ", "boss"), (3, 5, "c", None), (2, 6, "x" * 101, None)],
+        "id bigint, seq bigint, username string, role string",
+    )
+    after, refused = changes.edit_users(users, patches)
+    assert {(r.id, r.username, r.role) for r in after.collect()} == {(1, "a", "boss"), (2, "new", "user"), (3, "c", "user")}
+    assert {(r.seq, r.reason) for r in refused.collect()} == {(1, "username_exists"), (3, "username_exists"), (6, "too_long_username")}
+
+
+def test_inserted_rows_obey_the_rules(spark):
+    users = spark.createDataFrame([], SCHEMAS["users"])
+    rows = spark.createDataFrame([(1, None), (2, " "), (3, "ok"), (4, "y" * 101)], "n int, username string")
+    after, refused = changes.insert_users(users, rows, ["n"], F.lit(T1).cast("timestamp_ntz"))
+    assert [r.username for r in after.collect()] == ["ok"]
+    assert {(r.n, r.reason) for r in refused.collect()} == {(1, "blank_username"), (2, "blank_username"), (4, "too_long_username")}
+    items = spark.createDataFrame([], SCHEMAS["items"])
+    rows = spark.createDataFrame([(1, None, 5), (2, "a", -5), (3, "b", None), (4, "c", 1)], "n int, name string, price bigint")
+    after, refused = changes.insert_items(items, rows, ["n"], F.lit(T1).cast("timestamp_ntz"))
+    assert [(r.name, r.price) for r in after.collect()] == [("c", 1)]
+    assert {(r.n, r.reason) for r in refused.collect()} == {(1, "missing_name"), (2, "below_0_price"), (3, "missing_price")}
