@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tradeloom.llm.shared import slices
+from tradeloom.llm.shared import release, slices
 
 MEMO = 400_000
 LONG_PIECE = 64
@@ -234,6 +234,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("key"), _encoded(batch.column("text"), use)], names=["key", "ids"])
         use.forget()
+        release()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
@@ -251,6 +252,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", t
                 [batch.column("key"), ids, decode_rows(ids, _table(path))], names=["key", "ids", "bytes"]
             )
         use.forget()
+        release()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")

@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tradeloom.llm.shared import slices, split_words
+from tradeloom.llm.shared import release, slices, split_words
 from tradeloom.plans.workspace import new_path, stored
 
-MEMO = 1_200_000
+MEMO = 400_000
 LONG_WORD = 64
 CHUNK_IDS = 1 << 18
 # Marks that are no part of a word whatever stands around them; an apostrophe may be.
@@ -131,6 +131,8 @@ def encode(df: DataFrame, path: str, *, end_id: int, key: str = "doc_id", text:
         for batch in slices(batches, "text"):
             ids = [found + end for found in words.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
+        words.known.clear()  # a worker may go on with other work
+        release()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
