@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tradeloom.plans.workspace import stored
 from tradeloom.tables import RULES, Rules
 
 # Parents come before their children.
@@ -21,59 +22,90 @@ def _row_checks(df: DataFrame, rules: Rules) -> dict[str, Column]:
     return checks
 
 
-def _row_violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """All single-row rules of a table counted in one pass, then turned into rows."""
-    counts = df.agg(*[F.count_if(test).alias(f"c{i}") for i, test in enumerate(checks.values())])
-    rows = F.explode(
-        F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"c{i}").alias("violations")) for i, rule in enumerate(checks)])
-    )
-    return counts.select(rows.alias("row")).select("row.rule", "row.violations")
-
-
-def _duplicates(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows beyond the first of each key; keys with a null part never collide."""
+def _key_text(df: DataFrame, columns: tuple[str, ...]) -> Column:
+    """One text for a key, null if a part is null; texts are compared without case and outer blanks."""
     texts = {field.name for field in df.schema if field.dataType.simpleString() == "string"}
-    keys = [F.lower(F.trim(c)).alias(c) if c in texts else F.col(c) for c in columns]
-    filled = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
-    sizes = df.filter(filled).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
-        F.lit(f"unique:{','.join(columns)}").alias("rule"), "violations"
+    parts = [F.lower(F.trim(c)) if c in texts else F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for part in parts for x in (part, F.lit("\x1f"))])
+
+
+def _entries(name: str, df: DataFrame, rules: Rules, tables: dict[str, DataFrame], row_rules: bool) -> DataFrame:
+    """What the audit needs of each row, in one pass: broken row rules, its unique keys, and its references."""
+
+    def entry(when: Column, rule: str, refers: str | None, key: Column) -> Column:
+        return F.when(
+            when, F.struct(F.lit(rule).alias("rule"), F.lit(refers).cast("string").alias("refers"), key.alias("key"))
+        )
+
+    none, found = F.lit(None).cast("string"), []
+    if row_rules:
+        found += [entry(test, rule, None, none) for rule, test in _row_checks(df, rules).items()]
+    for key in [(rules.key,), *rules.unique]:
+        if set(key) <= set(df.columns):
+            text = _key_text(df, key)
+            found.append(entry(text.isNotNull(), f"unique:{','.join(key)}", None, text))
+    for column, parent in rules.parents.items():
+        if column in df.columns and parent in tables:
+            text = _key_text(df, (column,))
+            found.append(entry(text.isNotNull(), f"parent:{column}->{parent}", parent, text))
+    listed = F.explode(F.filter(F.array(*found), lambda one: one.isNotNull())).alias("entry")
+    return df.select(listed).select(F.lit(name).alias("table_name"), "entry.*")
+
+
+def _audit(tables: dict[str, DataFrame], rules: dict[str, Rules], row_rules: bool) -> DataFrame:
+    """(table_name, rule, violations) of the rules that are broken.
+
+    Each table is read once. Its keys are counted per rule and key before
+    anything is joined, so that a hot key is one row; parents are known by their
+    own unique keys.
+    """
+    parts = [_entries(name, df, rules[name], tables, row_rules) for name, df in tables.items()]
+    counted = reduce(DataFrame.unionAll, parts).groupBy("table_name", "rule", "refers", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counted, "audit")
+    broken = counts.filter("key IS NULL").select("table_name", "rule", F.col("n").alias("violations"))
+    repeated = counts.filter("key IS NOT NULL AND refers IS NULL AND n > 1").select(
+        "table_name", "rule", (F.col("n") - 1).alias("violations")
     )
+    own_keys = {name: f"unique:{rules[name].key}" for name in tables}
+    is_key = reduce(Column.__or__, [(F.col("table_name") == t) & (F.col("rule") == r) for t, r in own_keys.items()])
+    known = counts.filter(is_key).select(F.col("table_name").alias("refers"), "key")
+    lost = counts.filter("refers IS NOT NULL").join(known, ["refers", "key"], "left_anti").select(
+        "table_name", "rule", F.col("n").alias("violations")
+    )
+    every = broken.unionAll(repeated).unionAll(lost) if row_rules else lost
+    return every.groupBy("table_name", "rule").agg(F.sum("violations").alias("violations"))
 
 
-def _orphans(child: DataFrame, column: str, parent: DataFrame, key: str, label: str) -> DataFrame:
-    """Child rows without a parent, counted per key before the join so that a hot key is one row."""
-    uses = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_used")).agg(F.count(F.lit(1)).alias("n"))
-    lost = uses.join(parent.select(F.col(key).alias("_known")), F.col("_used") == F.col("_known"), "left_anti")
-    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit(label).alias("rule"), "violations")
+def _with_zeros(spark, broken: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    every = spark.createDataFrame(names, "table_name string, rule string")
+    return every.join(broken, ["table_name", "rule"], "left").select(
+        "table_name", "rule", F.coalesce("violations", F.lit(0)).alias("violations")
+    )
 
 
-def _named(table: str, parts: list[DataFrame]) -> list[DataFrame]:
-    return [part.select(F.lit(table).alias("table_name"), "rule", "violations") for part in parts]
+def _parent_rules(tables: dict[str, DataFrame], rules: dict[str, Rules]) -> list[tuple[str, str]]:
+    return [
+        (name, f"parent:{column}->{parent}")
+        for name, df in tables.items()
+        for column, parent in rules[name].parents.items()
+        if column in df.columns and parent in tables
+    ]
 
 
 def orphan_check(tables: dict[str, DataFrame], rules: dict[str, Rules] = RULES) -> DataFrame:
     """(table_name, rule, violations) for every parent reference."""
-    found = []
-    for name, df in tables.items():
-        for column, parent in rules[name].parents.items():
-            if column in df.columns and parent in tables:
-                label = f"parent:{column}->{parent}"
-                found += _named(name, [_orphans(df, column, tables[parent], rules[parent].key, label)])
-    return reduce(DataFrame.unionAll, found)
+    spark = next(iter(tables.values())).sparkSession
+    return _with_zeros(spark, _audit(tables, rules, row_rules=False), _parent_rules(tables, rules))
 
 
 def constraint_audit(tables: dict[str, DataFrame], rules: dict[str, Rules] = RULES) -> DataFrame:
     """(table_name, rule, violations) for every rule, zero counts included."""
-    found = []
+    names = [(name, rule) for name, df in tables.items() for rule in _row_checks(df, rules[name])]
     for name, df in tables.items():
-        table_rules = rules[name]
-        checks = _row_checks(df, table_rules)
-        parts = [_row_violations(df, checks)] if checks else []
-        keys = [(table_rules.key,), *table_rules.unique]
-        parts += [_duplicates(df, key) for key in keys if set(key) <= set(df.columns)]
-        found += _named(name, parts)
-    return reduce(DataFrame.unionAll, found).unionAll(orphan_check(tables, rules))
+        keys = [(rules[name].key,), *rules[name].unique]
+        names += [(name, f"unique:{','.join(key)}") for key in keys if set(key) <= set(df.columns)]
+    spark = next(iter(tables.values())).sparkSession
+    return _with_zeros(spark, _audit(tables, rules, row_rules=True), names + _parent_rules(tables, rules))
 
 
 def cascade_delete(
