@@ -7,5 +7,5 @@ from tradeloom.llm.queries import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_sql(spark, small, name):
-    assert differences(spark, small, QUERIES[name], ORACLES[name], duck(small)) is None
+def test_query_equals_sql(spark, medium, name):
+    assert differences(spark, medium, QUERIES[name], ORACLES[name], duck(medium)) is None

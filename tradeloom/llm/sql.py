@@ -7,7 +7,7 @@ from tradeloom.llm.licenses import RULES, SENTENCES
 WORD = r"[^\x20\x09-\x0D]+"
 
 HOST_RULES = rf"""
-WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 split AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '{WORD}') AS words FROM texts),
 windows AS (
   SELECT r, i, words[i : i + 4] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM split)
@@ -70,7 +70,7 @@ def _round(n: str, salt: str) -> str:
 
 
 MIXING = rf"""
-WITH RECURSIVE sizes AS (
+WITH RECURSIVE sizes AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size
   FROM documents
@@ -137,15 +137,19 @@ def _license_scan() -> str:
         last = f"s{i}"
     return rf"""
 WITH known(sentence, name) AS (VALUES {known}),
-cut AS (
+cut AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(translate(
     regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
-      '([.!?;:])[ 	-]+', '' || chr(1), 'g'),
+      '([.!?;:])[ 	-
+]+', '' || chr(1), 'g'),
       '
-[ 	-]*
+[ 	-
+]*
 ', chr(1), 'g'),
       '
-([ 	-]*[^a-z 	-])', chr(1) || '', 'g'),
+([ 	-
+]*[^a-z 	-
+])', chr(1) || '', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), chr(1)) AS parts
   FROM documents
 ),
