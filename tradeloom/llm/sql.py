@@ -140,17 +140,10 @@ WITH known(sentence, name) AS (VALUES {known}),
 cut AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(translate(
     regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
-      '([.!?;:])[ 	-
-]+', '' || chr(1), 'g'),
-      '
-[ 	-
-]*
-', chr(1), 'g'),
-      '
-([ 	-
-]*[^a-z 	-
-])', chr(1) || '', 'g'),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), chr(1)) AS parts
+      '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'),
+      '\n[\x20\x09-\x0D]*\n', chr(1), 'g'),
+      '\n([\x20\x09-\x0D]*[^a-z\x20\x09-\x0D])', chr(1) || '\1', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x01]+', ' ', 'g'), chr(1)) AS parts
   FROM documents
 ),
 parts AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
