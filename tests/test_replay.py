@@ -93,7 +93,7 @@ def test_all_kinds_agree_with_the_model(spark, seed):
 
 
 def test_long_chains_agree_with_the_model(spark):
-    result, _ = check(spark, make(5, 600, 3, 2, SHOP_KINDS))
+    result, _ = check(spark, make(5, 300, 3, 2, SHOP_KINDS))
     assert result.rounds < 60
 
 
