@@ -141,7 +141,8 @@ def fit(training: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
             )
 
     taught = drawn.mapInArrow(run, "lang string, places array<smallint>, counts array<int>").where("size(places) > 0")
-    held = sorted((row.lang, list(row.places), list(row.counts)) for row in taught.toLocalIterator())
+    rows = taught.toArrow()
+    held = sorted(zip(*(rows.column(name).to_pylist() for name in ("lang", "places", "counts")), strict=True))
     counts = np.zeros((len(held), PLACES))
     for at, (_, places, values) in enumerate(held):
         counts[at, places] = values

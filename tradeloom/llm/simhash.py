@@ -159,7 +159,6 @@ def _forest(group: pa.Table, budget: int) -> pa.Table:
 def near_links(values: DataFrame, budget: int, *, node_rows: int = NODE_ROWS) -> DataFrame:
     """(a, b): links whose components are those of all pairs of ``values`` (value bigint, distinct) within ``budget`` bits."""
     spark = values.sparkSession
-    empty = spark.createDataFrame([], "a bigint, b bigint")
     open_pairs = spark.createDataFrame([(0, 0, 0)], "a bigint, b bigint, bits int")
     parts, depth = [], 0
     while depth < 64:
@@ -193,8 +192,8 @@ def near_links(values: DataFrame, budget: int, *, node_rows: int = NODE_ROWS) ->
             )
         if open_pairs.isEmpty():
             break
-    found = reduce(DataFrame.union, parts).groupBy("depth", "a", "b")
-    return found.applyInArrow(lambda group: _forest(group, budget), "a bigint, b bigint") if parts else empty
+    pairs = reduce(DataFrame.union, parts).groupBy("depth", "a", "b")
+    return pairs.applyInArrow(lambda group: _forest(group, budget), "a bigint, b bigint")
 
 
 def groups(
