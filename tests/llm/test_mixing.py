@@ -70,7 +70,7 @@ def got_rows(rows):
 
 
 def test_mixed_texts_hold_the_words_taken(spark, medium):
-    df = spark.read.parquet(f"{medium}/documents.parquet")
+    df = spark.read.parquet(f"{medium}/documents.parquet").withColumns({"mixed_key": F.lit(1), "Mixed_Pieces": F.lit("x")})
     plan = mixing.mix(df)
     texts = {r.doc_id: r for r in mixing.mixed(df, plan).collect()}
     before = {r.doc_id: set(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in df.collect()}

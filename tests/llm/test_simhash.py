@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tradeloom.llm import simhash
 from tradeloom.llm.components import components
@@ -78,6 +79,9 @@ def test_odd_rows(spark):
         (False, 0, 0), (True, 2, 2), (True, 3, 3), (True, 4, 3), (True, 5, 5), (True, 7, 5), (True, 8, 8), (True, 8, 8), (True, 9, 5)
     ]
     assert simhash.groups(df.limit(0)).count() == 0
+    kept = simhash.representatives(df.withColumn("kept", F.lit(0)))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect())[:2] == [(0, "null key"), (2, "a b c " * 5000)]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 5, 8] and "kept" in kept.columns
 
 
 def test_query_equals_brute_force(spark, small):

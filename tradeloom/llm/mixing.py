@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tradeloom.llm.shared import BLANK, WORD
+from tradeloom.llm.shared import BLANK, WORD, fresh
 from tradeloom.plans.workspace import stored
 
 ROUNDS = 12
@@ -203,22 +203,23 @@ def mixed(df: DataFrame, plan: Mix, *, key: str = "doc_id", text: str = "text")
     with the blanks before its words. Keys are taken to be unique; rows without
     a key are left out.
     """
+    mine, listed, split = (fresh(df, name) for name in ("mixed_key", "mixed_pieces", "mixed_words"))
     pieces = (
         used(plan)
         .where("uses > 0")
-        .groupBy(F.col("key").alias("_key"))
-        .agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("_pieces"))
+        .groupBy(F.col("key").alias(mine))
+        .agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias(listed))
     )
     spaced = F.regexp_extract_all(F.concat(F.lit(" "), F.col(text)), F.lit(f"{BLANK}*{WORD}"), F.lit(0))
-    joined = df.join(pieces, F.col(key) == F.col("_key")).withColumn("_words", spaced)
+    joined = df.join(pieces, F.col(key) == F.col(mine)).withColumn(split, spaced)
 
     def piece(one: Column, words: Column) -> Column:
         part = F.array_join(F.slice(words, one["first"].cast("int") + 1, one["words"].cast("int")), "")
         return F.repeat(part, one["uses"].cast("int"))
 
     def body(words: Column) -> Column:
-        return F.array_join(F.transform("_pieces", lambda one: piece(one, words)), "")
+        return F.array_join(F.transform(listed, lambda one: piece(one, words)), "")
 
-    text_taken = F.get(F.transform(F.array("_words"), body), F.lit(0))
+    text_taken = F.get(F.transform(F.array(split), body), F.lit(0))
     trimmed = F.regexp_replace(text_taken, f"^{BLANK}+", "")
     return joined.withColumn(text, trimmed).select(*df.columns)

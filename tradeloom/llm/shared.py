@@ -44,6 +44,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 23)
             yield batch.slice(start, step)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give memory that Arrow no longer uses back at the end of a task; idle workers stay alive."""
     pa.default_memory_pool().release_unused()

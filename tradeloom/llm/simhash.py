@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tradeloom.llm.components import components
-from tradeloom.llm.shared import slices, utf8
+from tradeloom.llm.shared import fresh, slices, utf8
 from tradeloom.plans.workspace import stored
 
 SEED = 42
@@ -225,6 +225,7 @@ def representatives(df: DataFrame, *, shingle: int = 3, distance: int = 3, key:
     a group and stay as they are.
     """
     found = groups(df, shingle=shingle, distance=distance, key=key, text=text)
-    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("_kept")).distinct()
-    named = df.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    mine = fresh(df, "kept")
+    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias(mine)).distinct()
+    named = df.join(kept, F.col(key) == F.col(mine), "left_semi").dropDuplicates([key])
     return named.select(*df.columns).union(df.where(F.col(key).isNull()))
