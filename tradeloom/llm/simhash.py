@@ -26,7 +26,8 @@ from tradeloom.plans.workspace import stored
 SEED = 42
 STEP = 4
 NODE_ROWS = 1 << 16
-CHUNK = 1 << 18
+CHUNK = 1 << 16  # shingles hashed at a time
+PAIRS = 1 << 15  # node pairs walked at a time, each with at most 64 leaf pairs
 
 
 def fingerprint(text: bytes, shingle: int) -> bytes:
@@ -96,7 +97,7 @@ def walk(a: np.ndarray, b: np.ndarray, bit: int, budget: int) -> Iterator[tuple[
     stack = [(bit, whole)]
     while stack:
         bit, pairs = stack.pop()
-        if len(pairs[0]) > CHUNK:
+        if len(pairs[0]) > PAIRS:
             half = len(pairs[0]) // 2
             stack += [(bit, tuple(x[:half] for x in pairs)), (bit, tuple(x[half:] for x in pairs))]
             continue
