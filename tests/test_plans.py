@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from registry.queries import QUERIES
@@ -86,3 +87,25 @@ def test_keep_all_parents(spark):
     children = spark.createDataFrame([(1, "x"), (1, "y"), (9, "z")], "parent bigint, name string")
     rows = keep_all_parents(parents, children, "id", "parent").collect()
     assert sorted((r.id, r.name or "") for r in rows) == [(1, "x"), (1, "y"), (2, "")]
+
+
+@pytest.mark.parametrize("name", ["trade_details", "trade_history", "full_history", "labelled_history", "ledger_fold"])
+def test_lines_are_scanned_once(spark, small, name):
+    """Order lines are stored by a job of their own; what is left reads the file once at most."""
+    assert plan(QUERIES[name](spark, small)).count("lineitem.parquet") <= 1
+
+
+def test_audit_reads_each_table_once(spark, small, monkeypatch):
+    from tradeloom.operators import audit
+
+    plans, keep = [], audit.stored
+
+    def watched(df, name):
+        plans.append(plan(df))
+        return keep(df, name)
+
+    monkeypatch.setattr(audit, "stored", watched)
+    QUERIES["constraint_audit"](spark, small)
+    assert len(plans) == 1
+    for table in ("part", "customer", "events"):
+        assert plans[0].count(f"/{table}.parquet") == 1
