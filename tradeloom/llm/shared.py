@@ -35,7 +35,7 @@ def utf8(array: pa.Array) -> list[bytes | None]:
     return array.cast(pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``size`` bytes in each slice; every row is kept."""
     for batch in batches:
         values = batch.column(column)
@@ -52,11 +52,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def release() -> None:
-    """Give memory that Arrow no longer uses back at the end of a task; idle workers stay alive."""
-    pa.default_memory_pool().release_unused()
-
-
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words of all texts in a row, position of each text's first word and of the end); null texts have none.
 
