@@ -31,6 +31,7 @@ from tradeloom.plans.workspace import new_path, stored
 MEMO = 400_000
 LONG_WORD = 64
 CHUNK_IDS = 1 << 18
+LOOKED_UP = 1 << 23  # bytes of text whose distinct words are looked up together
 # Marks that are no part of a word whatever stands around them; an apostrophe may be.
 MARKS = "".join(mark for mark in string.punctuation if mark != "'")
 MARKED = rf"([a-z])([{re.escape(MARKS)}])"
@@ -128,7 +129,7 @@ def encode(df: DataFrame, path: str, *, end_id: int, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         end = np.array([end_id], words.kind).tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", LOOKED_UP):
             ids = [found + end for found in words.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
         words.known.clear()  # a worker may go on with other work
