@@ -132,7 +132,6 @@ def encode(df: DataFrame, path: str, *, end_id: int, key: str = "doc_id", text:
         for batch in slices(batches, "text", LOOKED_UP):
             ids = [found + end for found in words.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
-        words.known.clear()  # a worker may go on with other work
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
