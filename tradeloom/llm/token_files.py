@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tradeloom.llm.shared import slices, split_words
 from tradeloom.plans.workspace import new_path, stored
 
-MEMO = 400_000
+MEMO = 800_000
 LONG_WORD = 64
 CHUNK_IDS = 1 << 18
 LOOKED_UP = 1 << 23  # bytes of text whose distinct words are looked up together
