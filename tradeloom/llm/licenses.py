@@ -26,19 +26,27 @@ SENTENCES: dict[str, str] = {
     "licensed under the mit license": "MitNotice",
     "this software is released under the mit license": "MitNotice",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitInclude",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitAsIs",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdNames",
     "this work is licensed under the gnu general public license version 3": "Gpl3Notice",
     "this program is licensed under the gnu general public license version 3": "Gpl3Notice",
     "this work is licensed under the gnu general public license version 2": "Gpl2Notice",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3OrLater",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2OrLater",
     "you should have received a copy of the gnu general public license along with this program": "GplReceived",
+    "this program is free software": "GplFree",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
+    "at your option any later version": "GplLater",
     "licensed under the gnu lesser general public license version 3": "Lgpl3Notice",
+    "this source code form is subject to the terms of the mozilla public license v": "Mpl2Notice",
+    "this source code form is subject to the terms of the mozilla public": "Mpl2Notice",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "Mpl2Notice",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "Mpl2Copy",
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "Mpl2Copy",
     "licensed under cc by 4 0": "CcBy4",
     "licensed under cc by sa 4 0": "CcBySa4",
@@ -51,20 +59,47 @@ SENTENCES: dict[str, str] = {
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "all rights reserved": "AllRights",
 }
+# Real notices are cut within: the GPL's at its colon or semicolons and before "(at", capitals at each line break.
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+for _version in ("3", "2"):
+    _either = f"either version {_version} of the license or"
+    SENTENCES |= {
+        f"{_TERMS} {_either} at your option any later version": f"Gpl{_version}OrLater",
+        f"{_TERMS} {_either}": f"Gpl{_version}Or",
+        f"{_either} at your option any later version": f"GplVersion{_version}OrLater",
+        f"{_either}": f"GplVersion{_version}",
+    }
+_AS_IS = "the software is provided as is without warranty of any kind express or implied".split()
+SENTENCES |= {" ".join(_AS_IS[:n]): "MitAsIs" for n in range(6, len(_AS_IS) + 1)}
+
+
+def _or_later(version: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Rules for the notice of a GPL version, longest first."""
+    terms = (
+        (f"Gpl{version}OrLater",),
+        (f"Gpl{version}Or", "GplLater"),
+        ("GplTerms", f"GplVersion{version}OrLater"),
+        ("GplTerms", f"GplVersion{version}", "GplLater"),
+    )
+    ends = ((("GplFree",), ("GplReceived",)), ((), ("GplReceived",)), (("GplFree",), ()), ((), ()))
+    return [(f"GPL-{version}.0-or-later", (*first, *run, *last)) for first, last in ends for run in terms]
+
+
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("ApacheNotice2", "ApacheCompliance", "ApacheCopy", "ApacheSee")),
     ("Apache-2.0", ("ApacheNotice2", "ApacheCompliance", "ApacheCopy")),
     ("Apache-2.0", ("ApacheNotice2", "ApacheCompliance")),
     ("Apache-2.0", ("ApacheNotice2",)),
+    ("MIT", ("MitNotice", "MitGrant", "MitInclude", "MitAsIs")),
+    ("MIT", ("MitGrant", "MitInclude", "MitAsIs")),
     ("MIT", ("MitNotice", "MitInclude", "MitAsIs")),
     ("MIT", ("MitInclude", "MitAsIs")),
     ("MIT", ("MitNotice",)),
     ("ISC", ("IscGrant",)),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNames")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
-    ("GPL-3.0-or-later", ("Gpl3OrLater", "GplReceived")),
-    ("GPL-3.0-or-later", ("Gpl3OrLater",)),
-    ("GPL-2.0-or-later", ("Gpl2OrLater", "GplReceived")),
-    ("GPL-2.0-or-later", ("Gpl2OrLater",)),
+    *_or_later("3"),
+    *_or_later("2"),
     ("GPL-3.0-only", ("Gpl3Notice",)),
     ("GPL-2.0-only", ("Gpl2Notice",)),
     ("LGPL-3.0-only", ("Lgpl3Notice",)),
