@@ -327,13 +327,13 @@ def import_items(spark, root):
 
 @query
 def import_item_arrays(spark, root):
-    """Items written as files of one JSON array each, among them elements that are no objects and an empty array."""
+    """Items written as files of one JSON array of up to 10,000 ids each, among them elements that are no objects and an empty array."""
     path = new_path(spark, "items-arrays")
     files = (
         _item_file_rows(spark, root, F.lit("5"))
-        .groupBy((F.col("id") % 16).alias("part"))
+        .groupBy(F.expr("id div 10000").alias("part"))
         .agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
-        .union(spark.range(1).select(F.lit(99).cast("bigint").alias("part"), F.lit("[]").alias("value")))
+        .union(spark.range(1).select(F.lit(-1).cast("bigint").alias("part"), F.lit("[]").alias("value")))
     )
     files.repartition("part").write.partitionBy("part").text(path)
     return _imported_items(spark, path, "array")

@@ -4,7 +4,9 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from registry import queries
 from tradeloom import bindings
 from tradeloom.sources import exports, imports, tables
 from tradeloom.tables import SCHEMAS
@@ -135,3 +137,10 @@ def test_user_files_with_different_headers(spark, tmp_path):
         ("ann", "admin", 5), ("bob", "user", 1000), ("cid", "user", 7)
     }
     assert rejected.count() == 0
+
+
+def test_array_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_item_file_rows", lambda s, root, broken: s.range(170_000).select("id", F.lit("5").alias("value")))
+    monkeypatch.setattr(queries, "_imported_items", lambda s, path, layout: s.read.text(path, wholetext=True))
+    sizes = [len(json.loads(row.value)) for row in queries.import_item_arrays(spark, "").collect()]
+    assert sum(sizes) == 170_000 and max(sizes) <= 10_000 and 0 in sizes
