@@ -734,23 +734,28 @@ def _stream_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame
     return spark.read.schema(df.schema).parquet(f"{path}/table")
 
 
+def _sales_watermark(spark: SparkSession, root: str) -> str | None:
+    return live.final_watermark(b.event_sales(spark, root).filter(F.col("transaction_type") == "purchase"))
+
+
 @query
 def stream_sales(spark, root):
     """Hours that the stream closed, and the last ones of the ended source."""
     emitted = _stream_to_table(spark, live.live_sales(b.event_sales_of(_event_stream(spark, root))), "stream-sales")
-    return live.with_last_windows(emitted, live.live_sales(b.event_sales(spark, root)))
+    return live.with_last_windows(emitted, live.live_sales(b.event_sales(spark, root)), _sales_watermark(spark, root))
 
 
 @query
 def stream_candles(spark, root):
     emitted = _stream_to_table(spark, live.live_candles(b.event_prices_of(_event_stream(spark, root))), "stream-candles")
-    return live.with_last_windows(emitted, live.live_candles(b.event_prices(spark, root)), "item_id")
+    prices = b.event_prices(spark, root)
+    return live.with_last_windows(emitted, live.live_candles(prices), live.final_watermark(prices), "item_id")
 
 
 @query
 def stream_trailing(spark, root):
     emitted = _stream_to_table(spark, live.live_trailing(b.event_sales_of(_event_stream(spark, root))), "stream-trailing")
-    return live.with_last_windows(emitted, live.live_trailing(b.event_sales(spark, root)))
+    return live.with_last_windows(emitted, live.live_trailing(b.event_sales(spark, root)), _sales_watermark(spark, root))
 
 
 @query

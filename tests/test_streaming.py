@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from registry import queries
 from tradeloom.operators import analytics
 from tradeloom.streaming import live, state
 from tradeloom.streaming.sinks import read_batches, run_available, write_batch
@@ -161,3 +162,10 @@ def test_balance_guard_over_batches(spark, tmp_path):
     run_available(state.guard_balances(feed.stream(), compact, path, last), str(tmp_path / "progress"))
     late = {r.event_id: r.accepted for r in state.guard_verdicts(spark, path).filter("event_id >= 1000").collect()}
     assert late == {1000: False, 1001: True}
+
+
+@pytest.mark.parametrize("name", ["stream_sales", "stream_candles", "stream_trailing"])
+def test_windows_a_stream_lost_are_not_filled_in(spark, small, monkeypatch, name):
+    whole = queries.QUERIES[name](spark, small).count()
+    monkeypatch.setattr(queries, "_stream_to_table", lambda s, df, name: s.createDataFrame([], df.schema))
+    assert 0 < queries.QUERIES[name](spark, small).count() < whole

@@ -110,12 +110,19 @@ def compact_counters(
     return last
 
 
-def with_last_windows(emitted: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
+def final_watermark(events: DataFrame, column: str = "transaction_date", delay: str = "10 minutes") -> str | None:
+    """Watermark of a stream after all of ``events``, in the session's time zone; None without events."""
+    last = F.max(F.col(column).cast("timestamp")) - F.expr(f"INTERVAL {delay}")
+    return events.agg(last.cast("timestamp_ntz").cast("string")).first()[0]
+
+
+def with_last_windows(emitted: DataFrame, whole: DataFrame, watermark: str | None, *keys: str) -> DataFrame:
     """Windows a stream has emitted, and those of the ended source that it never will.
 
     ``whole`` is the same report over the source as a table. A window stays open
-    in the stream until a later event passes its end, so the last ones come from
-    there.
+    in the stream until a later event passes its end, so those that end beyond
+    the final ``watermark`` come from there; others the stream lost stay lost.
     """
     on = ["window_start", "window_end", *keys]
-    return emitted.unionByName(whole.join(emitted.select(*on), on, "left_anti").select(*emitted.columns))
+    open_yet = whole.where(F.col("window_end") > F.lit(watermark).cast("timestamp_ntz"))
+    return emitted.unionByName(open_yet.join(emitted.select(*on), on, "left_anti").select(*emitted.columns))
