@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, hosts, language, licenses, mixing, pitman_yor, quality, simhash, token_files, vectors
+from tradeloom.llm import byte_bpe, hosts, language, licenses, mixing, periodic, pitman_yor, quality, simhash, token_files, vectors
 from tradeloom.llm.shared import id_remainder, table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
@@ -97,6 +97,23 @@ def op10_token_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    planted = F.crc32(F.col("doc_id").cast("string"))
+    found = periodic.runs(table(spark, root, "documents"), keep=["doc_id"], plant=planted)
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    best = found.withColumn("best", periodic.longest()).withColumn("lines", F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
@@ -108,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
 }
