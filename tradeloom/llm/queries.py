@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, hosts, language, licenses, mixing, periodic, pitman_yor, quality, simhash, token_files, vectors
+from tradeloom.llm import byte_bpe, chat, hosts, language, licenses, mixing, periodic, pitman_yor, quality, simhash, token_files, vectors
 from tradeloom.llm.shared import id_remainder, table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
@@ -97,6 +97,18 @@ def op10_token_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op11_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    added = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(rows, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     planted = F.crc32(F.col("doc_id").cast("string"))
     found = periodic.runs(table(spark, root, "documents"), keep=["doc_id"], plant=planted)
@@ -125,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "op11_chat_formatting": op11_chat_formatting,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tradeloom.llm.chat import Template
 from tradeloom.llm.licenses import RULES, SENTENCES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -160,4 +161,25 @@ FROM {last}
 """
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_scan(), "op3_host_rules": HOST_RULES, "op9_mixing": MIXING}
+def _chat() -> str:
+    """Formatted sizes by the lengths of marks and escaped texts; digests straight from the rows."""
+    template = Template()
+    escaped = lambda column: f"length(regexp_replace({column}, '{template.control}', '\\1\\\\\\2\\3', 'g'))"
+    marks = " ".join(f"WHEN '{role}' THEN {len(before + after)}" for role, before, after in template.roles)
+    return f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({escaped("text")} + CASE role {marks}
+    ELSE {len("".join(template.other))} + {escaped("role")} END) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_scan(), "op3_host_rules": HOST_RULES, "op9_mixing": MIXING, "op11_chat_formatting": _chat()}
