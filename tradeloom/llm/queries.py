@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.llm import byte_bpe, chat, hosts, language, licenses, mixing, periodic, pitman_yor, quality, simhash, token_files, vectors
+from tradeloom.llm import byte_bpe, chat, hosts, language, licenses, mixing, periodic, phrases, pitman_yor, quality, simhash, token_files, vectors
 from tradeloom.llm.shared import id_remainder, table
 from tradeloom.llm.sql import ORACLES  # noqa: F401  (read beside QUERIES)
 
@@ -109,6 +109,10 @@ def op11_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
     return chat.read_back(rows, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return phrases.collocations(table(spark, root, "documents"), least=30, top=2000)
+
+
 def op13_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     planted = F.crc32(F.col("doc_id").cast("string"))
     found = periodic.runs(table(spark, root, "documents"), keep=["doc_id"], plant=planted)
@@ -138,5 +142,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }

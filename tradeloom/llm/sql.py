@@ -182,4 +182,47 @@ FROM said GROUP BY conv_id
 """
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_scan(), "op3_host_rules": HOST_RULES, "op9_mixing": MIXING, "op11_chat_formatting": _chat()}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+placed AS (
+  SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+  FROM lists, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(words) >= k
+),
+counts AS MATERIALIZED (
+  SELECT lang, k, words[i : i + k - 1] AS phrase, count(*) AS f FROM placed GROUP BY ALL
+),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM candidates),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, cuts.f AS a, x.f AS l, y.f AS r, j,
+    CAST(CAST(2000000 AS HUGEINT) * cuts.f // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts
+  JOIN counts x ON x.lang = cuts.lang AND x.phrase = cuts.phrase[: j]
+  JOIN counts y ON y.lang = cuts.lang AND y.phrase = cuts.phrase[j + 1 :]
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, f, phrase[i : i + size - 1] AS phrase
+  FROM (SELECT lang, f, phrase, k, size, unnest(range(1, k - size + 2)) AS i
+    FROM candidates, (VALUES (2), (3)) AS sizes(size) WHERE size < k)
+),
+covering AS (SELECT lang, phrase, max(f) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN covering USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
+),
+ranked AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank
+  FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_scan(), "op3_host_rules": HOST_RULES, "op9_mixing": MIXING, "op11_chat_formatting": _chat(), "op12_collocations": COLLOCATIONS}
