@@ -92,9 +92,29 @@ def test_all_kinds_agree_with_the_model(spark, seed):
     check(spark, make(seed, 400, 25, 12))
 
 
-def test_long_chains_agree_with_the_model(spark):
-    result, _ = check(spark, make(5, 300, 3, 2, SHOP_KINDS))
-    assert result.rounds < 60
+def test_long_chains_take_few_rounds(spark):
+    """Almost every request depends on all before it, and no block holds more than a sixth of them."""
+    result, _ = check(spark, make(5, 600, 3, 2, SHOP_KINDS), block_requests=100, first_block=25)
+    assert result.rounds <= 12
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_all_kinds_in_small_blocks(spark, seed):
+    check(spark, make(seed, 300, 12, 6), block_requests=30, first_block=5)
+
+
+def test_separate_markets_have_blocks_of_their_own(spark):
+    """Three shops of two users and one item each, side by side: flocks of 100 requests."""
+    rng = random.Random(4)
+    people, goods = [(u, 300) for u in range(1, 7)], [(i, 40, 20) for i in range(1, 4)]
+    requests = []
+    for seq in range(1, 301):
+        shop = rng.randrange(3)
+        kind = rng.choice(SHOP_KINDS)
+        user = 2 * shop + rng.randint(1, 2)
+        requests.append((seq, kind, user, shop + 1, None, rng.randint(1, 4), None, None, None, DAY))
+    result, _ = check(spark, (people, goods, [], [], requests), block_requests=110, first_block=20)
+    assert result.rounds <= 6
 
 
 def test_hot_user_item_and_offer_in_small_blocks(spark):
@@ -108,7 +128,7 @@ def test_market_only(spark):
 def test_dense_requests_agree_with_the_model(spark):
     """25 users and 12 items with 1,500 purchases and sales: almost every request depends on all before it."""
     result, _ = check(spark, make(11, 1500, 25, 12, SHOP_KINDS))
-    assert result.rounds < 60
+    assert result.rounds <= 2
 
 
 def test_repeated_positions_are_refused(spark):

@@ -389,12 +389,14 @@ def replay(
     inventory: DataFrame,
     offers: DataFrame,
     block_rows: int = BLOCK_ROWS,
+    **blocks: int,
 ) -> Replay:
     """Run numbered requests against snapshots with the result of running them in order.
 
     ``requests`` has ``seq`` (dense, from 1), ``kind``, ``user_id``, ``at`` and
     what the kind needs: ``item_id``, ``offer_id``, ``quantity``,
-    ``price_per_unit`` (list), ``need`` and ``coins`` (reward).
+    ``price_per_unit`` (list), ``need`` and ``coins`` (reward). ``blocks`` are the
+    block sizes of ``settle``.
     """
     named = _named(_shaped(requests), offers)
     directory = stored(_directory(named, offers), "directory")
@@ -408,7 +410,7 @@ def replay(
     # Doomed requests are decided, but their guards are kept to report what they found.
     live = facts.filter(F.col("refusal").isNull())
     postings = stored(_postings(live).unionByName(opening.withColumn("doomed", F.lit(False))), "postings")
-    verdicts, rounds = settle(postings.filter(~F.col("doomed")), block_rows)
+    verdicts, rounds = settle(postings.filter(~F.col("doomed")), block_rows, **blocks)
 
     # Opening amounts have no position; they stay out of the join, where they would all be one key.
     asked = postings.filter("seq IS NOT NULL").join(verdicts, "seq", "left").withColumn("units", F.coalesce("units", F.lit(0)))

@@ -9,16 +9,20 @@ The decisions are found in rounds over all undecided requests at once. Running
 sums give the lowest and highest amount an account can have at each posting,
 over all ways the undecided requests before it may end. A request whose guards
 hold at the lowest amounts is accepted, one with a guard that fails at the
-highest is refused. The earliest undecided request has equal bounds, so every
-round makes progress, and the undecided rows shrink from round to round.
+highest is refused.
 
-Long chains of requests that depend on each other decide few per round by bounds.
-So every round also guesses each open request from the amounts that the guesses of
-the round before give. All guesses before the first one that changed agree with
-each other, and so does that one, which makes them the outcome of running the
-requests one by one: they are settled too. A wrong guess only matters until some
-account is full or empty whatever it was, so few rounds are needed in practice, and
-all of a round is sums and comparisons that are spread over all tasks.
+Chains of requests that depend on each other decide few per round by bounds. So each
+round also cuts the order into blocks and runs the requests of each block one by one, all
+blocks at once, each on the amounts that the guesses of the round before give it. Up to
+and with the first block in which a guess changes, all blocks started from amounts that
+are exact, so their requests are settled; the others take what was found as new guesses. The
+blocks double from round to round, up to ``block_requests`` requests, so the rounds follow
+the logarithm of a chain's length up to there, and beyond it the number of such blocks.
+
+When there are more open requests than that, those that share no account, not even over
+others, are told apart first, and every such group has blocks and progress of its own.
+
+A round's postings are removed once the next one is stored.
 
 Columns of a posting:
     seq       position of its request in the order; unique, dense, null for opening amounts
@@ -32,18 +36,26 @@ Columns of a posting:
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tradeloom.plans.components import components
 from tradeloom.plans.prefix import running_before
-from tradeloom.plans.workspace import stored
+from tradeloom.plans.workspace import dropped, stored
 
 ACCOUNT = ["account", "a", "b"]
 COLUMNS = ["seq", *ACCOUNT, "at_seq", "coef", "cap", "need", "lead"]
 OPEN, ACCEPTED, REFUSED = 0, 1, 2
 
 BLOCK_ROWS = 1_000_000
+BLOCK_REQUESTS = 1 << 17
+FIRST_BLOCK = 1 << 12
 
-
+# What a round carries beside the posting itself.
+CARRIED = ["flock", "guess", "base"]
 AMOUNTS = ["sure", "down", "up", "likely"]
 
 
@@ -64,13 +76,14 @@ def _bounded(postings: DataFrame, block_rows: int) -> DataFrame:
     summed = running_before(own.unionByName(lumped, allowMissingColumns=True), ACCOUNT, "at_seq", AMOUNTS, block_rows)
     bounded = summed.filter(f"state = {OPEN}").selectExpr(
         *COLUMNS,
+        "flock",
         "guess",
         "base + before_sure AS base",
         "base + before_sure + before_likely AS likely",
         "base + before_sure + before_down AS low",
         "base + before_sure + before_up AS high",
     )
-    waiting = deferred.filter(f"state = {OPEN}").select(*COLUMNS, "guess", "base")
+    waiting = deferred.filter(f"state = {OPEN}").select(*COLUMNS, *CARRIED)
     return bounded.unionByName(waiting, allowMissingColumns=True)
 
 
@@ -85,62 +98,156 @@ def _decided(bounded: DataFrame) -> DataFrame:
         """need IS NULL OR low >= IF(cap > 1, cap, need) OR (cap > 1 AND low = high AND low >= need) AS holds""",
         "need IS NOT NULL AND high < need AS fails",
         "IF(need IS NOT NULL AND cap > 1, least(low, cap), cap) AS most",
-        "CASE WHEN likely < need THEN 0 WHEN need IS NOT NULL AND cap > 1 THEN least(likely, cap) ELSE cap END AS expected",
     )
     verdict = checks.selectExpr(
         *COLUMNS,
-        "guess",
-        "base",
+        *CARRIED,
+        "likely",
         "min(holds) OVER (PARTITION BY seq) AS holds",
         "max(fails) OVER (PARTITION BY seq) AS fails",
         "min(most) OVER (PARTITION BY seq) AS most",
-        "min(expected) OVER (PARTITION BY seq) AS expected",
     )
     return verdict.selectExpr(
         *COLUMNS,
-        "base",
-        "guess",
-        "expected",
+        *CARRIED,
+        "likely",
         f"CASE WHEN holds THEN {ACCEPTED} WHEN fails THEN {REFUSED} ELSE {OPEN} END AS state",
         "IF(holds, most, 0) AS units",
     )
 
 
-def settle(postings: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+# A request whose outcome may differ from its guess; the others change nothing for those after them.
+DOUBTFUL = f"(state = {OPEN} OR units <> guess)"
+
+
+def _run(table: pa.Table) -> pa.Table:
+    """The doubtful requests of one block, one by one: (flock, block, seq, found), one row per request.
+
+    The amount at a posting is the likely one, corrected by how the requests of the block
+    before it ended against their guesses.
+    """
+    columns = table.select(["seq", "account", "a", "b", "at_seq", "coef", "cap", "need", "guess", "likely", "state", "units"])
+    requests: dict[int, list[tuple]] = defaultdict(list)
+    for row in zip(*(column.to_pylist() for column in columns.columns), strict=True):
+        requests[row[0]].append(row)
+    change: dict[tuple, int] = defaultdict(int)
+    later: list[tuple] = []
+    seqs, found = sorted(requests), []
+    for seq in seqs:
+        while later and later[0][0] < seq:
+            _, account, amount = heapq.heappop(later)
+            change[account] += amount
+        postings = requests[seq]
+        if postings[0][10] == OPEN:
+            ended = None
+            for _, account, a, b, _, _, cap, need, _, likely, _, _ in postings:
+                most = cap
+                if need is not None:
+                    amount = likely + change.get((account, a, b), 0)
+                    most = 0 if amount < need else min(amount, cap) if cap > 1 else cap
+                ended = most if ended is None else min(ended, most)
+        else:
+            ended = postings[0][11]
+        found.append(ended)
+        for _, account, a, b, at_seq, coef, _, _, guess, _, _, _ in postings:
+            amount = coef * (ended - guess)
+            if not amount:
+                continue
+            if at_seq > seq:
+                heapq.heappush(later, (at_seq, (account, a, b), amount))
+            else:
+                change[account, a, b] += amount
+    count = len(seqs)
+    return pa.table(
+        {
+            "flock": pa.array([table["flock"][0].as_py()] * count, pa.int64()),
+            "block": pa.array([table["block"][0].as_py()] * count, pa.int64()),
+            "seq": pa.array(seqs, pa.int64()),
+            "found": pa.array(found, pa.int64()),
+        }
+    )
+
+
+def _flocks(decided: DataFrame) -> DataFrame:
+    """(seq, own): a number for each set of doubtful requests that share accounts, directly or over others."""
+    ends = decided.filter(DOUBTFUL).selectExpr("seq AS a", "-1 - (xxhash64(account, a, b) & 4611686018427387903) AS b")
+    return components(ends).filter("node >= 0").selectExpr("node AS seq", "component AS own")
+
+
+def _largest(doubtful: DataFrame, width: int) -> int:
+    """Requests in the largest block of that width."""
+    sizes = doubtful.filter("lead").groupBy("flock", F.expr(f"seq div {width}")).count()
+    return sizes.agg(F.max("count")).first()[0] or 0
+
+
+def settle(
+    postings: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    block_requests: int = BLOCK_REQUESTS,
+    first_block: int = FIRST_BLOCK,
+) -> tuple[DataFrame, int]:
     """((seq, units) of every request, rounds). ``units`` is 0 for a refused request.
 
     Postings with a null seq are opening amounts and always count. The driver
-    sees three numbers per round: how many requests are open and how many are
-    not, and the first position whose guess changed.
+    sees a few counts per round.
     """
     current = postings.selectExpr(
         *COLUMNS,
-        "CAST(0 AS BIGINT) AS base",
+        "CAST(0 AS BIGINT) AS flock",
         "cap AS guess",
+        "CAST(0 AS BIGINT) AS base",
         f"IF(seq IS NULL, {ACCEPTED}, {OPEN}) AS state",
         "IF(seq IS NULL, cap, 0) AS units",
     )
     verdicts: list[DataFrame] = []
-    rounds = 0
+    rounds, width, flocked, before = 0, first_block, False, []
     while True:
         rounds += 1
         decided = stored(_decided(_bounded(current, block_rows)), "round")
-        open_now, changed = (
-            decided.filter("lead")
-            .selectExpr(f"count_if(state = {OPEN})", f"min(IF(IF(state = {OPEN}, expected, units) <> guess, seq, NULL))")
-            .first()
+        open_now, doubts, last = (
+            decided.filter("lead").selectExpr(f"count_if(state = {OPEN})", f"count_if({DOUBTFUL})", "max(seq)").first()
+        )
+        if not open_now:
+            verdicts.append(stored(decided.filter("lead").select("seq", "units"), "verdicts"))
+            dropped(decided, *before)
+            break
+        if doubts > block_requests and not flocked:
+            split = decided.drop("flock").join(_flocks(decided), "seq", "left")
+            decided, before = (
+                stored(split.withColumn("flock", F.coalesce("own", F.lit(0))).select(*decided.columns), "round"),
+                [*before, decided],
+            )
+            flocked = True
+        doubtful = decided.filter(DOUBTFUL)
+        if doubts <= block_requests:
+            width = last + 1
+        elif rounds > 1 and _largest(doubtful, 2 * width) <= block_requests:
+            width *= 2
+        runs = doubtful.withColumn("block", F.expr(f"seq div {width}"))
+        outcomes = stored(
+            runs.groupBy("flock", "block").applyInArrow(_run, "flock bigint, block bigint, seq bigint, found bigint"), "outcomes"
         )
-        # Up to the first change all guesses are exact; without a change all of them are.
-        exact = f"(state = {OPEN} AND seq <= {2**62 if changed is None else changed})"
-        current = decided.selectExpr(
-            *COLUMNS,
-            "base",
-            "expected AS guess",
-            f"CASE WHEN NOT {exact} THEN state WHEN expected > 0 THEN {ACCEPTED} ELSE {REFUSED} END AS state",
-            f"IF({exact}, expected, units) AS units",
+        # Up to the first block of a flock with a changed guess, all outcomes are exact.
+        guesses = decided.filter("lead").select("seq", "guess")
+        changed = outcomes.join(guesses, "seq").filter("found <> guess").groupBy("flock").agg(F.min("block").alias("first"))
+        known = outcomes.join(changed, "flock", "left").selectExpr("seq", "found", "first IS NULL OR block <= first AS exact")
+        exact = f"(state = {OPEN} AND exact)"
+        current = stored(
+            decided.join(known, "seq", "left").selectExpr(
+                *COLUMNS,
+                "flock",
+                "coalesce(found, guess) AS guess",
+                "base",
+                f"CASE WHEN NOT {exact} THEN state WHEN found > 0 THEN {ACCEPTED} ELSE {REFUSED} END AS state",
+                f"IF({exact}, found, units) AS units",
+            ),
+            "round",
         )
-        verdicts.append(current.filter(f"lead AND state <> {OPEN}").select("seq", "units"))
-        if not open_now or changed is None:
+        verdicts.append(stored(current.filter(f"lead AND state <> {OPEN}").select("seq", "units"), "verdicts"))
+        dropped(decided, outcomes, *before)
+        before = [current]
+        if not current.filter(f"state = {OPEN}").limit(1).count():
+            dropped(current)
             break
     # Pairwise unions keep the plan shallow after many rounds.
     while len(verdicts) > 1:
