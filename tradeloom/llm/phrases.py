@@ -215,36 +215,38 @@ class Trie:
         order = np.argsort(parent, kind="stable")
         parent, code, child = parent[order], code[order], order + 1
         inner, first, fan = np.unique(parent, return_index=True, return_counts=True)
-        rng, room = np.random.default_rng(seed), 2 * len(parent) + wide
-        while True:
-            start = Trie._placed(inner, first, fan, code, room, wide, rng)
-            if start is not None:
-                break
-            room *= 2
+        start = Trie._placed(inner, first, fan, code, wide, np.random.default_rng(seed))
         slot = np.zeros(count, np.int64)
         slot[child] = np.repeat(start, fan) + code
-        base, check = np.zeros(room + wide, np.int32), np.full(room + wide, -1, np.int32)
-        accept = np.full(room + wide, -1, np.int32)
+        size = int(max(slot.max(), start.max())) + wide
+        base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        accept = np.full(size, -1, np.int32)
         base[slot[inner]] = start
         check[slot[child]] = slot[parent]
         accept[slot] = accepting
         return Trie(base, check, accept)
 
     @staticmethod
-    def _placed(inner, first, fan, code, room, wide, rng) -> np.ndarray | None:
-        """A base per inner node, so that no two children share a slot; None if there is no room.
+    def _placed(inner, first, fan, code, wide, rng) -> np.ndarray:
+        """A base per inner node, so that no two children share a slot.
 
-        Nodes with many children go first. All nodes of about the same size try random bases together.
+        Nodes with many children go first. All nodes of about the same size try random bases together,
+        and get a quarter more room whenever some have found no place for long.
         """
+        room = 3 * len(code) // 2 + 64
         taken, owner = np.zeros(room + wide, bool), np.zeros(room + wide, np.int64)
         taken[0] = True
         start = np.full(len(inner), -1, np.int64)
         scale = np.log2(fan).astype(np.int64) // 2
         for size in np.unique(scale)[::-1]:
             waiting = np.flatnonzero(scale == size)
-            for _ in range(200):
-                if not len(waiting):
-                    break
+            tries = 0
+            while len(waiting):
+                tries += 1
+                if tries % 30 == 0:
+                    more = room // 4
+                    taken, owner = np.concatenate([taken, np.zeros(more, bool)]), np.concatenate([owner, np.zeros(more, np.int64)])
+                    room += more
                 tried = rng.integers(0, room, len(waiting))
                 count = fan[waiting]
                 which = np.repeat(np.arange(len(waiting)), count)
@@ -256,8 +258,6 @@ class Trie:
                 start[waiting[good]] = tried[good]
                 taken[slots[good[which]]] = True
                 waiting = waiting[~good]
-            if len(waiting):
-                return None
         return start
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,9 +272,13 @@ _SHARD = "shard int, phrases array<struct<lang:string,words:int,phrase:string>>,
 
 def _shards(phrases: DataFrame, shards: int) -> DataFrame:
     """Stored tries: the phrases in order of their accepting values, the words and languages of the symbols, and the arrays."""
-    dealt = phrases.select("lang", "words", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int").alias("shard"))
+    # Phrases that begin with the same two words share a shard, and their states.
+    begins = F.substring_index("phrase", " ", 2)
+    dealt = phrases.select("lang", "words", "phrase", F.pmod(F.xxhash64("lang", begins), F.lit(shards)).cast("int").alias("shard"))
 
     def build(table: pa.Table) -> pa.Table:
+        # The words of a language get numbers close to each other.
+        table = table.sort_by([("lang", "ascending"), ("words", "ascending")])
         lists = pc.split_pattern(table["phrase"], " ").combine_chunks()
         langs = table["lang"].combine_chunks().dictionary_encode()
         sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
@@ -304,6 +308,8 @@ def _shards(phrases: DataFrame, shards: int) -> DataFrame:
 
 def _counted(texts: DataFrame, tries: DataFrame, shards: int, per_pass: int) -> DataFrame:
     """(lang, words, phrase, f) of all phrases of the tries, counted in the texts."""
+    # Every task adds up all it reads, so a few per core give the fewest sums.
+    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
     counts = []
     names = ["shard", "spelled", "langs", "base", "check", "accept"]
     for begin in range(0, shards, per_pass):
@@ -373,7 +379,7 @@ def counted(
     least: int = 30,
     filter_bits: int = 26,
     shard_phrases: int = 100_000,
-    shards_per_pass: int = 16,
+    shards_per_pass: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of phrases of one to four words with f >= ``least``, (lang, n) of all words).
 
