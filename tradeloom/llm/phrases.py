@@ -39,7 +39,7 @@ from tradeloom.plans.joins import top_per_key
 from tradeloom.plans.workspace import stored
 
 LONGEST = 4
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21  # of text worked on at once; a word of it takes about a hundred bytes meanwhile
 SIGHTED = "lang string, words int, phrase string, n bigint"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,15 +67,15 @@ class _Words:
         starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
         ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
         owner = np.searchsorted(offsets, starts, side="right") - 1
-        self.piece = np.cumsum(kind == 2)[starts] + owner
+        self.piece = (np.cumsum(kind == 2)[starts] + owner).astype(np.int32)
         bounds = np.concatenate([[0], np.cumsum(ends - starts)])
         spelled = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw[inside]))
         encoded = spelled.dictionary_encode()
         self.dictionary = encoded.dictionary
-        self.ids = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids = encoded.indices.to_numpy(zero_copy_only=False)
         langs = batch.column("lang").dictionary_encode()
         self.langs = langs.dictionary
-        self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[owner]
 
     def hashes(self) -> np.ndarray:
         """One hash per dictionary word."""
@@ -84,7 +84,7 @@ class _Words:
 
     def sighted(self, at: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
         """SIGHTED of the phrases of ``words`` words at the given positions."""
-        codes = self.lang[at]
+        codes = self.lang[at].astype(np.int64)
         size = max(len(self.dictionary), 1)
         room = 1 << 62
         keys, wide = codes, len(self.langs)
@@ -183,6 +183,8 @@ def _sightings(texts: DataFrame, words: list[int], known: np.ndarray | None, bit
                 for k in range(count - 1):
                     at &= pair[k : k + len(at)]
                 yield from found.sighted(np.flatnonzero(at), count)
+            del found, word, lang, pair
+            pa.default_memory_pool().release_unused()
 
     rows = texts.mapInArrow(sight, SIGHTED)
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
@@ -324,12 +326,14 @@ def _counted(texts: DataFrame, tries: DataFrame, shards: int, per_pass: int) ->
                 trie = Trie(*arrays)
                 sums = np.zeros(int(trie.accept.max(initial=-1)) + 1, np.int64)
                 tries.append((cell["shard"].as_py(), cell["langs"].values, cell["spelled"].values, trie, sums))
-            for batch in slices(batches, "text", SLICE_BYTES):
+            for batch in slices(batches, "text", SLICE_BYTES // 2):
                 found = _Words(batch)
                 if not len(found.ids):
                     continue
                 for _, langs, spelled, trie, sums in tries:
                     sums += _accepted(found, langs, spelled, trie, len(sums))
+                del found
+                pa.default_memory_pool().release_unused()
             for shard, *_, sums in tries:
                 at = np.flatnonzero(sums)
                 for cut in range(0, len(at), 1 << 18):
