@@ -510,6 +510,16 @@ oracle(
             ON s.item_id = i.id""",
     "items", "facts",
 )
+oracle(
+    "patch_items_in_place",
+    f"""SELECT i.id, i.name, coalesce(p.price_per_unit, i.price) AS price, coalesce(s.quantity - 10, i.stock) AS stock
+        FROM items i
+        LEFT JOIN (SELECT * FROM facts WHERE transaction_type = 'purchase' QUALIFY {NEWEST}) p
+            ON p.item_id = i.id AND i.id % 8 = 1
+        LEFT JOIN (SELECT * FROM facts WHERE transaction_type = 'sale' AND quantity >= 10 QUALIFY {NEWEST}) s
+            ON s.item_id = i.id AND i.id % 8 = 1""",
+    "items", "facts",
+)
 oracle(
     "patch_items_refused",
     """SELECT CASE WHEN transaction_type = 'sale' THEN 'below_0_stock' ELSE 'nothing_to_update' END AS reason,
@@ -723,6 +733,7 @@ oracle(
        WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
     "inventory",
 )
+ORACLES["stream_versioned_holdings"] = ORACLES["stream_upsert"]
 # One step per user and event: spend while the balance lasts.
 ORACLES["stream_balance_guard"] = """
     WITH RECURSIVE spends AS (
@@ -739,6 +750,7 @@ ORACLES["stream_balance_guard"] = """
         FROM walk w JOIN spends s ON s.user_id = w.user_id AND s.turn = w.turn + 1)
     SELECT s.event_id, s.user_id, ts, amount, coalesce(accepted, false) AS accepted
     FROM spends s LEFT JOIN walk w ON w.event_id = s.event_id"""
+ORACLES["stream_keyed_guard"] = ORACLES["stream_balance_guard"]
 
 # Replays -----------------------------------------------------------------------
 

@@ -14,6 +14,7 @@ from tradeloom.operators import analytics, audit, catalog, changes, holdings, le
 from tradeloom.operators import replay as replays
 from tradeloom.plans.workspace import new_path, stored
 from tradeloom.sources import exports, imports, tables
+from tradeloom.sources.versions import VersionedTable
 from tradeloom.streaming import live, state
 from tradeloom.streaming.sinks import run_available
 from tradeloom.tables import RULES
@@ -454,6 +455,17 @@ def patch_items(spark, root):
     return patched.select("id", "name", "price", "stock")
 
 
+@query
+def patch_items_in_place(spark, root):
+    """The patches of every eighth item, into the buckets that these fall in."""
+    items = b.items(spark, root)
+    patches = _item_patches(spark, root).filter(F.col("id") % 8 == 1)
+    table = VersionedTable(spark, new_path(spark, "items-versions"), items.schema, ["id"])
+    table.create(items, buckets=64)
+    table.change(patches, lambda rows, some: changes.patch(rows, some, ["price", "stock"], {"price": 0, "stock": 0})[0])
+    return table.read().select("id", "name", "price", "stock")
+
+
 @query
 def patch_items_refused(spark, root):
     _, refused = changes.patch(b.items(spark, root), _item_patches(spark, root), ["price", "stock"], {"price": 0, "stock": 0})
@@ -775,12 +787,57 @@ def stream_counters(spark, root):
 def stream_upsert(spark, root):
     """Purchase events add a unit of the item that the value points at; errors take one away."""
     path = new_path(spark, "stream-upsert")
+    moves = _moves_of(_event_stream(spark, root))
+    run_available(state.upsert_holdings(moves, f"{path}/table"), f"{path}/progress")
+    return state.current_holdings(b.inventory(spark, root), f"{path}/table")
+
+
+def _event_parts(spark: SparkSession, root: str, folder: str, parts: int, run: Callable[[DataFrame], None]) -> None:
+    """Events arrive in ``parts`` spans of time; after each one ``run`` gets the stream, to go on from where it was."""
+    events = b.read(spark, root, "events")
+    first, last = events.selectExpr("min(unix_micros(CAST(ts AS TIMESTAMP)))", "max(unix_micros(CAST(ts AS TIMESTAMP)))").first()
+    if first is None:
+        return
+    span = F.expr(f"least({parts - 1}, (unix_micros(CAST(ts AS TIMESTAMP)) - {first}) * {parts} div {last - first + 1})")
+    for part in range(parts):
+        events.filter(span == part).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(events.schema).parquet(folder))
+
+
+def _moves_of(events: DataFrame) -> DataFrame:
+    """Purchase events add a unit of the item that the value points at; errors take one away."""
     sign = F.when(F.col("event_type") == "error", -1).otherwise(1).cast("bigint")
-    moves = _event_stream(spark, root).select(
+    return events.select(
         "user_id", F.col("value").cast("bigint").alias("item_id"), sign.alias("quantity"), F.col("ts").alias("at")
     )
-    run_available(state.upsert_holdings(moves, f"{path}/table"), f"{path}/progress")
-    return state.current_holdings(b.inventory(spark, root), f"{path}/table")
+
+
+@query
+def stream_versioned_holdings(spark, root):
+    """The holdings of stream_upsert kept in versions, over six runs with compaction after every second batch."""
+    path = new_path(spark, "stream-versions")
+    table = state.holdings_table(spark, f"{path}/table", compact_every=2)
+    table.create(b.inventory(spark, root), buckets=8)
+    _event_parts(
+        spark, root, f"{path}/in", 6, lambda events: run_available(state.keep_holdings(_moves_of(events), table), f"{path}/progress")
+    )
+    return state.held(table)
+
+
+@query
+def stream_keyed_guard(spark, root):
+    """The verdicts of stream_balance_guard from balances in the state store, over three runs."""
+    path = new_path(spark, "stream-keyed")
+    people = b.users(spark, root).withColumn("balance", F.lit(100_000).cast("bigint"))
+
+    def run(events: DataFrame) -> None:
+        spends = events.select("event_id", "user_id", "ts", whole_units("value").alias("amount"))
+        writer = state.guard_keyed(spends, people).writeStream.outputMode("append")
+        run_available(writer.format("parquet").option("path", f"{path}/verdicts"), f"{path}/progress")
+
+    with state.rocksdb(spark):
+        _event_parts(spark, root, f"{path}/in", 3, run)
+    return spark.read.schema(state.VERDICTS).parquet(f"{path}/verdicts")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,88 @@ def test_balance_guard_over_batches(spark, tmp_path):
     assert late == {1000: False, 1001: True}
 
 
+SPENDS = "event_id bigint, user_id bigint, ts timestamp_ntz, amount bigint"
+
+
+def spend_batches(seed: int, batches: int, per_batch: int, balances: dict) -> tuple[list[list], dict]:
+    """Spends of a hot user and others, some of them unknown, and the one-by-one verdicts; ``balances`` is left at the end."""
+    rng, event, expected, parts = random.Random(seed), 0, {}, []
+    for batch in range(batches):
+        rows = []
+        for i in range(per_batch):
+            event += 1
+            user = rng.choice([1, 1, 1, 2, 3, 4, None])
+            rows.append((event, user, T0 + dt.timedelta(hours=batch, minutes=i // 2), rng.randint(0, 15)))
+        for event_id, user, _, amount in rows:
+            expected[event_id] = user in balances and balances[user] >= amount
+            if expected[event_id]:
+                balances[user] -= amount
+        rng.shuffle(rows)
+        parts.append(rows)
+    return parts, expected
+
+
+def test_keyed_guard_over_batches_and_restarts(spark, tmp_path):
+    balances = {1: 200, 2: 60, 3: -5}
+    users = spark.createDataFrame(list(balances.items()), "id bigint, balance bigint")
+    feed = Feed(spark, tmp_path / "in", SPENDS)
+    parts, expected = spend_batches(3, 5, 40, balances)
+
+    def run(known):
+        with state.rocksdb(spark):
+            writer = state.guard_keyed(feed.stream(), known).writeStream.outputMode("append").format("parquet")
+            run_available(writer.option("path", str(tmp_path / "out")), str(tmp_path / "progress"))
+        found = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert len({r.event_id for r in found}) == len(found)
+        return {r.event_id: r.accepted for r in found}
+
+    for rows in parts[:3]:
+        feed.add(rows)
+    assert run(users) == {event: expected[event] for rows in parts[:3] for event, *_ in rows}
+    # After a restart the state goes on; the users' table is not read again.
+    changed = users.withColumn("balance", F.lit(10_000).cast("bigint"))
+    for rows in parts[3:]:
+        feed.add(rows)
+    assert run(changed) == expected
+    assert run(changed) == expected
+
+
+def test_spending_in_order_equals_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        low = int(rng.choice([0, 0, 0, -5]))
+        amounts = rng.integers(low, int(rng.choice([3, 20, 2**62])), rng.integers(0, 60))
+        balance = int(rng.integers(-5, 200))
+        paid, left = state.spend_in_order(amounts, balance)
+        for i, amount in enumerate(amounts.tolist()):
+            assert paid[i] == (amount <= balance)
+            balance -= amount if paid[i] else 0
+        assert left == balance
+
+
+def test_guard_reads_the_users_once_and_repeats_a_batch(spark, tmp_path):
+    balances = {1: 150, 2: 40, 3: 0}
+    users = spark.createDataFrame(list(balances.items()), "id bigint, balance bigint")
+    feed = Feed(spark, tmp_path / "in", SPENDS)
+    parts, expected = spend_batches(8, 4, 20, balances)
+    path = str(tmp_path / "guard")
+    for rows in parts:
+        feed.add(rows)
+    run_available(state.guard_balances(feed.stream(), users, path, buckets=4, compact_every=2), str(tmp_path / "progress"))
+    verdicts = lambda: {r.event_id: r.accepted for r in state.guard_verdicts(spark, path).collect()}
+    assert verdicts() == expected
+    table = state.balances_table(spark, f"{path}/balances", compact_every=2)
+    assert {r.user_id: r.balance for r in table.read().collect()} == balances
+    # The last batch once more, as after a lost commit: same verdicts, same balances.
+    for name in ("3", ".3.crc"):
+        (tmp_path / "progress" / "commits" / name).unlink()
+    run_available(
+        state.guard_balances(feed.stream(), users.limit(0), path, buckets=4, compact_every=2), str(tmp_path / "progress")
+    )
+    assert verdicts() == expected
+    assert {r.user_id: r.balance for r in table.read().collect()} == balances
+
+
 @pytest.mark.parametrize("name", ["stream_sales", "stream_candles", "stream_trailing"])
 def test_windows_a_stream_lost_are_not_filled_in(spark, small, monkeypatch, name):
     whole = queries.QUERIES[name](spark, small).count()

@@ -8,23 +8,25 @@ from tradeloom.plans.numbering import dense_numbers
 from tradeloom.tables import DEFAULTS, RULES, SCHEMAS
 
 
-def apply_holding_changes(inventory: DataFrame, changes: DataFrame) -> DataFrame:
-    """Holdings after adding signed quantities.
+def sum_holding_changes(inventory: DataFrame, changes: DataFrame) -> DataFrame:
+    """Holdings and signed changes (user_id, item_id, quantity, at) in one row per holding, also where nothing is left.
 
-    ``changes`` has (user_id, item_id, quantity, at). A known holding keeps its
-    first time, a new one takes the earliest of its changes, and a holding that
-    reaches zero disappears.
+    A known holding keeps its first time, a new one takes the earliest of its changes.
     """
     sums = changes.groupBy("user_id", "item_id").agg(F.sum("quantity").alias("_delta"), F.min("at").alias("_at"))
     return (
         inventory.join(sums, ["user_id", "item_id"], "full_outer")
         .withColumn("quantity", F.coalesce("quantity", F.lit(0)) + F.coalesce("_delta", F.lit(0)))
         .withColumn("purchased_at", F.coalesce("purchased_at", "_at"))
-        .filter(F.col("quantity") > 0)
         .select(*inventory.columns)
     )
 
 
+def apply_holding_changes(inventory: DataFrame, changes: DataFrame) -> DataFrame:
+    """Holdings after adding signed quantities (user_id, item_id, quantity, at); one that reaches zero disappears."""
+    return sum_holding_changes(inventory, changes).filter(F.col("quantity") > 0)
+
+
 def patch(
     snapshot: DataFrame,
     patches: DataFrame,

@@ -3,19 +3,35 @@
 Every micro-batch writes only what it changed, under its own batch number, so a
 retry after a failure replaces the same folder. Readers fold the folders over
 the opening snapshot. ``compact_*`` writes the fold as a new snapshot and returns
-the last batch in it; given that number as ``after``, readers and the guard use
-only later batches, so folders up to it can be removed.
+the last batch in it; given that number as ``after``, readers use only later
+batches, so folders up to it can be removed.
+
+``holdings_table`` and ``balances_table`` keep the same in versions: a bounded number
+of folders, compacted and expired as batches come.
+
+Balances are guarded in two ways. ``guard_balances`` settles a micro-batch with the
+replay's rounds, so a user with a large share of the spends is spread over tasks; it
+reads the balances of the users in the batch from their buckets. ``guard_keyed``
+keeps a balance per user in Spark's state store and reads nothing again; a user's
+spends of a batch meet in one task, as packed numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from tradeloom.operators.changes import apply_holding_changes
+from tradeloom.operators.changes import apply_holding_changes, sum_holding_changes
 from tradeloom.plans.numbering import dense_numbers
 from tradeloom.plans.settlement import COLUMNS, settle
 from tradeloom.plans.workspace import stored
+from tradeloom.sources.versions import VersionedTable
 from tradeloom.streaming.sinks import last_batch, read_batches, write_batch
 
 CHANGES = "user_id bigint, item_id bigint, quantity bigint, at timestamp_ntz"
@@ -47,28 +63,62 @@ def compact_holdings(snapshot: DataFrame, path: str, target: str, after: int = -
     return last
 
 
-def _balances_before(users: DataFrame, path: str, batch: int, after: int, touched: DataFrame | None = None) -> DataFrame:
-    """Latest balance per user (of ``touched``) from the batches before this one, else the opening balance."""
-    opening = users.select(F.col("id").alias("user_id"), "balance", F.lit(-1).cast("bigint").alias("batch"))
-    rows = opening.unionByName(read_batches(users.sparkSession, path, BALANCES, before=batch, after=after))
-    if touched is not None:
-        rows = rows.join(touched, "user_id", "left_semi")
-    return rows.groupBy("user_id").agg(F.max_by("balance", "batch").alias("balance"))
+def _schema(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
+
+
+def holdings_table(spark: SparkSession, path: str, **options) -> VersionedTable:
+    """Holdings (user_id, item_id, quantity, purchased_at) in versions; additions are signed changes.
+
+    Holdings of nothing, and of less, stay in the table, so that it does not matter when it
+    is compacted; ``held`` leaves them out.
+    """
+    schema = _schema("user_id bigint, item_id bigint, quantity bigint, purchased_at timestamp_ntz")
+    return VersionedTable(spark, path, schema, ["user_id", "item_id"], sum_holding_changes, _schema(CHANGES), **options)
+
+
+def held(table: VersionedTable) -> DataFrame:
+    """What a table of holdings says users have."""
+    return table.read().filter(F.col("quantity") > 0)
+
+
+def keep_holdings(changes: DataFrame, table: VersionedTable) -> DataStreamWriter:
+    """Signed holding changes (user_id, item_id, quantity, at) into a versioned table that exists."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        sums = df.groupBy("user_id", "item_id").agg(F.sum("quantity").alias("quantity"), F.min("at").alias("at"))
+        table.add(sums, batch)
+
+    return changes.writeStream.foreachBatch(write)
+
+
+def balances_table(spark: SparkSession, path: str, **options) -> VersionedTable:
+    """Balances (user_id, balance) in versions; additions are the new balances of users."""
 
+    def fold(rows: DataFrame, additions: DataFrame) -> DataFrame:
+        every = rows.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(additions)
+        return every.groupBy("user_id").agg(F.max_by("balance", "batch").alias("balance"))
 
-def guard_balances(spends: DataFrame, users: DataFrame, path: str, after: int = -1) -> DataStreamWriter:
+    return VersionedTable(spark, path, _schema(BALANCES), ["user_id"], fold, _schema(BALANCES), **options)
+
+
+def guard_balances(
+    spends: DataFrame, users: DataFrame, path: str, after: int = -1, buckets: int = 64, **options
+) -> DataStreamWriter:
     """Accept or refuse each spend (event_id, user_id, ts, amount) by the user's remaining balance.
 
     Spends of a batch are ordered by time and id and settled together, so a
     user with a large share of them does not become one task. Verdicts go to
-    ``path/verdicts`` and the new balances of touched users to ``path/balances``.
-    After a compaction, start it with the compacted users and their ``after``.
+    ``path/verdicts``, balances to the versioned table ``path/balances``. ``users`` is read when
+    that table does not exist yet, and holds the balances as of batch ``after``;
+    later batches read the buckets of their own users. A repeated batch starts from the version before it.
     """
+    balances = balances_table(users.sparkSession, f"{path}/balances", **options)
 
     def settle_batch(df: DataFrame, batch: int) -> None:
+        balances.create(users.select(F.col("id").alias("user_id"), "balance"), buckets)
         numbered = stored(dense_numbers(df, ["ts", "event_id"], "seq"), "spends")
-        touched = numbered.select("user_id").distinct()
-        before = stored(_balances_before(users, f"{path}/balances", batch, after, touched), "balances")
+        before = stored(balances.lookup(numbered.select("user_id"), before_batch=batch), "balances")
         known = numbered.join(before.select("user_id"), "user_id", "left_semi")
         account = ["'cash' AS account", "user_id AS a", "CAST(0 AS BIGINT) AS b"]
         spent = known.selectExpr(
@@ -83,12 +133,9 @@ def guard_balances(spends: DataFrame, users: DataFrame, path: str, after: int =
             numbered.join(units, "seq", "left").withColumn("accepted", F.coalesce(F.col("units") > 0, F.lit(False))),
             "verdicts",
         )
-        paid = verdicts.filter("accepted").groupBy("user_id").agg(F.sum("amount").alias("paid"))
-        held = before.join(paid, "user_id", "left").select(
-            "user_id", (F.col("balance") - F.coalesce("paid", F.lit(0))).alias("balance")
-        )
-        write_batch(held, f"{path}/balances", batch)
         write_batch(verdicts.select("event_id", "user_id", "ts", "amount", "accepted"), f"{path}/verdicts", batch)
+        paid = verdicts.filter("accepted").groupBy("user_id").agg(F.sum("amount").alias("paid"))
+        balances.add(before.join(paid, "user_id").select("user_id", (F.col("balance") - F.col("paid")).alias("balance")), batch)
 
     return spends.writeStream.foreachBatch(settle_batch)
 
@@ -100,7 +147,133 @@ def guard_verdicts(spark: SparkSession, path: str) -> DataFrame:
 
 def compact_balances(users: DataFrame, path: str, target: str, after: int = -1) -> int:
     """Write all users with their balances as of the last stored batch; the number of that batch."""
-    last = max(after, last_batch(users.sparkSession, f"{path}/balances"))
-    held = _balances_before(users, f"{path}/balances", last + 1, after).withColumnRenamed("user_id", "id")
+    balances = balances_table(users.sparkSession, f"{path}/balances")
+    manifest = balances.manifest()
+    held = balances.read().withColumnRenamed("user_id", "id")
     users.drop("balance").join(held, "id").select(*users.columns).write.parquet(target)
-    return last
+    return max(after, manifest.batch)
+
+
+# Keyed state -------------------------------------------------------------------
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started within use the RocksDB state store, which keyed state needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+PACK = 1 << 16
+PACKED = "user_id bigint, packed binary"
+SPEND = np.dtype([("ts", "<i8"), ("event_id", "<i8"), ("amount", "<i8")])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spends of a user that a task reads together become one value of (ts, event_id, amount)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        spends = np.empty(batch.num_rows, SPEND)
+        for name in SPEND.names:
+            spends[name] = batch.column(name).to_numpy(zero_copy_only=False)
+        # Spends without a user are one more group, which no balance belongs to.
+        users = batch.column("user_id").dictionary_encode(null_encoding="encode")
+        codes = users.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(codes[order])) + 1, [len(order)]])
+        keys, packed = [], []
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            for cut in range(start, end, PACK):
+                keys.append(codes[order[start]])
+                packed.append(spends[order[cut : min(end, cut + PACK)]].tobytes())
+        yield pa.RecordBatch.from_pydict({"user_id": users.dictionary.take(pa.array(keys)), "packed": pa.array(packed)})
+
+
+def spend_in_order(amounts: np.ndarray, balance: int) -> tuple[np.ndarray, int]:
+    """(which amounts a balance pays for, one after the other, what is left).
+
+    Balances only shrink by positive amounts, so whole stretches are paid by one cumulative sum, and
+    what exceeds the balance once is out for good. Others than positive amounts are taken one by one.
+    """
+    paid = np.zeros(len(amounts), bool)
+    if len(amounts) and amounts.min() < 0:
+        for i, amount in enumerate(amounts.tolist()):
+            if amount <= balance:
+                paid[i], balance = True, balance - amount
+        return paid, balance
+    at = np.flatnonzero(amounts <= balance)
+    while len(at):
+        sums = np.cumsum(amounts[at], dtype=object if amounts[at].max() > 2**62 // len(at) else np.int64)
+        fits = int(np.searchsorted(sums, balance, side="right"))
+        paid[at[:fits]] = True
+        balance -= int(sums[fits - 1]) if fits else 0
+        at = at[fits + 1 :]
+        at = at[amounts[at] <= balance]
+    return paid, balance
+
+
+class _Wallet(StatefulProcessor):
+    """A user's balance in the state store, from the opening balances on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balance = handle.getValueState("balance", "balance bigint")
+
+    def handleInitialState(self, key, initial, timerValues) -> None:  # noqa: N802, N803
+        self.balance.update((int(initial["balance"].iloc[0]),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        packed = [np.frombuffer(value, SPEND) for df in rows for value in df["packed"]]
+        if not packed:
+            return
+        spends = np.concatenate(packed)
+        spends = spends[np.lexsort((spends["event_id"], spends["ts"]))]
+        paid = np.zeros(len(spends), bool)
+        if self.balance.exists():
+            paid, left = spend_in_order(spends["amount"], self.balance.get()[0])
+            self.balance.update((left,))
+        for cut in range(0, len(spends), PACK):
+            part = spends[cut : cut + PACK]
+            yield pd.DataFrame(
+                {
+                    "event_id": part["event_id"],
+                    "user_id": pd.array([key[0]] * len(part), "Int64"),
+                    "ts": part["ts"],
+                    "amount": part["amount"],
+                    "accepted": paid[cut : cut + PACK],
+                }
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def guard_keyed(spends: DataFrame, users: DataFrame) -> DataFrame:
+    """The verdicts (event_id, user_id, ts, amount, accepted) of spends, from balances in the state store.
+
+    The opening balances of ``users`` (id, balance) go into the state with the first batch. Spends of a batch are
+    ordered by time and id. Null amounts are refused, users that are not known cannot pay. The session
+    must use the RocksDB state store, see ``rocksdb``.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    # An amount that no balance reaches stands for a null one.
+    amount = F.coalesce(F.col("amount"), F.lit(2**63 - 1)).cast("bigint")
+    narrow = spends.select("user_id", micros.alias("ts"), "event_id", amount.alias("amount"))
+    opening = users.select(F.col("id").alias("user_id"), "balance").groupBy("user_id")
+    verdicts = narrow.mapInArrow(_pack, PACKED).groupBy("user_id").transformWithStateInPandas(
+        _Wallet(), "event_id bigint, user_id bigint, ts bigint, amount bigint, accepted boolean", "Append", "None", opening
+    )
+    return verdicts.select(
+        "event_id",
+        "user_id",
+        F.timestamp_micros("ts").cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("amount") != 2**63 - 1, F.col("amount")).alias("amount"),
+        "accepted",
+    )
