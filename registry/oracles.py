@@ -627,21 +627,6 @@ oracle(
           GROUP BY ALL""",
     "transactions", "trades", "participants", "offers",
 )
-oracle(
-    "ledger_reconcile",
-    LEDGER
-    + """, money AS (SELECT 'balance' AS account, id AS user_id, NULL AS item_id, balance AS amount FROM users
-                     UNION ALL SELECT 'stock', NULL, id, stock FROM items),
-         sums AS (
-             SELECT account, user_id, item_id, sum(expected) AS expected, sum(actual) AS actual
-             FROM (SELECT *, amount AS expected, 0 AS actual FROM entries
-                   UNION ALL SELECT *, amount, amount FROM money
-                   UNION ALL SELECT 'holding', user_id, item_id, quantity, 0, quantity FROM inventory)
-             GROUP BY ALL)
-         SELECT account, user_id, item_id, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual
-         FROM sums WHERE expected <> actual""",
-    "transactions", "trades", "participants", "offers", "users", "items", "inventory",
-)
 
 # Rewards ----------------------------------------------------------------------
 
@@ -847,7 +832,7 @@ _MOVES = {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove
 ORACLES["replay_admin_holdings"] = _shop_replay(_MOVES, *HOLDINGS)
 
 _MARKET = ["items", "users", "facts", "transactions", "inventory", "order_lines", "offers"]
-ORACLES["replay_market"] = f"""
+_MARKET_WALK = f"""
     WITH RECURSIVE {', '.join(f"{t} AS ({TABLES[t]})" for t in _MARKET)},
     rows AS (
         SELECT 'market_buy' AS kind, l_suppkey AS user_id, CAST(NULL AS BIGINT) AS item_id, l_orderkey AS offer_id,
@@ -907,8 +892,52 @@ ORACLES["replay_market"] = f"""
          SELECT 3, offer_id, 0, CASE WHEN kind = 'cancel' THEN 0 ELSE remaining - quantity END, 0,
                 CASE WHEN kind = 'cancel' THEN 'cancelled' WHEN remaining = quantity THEN 'sold' ELSE 'active' END
          FROM moved WHERE units = 1 AND kind <> 'list'
-         UNION ALL SELECT 2, seq, 0, units, 0, reason FROM moved))
+         UNION ALL SELECT 2, seq, 0, units, 0, reason FROM moved)),
+    accepted AS (SELECT requests.* FROM requests JOIN walk ON account = 2 AND k = seq WHERE amount > 0)
+    """
+ORACLES["replay_market"] = _MARKET_WALK + """
     SELECT seq, kind, user_id,
            CASE WHEN kind = 'list' THEN (SELECT max(id) FROM offers) + 1 + seq ELSE offer_id END AS offer_id, quantity,
            amount > 0 AS accepted, verdict AS reason
     FROM requests JOIN walk ON account = 2 AND k = seq"""
+ORACLES["market_balances"] = _MARKET_WALK + "SELECT k AS id, amount AS balance FROM walk WHERE account = 0"
+ORACLES["market_holdings"] = _MARKET_WALK + """
+    SELECT k AS user_id, k2 AS item_id, amount AS quantity FROM walk WHERE account = 4 AND amount > 0"""
+ORACLES["market_trades"] = _MARKET_WALK + """
+    SELECT seq AS id, offer_id, goods AS item_id, quantity, price AS price_per_unit, price * quantity AS total_amount,
+           at_time AS transaction_date
+    FROM accepted WHERE kind = 'market_buy'"""
+ORACLES["market_participants"] = _MARKET_WALK + """
+    SELECT seq AS transaction_id, user_id, 'buyer' AS role FROM accepted WHERE kind = 'market_buy'
+    UNION ALL SELECT seq, seller_id, 'seller' FROM accepted WHERE kind = 'market_buy'"""
+# A sold-out offer shows the quantity of its last purchase, a cancelled one what was left.
+ORACLES["market_offers"] = _MARKET_WALK + """,
+    events AS (
+        SELECT offer_id, coalesce(sum(quantity) FILTER (kind = 'market_buy'), 0) AS sold, bool_or(kind = 'cancel') AS ended,
+               arg_max(quantity, seq) FILTER (kind = 'market_buy') AS last_quantity,
+               arg_max(at_time, seq) FILTER (kind = 'market_buy') AS last_at
+        FROM accepted WHERE kind <> 'list' GROUP BY offer_id)
+    SELECT id, o.seller_id, item_id,
+           CAST(CASE WHEN quantity = sold THEN last_quantity ELSE quantity - coalesce(sold, 0) END AS BIGINT) AS quantity,
+           CASE WHEN quantity = sold THEN 'sold' WHEN ended THEN 'cancelled' ELSE status END AS status,
+           CASE WHEN quantity = sold THEN last_at END AS sold_at
+    FROM offers o LEFT JOIN events ON offer_id = id
+    UNION ALL
+    SELECT (SELECT max(id) FROM offers) + 1 + seq, user_id, goods, quantity, 'active', NULL FROM accepted WHERE kind = 'list'"""
+# What the shop lines would have moved had all been accepted, against what the replay left.
+ORACLES["ledger_reconcile"] = _shop_replay(
+    _SALES,
+    "account, user_id, item_id, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(actual) AS BIGINT) AS actual",
+    """(SELECT 'balance' AS account, id AS user_id, NULL AS item_id, balance * 1000 AS expected, 0 AS actual FROM users
+        UNION ALL SELECT 'stock', NULL, id, stock * 40, 0 FROM items
+        UNION ALL SELECT 'holding', user_id, item_id, quantity, 0 FROM inventory
+        UNION ALL SELECT 'balance', user_id, NULL,
+               CASE kind WHEN 'buy' THEN -price * quantity WHEN 'sell' THEN price // 2 * quantity ELSE 0 END, 0 FROM requests
+        UNION ALL SELECT 'stock', NULL, item_id, CASE kind WHEN 'buy' THEN -quantity WHEN 'sell' THEN quantity ELSE 0 END, 0
+        FROM requests
+        UNION ALL SELECT 'holding', user_id, item_id, CASE kind WHEN 'sell' THEN -quantity ELSE quantity END, 0 FROM requests
+        UNION ALL SELECT 'balance', k, NULL, 0, amount FROM walk WHERE account = 0
+        UNION ALL SELECT 'stock', NULL, k, 0, amount FROM walk WHERE account = 1
+        UNION ALL SELECT 'holding', k, k2, 0, amount FROM walk WHERE account = 4 AND amount > 0)
+       GROUP BY ALL HAVING sum(expected) <> sum(actual)""",
+)

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom import bindings as b
-from tradeloom.functions.numbers import whole_units
+from tradeloom.functions.numbers import half_price, whole_units
 from tradeloom.functions.text import json_pairs
 from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards
 from tradeloom.operators import replay as replays
@@ -569,14 +569,6 @@ def ledger_fold(spark, root):
     return _all_entries(spark, root)
 
 
-@query
-def ledger_reconcile(spark, root):
-    """Accounts that all logs, on balances and stocks at the start and no holdings, do not lead to the snapshots."""
-    users, items, held = b.users(spark, root), b.items(spark, root), b.inventory(spark, root)
-    opening = ledger.snapshot_entries(users, items, held.filter(F.col("quantity") <= 0))
-    return ledger.reconcile(opening, _all_entries(spark, root), ledger.snapshot_entries(users, items, held))
-
-
 # Replays ---------------------------------------------------------------------
 
 LINE_ORDER = ["at", "user_id", "item_id", "kind", "quantity"]
@@ -612,6 +604,23 @@ SALES = {"admin_grant": "grant", "purchase": "buy", "sale": "sell"}
 MOVES = {"admin_grant": "grant", "purchase": "stock_add", "sale": "stock_remove"}
 
 
+@query
+def ledger_reconcile(spark, root):
+    """Accounts that the shop log does not lead from the opening snapshots to those after its replay: of refused lines."""
+    opening = ledger.snapshot_entries(_rich_users(spark, root), _full_items(spark, root), b.inventory(spark, root))
+    goods = _full_items(spark, root).select(F.col("id").alias("item_id"), "price")
+    types = {kind: line for kind, line in zip(SALES.values(), SALES, strict=True)}
+    pairs = [F.lit(part) for entry in types.items() for part in entry]
+    unit = F.when(F.col("kind") == "sell", half_price("price")).otherwise(F.col("price"))
+    log = _line_requests(spark, root, SALES).join(goods, "item_id").select(
+        "user_id", "item_id", "quantity", F.create_map(*pairs)[F.col("kind")].alias("transaction_type"),
+        (unit * F.col("quantity")).alias("total_amount"),
+    )
+    after = _shop_replay(spark, root, SALES)
+    closing = ledger.snapshot_entries(after.users, after.items, after.inventory)
+    return ledger.reconcile(opening, ledger.fold(ledger.shop_entries(log)), closing)
+
+
 @query
 def replay_purchases(spark, root):
     result = _shop_replay(spark, root, {"purchase": "buy"})
@@ -691,15 +700,44 @@ def _cheap_offers(spark: SparkSession, root: str) -> DataFrame:
     return b.offers(spark, root).withColumn("price_per_unit", F.expr("price_per_unit div 100"))
 
 
-@query
-def replay_market(spark, root):
-    result = replays.replay(
+def _market_replay(spark: SparkSession, root: str) -> replays.Replay:
+    return replays.replay(
         _market_requests(spark, root), _rich_users(spark, root), _full_items(spark, root), b.inventory(spark, root),
         stored(_cheap_offers(spark, root), "offers"),
     )
+
+
+@query
+def replay_market(spark, root):
+    result = _market_replay(spark, root)
     return result.decisions.select("seq", "kind", "user_id", "offer_id", "quantity", "accepted", "reason")
 
 
+@query
+def market_balances(spark, root):
+    return _market_replay(spark, root).users.select("id", "balance")
+
+
+@query
+def market_holdings(spark, root):
+    return _market_replay(spark, root).inventory.select("user_id", "item_id", "quantity")
+
+
+@query
+def market_offers(spark, root):
+    return _market_replay(spark, root).offers.select("id", "seller_id", "item_id", "quantity", "status", "sold_at")
+
+
+@query
+def market_trades(spark, root):
+    return _market_replay(spark, root).trades
+
+
+@query
+def market_participants(spark, root):
+    return _market_replay(spark, root).participants
+
+
 def _logged_games(spark: SparkSession, root: str) -> DataFrame:
     """The three games of the log; every fifth action won an item, some of which do not exist, lost hunts cost coins."""
     games = b.game_stats(spark, root).filter(F.col("action_type").isin("wheel", "hunt", "chest"))

@@ -159,3 +159,21 @@ def test_logs_conserve_money_and_goods(spark):
     after = result.users.agg(F.sum("balance")).first()[0]
     assert after == before - paid.get("purchase", 0) + paid.get("sale", 0) + game
     assert result.participants.count() == 2 * result.trades.count()
+
+
+def test_logs_lead_from_the_opening_to_the_closing_snapshots(spark):
+    """Shop, trade and escrow movements of a replay account for every difference of its snapshots."""
+    from tradeloom.operators import ledger
+
+    data = make(17, 300, 15, 8, (R.BUY, R.SELL, R.LIST, R.MARKET_BUY, R.GRANT))
+    requests, users, items, inventory, offers = frames(spark, *data)
+    result, _ = check(spark, data)
+    opening = ledger.snapshot_entries(users, items, inventory)
+    closing = ledger.snapshot_entries(result.users, result.items, result.inventory)
+    bought = ledger.trade_entries(result.trades, result.participants).filter("account = 'balance' OR amount > 0")
+    listed = result.decisions.filter("kind = 'list' AND accepted").selectExpr(
+        "'holding' AS account", "user_id", "item_id", "-quantity AS amount"
+    )
+    moved = ledger.fold(ledger.shop_entries(result.transactions), bought, listed)
+    assert ledger.reconcile(opening, moved, closing).count() == 0
+    assert ledger.reconcile(opening, ledger.fold(ledger.shop_entries(result.transactions)), closing).count() > 0
