@@ -16,7 +16,7 @@ Counting has two parts.
    task makes a double-array trie of each: the symbols are numbers of words, below one root per
    language. A pass broadcasts ``shards_per_pass`` of them. In every batch of texts numpy moves the
    states of all positions at once, one word further a level; positions whose state has no such
-   word go out. Accepting states are counted by bincount, and the sums of tasks added up by phrase.
+   word go out. States are counted by bincount, and the counts of accepting ones added up over tasks.
 
 No phrase table is broadcast whole: a pass holds at most ``shard_phrases * shards_per_pass`` phrases
 (shards differ by chance only), and more phrases mean more passes over the texts. The filter
@@ -191,27 +191,26 @@ def _sightings(texts: DataFrame, words: list[int], known: np.ndarray | None, bit
 
 
 class Trie:
-    """Double-array trie: the state after symbol c in state s is base[s] + c, if its check is s."""
+    """Double-array trie: the state after symbol c in state s is base[s] + c, if its check is s.
+
+    ``accept`` has the accepting state of every row the trie was built from.
+    """
 
     def __init__(self, base: np.ndarray, check: np.ndarray, accept: np.ndarray) -> None:
         self.base, self.check, self.accept = base, check, accept
 
     @staticmethod
     def build(symbols: np.ndarray, sizes: np.ndarray, seed: int = 0) -> Trie:
-        """From rows of symbols (from 1 on, the first ``sizes`` of each row); a row's number is its accepting value."""
+        """From different rows of symbols (from 1 on, the first ``sizes`` of each row)."""
         wide = int(symbols.max(initial=0)) + 1
         node = np.zeros(len(symbols), np.int64)
         parents, codes, count = [], [], 1
-        accepting = np.full(1, -1, np.int64)
         for level in range(symbols.shape[1]):
             rows = np.flatnonzero(sizes > level)
             edges, place = np.unique(node[rows] * wide + symbols[rows, level], return_inverse=True)
             node[rows] = count + place
             parents.append(edges // wide)
             codes.append(edges % wide)
-            accepting = np.concatenate([accepting, np.full(len(edges), -1, np.int64)])
-            last = rows[sizes[rows] == level + 1]
-            accepting[node[last]] = last
             count += len(edges)
         parent, code = np.concatenate(parents), np.concatenate(codes)
         order = np.argsort(parent, kind="stable")
@@ -222,11 +221,9 @@ class Trie:
         slot[child] = np.repeat(start, fan) + code
         size = int(max(slot.max(), start.max())) + wide
         base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
-        accept = np.full(size, -1, np.int32)
         base[slot[inner]] = start
         check[slot[child]] = slot[parent]
-        accept[slot] = accepting
-        return Trie(base, check, accept)
+        return Trie(base, check, slot[node].astype(np.int32))
 
     @staticmethod
     def _placed(inner, first, fan, code, wide, rng) -> np.ndarray:
@@ -324,17 +321,18 @@ def _counted(texts: DataFrame, tries: DataFrame, shards: int, per_pass: int) ->
                 cell = {name: shared.value[name][row] for name in names}
                 arrays = [np.frombuffer(cell[name].as_buffer(), np.int32) for name in ("base", "check", "accept")]
                 trie = Trie(*arrays)
-                sums = np.zeros(int(trie.accept.max(initial=-1)) + 1, np.int64)
+                sums = np.zeros(len(trie.base), np.int64)
                 tries.append((cell["shard"].as_py(), cell["langs"].values, cell["spelled"].values, trie, sums))
             for batch in slices(batches, "text", SLICE_BYTES // 2):
                 found = _Words(batch)
                 if not len(found.ids):
                     continue
                 for _, langs, spelled, trie, sums in tries:
-                    sums += _accepted(found, langs, spelled, trie, len(sums))
+                    sums += _visited(found, langs, spelled, trie)
                 del found
                 pa.default_memory_pool().release_unused()
-            for shard, *_, sums in tries:
+            for shard, _, _, trie, sums in tries:
+                sums = sums[trie.accept]
                 at = np.flatnonzero(sums)
                 for cut in range(0, len(at), 1 << 18):
                     some = at[cut : cut + (1 << 18)]
@@ -352,30 +350,29 @@ def _counted(texts: DataFrame, tries: DataFrame, shards: int, per_pass: int) ->
     return spelled.join(reduce(DataFrame.unionByName, counts), ["shard", "row"]).drop("shard", "row")
 
 
-def _accepted(found: _Words, langs: pa.Array, spelled: pa.Array, trie: Trie, size: int) -> np.ndarray:
-    """How often each phrase of a trie occurs: the states of all positions, level by level."""
+def _visited(found: _Words, langs: pa.Array, spelled: pa.Array, trie: Trie) -> np.ndarray:
+    """How often each state of a trie is reached: the states of all positions, level by level."""
     number = lambda values, among: pc.index_in(values.cast(pa.string()), value_set=among).fill_null(-1).to_numpy(
         zero_copy_only=False
     )
     lang = number(found.langs, langs)[found.lang].astype(np.int32) + 1
     word = number(found.dictionary, spelled)
     symbol = np.where(word < 0, -1, word + 1 + len(langs)).astype(np.int32)[found.ids]
-    sums = np.zeros(size, np.int64)
+    reached = []
     at = np.flatnonzero((lang > 0) & (symbol > 0))
     places, states = trie.step(np.zeros(len(at), np.int32), lang[at])
     at = at[places]
     for level in range(LONGEST):
         places, states = trie.step(states, symbol[at + level])
         at = at[places]
-        value = trie.accept[states]
-        sums += np.bincount(value[value >= 0], minlength=size)
+        reached.append(states)
         # The next word has to be there, in the same piece, and known.
         after = at + level + 1
         on = after < len(symbol)
         at, states, after = at[on], states[on], after[on]
         on = (found.piece[after] == found.piece[at]) & (symbol[after] > 0)
         at, states = at[on], states[on]
-    return sums
+    return np.bincount(np.concatenate(reached), minlength=len(trie.base))
 
 
 def counted(
@@ -383,7 +380,7 @@ def counted(
     least: int = 30,
     filter_bits: int = 26,
     shard_phrases: int = 100_000,
-    shards_per_pass: int = 8,
+    shards_per_pass: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of phrases of one to four words with f >= ``least``, (lang, n) of all words).
 
