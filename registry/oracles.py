@@ -718,6 +718,7 @@ oracle(
        WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
     "inventory",
 )
+ORACLES["running_audit"] = ORACLES["constraint_audit"]
 ORACLES["stream_versioned_holdings"] = ORACLES["stream_upsert"]
 # One step per user and event: spend while the balance lasts.
 ORACLES["stream_balance_guard"] = """

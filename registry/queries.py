@@ -416,6 +416,17 @@ def constraint_audit(spark, root):
     return audit.constraint_audit(_tables(spark, root), rules)
 
 
+@query
+def running_audit(spark, root):
+    """The rules of constraint_audit over rows that come in three batches, children before and after their parents."""
+    bound = _tables(spark, root)
+    rules = {**RULES, "users": replace(RULES["users"], at_least={"balance": 0})}
+    running = audit.RunningAudit(spark, new_path(spark, "running-audit"), bound, rules, buckets=8)
+    for batch in range(3):
+        running.add(batch, {name: df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == batch) for name, df in bound.items()})
+    return running.violations()
+
+
 @query
 def orphan_check(spark, root):
     """Parent references when users in debt and items out of stock are gone."""

@@ -134,3 +134,56 @@ def test_inserted_rows_obey_the_rules(spark):
     after, refused = changes.insert_items(items, rows, ["n"], F.lit(T1).cast("timestamp_ntz"))
     assert [(r.name, r.price) for r in after.collect()] == [("c", 1)]
     assert {(r.n, r.reason) for r in refused.collect()} == {(1, "missing_name"), (2, "below_0_price"), (3, "missing_price")}
+
+
+def test_audit_compares_texts_where_hashes_meet(spark, monkeypatch):
+    """With every text on one hash, only equal texts are repeated keys."""
+    from pyspark.sql import functions as F
+
+    users = spark.createDataFrame([(1, "a "), (2, "A"), (3, "b"), (4, None)], "id bigint, username string")
+    rules = {"users": audit.RULES["users"]}
+    found = lambda: {r.rule: r.violations for r in audit.constraint_audit({"users": users}, rules).collect()}
+    first = found()
+    assert first["unique:username"] == 1 and first["not_null:username"] == 1
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.length(columns[0]).cast("bigint") * 0)
+    assert found() == first
+
+
+def test_audit_of_text_keys(spark):
+    rules = {
+        "parents": audit.Rules(key="code"),
+        "children": audit.Rules(key="id", parents={"code": "parents"}),
+    }
+    tables = {
+        "parents": spark.createDataFrame([("x",), ("Y ",), ("x",), (None,)], "code string"),
+        "children": spark.createDataFrame([(1, "X"), (2, "y"), (3, "z"), (4, None), (5, "z")], "id bigint, code string"),
+    }
+    found = {(r.table_name, r.rule): r.violations for r in audit.constraint_audit(tables, rules).collect()}
+    assert found == {
+        ("parents", "unique:code"): 1, ("children", "unique:id"): 0, ("children", "parent:code->parents"): 2,
+    }
+
+
+def test_running_audit_equals_the_full_one(spark, tmp_path):
+    """Batches of random rows, removals and a repeated batch; only buckets of the batch's keys are read."""
+    import random
+
+    rng = random.Random(4)
+    rules = {name: audit.RULES[name] for name in ("users", "inventory")}
+    users_schema, held_schema = "id bigint, username string", "id bigint, user_id bigint, item_id bigint, quantity bigint"
+    empty = {"users": spark.createDataFrame([], users_schema), "inventory": spark.createDataFrame([], held_schema)}
+    running = audit.RunningAudit(spark, str(tmp_path / "audit"), empty, rules, buckets=4)
+    people, held = [], []
+    for batch in range(4):
+        new_people = [(rng.randint(1, 12), rng.choice(["a", "B", "b ", "c", None])) for _ in range(4)]
+        new_held = [(len(held) + i, rng.choice([None, *range(1, 12)]), rng.randint(1, 3), rng.randint(0, 2)) for i in range(6)]
+        gone = [people.pop(rng.randrange(len(people)))] if batch == 2 else []
+        people += new_people
+        held += new_held
+        new = {"users": spark.createDataFrame(new_people, users_schema), "inventory": spark.createDataFrame(new_held, held_schema)}
+        removed = {"users": spark.createDataFrame(gone, users_schema)} if gone else None
+        running.add(batch, new, removed)
+        if batch == 3:
+            running.add(batch, new, removed)
+        whole = {"users": spark.createDataFrame(people, users_schema), "inventory": spark.createDataFrame(held, held_schema)}
+        assert sorted(map(tuple, running.violations().collect())) == sorted(map(tuple, audit.constraint_audit(whole, rules).collect()))
