@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.shared import slices
+from tradeloom.llm.shared import slices, small_batches
 from tradeloom.plans.joins import top_per_key
 from tradeloom.plans.workspace import stored
 
@@ -387,16 +387,19 @@ def counted(
     ``phrase`` is its words joined by blanks.
     """
     texts = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    words = stored(_sightings(texts, [1], None, filter_bits), "words")
-    frequent = words.where(F.col("n") >= least)
-    pairs = _sightings(texts, [2], _filter(frequent, filter_bits), filter_bits)
-    pairs = stored(pairs.where(F.col("n") >= least), "pairs")
-    longer = _sightings(texts, [3, 4], _filter(pairs, filter_bits), filter_bits)
-    longer = stored(longer.where(F.col("n") >= least), "longer")
-    candidates = frequent.unionByName(pairs).unionByName(longer)
-    shards = max(1, -(-candidates.count() // shard_phrases))
-    found = _counted(texts, _shards(candidates, shards), shards, shards_per_pass)
-    return stored(found.where(F.col("f") >= least), "phrases"), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    with small_batches(df.sparkSession, 1000):
+        words = stored(_sightings(texts, [1], None, filter_bits), "words")
+        frequent = words.where(F.col("n") >= least)
+        pairs = _sightings(texts, [2], _filter(frequent, filter_bits), filter_bits)
+        pairs = stored(pairs.where(F.col("n") >= least), "pairs")
+        longer = _sightings(texts, [3, 4], _filter(pairs, filter_bits), filter_bits)
+        longer = stored(longer.where(F.col("n") >= least), "longer")
+        candidates = frequent.unionByName(pairs).unionByName(longer)
+        shards = max(1, -(-candidates.count() // shard_phrases))
+        # A shard is one group, whatever the size of its batches.
+        found = _counted(texts, _shards(candidates, shards), shards, shards_per_pass)
+        found = stored(found.where(F.col("f") >= least), "phrases")
+    return found, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(df: DataFrame, least: int = 30, top: int = 2000, **options) -> DataFrame:
