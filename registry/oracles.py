@@ -359,6 +359,11 @@ oracle(
        FROM (SELECT *, level_required % 10 AS c, level_required % 10 NOT IN (2, 3, 4) AS ok FROM items)""",
     "items",
 )
+oracle(
+    "export_item_array",
+    "SELECT row_number() OVER (ORDER BY id) - 1 AS position, id, name, price, bonus_stats FROM items",
+    "items",
+)
 ORACLES["import_item_arrays"] = ORACLES["import_items"]
 oracle(
     "import_users",

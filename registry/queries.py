@@ -13,7 +13,7 @@ from tradeloom.functions.text import json_pairs
 from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards
 from tradeloom.operators import replay as replays
 from tradeloom.plans.workspace import new_path, stored
-from tradeloom.sources import exports, imports, tables
+from tradeloom.sources import exports, imports, ranges, tables
 from tradeloom.sources.versions import VersionedTable
 from tradeloom.streaming import live, state
 from tradeloom.streaming.sinks import run_available
@@ -372,6 +372,15 @@ def export_items(spark, root):
     return spark.read.schema(schema).json(path)
 
 
+@query
+def export_item_array(spark, root):
+    """All items exported as one JSON array over several part files, read back as one."""
+    path = new_path(spark, "items-array")
+    exports.export_array(b.items(spark, root).select("id", "name", "price", "bonus_stats"), path, ["id"])
+    fields = F.from_json("element", "id bigint, name string, price bigint, bonus_stats string").alias("item")
+    return ranges.array_elements(spark, path, as_one=True).select("position", fields).select("position", "item.*")
+
+
 @query
 def export_users(spark, root):
     path = new_path(spark, "users-export")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tradeloom.plans.numbering import dense_numbers
+
 # Fixed value: text form of a stored time.
 STORED_TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -28,6 +30,26 @@ def export_items(items: DataFrame, path: str) -> None:
     item_export(items).write.option("ignoreNullFields", False).json(path)
 
 
+def export_array(rows: DataFrame, path: str, order: list[str]) -> None:
+    """One JSON array over the part files of a folder: by name and one after the other they are its text.
+
+    Rows are numbered in the given order by a sort over all tasks; the first opens the array, the last
+    closes it, and each other one begins with a comma. No rows are an empty array.
+    """
+    spark = rows.sparkSession
+    numbered = dense_numbers(rows, order, "_number")
+    count = numbered.count()
+    if not count:
+        spark.range(1).select(F.lit("[]").alias("value")).coalesce(1).write.text(path)
+        return
+    element = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    text = F.concat(
+        F.when(F.col("_number") == 1, "[").otherwise(","), element, F.when(F.col("_number") == count, "]").otherwise("")
+    )
+    ordered = numbered.select("_number", text.alias("value")).repartitionByRange("_number").sortWithinPartitions("_number")
+    ordered.select("value").write.text(path)
+
+
 def export_users(users: DataFrame, path: str) -> None:
     """CSV with a header in every part file."""
     user_export(users).write.option("header", True).option("emptyValue", "").csv(path)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tradeloom.sources.ranges import array_elements, csv_fields
 from tradeloom.tables import RULES
 
 # Fields of an imported item and the value of an absent one.
@@ -46,25 +47,19 @@ def _whole(text: Column, kind: str) -> Column:
 def read_item_objects(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """Raw item objects as string maps: (source, position, object); a null object is unreadable.
 
-    ``array`` is one JSON array per file, a unit that cannot be divided. Its
+    ``array`` is one JSON array per file, read in ranges by many tasks. Its
     elements are read one by one, so a bad one is a reject of its own; a file
     that is no array is one reject, an empty array none.
-    ``lines`` is one object per line, which Spark splits and reads in parallel:
-    the form for large inputs.
+    ``parts`` is one array over the part files of a folder, as ``export_array`` writes it.
+    ``lines`` is one object per line.
     """
-    source = F.col("_metadata.file_path").alias("source")
-    if layout == "array":
-        # Elements stay text here: one that is not an object would make the whole array null.
-        elements = F.coalesce(F.from_json("value", "array<string>"), F.array(F.lit(None).cast("string")))
-        files = spark.read.text(path, wholetext=True).select(source, elements.alias("elements"))
-        return files.select("source", F.posexplode("elements").alias("position", "element")).select(
-            "source", F.col("position").cast("bigint").alias("position"),
-            F.from_json("element", "map<string,string>").alias("object"),
-        )
+    if layout in ("array", "parts"):
+        elements = array_elements(spark, path, as_one=layout == "parts")
+        return elements.select("source", "position", F.from_json("element", "map<string,string>").alias("object"))
     if layout == "lines":
         lines = spark.read.text(path).filter(F.trim("value") != "")
         return lines.select(
-            source,
+            F.col("_metadata.file_path").alias("source"),
             F.monotonically_increasing_id().alias("position"),
             F.from_json("value", "map<string,string>").alias("object"),
         )
@@ -107,35 +102,16 @@ def import_items(spark: SparkSession, path: str, layout: str = "array") -> tuple
     return accepted, rejected
 
 
-def _header_groups(spark: SparkSession, path: str | list[str]) -> list[tuple[str, list[str]]]:
-    """Files grouped by their header line: one row per file reaches the driver."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
-        "value",
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    return [(row.header, list(row.files)) for row in groups]
-
-
-def _raw_users(spark: SparkSession, files: list[str]) -> DataFrame:
-    """User rows of files with one header: (position, username, role, balance), defaults for columns it lacks."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(files)
-    given = set(raw.columns)
+def _raw_users(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """User rows of CSV files: (position, closed, username, role, balance), defaults for columns a file lacks."""
+    raw = csv_fields(spark, path, ["username", "role", "balance"])
 
     def text(name: str) -> Column:
-        if name in given:
-            return F.coalesce(F.col(name), F.lit(""))
-        return F.lit(str(USER_FIELDS.get(name, "")))
-
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+        return F.when(F.col(f"has_{name}"), F.coalesce(name, F.lit(""))).otherwise(F.lit(str(USER_FIELDS.get(name, ""))))
+
     return raw.select(
-        position.alias("position"),
+        F.struct("file", "range", "piece").alias("position"),
+        "closed",
         F.trim(text("username")).alias("username"),
         text("role").alias("role"),
         text("balance").try_cast("bigint").alias("balance"),
@@ -145,21 +121,19 @@ def _raw_users(spark: SparkSession, files: list[str]) -> DataFrame:
 def import_users(spark: SparkSession, path: str | list[str], existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted users, rejected rows with a reason) from headed CSV files.
 
-    Files may have different headers: each is read by its own. Names are
+    Files may have different headers: each is read by its own. Fields in quotes
+    may hold line breaks. Names are
     compared without regard to case and outer blanks. The first usable row of a
     name wins, in file order; it is found by a mergeable minimum, so a name
     repeated in any share of the rows never gathers in one task. Passwords are
     not read.
     """
-    groups = _header_groups(spark, path)
-    empty = spark.createDataFrame(
-        [], "position struct<file:string,block:bigint,row:bigint>, username string, role string, balance bigint"
-    )
-    raw = reduce(DataFrame.unionByName, [_raw_users(spark, files) for _, files in groups]) if groups else empty
+    raw = _raw_users(spark, path)
     rows = raw.withColumn(
         "reason",
         _first_reason(
             [
+                (~F.col("closed"), "unclosed_quote"),
                 (F.col("balance").isNull(), "bad_balance"),
                 (F.col("username") == "", "blank_username"),
                 (_too_long("users"), "too_long"),
