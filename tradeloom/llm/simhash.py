@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tradeloom.llm.components import components
 from tradeloom.llm.shared import fresh, slices, utf8
@@ -220,13 +220,19 @@ def groups(
 
 
 def representatives(df: DataFrame, *, shingle: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, all columns unchanged: the one with the smallest key.
+    """One row of each group, all columns unchanged: the one with the smallest key, a null key last.
 
-    Rows with equal keys are one document. Rows without a key cannot be named in
-    a group and stay as they are.
+    Rows are told apart by key and text, so different texts of one key, and rows without
+    a key, are judged like all others. Of rows with equal key and text one stays.
     """
-    found = groups(df, shingle=shingle, distance=distance, key=key, text=text)
-    mine = fresh(df, "kept")
-    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias(mine)).distinct()
-    named = df.join(kept, F.col(key) == F.col(mine), "left_semi").dropDuplicates([key])
-    return named.select(*df.columns).union(df.where(F.col(key).isNull()))
+    row = fresh(df, "row")
+    told = df.withColumn(row, row_key(key, text))
+    found = groups(told, shingle=shingle, distance=distance, key=row, text=text)
+    mine = fresh(told, "kept")
+    kept = found.where(F.col(row).eqNullSafe(F.col("component"))).select(F.col(row).alias(mine)).distinct()
+    return told.join(kept, F.col(row).eqNullSafe(F.col(mine)), "left_semi").dropDuplicates([row]).drop(row)
+
+
+def row_key(key: str, text: str) -> Column:
+    """A key of rows whose own may be null or repeated: in the order of their own, nulls last, then by a hash of the text."""
+    return F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.xxhash64(text).alias("text"))
