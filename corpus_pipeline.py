@@ -6,8 +6,9 @@
 4. mixing: sources are mixed to their targets, and a text becomes the words the mix takes of it;
 5. tokens: texts become byte-level BPE ids, checked by decoding them.
 
-All stages but the last return the columns of documents. Rows without an id pass
-the first three stages and cannot be mixed. Empty tables pass through all.
+All stages but the last return the columns of documents. Rows are told apart by id and
+text, so those without an id, or with one that repeats, are judged like all others. Empty
+tables pass through all.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.llm import byte_bpe, language, mixing, quality, simhash
-from tradeloom.llm.shared import table
+from tradeloom.llm.shared import fresh, table
 from tradeloom.plans.workspace import stored
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -42,8 +43,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the words that the mix takes of them; those it takes nothing of go."""
-    named = docs.where("doc_id IS NOT NULL")
-    taken = mixing.mixed(named, mixing.mix(named))
+    row = fresh(docs, "row")
+    told = docs.withColumn(row, simhash.row_key("doc_id", "text"))
+    taken = mixing.mixed(told, mixing.mix(told, key=row), key=row).drop(row)
     return taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
