@@ -143,6 +143,8 @@ oracle(
                   AS category_label,
               CASE rarity WHEN 'Brand#1' THEN 'Common' WHEN 'Brand#2' THEN 'Rare' ELSE 'Legendary' END
                   AS rarity_label,
+              CASE slot WHEN 'Bolt' THEN 'Fastener' WHEN 'Widget' THEN 'Part' WHEN 'Gear' THEN 'Drive' ELSE 'Loose' END
+                  AS slot_label,
               substring(description, 1, 60) AS card_text,
               CASE WHEN length(description) > 50 THEN substring(description, 1, 50) || '...' ELSE description END
                   AS short_text
@@ -723,6 +725,8 @@ oracle(
        WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
     "inventory",
 )
+ORACLES["rollup_sales_year"] = ORACLES["sales_dynamics_year"]
+ORACLES["rollup_candles_day"] = ORACLES["price_candles_day"]
 ORACLES["running_audit"] = ORACLES["constraint_audit"]
 ORACLES["stream_versioned_holdings"] = ORACLES["stream_upsert"]
 # One step per user and event: spend while the balance lasts.

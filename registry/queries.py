@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tradeloom import bindings as b
 from tradeloom.functions.numbers import half_price, whole_units
 from tradeloom.functions.text import json_pairs
-from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards
+from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards, rollup
 from tradeloom.operators import replay as replays
 from tradeloom.plans.workspace import new_path, stored
 from tradeloom.sources import exports, imports, ranges, tables
@@ -109,7 +109,8 @@ def item_picklist(spark, root):
 def labelled_items(spark, root):
     labels = {"ECONOMY": "Economy", "SMALL": "Small"}
     rarities = {"Brand#1": "Common", "Brand#2": "Rare"}
-    return catalog.labelled(b.items(spark, root), labels, rarities, "Legendary")
+    slots = {"Bolt": "Fastener", "Widget": "Part", "Gear": "Drive"}
+    return catalog.labelled(b.items(spark, root), labels, rarities, "Legendary", slots, "Loose")
 
 
 @query
@@ -142,13 +143,13 @@ def holdings_value(spark, root):
 
 @query
 def all_users_inventory(spark, root):
-    return holdings.all_users_inventory(b.users(spark, root), b.inventory(spark, root), b.items(spark, root))
+    held = stored(b.inventory(spark, root), "inventory")
+    return holdings.all_users_inventory(b.users(spark, root), held, b.items(spark, root))
 
 
 @query
 def labelled_inventory(spark, root):
-    rows = holdings.all_users_inventory(b.users(spark, root), b.inventory(spark, root), b.items(spark, root))
-    return holdings.labelled_inventory(rows)
+    return holdings.labelled_inventory(all_users_inventory(spark, root))
 
 
 @query
@@ -280,9 +281,10 @@ def daily_action_counts(spark, root):
 
 @query
 def db_summary(spark, root):
+    lines = stored(b.order_lines(spark, root), "order-lines")
     return analytics.database_summary(
         b.users(spark, root), b.items(spark, root), b.inventory(spark, root),
-        b.transactions(spark, root, with_user=False), b.offers(spark, root), b.trades(spark, root),
+        b.transactions(spark, root, with_user=False), b.offers(spark, root, lines), b.trades(spark, root, lines),
         b.game_stats(spark, root),
     )
 
@@ -822,6 +824,30 @@ def stream_candles(spark, root):
     return live.with_last_windows(emitted, live.live_candles(prices), live.final_watermark(prices), "item_id")
 
 
+@query
+def rollup_sales_year(spark, root):
+    """The year of sales from a rollup that was kept in two batches."""
+    facts = b.transactions(spark, root, with_user=False)
+    table = rollup.rollup_table(spark, new_path(spark, "sales-rollup"), facts)
+    half = F.col("item_id") % 2 == 0
+    table.create(rollup.rolled_up(facts.filter(half)), buckets=8)
+    table.add(rollup.rolled_up(facts.filter(~half | half.isNull())), 0)
+    return rollup.sales_dynamics(table.read(), "year", _shop_as_of(spark, root))
+
+
+@query
+def rollup_candles_day(spark, root):
+    """The last day's candles from a rollup that a stream kept over four runs; the first one begins within a quarter."""
+    path, prices = new_path(spark, "price-rollup"), b.event_prices(spark, root)
+    table = rollup.rollup_table(spark, f"{path}/table", prices, compact_every=3)
+    table.create(rollup.rolled_up(prices.limit(0)), buckets=4)
+    _event_parts(
+        spark, root, f"{path}/in", 4,
+        lambda events: run_available(rollup.keep_rollup(b.event_prices_of(events), table), f"{path}/progress"),
+    )
+    return rollup.price_history(table.read(), "day", _event_as_of(spark, root), facts=prices)
+
+
 @query
 def stream_trailing(spark, root):
     emitted = _stream_to_table(spark, live.live_trailing(b.event_sales_of(_event_stream(spark, root))), "stream-trailing")

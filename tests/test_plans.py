@@ -76,6 +76,12 @@ def test_running_before_in_blocks(spark):
         assert {r.o: r.before_v for r in got} == expected
 
 
+def test_top_per_key_takes_one_shuffle(spark):
+    df = spark.range(6000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    text = plan(top_per_key(df, ["k"], [F.desc("v")], 50))
+    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1 and "Partial" in text
+
+
 def test_top_per_key_beyond_the_pushdown_limit(spark):
     df = spark.range(6000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     rows = top_per_key(df, ["k"], [F.desc("v")], 1500).collect()

@@ -17,6 +17,13 @@ RARITY_LABELS = {
     "epic": "🟣 Эпический",
 }
 RARITY_OTHER = "🟠 Легендарный"
+SLOT_LABELS = {
+    "weapon": "⚔️ Оружие",
+    "head": "🪖 Голова",
+    "body": "🛡️ Тело",
+    "accessory": "💍 Аксессуар",
+}
+SLOT_OTHER = "📦 Другое"
 ROLE_LABELS = {"admin": "Админ", "moderator": "Модератор"}
 ROLE_OTHER = "Игрок"
 TRADE_LABELS = {"purchase": "Покупка у игрока", "sale": "Продажа игроку"}

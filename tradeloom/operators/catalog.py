@@ -13,6 +13,8 @@ from tradeloom.functions.text import (
     RARITY_OTHER,
     ROLE_LABELS,
     ROLE_OTHER,
+    SLOT_LABELS,
+    SLOT_OTHER,
     contains_text,
     label_for,
     preview,
@@ -153,6 +155,8 @@ def labelled(
     categories: dict[str, str] = CATEGORY_LABELS,
     rarities: dict[str, str] = RARITY_LABELS,
     rarity_other: str = RARITY_OTHER,
+    slots: dict[str, str] = SLOT_LABELS,
+    slot_other: str = SLOT_OTHER,
 ) -> DataFrame:
     """Display form of items: labels with fallbacks and shortened descriptions."""
     return items.select(
@@ -160,6 +164,7 @@ def labelled(
         "name",
         label_for(F.col("category"), categories, F.coalesce("category", F.lit(BLANK))).alias("category_label"),
         label_for(F.col("rarity"), rarities, rarity_other).alias("rarity_label"),
+        label_for(F.col("slot"), slots, slot_other).alias("slot_label"),
         preview("description", 60).alias("card_text"),
         preview("description", 50, ellipsis=True).alias("short_text"),
     )

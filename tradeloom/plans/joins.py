@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+
 def keep_all_parents(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
     """Left join of a unique parent table to a many-rows-per-key child table.
 
@@ -25,12 +26,16 @@ def keep_all_parents(parents: DataFrame, children: DataFrame, key: str, child_ke
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each key.
 
-    Rows are ranked within salted parts of a key first, so that a hot key never
-    arrives whole in one task; there are as many parts as shuffle partitions.
+    Up to Spark's limit for it (``spark.sql.optimizer.windowGroupLimitThreshold``), every task
+    cuts its own rows of a key to ``n`` before the one shuffle. Beyond that, rows are ranked
+    within salted parts of a key first, so that a hot key never arrives whole in one
+    task; there are as many parts as shuffle partitions.
     """
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    cut = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
+    conf = df.sparkSession.conf
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return cut.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_rank")
+    if n > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salts = int(conf.get("spark.sql.shuffle.partitions"))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
+    return df.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_rank")

@@ -71,13 +71,15 @@ def live_candles(prices: DataFrame, width: str = "15 minutes", delay: str = "10
     return _window_columns(candles, "item_id", "avg_price", "min_price", "max_price", "total_sold")
 
 
-def daily_first(actions: DataFrame, delay: str = "1 day", salts: int = 8) -> DataFrame:
+def daily_first(actions: DataFrame, delay: str = "1 day", salts: int | None = None) -> DataFrame:
     """One row per user and day, emitted at the first action of the day.
 
-    Actions are first thinned out in ``salts`` parts of each user and day, so
-    that a user with a large share of them is spread over several tasks and
-    only a few rows reach the final one.
+    Actions are first thinned out in ``salts`` parts of each user and day, as many as
+    shuffle partitions by default, so that a user with a large share of them is spread
+    over the tasks and only a few rows reach the final one. A stream that is
+    restarted keeps the number it began with.
     """
+    salts = salts or int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = F.date_trunc("day", F.col("created_at").cast("timestamp")).alias("day")
     salt = F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
     days = actions.select("user_id", day, salt).withWatermark("day", delay)
