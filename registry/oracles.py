@@ -106,6 +106,7 @@ def since(days: int, table: str = "lineitem", column: str = "l_shipdate") -> str
 
 oracle("catalog_browse", "SELECT * FROM items WHERE category = 'ECONOMY' AND stock > 0", "items")
 oracle("catalog_quick_search", "SELECT * FROM items WHERE contains(lower(name), 'red') AND stock > 0", "items")
+oracle("indexed_search", "SELECT * FROM items WHERE contains(lower(description), 'bolt from brand#2')", "items")
 oracle(
     "advanced_search",
     """SELECT * FROM items WHERE lower(name) LIKE '%bolt%' AND price BETWEEN 90000 AND 150000
@@ -674,6 +675,14 @@ def _rewards(columns: str) -> str:
     {columns}"""
 
 
+# Held lines and won items in one row per user and item.
+ORACLES["reward_holdings"] = _rewards(
+    """SELECT user_id, item_id, CAST(sum(quantity) AS BIGINT) AS quantity
+       FROM (SELECT user_id, item_id, quantity FROM inventory
+             UNION ALL SELECT m.user_id, reward_value, 1 FROM marked m JOIN walk w ON w.id = m.id
+             WHERE w.accepted AND reward_type = 'item')
+       GROUP BY 1, 2"""
+).replace("WITH RECURSIVE", "WITH RECURSIVE " + ", ".join(f"{t} AS ({TABLES[t]})" for t in ("facts", "transactions", "inventory")) + ",", 1)
 ORACLES["replay_rewards"] = _rewards(
     """SELECT m.id, m.user_id, action_type, reward_type, reward_value, coalesce(accepted, false) AS accepted,
               CASE WHEN repeated THEN 'already_spun' WHEN unknown THEN 'unknown_item'

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tradeloom import bindings as b
 from tradeloom.functions.numbers import half_price, whole_units
 from tradeloom.functions.text import json_pairs
-from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards, rollup
+from tradeloom.operators import analytics, audit, catalog, changes, holdings, ledger, market, rewards, rollup, search
 from tradeloom.operators import replay as replays
 from tradeloom.plans.workspace import new_path, stored
 from tradeloom.sources import exports, imports, ranges, tables
@@ -49,6 +49,14 @@ def catalog_quick_search(spark, root):
     return catalog.quick_search(b.items(spark, root), text="  RED ", availability="in_stock")
 
 
+@query
+def indexed_search(spark, root):
+    """Descriptions that contain a text, found through the trigrams of all items."""
+    items, path = b.items(spark, root), new_path(spark, "postings")
+    search.write_postings(items, path, ["name", "description"])
+    return search.search(items, spark.read.parquet(path), "description", "BOLT from Brand#2")
+
+
 @query
 def advanced_search(spark, root):
     return catalog.advanced_search(
@@ -790,6 +798,11 @@ def reward_balances(spark, root):
     return _played(spark, root)[1].users.select("id", "balance")
 
 
+@query
+def reward_holdings(spark, root):
+    return _played(spark, root)[1].inventory.select("user_id", "item_id", "quantity")
+
+
 # Streams ---------------------------------------------------------------------
 
 
