@@ -734,6 +734,43 @@ oracle(
        WHERE coalesce(quantity, 0) + coalesce(delta, 0) > 0""",
     "inventory",
 )
+# Table, column, type, may be null, key, default, extra.
+COLUMNS = """
+    users id bigint false PRI - generated
+    users username string false UNI - -
+    users role string true - user -
+    users balance bigint true - 1000 -
+    users created_at timestamp_ntz true - - -
+    items id bigint false PRI - generated
+    items name string false - - -
+    items description string true - - -
+    items price bigint false - - -
+    items category string true - - -
+    items rarity string true - common -
+    items level_required int true - 1 -
+    items slot string true - other -
+    items durability int true - 100 -
+    items bonus_stats string true - - -
+    items stock bigint false - 0 -
+    items image_url string true - - -
+    items created_at timestamp_ntz true - - -
+    inventory user_id bigint false MUL - -
+    inventory item_id bigint false MUL - -
+    inventory quantity bigint true - 1 -
+    inventory purchased_at timestamp_ntz true - - -
+"""
+
+
+def _profile(line: str) -> str:
+    table, field, kind, nullable, key, default, extra = ("" if part == "-" else part for part in line.split())
+    value = f"'{default}'" if default else "NULL"
+    return f"""SELECT '{table}' AS table_name, '{field}' AS field, '{kind}' AS type, {nullable} AS nullable, '{key}' AS key,
+        {value} AS default_value, '{extra}' AS extra, count({field}) AS filled FROM {table}"""
+
+
+oracle(
+    "table_profiles", " UNION ALL ".join(_profile(line) for line in COLUMNS.strip().splitlines()), "users", "items", "inventory"
+)
 ORACLES["rollup_sales_year"] = ORACLES["sales_dynamics_year"]
 ORACLES["rollup_candles_day"] = ORACLES["price_candles_day"]
 ORACLES["running_audit"] = ORACLES["constraint_audit"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -425,6 +426,15 @@ def table_scan(spark, root):
     return tables.scan(spark, "trades")[1]
 
 
+@query
+def table_profiles(spark, root):
+    """Names, types, keys, defaults and filled rows of the columns of the listed tables."""
+    shown = {"users": b.users(spark, root), "items": b.items(spark, root), "inventory": b.inventory(spark, root)}
+    tables.register(spark, shown)
+    names = [name for name in tables.table_names(spark) if name in shown]
+    return reduce(DataFrame.unionAll, [tables.profile(spark, name) for name in names])
+
+
 # Audit and changes ----------------------------------------------------------
 
 

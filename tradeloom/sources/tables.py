@@ -75,3 +75,13 @@ def describe(spark: SparkSession, name: str) -> DataFrame:
         for column in df.schema
     ]
     return spark.createDataFrame(rows, DESCRIPTION)
+
+
+def profile(spark: SparkSession, name: str) -> DataFrame:
+    """The description of a listed table with the number of rows in which each column has a value."""
+    columns, df = scan(spark, name)
+    counts = df.agg(*[F.count(F.col(f"`{column}`")).alias(column) for column in columns])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("filled")) for c in columns]))
+    return describe(spark, name).join(counts.select(pairs.alias("one")).select("one.*"), "field").select(
+        *[column.strip().split(" ")[0] for column in DESCRIPTION.split(",")], "filled"
+    )
