@@ -117,6 +117,89 @@ def test_group_draws_are_binomial():
         assert got.var() == pytest.approx(n * p * (1 - p), rel=0.06, abs=0.02)
 
 
+def plain_scores(rows, parts, word_log, sweeps=4, burn=1, seed=5):
+    """Scores of all texts by dictionaries; ``word_log`` gives log10 probabilities from the tables of words."""
+    texts = [(key, tokens(text), bool(taught)) for key, text, taught in rows]
+    uses = Counter(w for _, ws, _ in texts for w in ws)
+    code = dict(zip(uses, pitman_yor._hashes(pa.array(list(uses))).tolist(), strict=True))
+    counts, used = Counter(), sum(uses.values())
+    for _, ws, taught in texts:
+        for pair in zip(["", *ws], ws):
+            counts[pair] += taught
+    hot = {w for w in uses if uses[w] * parts >= used}
+    part = {}
+    for u, w in counts:
+        one = pitman_yor._part(np.array([code[u]]), np.array([code[w]]), np.array([u in hot]), parts)
+        part[u, w] = int(one[0])
+    tables, sums = {pair: int(n > 0) for pair, n in counts.items()}, Counter()
+    for sweep in range(sweeps):
+        opened, served, held = Counter(), Counter(), Counter()
+        for (u, w), t in tables.items():
+            at = part[u, w]
+            opened[at, u] += t
+            served[at, w] += t
+            held[at] += t
+        for (u, w), n in counts.items():
+            if n > 1:
+                at = part[u, w]
+                back = pitman_yor.CONTEXT_STRENGTH + pitman_yor.CONTEXT_DISCOUNT * opened[at, u] * (parts if u in hot else 1)
+                draw = (code[u] * 0xD6E8FEB86659FD93 ^ code[w]) + (seed * 1000 + sweep) * 0x94D049BB133111EB
+                draw = np.array([draw % 2**64], np.uint64)
+                weight = np.array([back * (served[at, w] / held[at])])
+                tables[u, w] = int(pitman_yor.seat(np.array([n]), weight, pitman_yor.CONTEXT_DISCOUNT, draw)[0])
+            if sweep >= burn:
+                sums[u, w] += tables[u, w]
+    customers = Counter()
+    for (_, w), t in tables.items():
+        customers[w] += t
+    base = {w: 10**x for w, x in word_log({w: customers[w] for w in uses}).items()}
+    met, opened = Counter(), Counter()
+    for (u, w), n in counts.items():
+        met[u] += n
+        opened[u] += sums[u, w] / (sweeps - burn)
+
+    def chance(u, w):
+        own = counts.get((u, w), 0) - pitman_yor.CONTEXT_DISCOUNT * sums[u, w] / (sweeps - burn)
+        return (own + (1 + pitman_yor.CONTEXT_DISCOUNT * opened[u]) * base[w]) / (1 + met[u])
+
+    new = 10 ** word_log({**customers, "neverseen": 0})["neverseen"]
+    known = [w for w in uses if customers[w]]
+    for u in ("", *known[:5], "neverseen"):
+        rest = (1 + pitman_yor.CONTEXT_DISCOUNT * opened[u]) / (1 + met[u]) * new
+        assert sum(chance(u, w) for w in known) + rest == pytest.approx(1, abs=1e-6)
+    return {key: sum(math.log10(chance(u, w)) for u, w in zip(["", *ws], ws)) for key, ws, _ in texts}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_scores_equal_plain_python(spark, parts):
+    rows = made(7, 120)
+
+    def word_log(customers):
+        df = spark.createDataFrame([(w, n) for w, n in customers.items() if n], "word string, n bigint")
+        model = pitman_yor.fit(df, sweeps=4, burn=1, share=pitman_yor.SHARE, seed=5)
+        found = model.log10(pa.array(list(customers)), np.array(list(customers.values())), False)
+        return dict(zip(customers, found.tolist(), strict=True))
+
+    want = plain_scores(rows, parts, word_log)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, taught boolean").repartition(parts)
+    got = {r.doc_id: r.score for r in pitman_yor.score(df).collect()}
+    assert got.keys() == want.keys()
+    for key, value in got.items():
+        assert value == pytest.approx(want[key], rel=1e-4, abs=1e-4)
+
+
+def test_word_order_counts(spark):
+    rows = [(1, "one two three four one two three", True), (2, "one two three four one two three", False), (3, "three two one four three two one", False)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id bigint, text string, taught boolean")).collect()}
+    assert got[1] == pytest.approx(got[2]) and got[2] > got[3] + 0.3
+
+
+def test_planes_round_trip():
+    for values in ([], [0], [255, 256, 0], [2**40 - 1, 3], [2**62, 1, 0]):
+        back = pitman_yor.from_planes(pitman_yor.planes(np.array(values, np.int64)), len(values))
+        assert back.tolist() == values
+
+
 def test_odd_rows(spark):
     rows = [(i, text, taught, 0.5) for i, text, taught in made(2, 60)]
     rows += [(100, None, True, 0.0), (101, "", None, 0.0), (102, " \n ", False, 0.0), (None, "THER on", True, 0.0)]
@@ -153,5 +236,6 @@ def test_query(spark, medium):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(ws), sum(w in counts for w in ws), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in ws), abs=1e-6)
         assert r.score < 0
-    unseen = [r for r in got if r.held_out]
-    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+    for held_out in (True, False):
+        some = [r for r in got if r.held_out == held_out]
+        assert sum(r.score for r in some) > sum(r.base_score for r in some)

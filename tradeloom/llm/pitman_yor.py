@@ -1,27 +1,31 @@
-"""Language-model scores by a hierarchical Pitman-Yor model.
-
-A text is its words and one end. Words are customers of a Chinese restaurant; a
-new table takes its word from the model's base, which spells the word with the
-letters (UTF-8 bytes) of a hierarchy of further restaurants: the restaurant of a
-context of up to four letters shares the parent of its last three with all other
-contexts that end alike, and so on up to the restaurant without context, whose
-base is uniform. Every table of words is thus one spelling to learn from, and
-words never seen have a probability too. As in counts raised by one, all of them
-are one outcome, with the probability left over by the spellings of taught words;
-``open_words`` spells each of them out instead.
-
-Seating is sampled by Gibbs sweeps. In a sweep all customers of a dish are seated
-anew, one after another, given the sums of tables and the base's probabilities of
-the sweep before, so dishes are independent and Spark seats the words in parallel;
-customers beyond the first few are seated in groups of a sixteenth of those
-already there. Predictive probabilities are averaged over the sweeps after the
+"""Language-model scores by a hierarchical Pitman-Yor model of words in context.
+
+A text is its words and one end; each token stands in the context of the word
+before it, the first in that of an end. Every context is a Chinese restaurant whose
+customers are the tokens that follow it, and all contexts share one parent, the
+restaurant of words: a table of a context is a customer there. A table of the word
+restaurant takes its word from a base, which spells it with the letters (UTF-8
+bytes) of a hierarchy of further restaurants: that of a context of up to four
+letters shares the parent of its last three with all others that end alike, down to
+the restaurant without context, whose base is uniform. As in counts raised by one,
+all words never taught are one outcome, with the probability left over by the
+spellings of taught words; ``open_words`` spells each of them out instead.
+
+Seating is sampled by Gibbs sweeps: all customers of a dish are seated anew, one
+after another, given the sums of tables and the base's probabilities of the sweep
+before, so dishes are independent; customers beyond the first few are seated in
+groups of a sixteenth of those already there. Contexts are dealt to parts by hash,
+and the contexts of a part sweep with a parent of their own, made of that part's
+tables; the tables of all parts then meet in the one word restaurant, which sweeps
+with the letters. Predictive probabilities are averaged over the sweeps after the
 first ones.
 
-Counts cover all texts to learn from. A letter context has a restaurant of its own
-if at least ``share`` of all spelled letters stand in it, which bounds the letter
-model by 1 / share contexts per length, however large the corpus; words are never
-gathered in one place. Texts are scored in batches: a batch asks for the
-probabilities of its distinct words once.
+Every pair of words has its exact count in the model, which so grows with the
+corpus. A batch of texts asks for its distinct words and pairs once; words and pairs
+travel as hashes and counts in columns, by part, and there are as many parts as
+batches. A context in which at least one part's share of all tokens stands is split
+over all parts; there are at most as many of these as parts. A letter context has a
+restaurant of its own if at least ``share`` of all spelled letters stand in it.
 """
 
 from __future__ import annotations
@@ -46,12 +50,14 @@ SHARE = 1e-4
 SYMBOLS = 256  # bytes; zero ends a word as a letter and begins it as a context
 LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 1.0
 WORD_STRENGTH = 1.0
+CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 1.0
+HASH_BITS = 40
 BATCH_BYTES = 1 << 24
 EVENTS = 1 << 22
 
 
 def _batches(df: DataFrame, key_type: str) -> DataFrame:
-    """Texts (key, text, taught) in batches: their distinct words, how often each was taught, and all tokens as word numbers."""
+    """Texts (key, text, taught) in batches: their distinct words, how often each is used and was taught, and all tokens as word numbers."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, number = TaskContext.get().partitionId() << 33, 0
@@ -70,7 +76,8 @@ def _batches(df: DataFrame, key_type: str) -> DataFrame:
             inner = np.ones(len(tokens), bool)
             inner[closing] = False
             tokens[inner] = at[real]
-            order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")
+            uses = np.bincount(tokens, minlength=len(names))
+            order = np.argsort(-uses, kind="stable")
             rank = np.empty(len(names), np.int64)
             rank[order] = np.arange(len(names))
             tokens = rank[tokens]
@@ -86,13 +93,15 @@ def _batches(df: DataFrame, key_type: str) -> DataFrame:
                 pa.array([data], pa.binary()),
                 pa.array([[names[i] for i in order]], pa.list_(pa.string())),
                 pa.array([counts], pa.list_(pa.int64())),
+                pa.array([uses[order]], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["batch", "keys", "taught", "lengths", "control", "data", "words", "counts"])
+            names = ["batch", "keys", "taught", "lengths", "control", "data", "words", "counts", "uses"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
             number += 1
 
     types = (
         f"batch bigint, keys array<{key_type}>, taught array<boolean>, lengths array<bigint>, control binary, data binary,"
-        " words array<string>, counts array<bigint>"
+        " words array<string>, counts array<bigint>, uses array<bigint>"
     )
     return df.mapInArrow(run, types)
 
@@ -410,16 +419,247 @@ def _mass(taught: DataFrame, model: Model) -> list[float]:
     return [held.get(sweep, 0.0) for sweep in range(len(model.logs))]
 
 
-def _answers(words: DataFrame, model: Model, open_words: bool) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast(model)
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers as their low bytes, then their next ones, and so on; high bytes, mostly zero, compress well."""
+    wide = np.ascontiguousarray(values, np.uint64)
+    kept = max(1, (int(wide.max(initial=0)).bit_length() + 7) // 8)
+    return wide.view(np.uint8).reshape(-1, 8)[:, :kept].T.tobytes()
+
+
+def from_planes(blob: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(blob) // n] = np.frombuffer(blob, np.uint8).reshape(-1, n).T
+    return out.reshape(-1).view(np.uint64).astype(np.int64)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    found = [xxhash.xxh64_intdigest(word, 42) for word in utf8(words)]
+    return (np.array(found, np.uint64) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+def _table(rows: list[dict], types: str) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+    named = [one.strip().split(" ") for one in types.split(",")]
+    return pa.table({name: pa.array([row.get(name) for row in rows], kinds[kind]) for name, kind in named})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = shared.value.log10(batch.column("word"), batch.column("n").to_numpy(), open_words)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "n", "log10"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint, log10 double")
+VOCABULARY = "part bigint, batch bigint, n bigint, at binary, place binary, words array<string>, hash binary, counts binary, uses binary, tables binary"
+
+
+def _vocabulary(batches: DataFrame, parts: int) -> DataFrame:
+    """One row per part with its distinct words and their counts, and one per part and batch with the places of its words."""
+    types = "part bigint, batch bigint, place binary, words array<string>, hash binary, counts array<bigint>, uses array<bigint>"
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_ in rows:
+            for i in range(rows_.num_rows):
+                words = rows_.column("words")[i].values
+                counts, uses = (rows_.column(name)[i].values.to_numpy() for name in ("counts", "uses"))
+                hashes = _hashes(words)
+                own = hashes % parts
+                order = np.argsort(own, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                    row = {"part": own[at[0]], "batch": rows_.column("batch")[i].as_py(), "place": planes(at), "words": words.take(pa.array(at)).to_pylist()}
+                    row |= {"hash": planes(hashes[at]), "counts": counts[at], "uses": uses[at]}
+                    yield from _table([row], types).to_batches()
+
+    def count(rows: pa.Table) -> pa.Table:
+        lists = rows.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        at, size = coded.indices.to_numpy(), len(coded.dictionary)
+        sums = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+        for total, name in zip(sums, ("counts", "uses"), strict=True):
+            np.add.at(total, at, rows.column(name).combine_chunks().flatten().to_numpy())
+        part = rows.column("part")[0].as_py()
+        out = [{"part": part, "n": size, "words": coded.dictionary.to_pylist(), "hash": planes(_hashes(coded.dictionary)), "counts": planes(sums[0]), "uses": planes(sums[1])}]
+        lengths, start = np.diff(lists.offsets.to_numpy()), 0
+        for batch, place, length in zip(rows.column("batch").to_pylist(), rows.column("place").to_pylist(), lengths, strict=True):
+            out.append({"part": part, "batch": batch, "n": length, "at": planes(at[start : start + length]), "place": place})
+            start += length
+        return _table(out, VOCABULARY)
+
+    asked = batches.select("batch", "words", "counts", "uses").mapInArrow(ask, types)
+    return asked.groupBy("part").applyInArrow(count, VOCABULARY)
+
+
+def _unpacked(vocabulary: DataFrame) -> DataFrame:
+    """(word, hash, n, uses, tables) rows of the vocabulary; ``tables`` is null before contexts are seated."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in batch.to_pylist():
+                numbers = {name: from_planes(row[name], row["n"]) if row[name] is not None else None for name in ("hash", "counts", "uses", "tables")}
+                columns = [pa.array(row["words"], pa.string())]
+                columns += [pa.nulls(row["n"], pa.int64()) if x is None else pa.array(x) for x in numbers.values()]
+                yield from pa.table(columns, names=["word", "hash", "n", "uses", "tables"]).to_batches(max_chunksize=1 << 16)
+
+    rows = vocabulary.where("batch IS NULL").select("words", "n", "hash", "counts", "uses", "tables")
+    return rows.mapInArrow(run, "word string, hash bigint, n bigint, uses bigint, tables bigint")
+
+
+def _pairs(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, token) of each token, as one number ``context << 32 | token``."""
+    before = np.concatenate([[end], tokens[:-1]]) if len(tokens) else tokens
+    before[(np.cumsum(lengths) - lengths)] = end
+    return before << 32 | tokens
+
+
+PAIRS = (
+    "part bigint, batch bigint, contexts bigint, place binary, context binary, sizes binary, pairs bigint, token binary, counts binary,"
+    " split binary, at binary, seen binary, tables binary, met binary, opened binary"
+)
+
+
+def _ask_pairs(batches: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """Distinct pairs of each batch, by part: contexts by place and hash, and per context its tokens by hash, with taught counts."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_ in rows:
+            for row in (rows_.slice(i, 1) for i in range(rows_.num_rows)):
+                words, lengths = row.column("words")[0].values, row.column("lengths")[0].values.to_numpy()
+                taught = np.repeat(row.column("taught")[0].values.to_numpy(zero_copy_only=False), lengths)
+                tokens = unpack(row.column("control")[0].as_py(), row.column("data")[0].as_py(), int(lengths.sum())).astype(np.int64)
+                pairs, inverse = np.unique(_pairs(tokens, lengths, words.index("").as_py()), return_inverse=True)
+                counts = np.bincount(inverse[taught], minlength=len(pairs))
+                hashes = _hashes(words)
+                context, token = pairs >> 32, pairs & 0xFFFFFFFF
+                split = np.isin(hashes, hot)
+                own = _part(hashes[context], hashes[token], split[context], parts)
+                order = np.argsort(own, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                    here, sizes = np.unique(context[at], return_counts=True)
+                    one = {"part": own[at[0]], "batch": row.column("batch")[0].as_py(), "contexts": len(here), "pairs": len(at), "place": planes(here)}
+                    one |= {"context": planes(hashes[here]), "sizes": planes(sizes), "token": planes(hashes[token[at]]), "counts": planes(counts[at])}
+                    one |= {"split": planes(split[here]), "at": planes(at[split[context[at]]])}
+                    yield from _table([one], PAIRS).to_batches()
+
+    columns = ["batch", "taught", "lengths", "control", "data", "words"]
+    return batches.select(*columns).mapInArrow(run, PAIRS)
+
+
+def _part(context: np.ndarray, token: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    mixed = (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + token.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)
+    return np.where(hot, (mixed % np.uint64(parts)).astype(np.int64), context % parts)
+
+
+def seat_contexts(
+    context: np.ndarray, token: np.ndarray, counts: np.ndarray, scale: np.ndarray, sweeps: int, burn: int, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(tables after the last sweep, sums of tables over the sweeps after ``burn``) of dishes (context, token).
+
+    ``scale`` says how many times the tables held here the dish's context has in all.
+    A dish of one customer always has one table.
+    """
+    tables, sums = (counts > 0).astype(np.int64), np.zeros(len(counts), np.int64)
+    own = np.unique(context, return_inverse=True)[1]
+    word = np.unique(token, return_inverse=True)[1]
+    many = np.flatnonzero(counts > 1)
+    seeds = context.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ token.astype(np.uint64)
+    for sweep in range(sweeps):
+        opened = np.bincount(own, tables)[own[many]] * scale[many]
+        base = np.bincount(word, tables)[word[many]] / max(1, tables.sum())
+        weight = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * opened) * base
+        step = np.uint64(((seed * 1000 + sweep) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF)
+        tables[many] = seat(counts[many], weight, CONTEXT_DISCOUNT, seeds[many] + step)
+        if sweep >= burn:
+            sums += tables
+    return tables, sums
+
+
+def _seat_pairs(asked: DataFrame, parts: int, hot: np.ndarray, sweeps: int, burn: int, seed: int) -> DataFrame:
+    """Rows with the answers to each batch, tables by word part (batch -1), and sums of contexts that are split (batch -2)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        held = rows.to_pylist()
+        contexts = [from_planes(row["context"], row["contexts"]) for row in held]
+        sizes = [from_planes(row["sizes"], row["contexts"]) for row in held]
+        context = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, sizes, strict=True)])
+        token = np.concatenate([from_planes(row["token"], row["pairs"]) for row in held])
+        taught = np.concatenate([from_planes(row["counts"], row["pairs"]) for row in held])
+        both = context.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
+        counts = np.zeros(len(first), np.int64)
+        np.add.at(counts, inverse, taught)
+        context, token = context[first], token[first]
+        split = np.isin(context, hot)
+        tables, sums = seat_contexts(context, token, counts, np.where(split, parts, 1), sweeps, burn, seed)
+        names, own = np.unique(context, return_inverse=True)
+        met, opened = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        np.add.at(met, own, counts)
+        np.add.at(opened, own, sums)
+        part, out, start = held[0]["part"], [], 0
+        for row, some in zip(held, contexts, strict=True):
+            at = inverse[start : start + row["pairs"]]
+            start += row["pairs"]
+            here = np.searchsorted(names, some)
+            kept = {name: row[name] for name in ("part", "batch", "contexts", "place", "sizes", "pairs", "split", "at")}
+            out.append(kept | {"seen": planes(counts[at]), "tables": planes(sums[at]), "met": planes(met[here]), "opened": planes(opened[here])})
+            out[-1]["context"] = planes(some[np.isin(some, hot)])
+        some = np.flatnonzero(tables)
+        words, at = np.unique(token[some], return_inverse=True)
+        customers = np.zeros(len(words), np.int64)
+        np.add.at(customers, at, tables[some])
+        order = np.argsort(words % parts, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(words[order] % parts)) + 1) if len(order) else []:
+            out.append({"part": words[at[0]] % parts, "batch": -1, "pairs": len(at), "token": planes(words[at]), "counts": planes(customers[at])})
+        at = np.flatnonzero(np.isin(names, hot))
+        if len(at):
+            out.append({"part": part, "batch": -2, "contexts": len(at), "context": planes(names[at]), "met": planes(met[at]), "opened": planes(opened[at])})
+        return _table(out, PAIRS)
+
+    return asked.groupBy("part").applyInArrow(run, PAIRS)
+
+
+def _seated(vocabulary: DataFrame, seats: DataFrame) -> DataFrame:
+    """The vocabulary's word rows with the tables all contexts have of each word."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        hashes = from_planes(row["hash"], row["n"])
+        names, own = np.unique(hashes, return_inverse=True)
+        sums = np.zeros(len(names), np.int64)
+        for some in right.to_pylist():
+            at = np.searchsorted(names, from_planes(some["token"], some["pairs"]))
+            np.add.at(sums, at, from_planes(some["counts"], some["pairs"]))
+        # Words of equal hash, if any, share what was counted for it; a taught word has a table at least.
+        shares = sums[own] // np.bincount(own)[own]
+        taught = from_planes(row["counts"], row["n"]) > 0
+        return _table([row | {"tables": planes(np.where(taught, np.maximum(shares, 1), 0))}], VOCABULARY)
+
+    tables = seats.where("batch = -1").select("part", "pairs", "token", "counts")
+    return vocabulary.where("batch IS NULL").groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(run, VOCABULARY)
+
+
+WORDS = "batch bigint, n bigint, place binary, counts binary, logs binary"
+
+
+def _answers(vocabulary: DataFrame, seated: DataFrame, model: Model, open_words: bool) -> DataFrame:
+    """Per part and batch, the taught counts of its words and their log10 probabilities in the word restaurant."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(model)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, out = left.to_pylist()[0], []
+        counts, tables = (from_planes(row[name], row["n"]) for name in ("counts", "tables"))
+        words, logs = pa.array(row["words"], pa.string()), np.zeros(row["n"])
+        for start in range(0, row["n"], 1 << 16):
+            some = slice(start, start + (1 << 16))
+            logs[some] = shared.value.log10(words[some], tables[some], open_words)
+        for one in right.to_pylist():
+            at = from_planes(one["at"], one["n"])
+            out.append({"batch": one["batch"], "n": one["n"], "place": one["place"], "counts": planes(counts[at]), "logs": logs[at].astype(np.float32).tobytes()})
+        return _table(out, WORDS)
+
+    places = vocabulary.where("batch IS NOT NULL").select("part", "batch", "n", "at", "place")
+    return seated.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(run, WORDS)
+
+
+def context_chance(
+    seen: np.ndarray, tables: np.ndarray, met: np.ndarray, opened: np.ndarray, base: np.ndarray
+) -> np.ndarray:
+    """Probability of tokens in their contexts, by customers and mean tables of the dish and of its context."""
+    back = CONTEXT_STRENGTH + CONTEXT_DISCOUNT * opened
+    return (seen - CONTEXT_DISCOUNT * tables + back * base) / (CONTEXT_STRENGTH + met)
 
 
 def score(
@@ -438,7 +678,7 @@ def score(
 
     The model learns from the rows whose ``taught`` is true. Words are lower-cased
     in A-Z; a null or empty text is its end alone. ``base_score`` is the log10
-    probability under counts raised by one, ``score`` under the model. Nothing to
+    probability under counts raised by one, ``score`` under the model. ``burn`` is below ``sweeps``. Nothing to
     learn from leaves uniform letters. Repeated rows and null keys are kept.
     """
     rows = df.select(
@@ -448,29 +688,68 @@ def score(
     )
     kind = df.schema[key].dataType.simpleString()
     batches = stored(_batches(rows, kind), "batches")
-    asked = batches.select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "one")).select(
-        "batch", "place", F.col("one.words").alias("word"), F.col("one.counts").alias("n")
-    )
-    words = stored(asked.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    model = fit(words, sweeps=sweeps, burn=burn, share=share, seed=seed)
-    tokens, kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    answers = asked.drop("n").join(_answers(words, model, open_words), "word").select("batch", "place", "n", "log10")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right.column("place").to_numpy()
-        count, log = np.zeros(len(place), np.int64), np.zeros(len(place))
-        count[place], log[place] = right.column("n").to_numpy(), right.column("log10").to_numpy()
-        base = np.log10((count + 1) / (tokens + kinds + 1))
-        row = {name: left.column(name)[0] for name in left.column_names}
-        lengths = np.array(row["lengths"].as_py(), np.int64)
-        at = unpack(row["control"].as_py(), row["data"].as_py(), int(lengths.sum()))
+    parts = max(1, batches.count())
+    vocabulary = stored(_vocabulary(batches, parts), "vocabulary")
+    words = _unpacked(vocabulary)
+    taught_words = words.where("n > 0")
+    tokens, kinds = taught_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    # At most as many words as parts can have one part's share of all tokens.
+    uses = words.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    hot = np.array([row.hash for row in words.where(F.col("uses") * F.lit(parts) >= F.lit(uses)).select("hash").distinct().collect()], np.int64)
+    seats = stored(_seat_pairs(_ask_pairs(batches, parts, hot), parts, hot, sweeps, burn, seed), "seats")
+    seated = stored(_seated(vocabulary, seats), "seated")
+    model = fit(_unpacked(seated).select("word", F.col("tables").alias("n")), sweeps=sweeps, burn=burn, share=share, seed=seed)
+    split: dict[int, tuple[int, int]] = {}
+    for row in seats.where("batch = -2").select("contexts", "context", "met", "opened").collect():
+        for name, *sums in zip(*(from_planes(row[i], row.contexts).tolist() for i in (1, 2, 3)), strict=True):
+            split[name] = tuple(a + b for a, b in zip(split.get(name, (0, 0)), sums, strict=True))
+    names = np.array(sorted(split), np.int64)
+    totals = np.array([split[name] for name in names.tolist()], np.int64).reshape(-1, 2)
+    samples = sweeps - burn
+
+    def run(table: pa.Table) -> pa.Table:
+        text = table.filter(pc.is_valid(table.column("keys"))).combine_chunks()
+        keys, is_taught, lengths = (text.column(name).chunk(0).flatten() for name in ("keys", "taught", "lengths"))
+        lengths, own = lengths.to_numpy(), text.select(["control", "data", "size", "end"]).to_pylist()[0]
+        held = table.drop_columns(["keys", "taught", "lengths", "control", "data"]).to_pylist()
+        at = unpack(own["control"], own["data"], int(lengths.sum())).astype(np.int64)
+        size = own["size"]
+        count, log = np.zeros(size, np.int64), np.zeros(size)
+        pairs, inverse = np.unique(_pairs(at, lengths, own["end"]), return_inverse=True)
+        chance = np.zeros(len(pairs))
+        for row in held:
+            if row["logs"] is not None:
+                place = from_planes(row["place"], row["n"])
+                count[place], log[place] = from_planes(row["counts"], row["n"]), np.frombuffer(row["logs"], np.float32)
+        unit = np.power(10.0, log)
+        context = pairs >> 32
+        for row in (row for row in held if row["seen"] is not None):
+            n, contexts = row["pairs"], row["contexts"]
+            place, sizes, met, opened, split = (from_planes(row[name], contexts) for name in ("place", "sizes", "met", "opened", "split"))
+            # A context of one part has all its pairs there, in order; pairs of split ones come with their place.
+            index = np.repeat(np.searchsorted(context, place) - (np.cumsum(sizes) - sizes), sizes) + np.arange(n)
+            split = split > 0
+            apart = np.repeat(split, sizes)
+            index[apart] = from_planes(row["at"], int(apart.sum()))
+            met[split], opened[split] = totals[np.searchsorted(names, from_planes(row["context"], int(split.sum())))].T
+            seen, tables = from_planes(row["seen"], n), from_planes(row["tables"], n)
+            base = unit[pairs[index] & 0xFFFFFFFF]
+            chance[index] = context_chance(seen, tables / samples, np.repeat(met, sizes), np.repeat(opened, sizes) / samples, base)
+        base_log = np.log10((count + 1) / (tokens + kinds + 1))
         first = np.cumsum(lengths) - lengths
-        values = [np.add.reduceat(x[at], first) for x in ((count > 0).astype(np.int64), base, log)]
-        return pa.table({"key": row["keys"].values, "taught": row["taught"].values, "n_tokens": lengths, "n_known": values[0], "base_score": values[1], "score": values[2]})
+        values = [np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64)[at], base_log[at], np.log10(chance)[inverse])]
+        return pa.table({"key": keys, "taught": is_taught, "n_tokens": lengths, "n_known": values[0], "base_score": values[1], "score": values[2]})
 
     types = f"key {kind}, taught boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    texts = batches.select(F.col("batch").alias("of"), "keys", "taught", "lengths", "control", "data")
-    found = texts.groupBy("of").cogroup(answers.groupBy("batch")).applyInArrow(run, types)
+    texts = batches.select(
+        "batch", "keys", "taught", "lengths", "control", "data", F.size("words").alias("size"), (F.array_position("words", "") - 1).alias("end")
+    )
+    asked = seats.where("batch >= 0").select(
+        "batch", "contexts", "place", "context", "sizes", "pairs", "split", "at", "seen", "tables", "met", "opened"
+    )
+    answers = _answers(vocabulary, seated, model, open_words)
+    every = texts.unionByName(asked, True).unionByName(answers, True)
+    found = every.groupBy("batch").applyInArrow(run, types)
     return found.select(
         F.col("key").alias(key),
         "taught",
