@@ -41,7 +41,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.shared import slices, split_words, utf8
+from tradeloom.llm.shared import slices, small_batches, split_words, utf8
 from tradeloom.llm.token_files import pack, unpack
 from tradeloom.plans.workspace import stored
 
@@ -52,7 +52,7 @@ LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 1.0
 WORD_STRENGTH = 1.0
 CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 1.0
 HASH_BITS = 40
-BATCH_BYTES = 1 << 24
+BATCH_BYTES, BATCH_ROWS = 1 << 23, 2500
 EVENTS = 1 << 22
 
 
@@ -687,7 +687,8 @@ def score(
         F.coalesce(F.col(taught), F.lit(False)).alias("taught"),
     )
     kind = df.schema[key].dataType.simpleString()
-    batches = stored(_batches(rows, kind), "batches")
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        batches = stored(_batches(rows, kind), "batches")
     parts = max(1, batches.count())
     vocabulary = stored(_vocabulary(batches, parts), "vocabulary")
     words = _unpacked(vocabulary)
