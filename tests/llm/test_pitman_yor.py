@@ -170,8 +170,8 @@ def plain_scores(rows, parts, word_log, sweeps=4, burn=1, seed=5):
     return {key: sum(math.log10(chance(u, w)) for u, w in zip(["", *ws], ws)) for key, ws, _ in texts}
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_scores_equal_plain_python(spark, parts):
+@pytest.mark.parametrize(("batches", "parts"), [(1, 1), (7, 4)])
+def test_scores_equal_plain_python(spark, batches, parts):
     rows = made(7, 120)
 
     def word_log(customers):
@@ -181,7 +181,7 @@ def test_scores_equal_plain_python(spark, parts):
         return dict(zip(customers, found.tolist(), strict=True))
 
     want = plain_scores(rows, parts, word_log)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, taught boolean").repartition(parts)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, taught boolean").repartition(batches)
     got = {r.doc_id: r.score for r in pitman_yor.score(df).collect()}
     assert got.keys() == want.keys()
     for key, value in got.items():

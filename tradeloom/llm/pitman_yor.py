@@ -22,7 +22,7 @@ first ones.
 
 Every pair of words has its exact count in the model, which so grows with the
 corpus. A batch of texts asks for its distinct words and pairs once; words and pairs
-travel as hashes and counts in columns, by part, and there are as many parts as
+travel as hashes and counts in columns, by part, and there is a part for two
 batches. A context in which at least one part's share of all tokens stands is split
 over all parts; there are at most as many of these as parts. A letter context has a
 restaurant of its own if at least ``share`` of all spelled letters stand in it.
@@ -41,7 +41,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.shared import slices, small_batches, split_words, utf8
+from tradeloom.llm.shared import bounded_batches, slices, split_words, utf8
 from tradeloom.llm.token_files import pack, unpack
 from tradeloom.plans.workspace import stored
 
@@ -52,7 +52,8 @@ LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 1.0
 WORD_STRENGTH = 1.0
 CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 1.0
 HASH_BITS = 40
-BATCH_BYTES, BATCH_ROWS = 1 << 23, 2500
+BATCH_BYTES = 1 << 23
+BATCHES_PER_PART = 2
 EVENTS = 1 << 22
 
 
@@ -687,17 +688,19 @@ def score(
         F.coalesce(F.col(taught), F.lit(False)).alias("taught"),
     )
     kind = df.schema[key].dataType.simpleString()
-    with small_batches(df.sparkSession, BATCH_ROWS):
+    spark = df.sparkSession
+    with bounded_batches(spark, BATCH_BYTES):
         batches = stored(_batches(rows, kind), "batches")
-    parts = max(1, batches.count())
-    vocabulary = stored(_vocabulary(batches, parts), "vocabulary")
+        parts = max(1, -(-batches.count() // BATCHES_PER_PART))
+        vocabulary = stored(_vocabulary(batches, parts), "vocabulary")
     words = _unpacked(vocabulary)
     taught_words = words.where("n > 0")
     tokens, kinds = taught_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # At most as many words as parts can have one part's share of all tokens.
     uses = words.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
     hot = np.array([row.hash for row in words.where(F.col("uses") * F.lit(parts) >= F.lit(uses)).select("hash").distinct().collect()], np.int64)
-    seats = stored(_seat_pairs(_ask_pairs(batches, parts, hot), parts, hot, sweeps, burn, seed), "seats")
+    with bounded_batches(spark, BATCH_BYTES):
+        seats = stored(_seat_pairs(_ask_pairs(batches, parts, hot), parts, hot, sweeps, burn, seed), "seats")
     seated = stored(_seated(vocabulary, seats), "seated")
     model = fit(_unpacked(seated).select("word", F.col("tables").alias("n")), sweeps=sweeps, burn=burn, share=share, seed=seed)
     split: dict[int, tuple[int, int]] = {}
