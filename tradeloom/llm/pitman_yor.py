@@ -450,7 +450,7 @@ VOCABULARY = "part bigint, batch bigint, n bigint, at binary, place binary, word
 
 def _vocabulary(batches: DataFrame, parts: int) -> DataFrame:
     """One row per part with its distinct words and their counts, and one per part and batch with the places of its words."""
-    types = "part bigint, batch bigint, place binary, words array<string>, hash binary, counts array<bigint>, uses array<bigint>"
+    types = "part bigint, batch bigint, place binary, words array<string>, counts binary, uses binary"
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in rows:
@@ -462,19 +462,21 @@ def _vocabulary(batches: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
                     row = {"part": own[at[0]], "batch": rows_.column("batch")[i].as_py(), "place": planes(at), "words": words.take(pa.array(at)).to_pylist()}
-                    row |= {"hash": planes(hashes[at]), "counts": counts[at], "uses": uses[at]}
+                    row |= {"counts": planes(counts[at]), "uses": planes(uses[at])}
                     yield from _table([row], types).to_batches()
 
     def count(rows: pa.Table) -> pa.Table:
         lists = rows.column("words").combine_chunks()
         coded = lists.flatten().dictionary_encode()
         at, size = coded.indices.to_numpy(), len(coded.dictionary)
+        lengths = np.diff(lists.offsets.to_numpy())
         sums = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
         for total, name in zip(sums, ("counts", "uses"), strict=True):
-            np.add.at(total, at, rows.column(name).combine_chunks().flatten().to_numpy())
+            numbers = [from_planes(blob, n) for blob, n in zip(rows.column(name).to_pylist(), lengths.tolist(), strict=True)]
+            np.add.at(total, at, np.concatenate(numbers))
         part = rows.column("part")[0].as_py()
         out = [{"part": part, "n": size, "words": coded.dictionary.to_pylist(), "hash": planes(_hashes(coded.dictionary)), "counts": planes(sums[0]), "uses": planes(sums[1])}]
-        lengths, start = np.diff(lists.offsets.to_numpy()), 0
+        start = 0
         for batch, place, length in zip(rows.column("batch").to_pylist(), rows.column("place").to_pylist(), lengths, strict=True):
             out.append({"part": part, "batch": batch, "n": length, "at": planes(at[start : start + length]), "place": place})
             start += length
@@ -753,7 +755,8 @@ def score(
     )
     answers = _answers(vocabulary, seated, model, open_words)
     every = texts.unionByName(asked, True).unionByName(answers, True)
-    found = every.groupBy("batch").applyInArrow(run, types)
+    with bounded_batches(spark, BATCH_BYTES):
+        found = stored(every.groupBy("batch").applyInArrow(run, types), "scores")
     return found.select(
         F.col("key").alias(key),
         "taught",
