@@ -99,6 +99,8 @@ def _batches(df: DataFrame, key_type: str) -> DataFrame:
             names = ["batch", "keys", "taught", "lengths", "control", "data", "words", "counts", "uses"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             number += 1
+            # Workers live on between tasks; Arrow would keep the memory of the largest batch in each.
+            pa.default_memory_pool().release_unused()
 
     types = (
         f"batch bigint, keys array<{key_type}>, taught array<boolean>, lengths array<bigint>, control binary, data binary,"
