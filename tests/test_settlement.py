@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tradeloom.plans.prefix import BUCKETS, hot_buckets
-from tradeloom.plans.settlement import settle
+from tradeloom.plans.settlement import ACCEPTED, OPEN, _bounded, _decided, settle
 
 SCHEMA = (
     "seq bigint, account string, a bigint, b bigint, at_seq bigint, coef bigint, cap bigint, need bigint, lead boolean"
@@ -35,3 +35,20 @@ def test_only_keys_with_many_rows_are_hot(spark):
     expected = df.filter("k = 7").select(F.expr(f"pmod(hash(k), {BUCKETS})")).first()[0]
     assert hot_buckets(df, ["k"], 40) == [expected]
     assert hot_buckets(df, ["k"], 60) == []
+
+
+def test_postings_leave_the_rounds_with_the_doubt(spark):
+    """Request 1 and 2 have enough, 3 has not, 4 and 5 compete; only what they compete for is kept with its amounts."""
+    postings = [(None, "cash", k, 0, 0, amount, 1, None, False) for k, amount in [(1, 100), (2, 1), (3, 10)]]
+    for seq, k, amount in [(1, 1, 30), (2, 1, 40), (3, 2, 5), (4, 3, 6), (5, 3, 7)]:
+        postings.append((seq, "stock", 9, 0, seq, amount, 1, None, True))
+        postings.append((seq, "cash", k, 0, seq, -amount, 1, amount, False))
+    df = spark.createDataFrame(postings, SCHEMA)
+    units, _ = settle(df)
+    assert {r.seq: r.units for r in units.collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+    first = df.selectExpr(
+        "*", "CAST(0 AS BIGINT) AS flock", "cap AS guess", "CAST(0 AS BIGINT) AS base", "true AS live",
+        f"IF(seq IS NULL, {ACCEPTED}, {OPEN}) AS state", "IF(seq IS NULL, cap, 0) AS units",
+    )
+    kept = {(r.seq, r.account) for r in _decided(_bounded(first, 1000, [])).filter("NOT lead").collect()}
+    assert kept == {(3, "cash"), (4, "cash"), (5, "cash")}
