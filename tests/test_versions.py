@@ -102,3 +102,18 @@ def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(table, "manifest", lambda before_batch=None: first)
     with pytest.raises(FileExistsError):
         table.change(spark.range(1), lambda now, some: now)
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        items = spark.range(0, 40000, 1, 8).selectExpr("id", "hash(id) * 1L AS price", "xxhash64(id) AS stock")
+        table = VersionedTable(spark, str(tmp_path / "items"), ITEM, ["id"])
+        table.create(items, buckets=2)
+        files = [str(file).split("/_bucket=")[1].split("/")[0] for file in tmp_path.rglob("*.parquet")]
+        assert min(files.count("0"), files.count("1")) > 1
+        assert table.read().exceptAll(items).isEmpty() and table.read().count() == 40000
+    finally:
+        spark.conf.set(size, before)

@@ -146,10 +146,14 @@ class VersionedTable:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.key), F.lit(count)).cast("int"))
 
     def _written(self, rows: DataFrame, count: int, touched: list[int]) -> dict[int, str]:
-        """Write rows of the touched buckets, one task a bucket; the folders of those that have rows."""
+        """Write rows of the touched buckets; the folders of those that have rows.
+
+        Buckets are brought together as far as a task's advised size goes: small ones share a task and large
+        ones are split over several, so that a table's size does not show in its tasks.
+        """
         name = uuid.uuid4().hex
         numbered = self._numbered(rows.select(*self.schema.names), count)
-        numbered.repartition(max(1, len(touched)), BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
+        numbered.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
         there = self.files.names(f"{self.path}/data/{name}")
         found = {int(one.removeprefix(f"{BUCKET}=")) for one in there if one.startswith(f"{BUCKET}=")}
         return {bucket: f"{name}/{BUCKET}={bucket}" for bucket in sorted(found)}
