@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tradeloom.plans.prefix import BUCKETS, hot_buckets
-from tradeloom.plans.settlement import ACCEPTED, OPEN, _bounded, _decided, settle
+from tradeloom.plans.settlement import ACCEPTED, OPEN, _bounded, _decided, _outcomes, settle
 
 SCHEMA = (
     "seq bigint, account string, a bigint, b bigint, at_seq bigint, coef bigint, cap bigint, need bigint, lead boolean"
@@ -52,3 +52,15 @@ def test_postings_leave_the_rounds_with_the_doubt(spark):
     )
     kept = {(r.seq, r.account) for r in _decided(_bounded(first, 1000, [])).filter("NOT lead").collect()}
     assert kept == {(3, "cash"), (4, "cash"), (5, "cash")}
+
+
+def test_blocks_are_spread_by_their_requests(spark):
+    """400 small blocks of 20 requests go to many tasks, although their bytes would fit into one."""
+    runs = spark.range(8000).selectExpr(
+        "id % 400 AS flock", "0L AS block", "id AS seq", "'cash' AS account", "id % 400 AS a", "0L AS b", "id AS at_seq",
+        "-1L AS coef", "1L AS cap", "1L AS need", "1L AS guess", "5L AS likely", "0 AS state", "0L AS units",
+    )
+    found = _outcomes(runs, 8000, 1000).withColumn("task", F.spark_partition_id())
+    sizes = found.groupBy("task").count().collect()
+    assert sum(r["count"] for r in sizes) == 8000
+    assert len(sizes) > 32 and max(r["count"] for r in sizes) <= 1000
