@@ -177,3 +177,15 @@ def test_logs_lead_from_the_opening_to_the_closing_snapshots(spark):
     moved = ledger.fold(ledger.shop_entries(result.transactions), bought, listed)
     assert ledger.reconcile(opening, moved, closing).count() == 0
     assert ledger.reconcile(opening, ledger.fold(ledger.shop_entries(result.transactions)), closing).count() > 0
+
+
+def test_offers_are_read_only_if_a_request_is_about_one(spark):
+    """Without listings, market purchases and cancellations no stored offer is looked at; one that is fails here."""
+    from pyspark.sql import functions as F
+
+    data = make(23, 120, 8, 5, (R.BUY, R.SELL, R.GRANT))
+    requests, users, items, inventory, offers = frames(spark, *data)
+    unread = offers.withColumn("id", F.raise_error("offers were read").cast("bigint"))
+    got = R.replay(requests, users, items, inventory, unread).decisions
+    assert got.exceptAll(R.replay(requests, users, items, inventory, offers).decisions).count() == 0
+    assert got.count() == 120

@@ -64,3 +64,17 @@ def test_blocks_are_spread_by_their_requests(spark):
     sizes = found.groupBy("task").count().collect()
     assert sum(r["count"] for r in sizes) == 8000
     assert len(sizes) > 32 and max(r["count"] for r in sizes) <= 1000
+
+
+def test_amounts_are_made_after_the_shuffle_by_account(spark, capsys):
+    """The rows that go to their accounts carry a posting, not the four amounts that follow from it."""
+    postings = [(None, "cash", 1, 0, 0, 9, 1, None, False), (1, "cash", 1, 0, 1, -5, 1, 5, True), (2, "cash", 1, 0, 2, -5, 1, 5, True)]
+    first = spark.createDataFrame(postings, SCHEMA).selectExpr(
+        "*", "CAST(0 AS BIGINT) AS flock", "cap AS guess", "CAST(0 AS BIGINT) AS base", "true AS live",
+        f"IF(seq IS NULL, {ACCEPTED}, {OPEN}) AS state", "IF(seq IS NULL, cap, 0) AS units",
+    )
+    _bounded(first, 1000, []).explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.index("AS sure#") < plan.index("Exchange hashpartitioning(a#")
+    rows = _bounded(first, 1000, []).select("seq", "base", "low", "high", "likely").collect()
+    assert sorted(map(tuple, rows)) == [(1, 9, 9, 9, 9), (2, 9, 4, 9, 4)]
