@@ -187,3 +187,25 @@ def test_running_audit_equals_the_full_one(spark, tmp_path):
             running.add(batch, new, removed)
         whole = {"users": spark.createDataFrame(people, users_schema), "inventory": spark.createDataFrame(held, held_schema)}
         assert sorted(map(tuple, running.violations().collect())) == sorted(map(tuple, audit.constraint_audit(whole, rules).collect()))
+
+
+def test_a_batch_of_the_running_audit_compares_its_keys_in_one_shuffle(spark, tmp_path, monkeypatch, capsys):
+    """Keys before and after a batch meet once; whether they are cut to the batch's keys first changes no violation."""
+    rules = {name: audit.RULES[name] for name in ("users", "inventory")}
+    users_schema, held_schema = "id bigint, username string", "id bigint, user_id bigint, item_id bigint, quantity bigint"
+    empty = {"users": spark.createDataFrame([], users_schema), "inventory": spark.createDataFrame([], held_schema)}
+    found = []
+    for sparse in (0, 10**9):
+        monkeypatch.setattr(audit, "SPARSE", sparse)
+        running = audit.RunningAudit(spark, str(tmp_path / f"audit-{sparse}"), empty, rules, buckets=4)
+        for batch, (people, held) in enumerate(
+            [([(1, "a")], [(1, 2, 5, 1), (2, 2, 6, 1), (3, 3, 5, 0)]), ([(2, "A"), (1, "c")], [(4, 9, 5, 1)]), ([(3, "d")], [(4, 9, 5, 1)])]
+        ):
+            running.add(batch, {"users": spark.createDataFrame(people, users_schema), "inventory": spark.createDataFrame(held, held_schema)})
+        found.append({(r.table_name, r.rule): r.violations for r in running.violations().collect() if r.violations})
+    assert found[0] == found[1]
+    assert found[0][("inventory", "parent:user_id->users")] == 2
+    assert found[0][("users", "unique:id")] == found[0][("users", "unique:username")] == 1
+    counts = spark.createDataFrame([(1, 2, None, 0, 0, 1)], "domain int, key bigint, text string, check int, before bigint, after bigint")
+    running._changed(counts).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1

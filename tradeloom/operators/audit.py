@@ -15,6 +15,9 @@ from tradeloom.tables import RULES, Rules
 ORDER = ("users", "items", "inventory", "transactions", "offers", "trades", "participants", "game_stats")
 
 
+# Rows kept by a running audit for one of a batch, from which on they are cut to the batch's keys first.
+SPARSE = 8
+
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 SEPARATOR = "\x1f"
 
@@ -107,8 +110,8 @@ def _counts(tables: dict[str, DataFrame], rules: dict[str, Rules], checks: list[
             shape = [F.lit(check.number).alias("check"), key.cast("bigint").alias("key"), text.cast("string").alias("text")]
             entries.append(F.when(when, F.struct(*(shape if texts else shape[:2]))))
         if entries:
-            listed = F.explode(F.filter(F.array(*entries), lambda one: one.isNotNull())).alias("entry")
-            parts.append(df.select(listed).select("entry.*"))
+            listed = df.select(F.explode(F.array(*entries)).alias("entry"))
+            parts.append(listed.filter("entry IS NOT NULL").select("entry.*"))
     every = reduce(DataFrame.unionAll, parts)
     return every.groupBy(*every.columns).agg(F.count(F.lit(1)).alias("n"))
 
@@ -240,12 +243,21 @@ class RunningAudit:
         self.counts.create(spark.createDataFrame([], counted), buckets)
         self.totals.create(spark.createDataFrame([], broken), 1)
 
-    def _violations(self, counts: DataFrame) -> DataFrame:
-        """(check, n) of counts that hold all checks of their keys."""
+    def _changed(self, counts: DataFrame) -> DataFrame:
+        """(check, n): what counts ``before`` and ``after`` differ by in violations, with all checks of their keys.
+
+        A key has a row per check and addition, so its rows meet in one shuffle.
+        """
         own, refers = (_numbers(some) for some in ([c for c in self.checks if c.own], [c for c in self.checks if c.refers]))
-        present = F.sum(F.when(own, F.col("n")).otherwise(0)).over(Window.partitionBy("domain", "key", "text"))
-        broken = F.when(refers, F.when(present == 0, F.col("n")).otherwise(0)).otherwise(F.greatest(F.col("n") - 1, F.lit(0)))
-        return counts.withColumn("n", broken).filter("n <> 0").groupBy("check").agg(F.sum("n").alias("n"))
+        met = counts.repartition("domain", "key").groupBy("domain", "key", "text", "check")
+        sums = met.agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+
+        def broken(n: str) -> Column:
+            present = F.sum(F.when(own, F.col(n)).otherwise(0)).over(Window.partitionBy("domain", "key", "text"))
+            lost = F.when(present == 0, F.col(n)).otherwise(0)
+            return F.when(refers, lost).otherwise(F.greatest(F.col(n) - 1, F.lit(0)))
+
+        return sums.select("check", (broken("after") - broken("before")).alias("n")).filter("n <> 0")
 
     def add(self, batch: int, new: dict[str, DataFrame], removed: dict[str, DataFrame] | None = None) -> None:
         """Take in the rows of a batch; one that is in already changes nothing."""
@@ -255,12 +267,14 @@ class RunningAudit:
             moved = moved.unionByName(gone.withColumn("n", -F.col("n"))).groupBy("check", "key", "text").agg(F.sum("n").alias("n"))
         moved = stored(moved.withColumn("domain", F.when(F.col("key").isNotNull(), _domain(self.checks))), "moved")
         keyed = moved.filter("key IS NOT NULL").select("domain", "key", "text", "check", "n")
-        before = stored(self.counts.lookup(keyed, before_batch=batch), "before")
-        broken = [
-            moved.filter("key IS NULL").select("check", "n"),
-            self._violations(_summed(before, keyed)),
-            self._violations(before).withColumn("n", -F.col("n")),
-        ]
+        earlier = self.counts.unfolded(keyed, before_batch=batch)
+        # Keys that the batch does not name change nothing; they are left out where that spares the most of a shuffle.
+        if moved.count() * SPARSE < earlier.count():
+            earlier = earlier.join(keyed.select("domain", "key").distinct(), ["domain", "key"], "left_semi")
+        key = ["domain", "key", "text", "check"]
+        held = earlier.select(*key, F.col("n").alias("before"), F.col("n").alias("after"))
+        came = keyed.select(*key, F.lit(0).cast("bigint").alias("before"), F.col("n").alias("after"))
+        broken = [moved.filter("key IS NULL").select("check", "n"), self._changed(held.unionByName(came))]
         change = reduce(DataFrame.unionAll, broken).groupBy("check").agg(F.sum("n").alias("n"))
         self.totals.add(change, batch)
         self.counts.add(keyed, batch)

@@ -198,6 +198,16 @@ class VersionedTable:
         wanted = keys.select(*self.key).distinct()
         return self._rows(manifest, self._touched(wanted, manifest.count)).join(wanted, self.key, "left_semi")
 
+    def unfolded(self, keys: DataFrame, before_batch: int | None = None) -> DataFrame:
+        """Stored rows and additions of the buckets of the given keys, side by side: for folds that only add up."""
+        manifest = self.manifest(before_batch)
+        buckets = self._touched(keys, manifest.count)
+        rows = self._stored(manifest, buckets)
+        if not manifest.additions:
+            return rows
+        numbered = self._numbered(self._additions(manifest), manifest.count).filter(F.col(BUCKET).isin(buckets))
+        return rows.unionByName(numbered.select(*self.schema.names))
+
     def change(self, changes: DataFrame, apply: Fold, batch: int | None = None) -> Manifest:
         """New version after ``apply`` (rows, changes) to rows, which may only touch the changes' keys.
 
