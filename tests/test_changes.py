@@ -209,3 +209,4 @@ def test_a_batch_of_the_running_audit_compares_its_keys_in_one_shuffle(spark, tm
     counts = spark.createDataFrame([(1, 2, None, 0, 0, 1)], "domain int, key bigint, text string, check int, before bigint, after bigint")
     running._changed(counts).explain()
     assert capsys.readouterr().out.count("Exchange") == 1
+    assert running._changed(counts, 3 * audit.TASK_ROWS).rdd.getNumPartitions() == 4

@@ -17,6 +17,8 @@ ORDER = ("users", "items", "inventory", "transactions", "offers", "trades", "par
 
 # Rows kept by a running audit for one of a batch, from which on they are cut to the batch's keys first.
 SPARSE = 8
+# Rows that a task compares, of a hundred bytes or two.
+TASK_ROWS = 500_000
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 SEPARATOR = "\x1f"
@@ -243,13 +245,13 @@ class RunningAudit:
         self.counts.create(spark.createDataFrame([], counted), buckets)
         self.totals.create(spark.createDataFrame([], broken), 1)
 
-    def _changed(self, counts: DataFrame) -> DataFrame:
+    def _changed(self, counts: DataFrame, rows: int = 0) -> DataFrame:
         """(check, n): what counts ``before`` and ``after`` differ by in violations, with all checks of their keys.
 
-        A key has a row per check and addition, so its rows meet in one shuffle.
+        A key has a row per check and addition, so its rows meet in one shuffle, by as many tasks as ``rows`` ask for.
         """
         own, refers = (_numbers(some) for some in ([c for c in self.checks if c.own], [c for c in self.checks if c.refers]))
-        met = counts.repartition("domain", "key").groupBy("domain", "key", "text", "check")
+        met = counts.repartition(rows // TASK_ROWS + 1, "domain", "key").groupBy("domain", "key", "text", "check")
         sums = met.agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
 
         def broken(n: str) -> Column:
@@ -269,12 +271,13 @@ class RunningAudit:
         keyed = moved.filter("key IS NOT NULL").select("domain", "key", "text", "check", "n")
         earlier = self.counts.unfolded(keyed, before_batch=batch)
         # Keys that the batch does not name change nothing; they are left out where that spares the most of a shuffle.
-        if moved.count() * SPARSE < earlier.count():
+        new_rows, old_rows = moved.count(), earlier.count()
+        if new_rows * SPARSE < old_rows:
             earlier = earlier.join(keyed.select("domain", "key").distinct(), ["domain", "key"], "left_semi")
         key = ["domain", "key", "text", "check"]
         held = earlier.select(*key, F.col("n").alias("before"), F.col("n").alias("after"))
         came = keyed.select(*key, F.lit(0).cast("bigint").alias("before"), F.col("n").alias("after"))
-        broken = [moved.filter("key IS NULL").select("check", "n"), self._changed(held.unionByName(came))]
+        broken = [moved.filter("key IS NULL").select("check", "n"), self._changed(held.unionByName(came), new_rows + old_rows)]
         change = reduce(DataFrame.unionAll, broken).groupBy("check").agg(F.sum("n").alias("n"))
         self.totals.add(change, batch)
         self.counts.add(keyed, batch)
