@@ -189,3 +189,21 @@ def test_offers_are_read_only_if_a_request_is_about_one(spark):
     got = R.replay(requests, users, items, inventory, unread).decisions
     assert got.exceptAll(R.replay(requests, users, items, inventory, offers).decisions).count() == 0
     assert got.count() == 120
+
+
+def test_grants_and_unnamed_listings_stay_out_of_the_settlement(spark, monkeypatch):
+    """A grant has no guard to wait for, and the quantity of a listing that no request names is never asked for."""
+    settled = []
+    settle = R.settle
+
+    def seen(postings, *rest, **blocks):
+        settled.extend(postings.collect())
+        return settle(postings, *rest, **blocks)
+
+    monkeypatch.setattr(R, "settle", seen)
+    requests, *rest = frames(spark, *make(24, 60, 6, 4, (R.BUY, R.LIST, R.GRANT)))
+    got = R.replay(requests, *rest).decisions.collect()
+    assert {r.kind for r in got if r.accepted} == {R.BUY, R.LIST, R.GRANT}
+    asked = {r.seq for r in settled if r.seq}
+    assert {r.kind for r in got if r.seq in asked} == {R.BUY, R.LIST}
+    assert not [r for r in settled if r.account == R.OFFER and r.at_seq > 0]

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tradeloom.plans import settlement
 from tradeloom.plans.prefix import BUCKETS, hot_buckets
 from tradeloom.plans.settlement import ACCEPTED, OPEN, _bounded, _decided, _outcomes, settle
 
@@ -54,6 +55,28 @@ def test_postings_leave_the_rounds_with_the_doubt(spark):
     assert kept == {(3, "cash"), (4, "cash"), (5, "cash")}
 
 
+def test_accounts_covered_by_their_totals_are_not_ordered(spark, monkeypatch):
+    """User 1 can pay for all requests in any order and user 2 cannot; nothing asks for the stock of 9."""
+    ordered = []
+    running = settlement.running_before
+
+    def seen(df, *rest):
+        ordered.append({r.a for r in df.select("a").collect()})
+        return running(df, *rest)
+
+    monkeypatch.setattr(settlement, "running_before", seen)
+    postings = [(None, "cash", 1, 0, 0, 70, 1, None, False), (None, "cash", 2, 0, 0, 69, 1, None, False)]
+    for seq, k, amount in [(1, 1, 30), (2, 2, 30), (3, 1, 40), (4, 2, 40)]:
+        postings.append((seq, "stock", 9, 0, seq, amount, 1, None, True))
+        postings.append((seq, "cash", k, 0, seq, -amount, 1, amount, False))
+    # Asking for all there is leaves user 3 in doubt, as does asking without taking on user 4.
+    postings += [(None, "cash", k, 0, 0, 5, 1, None, False) for k in (3, 4)]
+    postings += [(5, "cash", 3, 0, 5, -1, 6, 1, True), (6, "cash", 4, 0, 6, 0, 1, 6, True)]
+    units, _ = settle(spark.createDataFrame(postings, SCHEMA))
+    assert {r.seq: r.units for r in units.collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 5, 6: 0}
+    assert ordered[0] == {2, 3, 4}
+
+
 def test_blocks_are_spread_by_their_requests(spark):
     """400 small blocks of 20 requests go to many tasks, although their bytes would fit into one."""
     runs = spark.range(8000).selectExpr(
