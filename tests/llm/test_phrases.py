@@ -133,3 +133,26 @@ def test_trie_holds_its_rows_and_nothing_else(seed):
         for size in range(1, 5):
             assert walk(row[:size]) == known.get(tuple(row[:size]), -1)
     assert len(row_of) == len(rows)
+
+
+def test_texts_are_read_once_for_all_shards(spark, monkeypatch):
+    reads = []
+
+    def stored(df, name, keep=phrases.stored):
+        if name == "counts":
+            reads.append(df._jdf.queryExecution().analyzed().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    rng = np.random.default_rng(5)
+    said = [" ".join(f"w{n}" for n in rng.zipf(1.5, 60) % 40) + ". end" for _ in range(120)]
+    rows = [(text, "en" if at % 3 else None) for at, text in enumerate(said)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    many = {(r.lang, r.phrase): r.f for r in phrases.counted(df, least=3, shard_phrases=10)[0].collect()}
+    assert len(reads) == 1
+    want = Counter()
+    for text, lang in rows:
+        for piece in text.split("."):
+            words = piece.split()
+            want.update((lang or "und", " ".join(words[i : i + n])) for n in range(1, 5) for i in range(len(words) - n + 1))
+    assert many == {key: n for key, n in want.items() if n >= 3}

@@ -12,15 +12,18 @@ Counting has two parts.
    all of whose pairs are. Sightings are summed per batch of texts, in Spark's partial
    aggregation, and by phrase. The frequent words, and then pairs, that the next pass asks for
    are one Bloom filter of fixed size: a false hit only means a sighting more.
-2. Counts. Words and candidates are dealt by hash into shards of about ``shard_phrases``, and a
-   task makes a double-array trie of each: the symbols are numbers of words, below one root per
-   language. A pass broadcasts ``shards_per_pass`` of them. In every batch of texts numpy moves the
-   states of all positions at once, one word further a level; positions whose state has no such
-   word go out. States are counted by bincount, and the counts of accepting ones added up over tasks.
-
-No phrase table is broadcast whole: a pass holds at most ``shard_phrases * shards_per_pass`` phrases
-(shards differ by chance only), and more phrases mean more passes over the texts. The filter
-does not grow either; when it is full it lets more sightings through, which are summed like others.
+2. Counts. Words and candidates are dealt by a hash of their first two words into shards of about
+   ``shard_phrases``, and a task makes a double-array trie of each: the symbols are numbers of words, below
+   one root per language. The texts are read once and their positions dealt alike: a position goes to
+   the shard of its word, and, if the next word makes a pair in the filter, as a window of up to four
+   words to the shard of the pair. A slice's windows for a shard are one packet of numbers into the words
+   it brings along. Where a trie meets its packets, numpy moves the states of all positions of a packet
+   at once, one word further a level; positions whose state has no such word go out. States are counted
+   by bincount, and the counts of accepting ones added up over tasks.
+
+So every position meets one trie, or two, however many there are, and a task holds one trie at a time. Windows are shuffled
+and their files removed once they are counted. A reading of the texts deals to ``shards_per_pass`` shards at most. The filter
+does not grow either; when it is full it lets more sightings and windows through, which are summed like others.
 """
 
 from __future__ import annotations
@@ -32,14 +35,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.shared import slices, small_batches
+from tradeloom.llm.shared import bounded_batches, slices, small_batches
 from tradeloom.plans.joins import top_per_key
 from tradeloom.plans.workspace import stored
 
 LONGEST = 4
 SLICE_BYTES = 1 << 21  # of text worked on at once; a word of it takes about a hundred bytes meanwhile
+PACKET_BYTES = 1 << 24  # of tries and packets a task is handed at once
+HELD_WORDS, HELD_WINDOWS = 1 << 18, 1 << 19  # of packets worked on together, as the words of a trie are looked up anew
 SIGHTED = "lang string, words int, phrase string, n bigint"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,8 +85,7 @@ class _Words:
 
     def hashes(self) -> np.ndarray:
         """One hash per dictionary word."""
-        words = self.dictionary.cast(pa.large_binary()).to_pylist()
-        return np.array([xxhash.xxh64_intdigest(word) for word in words], np.uint64)
+        return _word_hashes(self.dictionary)
 
     def sighted(self, at: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
         """SIGHTED of the phrases of ``words`` words at the given positions."""
@@ -132,6 +137,21 @@ def _holds(filter_bits: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray
     return (has(first) & has(second)).astype(bool)
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash per word, none of them empty: a polynomial of its bytes, mixed."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    powers = np.cumprod(np.full(sizes.max(), _MIX))
+    place = np.arange(len(raw)) - np.repeat(starts, sizes)
+    mixed = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers[place], starts) ^ sizes.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _TURN
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def _lang_hashes(langs: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(lang) for lang in langs.to_pylist()], np.uint64)
 
@@ -146,7 +166,7 @@ def _filter(frequent: DataFrame, bits: int) -> np.ndarray:
             spelled = pc.split_pattern(batch.column("phrase"), " ")
             count = len(spelled[0])
             words = spelled.flatten().dictionary_encode()
-            known = np.array([xxhash.xxh64_intdigest(word) for word in words.dictionary.to_pylist()], np.uint64)
+            known = _word_hashes(words.dictionary)
             parts = known[words.indices.to_numpy(zero_copy_only=False)].reshape(-1, count)
             found = np.concatenate(
                 _places(_phrase_hash(_lang_hashes(batch.column("lang")), [parts[:, k] for k in range(count)]), bits)
@@ -269,11 +289,29 @@ class Trie:
 _SHARD = "shard int, phrases array<struct<lang:string,words:int,phrase:string>>, spelled array<string>, langs array<string>, base binary, check binary, accept binary"
 
 
+def _dealt(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
 def _shards(phrases: DataFrame, shards: int) -> DataFrame:
     """Stored tries: the phrases in order of their accepting values, the words and languages of the symbols, and the arrays."""
     # Phrases that begin with the same two words share a shard, and their states.
-    begins = F.substring_index("phrase", " ", 2)
-    dealt = phrases.select("lang", "words", "phrase", F.pmod(F.xxhash64("lang", begins), F.lit(shards)).cast("int").alias("shard"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.split_pattern(batch.column("phrase"), " ")
+            first = pc.list_element(lists, 0).dictionary_encode()
+            long = batch.column("words").to_numpy() > 1
+            second = pc.list_element(lists.filter(pa.array(long)), 1).dictionary_encode()
+            langs = batch.column("lang").dictionary_encode()
+            lang = _lang_hashes(langs.dictionary)[langs.indices.to_numpy(zero_copy_only=False)]
+            own = _word_hashes(first.dictionary)[first.indices.to_numpy(zero_copy_only=False)]
+            hashes = _phrase_hash(lang, [own])
+            if long.any():
+                after = _word_hashes(second.dictionary)[second.indices.to_numpy(zero_copy_only=False)]
+                hashes[long] = _phrase_hash(lang[long], [own[long], after])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_dealt(hashes, shards))], names=[*batch.schema.names, "shard"])
+
+    dealt = phrases.select("lang", "words", "phrase").mapInArrow(deal, "lang string, words int, phrase string, shard int")
 
     def build(table: pa.Table) -> pa.Table:
         # The words of a language get numbers close to each other.
@@ -305,74 +343,180 @@ def _shards(phrases: DataFrame, shards: int) -> DataFrame:
     return stored(dealt.groupBy("shard").applyInArrow(build, _SHARD), "tries")
 
 
-def _counted(texts: DataFrame, tries: DataFrame, shards: int, per_pass: int) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of the tries, counted in the texts."""
-    # Every task adds up all it reads, so a few per core give the fewest sums.
-    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
-    counts = []
-    names = ["shard", "spelled", "langs", "base", "check", "accept"]
-    for begin in range(0, shards, per_pass):
-        rows = tries.where(F.col("shard").between(begin, begin + per_pass - 1)).select(*names).toArrow()
-        shared = texts.sparkSession.sparkContext.broadcast(rows)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tries = []
-            for row in range(shared.value.num_rows):
-                cell = {name: shared.value[name][row] for name in names}
-                arrays = [np.frombuffer(cell[name].as_buffer(), np.int32) for name in ("base", "check", "accept")]
-                trie = Trie(*arrays)
-                sums = np.zeros(len(trie.base), np.int64)
-                tries.append((cell["shard"].as_py(), cell["langs"].values, cell["spelled"].values, trie, sums))
-            for batch in slices(batches, "text", SLICE_BYTES // 2):
-                found = _Words(batch)
-                if not len(found.ids):
-                    continue
-                for _, langs, spelled, trie, sums in tries:
-                    sums += _visited(found, langs, spelled, trie)
-                del found
-                pa.default_memory_pool().release_unused()
-            for shard, _, _, trie, sums in tries:
-                sums = sums[trie.accept]
-                at = np.flatnonzero(sums)
-                for cut in range(0, len(at), 1 << 18):
-                    some = at[cut : cut + (1 << 18)]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "shard": pa.array(np.full(len(some), shard, np.int32)),
-                            "row": pa.array(some, pa.int32()),
-                            "n": pa.array(sums[some]),
-                        }
-                    )
+_MET = "shard int, part int, kind int, langs array<string>, words array<string>, a binary, b binary, c binary"
 
-        sums = texts.mapInArrow(count, "shard int, row int, n bigint").groupBy("shard", "row").agg(F.sum("n").alias("f"))
-        counts.append(stored(sums, "counts"))
-    spelled = tries.select("shard", F.posexplode("phrases").alias("row", "phrase")).select("shard", "row", "phrase.*")
-    return spelled.join(reduce(DataFrame.unionByName, counts), ["shard", "row"]).drop("shard", "row")
 
+def _windows(texts: DataFrame, known: tuple[np.ndarray, np.ndarray], bits: int, shards: int, first: int, last: int, parts: int) -> DataFrame:
+    """_MET: the positions of a slice that look at a shard, for the shards from ``first`` to before ``last``.
 
-def _visited(found: _Words, langs: pa.Array, spelled: pa.Array, trie: Trie) -> np.ndarray:
-    """How often each state of a trie is reached: the states of all positions, level by level."""
-    number = lambda values, among: pc.index_in(values.cast(pa.string()), value_set=among).fill_null(-1).to_numpy(
-        zero_copy_only=False
-    )
-    lang = number(found.langs, langs)[found.lang].astype(np.int32) + 1
-    word = number(found.dictionary, spelled)
-    symbol = np.where(word < 0, -1, word + 1 + len(langs)).astype(np.int32)[found.ids]
-    reached = []
-    at = np.flatnonzero((lang > 0) & (symbol > 0))
-    places, states = trie.step(np.zeros(len(at), np.int32), lang[at])
-    at = at[places]
-    for level in range(LONGEST):
-        places, states = trie.step(states, symbol[at + level])
+    ``a`` has, one after the other, the language and four words of every window, -1 for none, and ``b`` how often it is there.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = shared.value
+        turn = TaskContext.get().partitionId()
+        for batch in slices(batches, "text", SLICE_BYTES):
+            turn += 1
+            found = _Words(batch)
+            if not len(found.ids):
+                continue
+            word, lang = found.hashes()[found.ids], _lang_hashes(found.langs)[found.lang]
+            # Words alone, each once with its number.
+            own = _phrase_hash(lang, [word])
+            at = np.flatnonzero(_holds(words, own, bits))
+            _, place, counts = np.unique(found.lang[at] * np.int64(len(found.dictionary)) + found.ids[at], return_index=True, return_counts=True)
+            at = at[place]
+            alone = np.full((5, len(at)), -1, np.int32)
+            alone[0], alone[1] = found.lang[at], found.ids[at]
+            # Windows of as many words as follow each other in pairs.
+            both = _phrase_hash(lang[:-1], [word[:-1], word[1:]])
+            pair = np.zeros(len(found.ids) + 2, bool)
+            pair[: len(both)] = found.joined() & _holds(pairs, both, bits)
+            begin = np.flatnonzero(pair)
+            runs = np.full((5, len(begin)), -1, np.int32)
+            runs[0], runs[1], runs[2] = found.lang[begin], found.ids[begin], found.ids[begin + 1]
+            third = np.flatnonzero(pair[begin + 1])
+            runs[3, third] = found.ids[begin[third] + 2]
+            fourth = third[pair[begin[third] + 2]]
+            runs[4, fourth] = found.ids[begin[fourth] + 3]
+            windows = np.concatenate([alone, runs], axis=1)
+            counts = np.concatenate([counts, np.ones(len(begin), np.int64)]).astype(np.int32)
+            shard = _dealt(np.concatenate([own[at], both[begin]]), shards)
+            del word, lang, own, both, alone, runs
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(first, last + 1))
+            rows = []
+            for number, start, end in zip(range(first, last), bounds[:-1], bounds[1:], strict=True):
+                if start == end:
+                    continue
+                some = windows[:, order[start:end]]
+                met = np.zeros(len(found.dictionary) + 1, bool)
+                met[some[1:]] = True
+                met[-1] = False
+                renamed = np.where(met, np.cumsum(met, dtype=np.int32) - 1, -1).astype(np.int32)
+                some[1:] = renamed[some[1:]]
+                spelled = found.dictionary.take(pa.array(np.flatnonzero(met)))
+                rows.append((number, spelled, some.tobytes(), counts[order[start:end]].tobytes()))
+            if not rows:
+                continue
+            many = len(rows)
+            langs = found.langs.cast(pa.string())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "shard": pa.array([row[0] for row in rows], pa.int32()),
+                    "part": pa.array([turn % parts] * many, pa.int32()),
+                    "kind": pa.array([1] * many, pa.int32()),
+                    "langs": pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * len(langs), pa.int32()), pa.concat_arrays([langs] * many)),
+                    "words": pa.ListArray.from_arrays(
+                        pa.array(np.cumsum([0, *[len(row[1]) for row in rows]]), pa.int32()),
+                        pa.concat_arrays([row[1].cast(pa.string()) for row in rows]),
+                    ),
+                    "a": pa.array([row[2] for row in rows], pa.binary()),
+                    "b": pa.array([row[3] for row in rows], pa.binary()),
+                    "c": pa.nulls(many, pa.binary()),
+                }
+            )
+            del found, windows, rows
+            pa.default_memory_pool().release_unused()
+
+    return texts.mapInArrow(deal, _MET)
+
+
+class _Sums:
+    """A trie and how often its states are reached by the packets that follow it, worked on together."""
+
+    def __init__(self, cell: dict[str, pa.Scalar]) -> None:
+        self.own = cell["shard"].as_py(), cell["part"].as_py()
+        self.langs, self.spelled = cell["langs"].values, cell["words"].values
+        self.trie = Trie(*(np.frombuffer(cell[name].as_buffer(), np.int32).copy() for name in ("a", "b", "c")))
+        self.sums = np.zeros(len(self.trie.base), np.int64)
+        self.held, self.words, self.windows = [], 0, 0
+
+    def take(self, cell: dict[str, pa.Scalar]) -> None:
+        windows = np.frombuffer(cell["a"].as_buffer(), np.int32).reshape(5, -1)
+        self.held.append((cell["langs"].values, cell["words"].values, windows, np.frombuffer(cell["b"].as_buffer(), np.int32)))
+        self.words += len(self.held[-1][1])
+        self.windows += windows.shape[1]
+        if self.words >= HELD_WORDS or self.windows >= HELD_WINDOWS:
+            self.visit()
+
+    def visit(self) -> None:
+        """Moves the states of all windows held, level by level."""
+        if not self.held:
+            return
+        trie, (langs, words, windows, counts) = self.trie, zip(*self.held, strict=True)
+        number = lambda values, among: pc.index_in(pa.concat_arrays(values), value_set=among).fill_null(-1).to_numpy(
+            zero_copy_only=False
+        )
+        # The last place is for windows without a further word.
+        known = np.append(number(words, self.spelled).astype(np.int64), -1)
+        symbols = np.where(known < 0, 0, known + 1 + len(self.langs))
+        said = number(langs, self.langs).astype(np.int64) + 1
+        before_words, before_langs = (np.cumsum([0, *[len(x) for x in lists[:-1]]]) for lists in (words, langs))
+        moved = [np.where(w[1:] < 0, len(symbols) - 1, w[1:] + at) for w, at in zip(windows, before_words, strict=True)]
+        lang = np.concatenate([said[w[0] + at] for w, at in zip(windows, before_langs, strict=True)])
+        moved, counts = symbols[np.concatenate(moved, axis=1)], np.concatenate(counts)
+        single = np.concatenate([w[2] < 0 for w in windows])
+        at = np.flatnonzero(lang > 0)
+        places, states = trie.step(np.zeros(len(at), np.int32), lang[at])
         at = at[places]
-        reached.append(states)
-        # The next word has to be there, in the same piece, and known.
-        after = at + level + 1
-        on = after < len(symbol)
-        at, states, after = at[on], states[on], after[on]
-        on = (found.piece[after] == found.piece[at]) & (symbol[after] > 0)
-        at, states = at[on], states[on]
-    return np.bincount(np.concatenate(reached), minlength=len(trie.base))
+        for level in range(LONGEST):
+            symbol = moved[level, at]
+            on = symbol > 0
+            at = at[on]
+            places, states = trie.step(states[on], symbol[on])
+            at = at[places]
+            # Words are counted by windows of one word: a longer one begins with its pair.
+            new = slice(None) if level else single[at]
+            self.sums += np.bincount(states[new], counts[at[new]], minlength=len(self.sums)).astype(np.int64)
+        self.held, self.words, self.windows = [], 0, 0
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """(shard, row, n) of the accepting states."""
+        self.visit()
+        counts = self.sums[self.trie.accept]
+        at = np.flatnonzero(counts)
+        for cut in range(0, len(at), 1 << 18):
+            some = at[cut : cut + (1 << 18)]
+            shard = pa.array(np.full(len(some), self.own[0], np.int32))
+            yield pa.RecordBatch.from_pydict({"shard": shard, "row": pa.array(some, pa.int32()), "n": pa.array(counts[some])})
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, row, n) of tries and the packets that follow each."""
+    now = None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            cell = {name: batch.column(name)[row] for name in batch.schema.names}
+            if cell["kind"].as_py() == 0:
+                if now:
+                    yield from now.told()
+                now = _Sums(cell)
+            elif now and now.own == (cell["shard"].as_py(), cell["part"].as_py()):
+                now.take(cell)
+    if now:
+        yield from now.told()
+
+
+def _counted(texts: DataFrame, tries: DataFrame, shards: int, per_pass: int, known: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
+    """(lang, words, phrase, f) of all phrases of the tries, counted in the texts."""
+    spark, counts = texts.sparkSession, []
+    for first in range(0, shards, per_pass):
+        last = min(first + per_pass, shards)
+        # A shard's packets are dealt to several tasks, each with the trie.
+        parts = max(4, -(-2 * spark.sparkContext.defaultParallelism // (last - first)))
+        built = tries.where(F.col("shard").between(first, last - 1)).select(
+            "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"),
+            "langs", F.col("spelled").alias("words"), F.col("base").alias("a"), F.col("check").alias("b"), F.col("accept").alias("c"),
+        )
+        met = built.unionByName(_windows(texts, known, bits, shards, first, last, parts))
+        placed = met.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+        sums = placed.mapInArrow(_met, "shard int, row int, n bigint").groupBy("shard", "row").agg(F.sum("n").alias("f"))
+        with bounded_batches(spark, PACKET_BYTES):
+            counts.append(stored(sums, "counts"))
+    spelled = tries.select("shard", F.posexplode("phrases").alias("row", "phrase")).select("shard", "row", "phrase.*")
+    return spelled.join(reduce(DataFrame.unionByName, counts), ["shard", "row"]).drop("shard", "row")
 
 
 def counted(
@@ -380,7 +524,7 @@ def counted(
     least: int = 30,
     filter_bits: int = 26,
     shard_phrases: int = 100_000,
-    shards_per_pass: int = 4,
+    shards_per_pass: int = 1_024,
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of phrases of one to four words with f >= ``least``, (lang, n) of all words).
 
@@ -390,14 +534,16 @@ def counted(
     with small_batches(df.sparkSession, 1000):
         words = stored(_sightings(texts, [1], None, filter_bits), "words")
         frequent = words.where(F.col("n") >= least)
-        pairs = _sightings(texts, [2], _filter(frequent, filter_bits), filter_bits)
+        known_words = _filter(frequent, filter_bits)
+        pairs = _sightings(texts, [2], known_words, filter_bits)
         pairs = stored(pairs.where(F.col("n") >= least), "pairs")
-        longer = _sightings(texts, [3, 4], _filter(pairs, filter_bits), filter_bits)
+        known_pairs = _filter(pairs, filter_bits)
+        longer = _sightings(texts, [3, 4], known_pairs, filter_bits)
         longer = stored(longer.where(F.col("n") >= least), "longer")
         candidates = frequent.unionByName(pairs).unionByName(longer)
         shards = max(1, -(-candidates.count() // shard_phrases))
         # A shard is one group, whatever the size of its batches.
-        found = _counted(texts, _shards(candidates, shards), shards, shards_per_pass)
+        found = _counted(texts, _shards(candidates, shards), shards, shards_per_pass, (known_words, known_pairs), filter_bits)
         found = stored(found.where(F.col("f") >= least), "phrases")
     return found, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
